@@ -194,15 +194,21 @@ def to_timestamp(c: str, dtype: T.DataType, formats: Sequence[tuple[str, str]] |
         return f"CAST({c} AS TIMESTAMP)"
     if not isinstance(dtype, T.StringType):
         return "CAST(NULL AS TIMESTAMP)"
-    text = strip(c)
-    short_offset, colon = quote(r":\d{2}(\.\d+)?\s*[+-]\d{4}$"), quote(r"([+-]\d{2})(\d{2})$")
-    iso = f"CASE WHEN {text} RLIKE {short_offset} THEN regexp_replace({text}, {colon}, '$1:$2') ELSE {text} END"
-    tries = [f"CASE WHEN {text} RLIKE {quote(_ISO_STAMP)} THEN try_cast({iso} AS TIMESTAMP) END"]
-    tries += [
-        f"CASE WHEN {text} RLIKE {quote(shape)} THEN try_to_timestamp({text}, {quote(fmt)}) END"
-        for shape, fmt in (STAMP_FORMATS if formats is None else formats)
-    ]
-    return f"coalesce({', '.join(tries)})"
+    # the cast ignores outer blanks and reads offsets such as +05:30; +0530 needs its colon first
+    colon = quote(r"([+-]\d{2})(\d{2})\s*$")
+    iso = f"coalesce(try_cast({c} AS TIMESTAMP), try_cast(regexp_replace({c}, {colon}, '$1:$2') AS TIMESTAMP))"
+    known = STAMP_FORMATS if formats is None else formats
+    branches = f"WHEN {c} RLIKE {quote(_ISO_STAMP)} THEN {iso}"
+    if known:
+        # one test for all other shapes, so that a value of no shape costs two tests
+        any_shape = r"^\s*(" + "|".join(shape.strip("^$") for shape, _ in known) + r")\s*$"
+        text = strip(c)
+        tries = ", ".join(
+            f"CASE WHEN {text} RLIKE {quote(shape)} THEN try_to_timestamp({text}, {quote(fmt)}) END"
+            for shape, fmt in known
+        )
+        branches += f" WHEN {c} RLIKE {quote(any_shape)} THEN coalesce({tries})"
+    return f"CASE {branches} END"
 
 
 def zone_of(c: str, dtype: T.DataType) -> str:

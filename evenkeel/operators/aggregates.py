@@ -108,7 +108,7 @@ def plan_aggregate(
 
 def plan_junk(target: Side, column: str) -> ScalarCheck:
     """Non-null target values that are not numbers; a row only where there are some."""
-    bad = f"({target.col(column)} IS NOT NULL AND {target.number(column)} IS NULL)"
+    bad = f"({target.col(column)} IS NOT NULL AND {target.shared_number(column)} IS NULL)"
     value = f"CASE WHEN {bad} THEN {target.text(column)} END"
     junk = target.count_where("junk", column, bad)
     first, last = target.lowest("junk_first", column, value), target.highest("junk_last", column, value)
@@ -176,6 +176,14 @@ def plan_precision(
     return ScalarCheck(list(ms.values()), list(mt.values()), decide)
 
 
+def check_aggregates(
+    source: DataFrame, target: DataFrame, columns: Sequence[str], table: str, tolerance: float
+) -> DataFrame:
+    """All statistics of several columns in one pass over each side."""
+    s, t = Side.of(source), Side.of(target)
+    return scalar_rows(source, target, [p for c in columns for p in plan_aggregate(s, t, c, tolerance)], table)
+
+
 def check_aggregate(
     source: DataFrame,
     target: DataFrame,

@@ -25,7 +25,7 @@ def constraint_violation(side: Side, column: str, rule: str) -> str:
         return f"{value} IS NULL"
     if rule == "date":
         return f"{V.to_timestamp(value, side.dtype(column))} IS NULL"
-    number = side.number(column)
+    number = side.shared_number(column)
     not_a_number = f"({value} IS NOT NULL AND {number} IS NULL)"
     if rule == "positive":
         return f"({not_a_number} OR coalesce({number} <= 0, false))"

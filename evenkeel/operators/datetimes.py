@@ -6,12 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evenkeel import results as R
 from evenkeel.functions import values as V
 from evenkeel.functions.values import quote
 from evenkeel.operators.aggregates import missing
-from evenkeel.operators.facts import Facts, ScalarCheck, Side
+from evenkeel.operators.facts import ScalarCheck, Side, derived
 from evenkeel.operators.keys import KeyReader, key_reader
 from evenkeel.operators.run import scalar_rows
 from evenkeel.results import FAIL, PASS, WARN, Finding, case, text
@@ -32,7 +33,10 @@ ROWS_PER_SPLIT = 50_000
 def _stamp_metrics(side: Side, column: str) -> dict:
     c, dtype = side.col(column), side.dtype(column)
     parsed = V.to_timestamp(c, dtype)
-    zone = f"CASE WHEN {parsed} IS NOT NULL THEN {V.zone_of(c, dtype)} END"
+    if isinstance(dtype, T.StringType):
+        parsed = derived(parsed)  # used by every metric below
+    zone_text = V.zone_of(c, dtype)
+    zone = f"CASE WHEN {parsed} IS NOT NULL THEN {derived(zone_text) if isinstance(dtype, T.StringType) else zone_text} END"
     bad = f"({c} IS NOT NULL AND {parsed} IS NULL)"
     bad_text = f"CASE WHEN {bad} THEN {side.text(column)} END"
     return {

@@ -7,6 +7,7 @@ definition serves the one-pass batch audit and the incremental audit that stores
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -40,6 +41,19 @@ def _name(kind: str, column: str = "", *params) -> str:
     return f"{kind}__{clean}" if column else kind
 
 
+# Derived columns by name. The name is a hash of the expression, so equal expressions share a column.
+_DERIVED: dict[str, str] = {}
+_DERIVED_NAME = re.compile(r"\b_d[0-9a-f]{12}\b")
+
+
+def derived(sql: str) -> str:
+    """The name of a column computed once per row before the aggregate, for costly expressions that
+    several metrics use."""
+    name = "_d" + hashlib.sha256(sql.encode()).hexdigest()[:12]
+    _DERIVED[name] = sql
+    return name
+
+
 class Side:
     """Expressions of one side of a pair, folded so that NaN is NULL."""
 
@@ -66,6 +80,11 @@ class Side:
     def number(self, name: str) -> str:
         return V.to_number(V.ident(name), self.dtype(name))
 
+    def shared_number(self, name: str) -> str:
+        """The number for use in several metrics: text is parsed once per row."""
+        number = self.number(name)
+        return derived(number) if isinstance(self.dtype(name), T.StringType) else number
+
     # --- metrics -------------------------------------------------------------------------
 
     def rows(self) -> Metric:
@@ -85,7 +104,7 @@ class Side:
         millionths of every value are summed as integers, which is order-free and says whether
         the two sums are really equal.
         """
-        x, dtype = self.number(name), self.dtype(name)
+        x, dtype = self.shared_number(name), self.dtype(name)
         if V.is_integer_type(dtype):
             number = f"CAST({V.ident(name)} AS INT)" if isinstance(dtype, T.BooleanType) else V.ident(name)
             whole, micro = f"CAST({number} AS BIGINT)", f"CASE WHEN {number} IS NOT NULL THEN 0L END"
@@ -108,9 +127,9 @@ class Side:
         """Most digits after the point and most digits at all, of the plain decimal form."""
         dtype = self.dtype(name)
         if isinstance(dtype, T.StringType):
-            text = V.plain_number(self.number(name), T.DoubleType())
+            text = derived(V.plain_number(self.shared_number(name), T.DoubleType()))
         else:
-            text = V.plain_number(self.col(name), dtype)
+            text = derived(V.plain_number(self.col(name), dtype))
         scale = f"CASE WHEN contains({text}, '.') THEN length(substring_index({text}, '.', -1)) WHEN {text} IS NOT NULL THEN 0 END"
         return {
             "n": Metric(_name("digits_n", name), f"count({text})", "sum"),
@@ -154,6 +173,9 @@ def unique(metrics: Sequence[Metric]) -> list[Metric]:
 
 def measure(df: DataFrame, metrics: Sequence[Metric]) -> DataFrame:
     """One row of metrics for a side: a partial aggregate per task, then one small merge."""
+    names = dict.fromkeys(n for m in unique(metrics) for n in _DERIVED_NAME.findall(m.update))
+    if names:
+        df = df.selectExpr("*", *[f"{_DERIVED[n]} AS {n}" for n in names])
     return df.selectExpr(*[f"{m.update} AS {V.ident(m.name)}" for m in unique(metrics)])
 
 

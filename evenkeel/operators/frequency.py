@@ -47,6 +47,7 @@ class ValueCheck:
     counted: Counted
     decide: Callable[[Facts], Sequence[Finding]]
     samples: bool = False  # whether the rule shows values found on one side only
+    relative: bool = False  # whether the rule needs totals of the label (shares, longest target value)
 
 
 def _key(value: Any) -> str:
@@ -93,19 +94,31 @@ def _per_label(counted: Sequence[Counted], rule: Callable[[Counted], str], other
     return f"CASE {whens} ELSE {otherwise} END"
 
 
-def statistics(pairs: DataFrame, counted: Sequence[Counted], samples: bool = True) -> DataFrame:
-    """One row per label. Two aggregates over the counts: totals first, then what depends on them."""
-    counted = list(dict.fromkeys(counted))
+_COUNTS = {
+    "src_total": "sum(src_n)",
+    "tgt_total": "sum(tgt_n)",
+    "src_distinct": "count_if(src_n > 0)",
+    "tgt_distinct": "count_if(tgt_n > 0)",
+    "src_only_values": "count_if(_src_bad)",
+    "src_only_rows": "sum(CASE WHEN _src_bad THEN src_n ELSE 0L END)",
+    "tgt_only_values": "count_if(_tgt_bad)",
+    "tgt_only_rows": "sum(CASE WHEN _tgt_bad THEN tgt_n ELSE 0L END)",
+    "expected_seen": "count_if(_hit)",
+    "src_max_length": "max(CASE WHEN family = 'length' AND src_n > 0 THEN CAST(value AS INT) END)",
+    "tgt_max_length": "max(CASE WHEN family = 'length' AND tgt_n > 0 THEN CAST(value AS INT) END)",
+}
+
+# these depend on totals of the whole label
+_RELATIVE = {
+    "max_shift": "max(_shift)",
+    "max_shift_value": "min(struct(-_shift AS g, value AS v)).v",
+    "exceeding": "sum(CASE WHEN family = 'length' AND try_cast(value AS INT) > _limit THEN src_n ELSE 0L END)",
+}
+
+
+def _flagged(pairs: DataFrame, counted: Sequence[Counted]) -> DataFrame:
+    """Mark values that one side should not have, and mapped values that were found."""
     mapped = [c for c in counted if c.mapping]
-    limits = [c for c in counted if c.limit is not None]
-    totals = pairs.groupBy("label").agg(
-        F.expr("sum(src_n)").alias("src_total"),
-        F.expr("sum(tgt_n)").alias("tgt_total"),
-        F.expr("max(CASE WHEN family = 'length' AND src_n > 0 THEN CAST(value AS INT) END)").alias("src_max_length"),
-        F.expr("coalesce(max(CASE WHEN family = 'length' AND tgt_n > 0 THEN CAST(value AS INT) END), 0)").alias(
-            "tgt_max_length"
-        ),
-    )
 
     def listed(values) -> str:
         return V.is_any("concat(family, ':', value)", [_key(v) for v in values])
@@ -116,59 +129,63 @@ def statistics(pairs: DataFrame, counted: Sequence[Counted], samples: bool = Tru
     def expected(c):
         return listed(v for _, v in c.mapping)
 
-    # one row per configured column, so the broadcast side has a fixed size
-    wide = pairs.join(F.broadcast(totals), "label").selectExpr(
+    return pairs.selectExpr(
         "*",
         _per_label(mapped, lambda c: f"(src_n > 0 AND NOT {keys(c)})", "(src_n > 0 AND tgt_n = 0)") + " AS _src_bad",
         _per_label(mapped, lambda c: f"(tgt_n > 0 AND NOT {expected(c)})", "(tgt_n > 0 AND src_n = 0)") + " AS _tgt_bad",
         _per_label(mapped, lambda c: f"(tgt_n > 0 AND {expected(c)})", "false") + " AS _hit",
-        _per_label(limits, lambda c: str(c.limit), "tgt_max_length") + " AS _limit",
-        "abs(coalesce(try_divide(src_n, src_total), 0D) - coalesce(try_divide(tgt_n, tgt_total), 0D)) AS _shift",
     )
-    stats = wide.groupBy("label").agg(
-        *[
-            F.expr(sql).alias(name)
-            for name, sql in {
-                "src_total": "first(src_total)",
-                "tgt_total": "first(tgt_total)",
-                "src_max_length": "first(src_max_length)",
-                "tgt_max_length": "first(tgt_max_length)",
-                "src_distinct": "count_if(src_n > 0)",
-                "tgt_distinct": "count_if(tgt_n > 0)",
-                "src_only_values": "count_if(_src_bad)",
-                "src_only_rows": "sum(CASE WHEN _src_bad THEN src_n ELSE 0L END)",
-                "tgt_only_values": "count_if(_tgt_bad)",
-                "tgt_only_rows": "sum(CASE WHEN _tgt_bad THEN tgt_n ELSE 0L END)",
-                "expected_seen": "count_if(_hit)",
-                "max_shift": "max(_shift)",
-                "max_shift_value": "min(struct(-_shift AS g, value AS v)).v",
-                "exceeding": "sum(CASE WHEN family = 'length' AND try_cast(value AS INT) > _limit THEN src_n ELSE 0L END)",
-            }.items()
-        ]
+
+
+def _with_totals(flagged: DataFrame, counted: Sequence[Counted]) -> DataFrame:
+    """Add the shift of every value's share and the length limit; the totals are one row per column."""
+    limits = [c for c in counted if c.limit is not None]
+    totals = flagged.groupBy("label").agg(
+        F.expr("sum(src_n)").alias("_src_total"),
+        F.expr("sum(tgt_n)").alias("_tgt_total"),
+        F.expr(f"coalesce({_COUNTS['tgt_max_length']}, 0)").alias("_tgt_max"),
     )
-    if not samples:
-        return stats.selectExpr("*", "CAST(array() AS array<string>) AS samples")
-    # the rank filter runs before the shuffle too, so each task sends at most SAMPLE_VALUES per group
-    differing = (
-        wide.where("(_src_bad OR _tgt_bad) AND family <> 'length'")
-        .selectExpr("label", "_src_bad", "value", "row_number() OVER (PARTITION BY label, _src_bad ORDER BY value, family) AS _rank")
-        .where(f"_rank <= {SAMPLE_VALUES}")
-        .groupBy("label")
-        .agg(F.expr("sort_array(collect_list(concat(CASE WHEN _src_bad THEN 'source: ' ELSE 'target: ' END, value)))").alias("samples"))
+    return flagged.join(F.broadcast(totals), "label").selectExpr(
+        "*",
+        _per_label(limits, lambda c: str(c.limit), "_tgt_max") + " AS _limit",
+        "abs(coalesce(try_divide(src_n, _src_total), 0D) - coalesce(try_divide(tgt_n, _tgt_total), 0D)) AS _shift",
+    )
+
+
+def label_facts(pairs: DataFrame, checks: Sequence[ValueCheck]) -> DataFrame:
+    """One row with a struct ``v<i>`` of statistics and an array ``x<i>`` of samples per label."""
+    counted = list(dict.fromkeys(c.counted for c in checks))
+    labels = [c.label for c in counted]
+    values = _flagged(pairs, counted)
+    wanted = dict(_COUNTS)
+    if any(c.relative for c in checks):
+        values = _with_totals(values, counted)
+        wanted |= _RELATIVE
+    stats = values.groupBy("label").agg(*[F.expr(sql).alias(name) for name, sql in wanted.items()])
+    rows = stats.selectExpr("label", f"struct({', '.join(wanted)}) AS v", "CAST(NULL AS STRING) AS x")
+    if any(c.samples for c in checks):
+        # the rank filter runs before the shuffle too, so each task sends at most SAMPLE_VALUES per group
+        differing = (
+            values.where("(_src_bad OR _tgt_bad) AND family <> 'length'")
+            .selectExpr(
+                "label", "_src_bad", "value",
+                "row_number() OVER (PARTITION BY label, _src_bad ORDER BY value, family) AS _rank",
+            )
+            .where(f"_rank <= {SAMPLE_VALUES}")
+            .selectExpr("label", "concat(CASE WHEN _src_bad THEN 'source: ' ELSE 'target: ' END, value) AS x")
+        )
+        rows = rows.unionByName(differing, allowMissingColumns=True)
+    return rows.selectExpr(
+        *[f"first(CASE WHEN label = {quote(label)} THEN v END, true) AS v{i}" for i, label in enumerate(labels)],
+        *[f"sort_array(collect_list(CASE WHEN label = {quote(label)} THEN x END)) AS x{i}" for i, label in enumerate(labels)],
     )
-    return stats.join(F.broadcast(differing), "label", "left")
 
 
 def value_check_rows(pairs: DataFrame, checks: Sequence[ValueCheck], table: str, run_id: str = "") -> DataFrame:
     labels = list(dict.fromkeys(c.counted.label for c in checks))
-    stats = statistics(pairs, [c.counted for c in checks], any(c.samples for c in checks))
-    fields = ", ".join(c for c in stats.columns if c != "label")
-    row = stats.selectExpr(
-        *[f"first(CASE WHEN label = {quote(label)} THEN struct({fields}) END, true) AS v{i}" for i, label in enumerate(labels)]
-    )
     scope = R.Scope()
-    found = [f for c in checks for f in c.decide(ValueFacts(f"v{labels.index(c.counted.label)}", scope))]
-    return R.rows(row, found, table, run_id, scope)
+    found = [f for c in checks for f in c.decide(ValueFacts(str(labels.index(c.counted.label)), scope))]
+    return R.rows(label_facts(pairs, checks), found, table, run_id, scope)
 
 
 class ValueFacts(Facts):
@@ -177,10 +194,10 @@ class ValueFacts(Facts):
     _KEEP_NULL = ("src_max_length", "max_shift", "max_shift_value")
 
     def __call__(self, name: str) -> str:
-        field = f"{self.struct}.{name}"
-        if name in self._KEEP_NULL:
-            return field
-        return f"coalesce({field}, array())" if name == "samples" else self.let(f"coalesce({field}, 0)")
+        if name == "samples":
+            return f"x{self.struct}"
+        field = f"v{self.struct}.{name}"
+        return field if name in self._KEEP_NULL else self.let(f"coalesce({field}, 0)")
 
 
 # --- the checks ------------------------------------------------------------------------------
@@ -238,7 +255,7 @@ def plan_distribution(column: str, tolerance: float = 0.05, mapping: Mapping[Any
         metrics = {"max_shift": shift, "tolerance": limit, "src_total": src, "tgt_total": tgt}
         return [Finding("enum", "distribution", column, status, message, metrics, {"max_shift_value": value})]
 
-    return ValueCheck(counted, decide)
+    return ValueCheck(counted, decide, relative=True)
 
 
 def plan_truncation(column: str, max_length: int | None = None) -> ValueCheck:
@@ -267,7 +284,7 @@ def plan_truncation(column: str, max_length: int | None = None) -> ValueCheck:
         }
         return [Finding("string", "truncation", column, status, message, metrics)]
 
-    return ValueCheck(Counted(column, "length", max_length), decide)
+    return ValueCheck(Counted(column, "length", max_length), decide, relative=True)
 
 
 def missing_columns(

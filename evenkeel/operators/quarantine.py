@@ -95,6 +95,12 @@ def mark_duplicates(df: DataFrame, key: str, order_by: Sequence[str] = ()) -> Da
 def validate_rows(df: DataFrame, table: TableConfig, is_source: bool = True) -> DataFrame:
     """Add ``_validation_errors``, every reason joined by ``"; "`` or NULL for a valid row, and
     ``_broken_rules``, the codes of the rules."""
+    checked, reasons = _test_rules(df, table, is_source)
+    return _explain(checked, reasons)
+
+
+def _test_rules(df: DataFrame, table: TableConfig, is_source: bool) -> tuple[DataFrame, list[Reason]]:
+    """A boolean column per rule. The costly tests run here once; everything after reads the columns."""
     side = Side.of(df)
     reasons = _reasons(side, table, is_source)
     key = table.primary_key
@@ -102,21 +108,30 @@ def validate_rows(df: DataFrame, table: TableConfig, is_source: bool = True) ->
         df = mark_duplicates(df, key, [c for c in table.order_by if c in side])
         text = f"concat({quote(f'duplicate key in {key}: ')}, {side.text(key)})"
         reasons.append(Reason(f"{key}:duplicate", "_duplicate", text))
-    texts = ", ".join(["'; '", *[f"CASE WHEN {r.broken} THEN {r.text} END" for r in reasons]])
-    codes = ", ".join(f"CASE WHEN {r.broken} THEN {quote(r.code)} END" for r in reasons)
-    return df.withColumns(
-        {
-            ERRORS: F.expr(f"nullif(concat_ws({texts}), '')"),
-            RULES: F.expr(f"array_compact(CAST(array({codes}) AS array<string>))"),
-        }
-    ).drop("_duplicate")
+    tests = [f"coalesce({r.broken}, false) AS _rule_{i}" for i, r in enumerate(reasons)]
+    return df.selectExpr("*", *tests).drop("_duplicate"), reasons
+
+
+def _explain(checked: DataFrame, reasons: list[Reason]) -> DataFrame:
+    texts = ", ".join(["'; '", *[f"CASE WHEN _rule_{i} THEN {r.text} END" for i, r in enumerate(reasons)]])
+    codes = ", ".join(f"CASE WHEN _rule_{i} THEN {quote(r.code)} END" for i, r in enumerate(reasons))
+    return checked.selectExpr(
+        "*", f"nullif(concat_ws({texts}), '') AS {ERRORS}",
+        f"array_compact(CAST(array({codes}) AS array<string>)) AS {RULES}",
+    ).drop(*_test_columns(reasons))
+
+
+def _test_columns(reasons: list[Reason]) -> list[str]:
+    return [f"_rule_{i}" for i in range(len(reasons))]
 
 
 def split(df: DataFrame, table: TableConfig, is_source: bool = True) -> tuple[DataFrame, DataFrame]:
     """(valid rows, invalid rows with their reasons)."""
-    checked = validate_rows(df, table, is_source)
-    valid = checked.where(f"{ERRORS} IS NULL").drop(ERRORS, RULES)
-    return valid, checked.where(f"{ERRORS} IS NOT NULL")
+    checked, reasons = _test_rules(df, table, is_source)
+    tests = _test_columns(reasons)
+    broken = " OR ".join(tests) or "false"
+    valid = checked.where(f"NOT ({broken})").drop(*tests)
+    return valid, _explain(checked.where(broken), reasons)
 
 
 def quarantine(

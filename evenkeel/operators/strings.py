@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 
 from evenkeel.functions import values as V
 from evenkeel.operators.aggregates import missing
-from evenkeel.operators.facts import ScalarCheck, Side
+from evenkeel.operators.facts import ScalarCheck, Side, derived
 from evenkeel.operators.run import scalar_rows
 from evenkeel.results import FAIL, PASS, WARN, Finding, case, text
 
@@ -71,12 +71,12 @@ def plan_boolean(
         return missing("boolean", "boolean", column, FAIL, "source or target")
 
     def metrics(side: Side):
-        value = V.to_boolean(side.col(column), side.dtype(column), true_values, false_values)
+        value = derived(V.to_boolean(side.col(column), side.dtype(column), true_values, false_values))
         tokens = (*true_values, "|", *false_values)
         return (
             side.nonnull(column),
             side.count_where("true", column, value, *tokens),
-            side.count_where("false", column, f"NOT ({value})", *tokens),
+            side.count_where("false", column, f"NOT {value}", *tokens),
         )
 
     ms, mt = metrics(source), metrics(target)

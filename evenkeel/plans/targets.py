@@ -7,8 +7,6 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.operators import faults
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
@@ -16,15 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def orders_target(orders: DataFrame) -> DataFrame:
     """Lost rows, raised prices, a foreign status, cut and padded texts, nulls, orphans, shifted dates."""
-    key = "o_orderkey"
-    df = faults.lose_rows(orders, key, 97)
-    df = faults.add_to(df, "o_totalprice", key, 50, "100")
-    df = faults.set_value(df, "o_orderstatus", key, 41, "X")
-    df = faults.pad(df, "o_orderpriority", key, 31)
-    df = faults.truncate(df, "o_orderpriority", key, 29, 6, "")
-    df = faults.add_to(df, "o_custkey", key, 43, "10000000L")
-    df = faults.null_value(df, "o_custkey", key, 37)
-    return faults.shift_time(df, "o_orderdate", key, 1, 60)
+    return orders.where("o_orderkey % 97 <> 0").selectExpr(
+        "o_orderkey",
+        "CASE WHEN o_orderkey % 37 = 0 THEN NULL WHEN o_orderkey % 43 = 0 THEN o_custkey + 10000000L ELSE o_custkey END AS o_custkey",
+        "CASE WHEN o_orderkey % 41 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus",
+        "CASE WHEN o_orderkey % 50 = 0 THEN o_totalprice + 100 ELSE o_totalprice END AS o_totalprice",
+        "o_orderdate + INTERVAL '60' MINUTE AS o_orderdate",
+        "CASE WHEN o_orderkey % 29 = 0 AND o_orderkey % 31 = 0 THEN left(concat('  ', o_orderpriority), 6)"
+        " WHEN o_orderkey % 29 = 0 THEN left(o_orderpriority, 6)"
+        " WHEN o_orderkey % 31 = 0 THEN concat('  ', o_orderpriority, '  ') ELSE o_orderpriority END AS o_orderpriority",
+    )
 
 
 def orders_repeated(orders: DataFrame) -> DataFrame:
