@@ -173,9 +173,16 @@ def unique(metrics: Sequence[Metric]) -> list[Metric]:
 
 def measure(df: DataFrame, metrics: Sequence[Metric]) -> DataFrame:
     """One row of metrics for a side: a partial aggregate per task, then one small merge."""
-    names = dict.fromkeys(n for m in unique(metrics) for n in _DERIVED_NAME.findall(m.update))
-    if names:
-        df = df.selectExpr("*", *[f"{_DERIVED[n]} AS {n}" for n in names])
+    # derived columns may build on others: the innermost come first
+    levels: list[list[str]] = []
+    texts = [m.update for m in unique(metrics)]
+    while names := list(dict.fromkeys(n for text in texts for n in _DERIVED_NAME.findall(text))):
+        levels.insert(0, names)
+        texts = [_DERIVED[n] for n in names]
+    known: set[str] = set()
+    for names in levels:
+        df = df.selectExpr("*", *[f"{_DERIVED[n]} AS {n}" for n in names if n not in known])
+        known |= set(names)
     return df.selectExpr(*[f"{m.update} AS {V.ident(m.name)}" for m in unique(metrics)])
 
 
