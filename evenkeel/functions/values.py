@@ -167,8 +167,8 @@ def strip(c: str) -> str:
 
 def is_unstripped(text: str) -> str:
     """First or last character is white space. Only two characters are looked at."""
-    edges = f"concat(left({text}, 1), right({text}, 1))"
-    return f"(translate({edges}, {_WS}, '') <> {edges})"
+    points = ", ".join(str(ord(ch)) for ch in WHITESPACE)
+    return f"(ascii({text}) IN ({points}) OR ascii(right({text}, 1)) IN ({points}))"
 
 
 def is_mojibake(text: str) -> str:
@@ -211,18 +211,22 @@ def to_timestamp(c: str, dtype: T.DataType, formats: Sequence[tuple[str, str]] |
     return f"CASE {branches} END"
 
 
-def zone_of(c: str, dtype: T.DataType) -> str:
-    """``UTC``, ``UTC+05:30`` ... for a value with an offset, ``naive`` for one without."""
-    if isinstance(dtype, T.TimestampType):
-        return f"CASE WHEN {c} IS NOT NULL THEN 'UTC' END"
-    if not isinstance(dtype, T.StringType):
-        return f"CASE WHEN {c} IS NOT NULL THEN 'naive' END"
-    raw = f"regexp_extract({strip(c)}, {quote(_OFFSET)}, 1)"
-    hours, minutes = f"left({raw}, 3)", f"rpad(replace(substring({raw}, 4), ':', ''), 2, '0')"
+def offset_minutes(c: str) -> str:
+    """Minutes from UTC that a text names after its time, NULL where it names none."""
+    raw = f"regexp_extract({c}, {quote(_OFFSET)}, 1)"
+    hours, minutes = f"CAST(substring({raw}, 2, 2) AS INT)", f"rpad(replace(substring({raw}, 4), ':', ''), 2, '0')"
+    return (
+        f"CASE WHEN {raw} = '' THEN NULL WHEN {raw} IN ('Z', 'UTC') THEN 0"
+        f" ELSE IF(left({raw}, 1) = '-', -1, 1) * ({hours} * 60 + CAST({minutes} AS INT)) END"
+    )
+
+
+def zone_name(minutes: str) -> str:
+    """``UTC`` or ``UTC+05:30`` for minutes from UTC."""
+    sign = f"IF({minutes} < 0, '-', '+')"
     return (
-        f"CASE WHEN {c} IS NULL THEN NULL WHEN {raw} = '' THEN 'naive'"
-        f" WHEN {raw} IN ('Z', 'UTC') OR replace({raw}, ':', '') IN ('+00', '-00', '+0000', '-0000') THEN 'UTC'"
-        f" ELSE concat('UTC', {hours}, ':', {minutes}) END"
+        f"CASE WHEN {minutes} = 0 THEN 'UTC' ELSE"
+        f" format_string('UTC%s%02d:%02d', {sign}, abs({minutes}) DIV 60, abs({minutes}) % 60) END"
     )
 
 

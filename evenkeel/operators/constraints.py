@@ -26,7 +26,7 @@ def constraint_violation(side: Side, column: str, rule: str) -> str:
     if rule == "date":
         return f"{V.to_timestamp(value, side.dtype(column))} IS NULL"
     number = side.shared_number(column)
-    not_a_number = f"({value} IS NOT NULL AND {number} IS NULL)"
+    not_a_number = "false" if V.is_number_type(side.dtype(column)) else f"({value} IS NOT NULL AND {number} IS NULL)"
     if rule == "positive":
         return f"({not_a_number} OR coalesce({number} <= 0, false))"
     bounds = _BETWEEN.match(rule)

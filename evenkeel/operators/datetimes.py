@@ -30,53 +30,70 @@ ROWS_PER_SPLIT = 50_000
 # --- parse failures and awareness: scalar metrics -------------------------------------------
 
 
-def _stamp_metrics(side: Side, column: str) -> dict:
-    c, dtype = side.col(column), side.dtype(column)
-    parsed = V.to_timestamp(c, dtype)
-    if isinstance(dtype, T.StringType):
-        parsed = derived(parsed)  # used by every metric below
-    zone_text = V.zone_of(c, dtype)
-    zone = f"CASE WHEN {parsed} IS NOT NULL THEN {derived(zone_text) if isinstance(dtype, T.StringType) else zone_text} END"
-    bad = f"({c} IS NOT NULL AND {parsed} IS NULL)"
-    bad_text = f"CASE WHEN {bad} THEN {side.text(column)} END"
-    return {
-        "bad": side.count_where("unparsed", column, bad),
-        "valid": side.count_where("parsed", column, f"{parsed} IS NOT NULL"),
-        "naive": side.count_where("naive", column, f"{zone} = 'naive'"),
-        "low": side.lowest("zone_low", column, zone),
-        "high": side.highest("zone_high", column, zone),
-        "bad_low": side.lowest("unparsed_low", column, bad_text),
-        "bad_high": side.highest("unparsed_high", column, bad_text),
-    }
+class _Stamps:
+    """What is known of the timestamps of one side. Typed columns always parse and have one zone; only
+    text is parsed, and zones are compared as minutes, so the aggregate keeps numbers."""
+
+    def __init__(self, side: Side, column: str):
+        c, dtype = side.col(column), side.dtype(column)
+        self.is_text, self.aware = isinstance(dtype, T.StringType), isinstance(dtype, T.TimestampType)
+        if self.is_text:
+            parsed = derived(V.to_timestamp(c, dtype))
+            minutes = f"CASE WHEN {parsed} IS NOT NULL THEN {derived(V.offset_minutes(c))} END"
+            bad = f"CASE WHEN {c} IS NOT NULL AND {parsed} IS NULL THEN {c} END"
+            self.bad = side.count_where("unparsed", column, f"{c} IS NOT NULL AND {parsed} IS NULL")
+            self.valid = side.count_where("parsed", column, f"{parsed} IS NOT NULL")
+            self.zoned = side.count_where("zoned", column, f"{minutes} IS NOT NULL")
+            self.low, self.high = side.lowest("zone_low", column, minutes), side.highest("zone_high", column, minutes)
+            self.first, self.last = side.lowest("unparsed_first", column, bad), side.highest("unparsed_last", column, bad)
+            self.metrics = [self.bad, self.valid, self.zoned, self.low, self.high, self.first, self.last]
+        elif V.type_family(dtype) == "time":
+            self.bad, self.valid = None, side.nonnull(column)
+            self.metrics = [self.valid]
+        else:  # a number is no timestamp
+            self.bad, self.valid = side.nonnull(column), None
+            self.metrics = [self.bad]
+
+    def facts(self, get) -> dict[str, str]:
+        if self.is_text:
+            valid, zoned, low, high = (get(m) for m in (self.valid, self.zoned, self.low, self.high))
+            zone = (
+                f"CASE WHEN {zoned} = 0 THEN 'naive' WHEN {zoned} < {valid} OR {low} <> {high} THEN 'mixed'"
+                f" ELSE {V.zone_name(low)} END"
+            )
+            return {
+                "bad": get(self.bad), "valid": valid, "naive": f"({valid} - {zoned})", "zone": get.let(zone),
+                "samples": f"{get(self.first)}, {get(self.last)}",
+            }
+        bad, valid = (get(m) if m else "0L" for m in (self.bad, self.valid))
+        return {
+            "bad": bad, "valid": valid, "naive": "0L" if self.aware else valid,
+            "zone": quote("UTC" if self.aware else "naive"), "samples": "CAST(NULL AS STRING)",
+        }
 
 
 def plan_datetime(source: Side, target: Side, column: str, expected_tz: str | None = None) -> ScalarCheck:
     for side, where in ((source, "the source"), (target, "the target")):
         if column not in side:
             return missing("datetime", "datetime", column, FAIL, where)
-    ms, mt = _stamp_metrics(source, column), _stamp_metrics(target, column)
+    ms, mt = _Stamps(source, column), _Stamps(target, column)
 
     def decide(s, t):
-        bad_s, bad_t = s(ms["bad"]), t(mt["bad"])
-        parses = s.let(f"{s(ms['valid'])} > 0 AND {t(mt['valid'])} > 0")
-
-        def zone(get, m):
-            return get.let(f"CASE WHEN {get(m['low'])} = {get(m['high'])} THEN {get(m['low'])} ELSE 'mixed' END")
-
-        zone_s, zone_t = zone(s, ms), zone(t, mt)
+        src, tgt = ms.facts(s), mt.facts(t)
+        bad_s, bad_t, zone_s, zone_t = src["bad"], tgt["bad"], src["zone"], tgt["zone"]
+        parses = s.let(f"{src['valid']} > 0 AND {tgt['valid']} > 0")
         broken = f"{zone_s} = 'mixed' OR {zone_t} = 'mixed' OR ({zone_s} = 'naive') <> ({zone_t} = 'naive')"
         if expected_tz:
             agrees = f"{zone_s} = {quote(expected_tz)} AND {zone_t} = {quote(expected_tz)}"
             status = case((broken, FAIL), (agrees, PASS), otherwise=WARN)
         else:
             status = case((broken, FAIL), otherwise=PASS)
-        samples = ", ".join((s(ms["bad_low"]), s(ms["bad_high"]), t(mt["bad_low"]), t(mt["bad_high"])))
         return [
             Finding(
                 "datetime", "datetime_parse", column, quote(FAIL),
                 text("values that are no timestamp: source %d, target %d", bad_s, bad_t),
                 {"src_parse_failures": bad_s, "tgt_parse_failures": bad_t},
-                samples=f"array_distinct(array_compact(array({samples})))",
+                samples=f"array_distinct(array_compact(array({src['samples']}, {tgt['samples']})))",
                 when=f"{bad_s} > 0 OR {bad_t} > 0",
             ),
             Finding(
@@ -86,13 +103,13 @@ def plan_datetime(source: Side, target: Side, column: str, expected_tz: str | No
             Finding(
                 "datetime", "tz_awareness", column, status,
                 text("time zone: source %s, target %s", zone_s, zone_t),
-                {"src_naive": s(ms["naive"]), "tgt_naive": t(mt["naive"])},
+                {"src_naive": src["naive"], "tgt_naive": tgt["naive"]},
                 {"src_tz": zone_s, "tgt_tz": zone_t, "expected_tz": quote(expected_tz or "")},
                 when=parses,
             ),
         ]
 
-    return ScalarCheck(list(ms.values()), list(mt.values()), decide)
+    return ScalarCheck(ms.metrics, mt.metrics, decide)
 
 
 # --- systematic offset: rows of both sides with the same key ---------------------------------

@@ -18,9 +18,10 @@ from pyspark.sql import types as T
 from evenkeel.functions import values as V
 from evenkeel.results import Finding, Scope
 
-# Aggregate buffers per scan. Beyond about 100 fields Spark leaves whole-stage codegen, so a wide
-# audit is split by column; with a columnar source each part reads only its own columns.
-METRICS_PER_SCAN = 80
+# Metrics per scan. Beyond about 100 fields Spark leaves whole-stage codegen, and far below that the
+# generated method gets too large for the JIT compiler, so a wide
+# audit is split; with a columnar source each part reads only its own columns.
+METRICS_PER_SCAN = 48
 
 
 @dataclass(frozen=True)
@@ -126,15 +127,22 @@ class Side:
     def digits(self, name: str) -> dict[str, Metric]:
         """Most digits after the point and most digits at all, of the plain decimal form."""
         dtype = self.dtype(name)
-        if isinstance(dtype, T.StringType):
-            text = derived(V.plain_number(self.shared_number(name), T.DoubleType()))
+        if isinstance(dtype, (T.DoubleType, T.FloatType, T.StringType)):
+            x = self.shared_number(name)
+            text = V.plain_number(x, T.DoubleType())
+            scale = derived(f"CASE WHEN abs({x}) < 1e9D THEN {_short_scale(x)} END")
+            present = x
+            whole_digits = f"length(CAST(CAST(abs({x}) AS BIGINT) AS STRING))"
+            scale_of = f"CASE WHEN {scale} IS NOT NULL THEN {scale} ELSE {_text_scale(text)} END"
+            digits = f"CASE WHEN {scale} IS NOT NULL THEN {scale} + {whole_digits} ELSE {_text_digits(text)} END"
         else:
-            text = derived(V.plain_number(self.col(name), dtype))
-        scale = f"CASE WHEN contains({text}, '.') THEN length(substring_index({text}, '.', -1)) WHEN {text} IS NOT NULL THEN 0 END"
+            present = self.col(name)
+            text = V.plain_number(present, dtype)
+            scale_of, digits = _text_scale(text), _text_digits(text)
         return {
-            "n": Metric(_name("digits_n", name), f"count({text})", "sum"),
-            "scale": Metric(_name("scale", name), f"max({scale})", "max"),
-            "precision": Metric(_name("precision", name), f"max(length(translate({text}, '.-', '')))", "max"),
+            "n": Metric(_name("digits_n", name), f"count({present})", "sum"),
+            "scale": Metric(_name("scale", name), f"max({scale_of})", "max"),
+            "precision": Metric(_name("precision", name), f"max({digits})", "max"),
         }
 
     def lowest(self, kind: str, name: str, value: str, *params) -> Metric:
@@ -144,6 +152,27 @@ class Side:
         return Metric(_name(kind, name, *params), f"max({value})", "max")
 
 
+def _short_scale(x: str) -> str:
+    """Digits after the point if at most six, found without printing the number.
+
+    ``n / 10^s`` is the double nearest to that decimal, so it equals ``x`` exactly if ``x`` prints with
+    at most ``s`` digits; below 1e9 all integers here are exact.
+    """
+    tests = " ".join(f"WHEN rint({x} * 1e{s}D) / 1e{s}D = {x} THEN {s}" for s in range(1, 7))
+    return f"CASE WHEN rint({x}) = {x} THEN 0 {tests} END"
+
+
+def _text_scale(text: str) -> str:
+    return (
+        f"CASE WHEN contains({text}, '.') THEN length(substring_index({text}, '.', -1))"
+        f" WHEN {text} IS NOT NULL THEN 0 END"
+    )
+
+
+def _text_digits(text: str) -> str:
+    return f"length(translate({text}, '.-', ''))"
+
+
 class Facts:
     """Access to the metrics of one side inside a rule."""
 

@@ -18,7 +18,8 @@ def attach(rows: DataFrame, lookup: DataFrame, key: str, weight: str) -> DataFra
     ``weight`` is the number of rows a key has. A short lookup is broadcast. Of a long one, the keys
     with the most rows (at most ``BROADCAST_ROWS`` of them) are broadcast and the rest is joined by
     shuffle, where then no key can hold more than one part in ``BROADCAST_ROWS`` of the rows. Rows
-    served by the broadcast take part in the shuffle join under a part number that matches nothing.
+    served by the broadcast, and rows without a key, take part in the shuffle join under a part number
+    that matches nothing.
     """
     values = [c for c in lookup.columns if c != key]
     if lookup.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
@@ -27,7 +28,7 @@ def attach(rows: DataFrame, lookup: DataFrame, key: str, weight: str) -> DataFra
     hot = lookup.where(F.col(weight) > cut).select(key, *[F.col(v).alias(f"_hot_{v}") for v in values])
     cold = lookup.where(F.col(weight) <= cut).withColumn("_part", F.lit(0))
     spread = F.when(
-        F.col(f"_hot_{weight}").isNotNull(), F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)).cast("int") + 1
+        F.col(f"_hot_{weight}").isNotNull() | F.col(key).isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)).cast("int") + 1
     ).otherwise(0)
     joined = rows.join(F.broadcast(hot), key, "left").withColumn("_part", spread).join(cold, [key, "_part"], "left")
     filled = {v: F.coalesce(F.col(f"_hot_{v}"), F.col(v)) for v in values}

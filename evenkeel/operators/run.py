@@ -13,7 +13,7 @@ from evenkeel.operators import facts as A
 def scalar_rows(
     source: DataFrame, target: DataFrame, checks: Sequence[A.ScalarCheck], table: str, run_id: str = ""
 ) -> DataFrame:
-    """Shape 1 over two frames: one aggregate per side (per 80 metrics), no shuffle of data rows."""
+    """Shape 1 over two frames: one aggregate per side (per 48 metrics), no shuffle of data rows."""
     spark = source.sparkSession
     parts = []
     for batch in A.batches(checks):
@@ -30,6 +30,6 @@ def scalar_rows(
         elif t_metrics:
             facts = A.measure(target, t_metrics).selectExpr("struct(*) AS t")
         else:
-            facts = spark.range(1)
+            facts = R.one_row(spark)
         parts.append(R.rows(facts, found, table, run_id, scope))
     return R.union(spark, parts)

@@ -218,7 +218,7 @@ def pair_results(spark: SparkSession, inputs, plan: PairPlan, table: str, run_id
         elif structs:
             facts = structs[0].selectExpr(f"struct(*) AS {'s' if s_metrics else 't'}")
         else:
-            facts = spark.range(1)
+            facts = R.one_row(spark)
         parts.append(R.rows(facts, found, table, run_id, scope))
     if plan.values:
         pairs = frequency.paired(
