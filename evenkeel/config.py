@@ -164,6 +164,7 @@ class TableConfig:
     volume_tolerance: float | None = None
     aggregate_tolerance: float | None = None
     identity_overlap_threshold: float = 95.0
+    custom_checks: tuple[Mapping[str, Any], ...] = ()  # {"check": name in the registry, **options}
     order_by: tuple[str, ...] = ()  # which of several rows with one key counts as the first
 
     def __post_init__(self):
@@ -174,7 +175,7 @@ class TableConfig:
             ("numeric_precision_columns", PrecisionColumn), ("boolean_columns", BooleanColumn),
         ):
             put(self, name, _each(cls, getattr(self, name)))
-        for name in ("aggregates", "unique_columns", "order_by"):
+        for name in ("aggregates", "unique_columns", "order_by", "custom_checks"):
             put(self, name, tuple(getattr(self, name) or ()))
         put(self, "column_mapping", dict(self.column_mapping or {}))
         put(self, "data_constraints", dict(self.data_constraints or {}))

@@ -104,6 +104,8 @@ _COUNTS = {
     "tgt_only_values": "count_if(_tgt_bad)",
     "tgt_only_rows": "sum(CASE WHEN _tgt_bad THEN tgt_n ELSE 0L END)",
     "expected_seen": "count_if(_hit)",
+    # at most as many as the mapping has; also lets Spark aggregate by hash, without a sort by label
+    "seen": "collect_set(CASE WHEN _hit THEN value END)",
     "src_max_length": "max(CASE WHEN family = 'length' AND src_n > 0 THEN CAST(value AS INT) END)",
     "tgt_max_length": "max(CASE WHEN family = 'length' AND tgt_n > 0 THEN CAST(value AS INT) END)",
 }
@@ -156,23 +158,27 @@ def label_facts(pairs: DataFrame, checks: Sequence[ValueCheck]) -> DataFrame:
     """One row with a struct ``v<i>`` of statistics and an array ``x<i>`` of samples per label."""
     counted = list(dict.fromkeys(c.counted for c in checks))
     labels = [c.label for c in counted]
-    values = _flagged(pairs, counted)
+    flagged = values = _flagged(pairs, counted)
     wanted = dict(_COUNTS)
     if any(c.relative for c in checks):
-        values = _with_totals(values, counted)
+        values = _with_totals(flagged, counted)
         wanted |= _RELATIVE
     stats = values.groupBy("label").agg(*[F.expr(sql).alias(name) for name, sql in wanted.items()])
     rows = stats.selectExpr("label", f"struct({', '.join(wanted)}) AS v", "CAST(NULL AS STRING) AS x")
     if any(c.samples for c in checks):
-        # the rank filter runs before the shuffle too, so each task sends at most SAMPLE_VALUES per group
+        # The rank filter runs before the shuffle too, so each task sends at most SAMPLE_VALUES per group.
+        # The side is a product so that no part of the test moves below the counts: then all readers of
+        # the counts are equal plans and Spark computes them once.
+        side = "IF(family = 'length', 0, 1) * CASE WHEN _src_bad THEN 1 WHEN _tgt_bad THEN 2 ELSE 0 END"
         differing = (
-            values.where("(_src_bad OR _tgt_bad) AND family <> 'length'")
+            flagged.selectExpr("label", "family", "value", f"{side} AS _side")
+            .where("_side > 0")
             .selectExpr(
-                "label", "_src_bad", "value",
-                "row_number() OVER (PARTITION BY label, _src_bad ORDER BY value, family) AS _rank",
+                "label", "_side", "value",
+                "row_number() OVER (PARTITION BY label, _side ORDER BY value, family) AS _rank",
             )
             .where(f"_rank <= {SAMPLE_VALUES}")
-            .selectExpr("label", "concat(CASE WHEN _src_bad THEN 'source: ' ELSE 'target: ' END, value) AS x")
+            .selectExpr("label", "concat(IF(_side = 1, 'source: ', 'target: '), value) AS x")
         )
         rows = rows.unionByName(differing, allowMissingColumns=True)
     return rows.selectExpr(
@@ -197,6 +203,8 @@ class ValueFacts(Facts):
         if name == "samples":
             return f"x{self.struct}"
         field = f"v{self.struct}.{name}"
+        if name == "seen":
+            return f"coalesce({field}, array())"
         return field if name in self._KEEP_NULL else self.let(f"coalesce({field}, 0)")
 
 
@@ -210,6 +218,8 @@ def plan_enum(column: str, mapping: Mapping[Any, Any] | None = None) -> ValueChe
     def decide(get):
         lost, extra = get("src_only_values"), get("tgt_only_values")
         absent = get.let(f"{expected} - {get('expected_seen')}") if pairs else "0"
+        wanted = ", ".join(quote(text_) for text_ in sorted({_key(v).split(":", 1)[1] for _, v in pairs or ()}))
+        unseen = f"concat_ws(',', array_except(array({wanted}), {get('seen')}))" if pairs else "''"
         status = case((f"{lost} > 0 OR {extra} > 0 OR {absent} > 0", FAIL), otherwise=PASS)
         if pairs:
             message = text(
@@ -231,7 +241,10 @@ def plan_enum(column: str, mapping: Mapping[Any, Any] | None = None) -> ValueChe
                     "tgt_only_values": extra, "tgt_only_rows": get("tgt_only_rows"),
                     "expected_missing": absent,
                 },
-                {"mapping": quote(",".join(f"{k}->{v}" for k, v in pairs or ()))},
+                {
+                    "mapping": quote(",".join(f"{k}->{v}" for k, v in pairs or ())),
+                    "expected_missing_values": unseen,
+                },
                 samples=get("samples"),
             )
         ]

@@ -22,6 +22,7 @@ from evenkeel import results as R
 from evenkeel.config import TableConfig
 from evenkeel.operators import aggregates, constraints, datetimes, frequency, keys, strings, volume
 from evenkeel.operators import facts as A
+from evenkeel.plans import registry
 from evenkeel.results import ERROR, FAIL, Finding, fixed_finding
 from evenkeel.session import require_utc
 
@@ -176,6 +177,12 @@ def plan_pair(
         else:
             message = f"column '{column}' is missing from source or target"
             plan.fixed.append(fixed_finding("data_constraints", "uniqueness", column, FAIL, message))
+    for spec in table.custom_checks:
+        try:
+            plan.scalar += registry.plan_custom(source, target, spec)
+        except Exception as e:  # a check that cannot be planned must not stop the others
+            name = str(spec.get("check"))
+            plan.fixed.append(fixed_finding("custom", name, None, ERROR, f"{type(e).__name__}: {e}"[:500]))
     return plan
 
 

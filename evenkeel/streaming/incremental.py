@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +25,7 @@ from evenkeel.operators import facts as A
 from evenkeel.plans.pair_audit import Settings, TableInputs, pair_results, plan_pair
 
 SIDES = ("source", "target")
+WRITERS = 4
 
 
 class IncrementalAudit:
@@ -79,9 +81,14 @@ class IncrementalAudit:
         """Store the contribution of one batch; the same id replaces an earlier attempt."""
         if side not in SIDES:
             raise ValueError(f"side must be one of {SIDES}")
-        for part, rows in self._parts(side, df).items():
+        def write(item: tuple[str, DataFrame]) -> None:
+            part, rows = item
             rows.write.mode("overwrite").parquet(os.path.join(self._path(side, part), f"batch_id={batch_id}"))
 
+        # the parts are independent jobs over few columns each; submitted together they fill the cluster
+        with ThreadPoolExecutor(max_workers=WRITERS) as pool:
+            list(pool.map(write, self._parts(side, df).items()))
+
     def process(self, side: str, stream: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         """Start a query that stores every micro-batch; by default it stops at the end of the input."""
         return (
