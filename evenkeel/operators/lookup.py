@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evenkeel.staging import stage
+
 # A lookup is broadcast only while it has at most this many rows (counted first).
 BROADCAST_ROWS = 100_000
 
+# Left rows of one key that go to one part of a skewed join.
+ROWS_PER_PART = 1_000_000
+
 # Parts over which rows that need no shuffle partner are spread.
 SPREAD = 4096
 
@@ -26,10 +31,37 @@ def attach(rows: DataFrame, lookup: DataFrame, key: str, weight: str) -> DataFra
         return rows.join(F.broadcast(lookup), key, "left")
     cut = lookup.orderBy(F.desc(weight)).limit(BROADCAST_ROWS).agg(F.min(weight)).first()[0]
     hot = lookup.where(F.col(weight) > cut).select(key, *[F.col(v).alias(f"_hot_{v}") for v in values])
-    cold = lookup.where(F.col(weight) <= cut).withColumn("_part", F.lit(0))
+    # zero for every row, but no literal: Spark would turn a join on a literal into a filter, drop it from
+    # the join keys and so undo the spreading
+    zero = F.when(F.col(weight) < 0, 1).otherwise(0)
+    cold = lookup.where(F.col(weight) <= cut).withColumn("_part", zero)
     spread = F.when(
         F.col(f"_hot_{weight}").isNotNull() | F.col(key).isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)).cast("int") + 1
     ).otherwise(0)
     joined = rows.join(F.broadcast(hot), key, "left").withColumn("_part", spread).join(cold, [key, "_part"], "left")
     filled = {v: F.coalesce(F.col(f"_hot_{v}"), F.col(v)) for v in values}
     return joined.withColumns(filled).drop("_part", *[f"_hot_{v}" for v in values])
+
+
+def skewed_left_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Left join where a key may hold a large part of the left rows.
+
+    The left rows of such keys are dealt out to parts, and the right rows of those keys are copied to every
+    part. Keys are counted before the shuffle; the list of hot keys is limited in length, and keys
+    below the limit are left to adaptive execution.
+    """
+    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > ROWS_PER_PART)
+    hot = stage(
+        counts.orderBy(F.desc("_rows")).limit(BROADCAST_ROWS).select(
+            key, F.ceil(F.col("_rows") / ROWS_PER_PART).cast("int").alias("_parts")
+        ),
+        "hot-keys",
+    )
+    if hot.isEmpty():
+        return left.join(right, key, "left")
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = left.join(F.broadcast(hot), key, "left").withColumn(
+        "_part", F.pmod(F.monotonically_increasing_id(), parts).cast("int")
+    )
+    copied = right.join(F.broadcast(hot), key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return dealt.drop("_parts").join(copied.drop("_parts"), [key, "_part"], "left").drop("_part")

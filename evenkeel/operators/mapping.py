@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evenkeel.functions.values import ident
-from evenkeel.operators.lookup import attach
+from evenkeel.operators.lookup import attach, skewed_left_join
 from evenkeel.staging import stage
 
 
@@ -72,15 +72,15 @@ def pick_by_key(tables: Sequence[DataFrame], key: str, last: bool = False) -> Da
 def join_parts(tables: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
     """Full join of vertical parts on their key; a column the left side already has is dropped.
 
-    Written as a left join plus the right rows without a partner: unlike a full join, Spark can split
-    both where a key is skewed. Rows without a key have no partner and stay out of the joins.
+    Written as a left join plus the right rows without a partner: unlike in a full join, rows of a skewed
+    key can then be dealt out to many tasks. Rows without a key have no partner and stay out of the joins.
     """
     out = tables[0]
     for table, key in zip(tables[1:], keys[1:]):
         fresh = [c for c in table.columns if c not in out.columns]
         part, no_key = table.select(key, *map(ident, fresh)), f"{ident(key)} IS NULL"
         keyed, keyed_part = out.where(f"NOT {no_key}"), part.where(f"NOT {no_key}")
-        joined = keyed.join(keyed_part, key, "left").select([ident(c) for c in [*out.columns, *fresh]])
+        joined = skewed_left_join(keyed, keyed_part, key).select([ident(c) for c in [*out.columns, *fresh]])
         unmatched = keyed_part.join(keyed.select(key).distinct(), key, "left_anti")
         rest = [out.where(no_key), unmatched, part.where(no_key)]
         out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rest, joined)

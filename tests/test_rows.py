@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from evenkeel.config import TableConfig
 from evenkeel.functions import masking
@@ -77,6 +78,23 @@ def test_attach_keeps_every_row(spark, monkeypatch):
     assert Counter(map(tuple, got.collect())) == Counter(want)
 
 
+def test_rows_of_a_hot_key_are_spread(spark, monkeypatch):
+    """Of rows with one key, no task of the join may get all."""
+    monkeypatch.setattr(lookup, "BROADCAST_ROWS", 2)
+    monkeypatch.setattr(lookup, "ROWS_PER_PART", 500)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.range(9000).selectExpr("IF(id % 3 = 0, -1L, id) AS k", "id AS v")
+        table = spark.range(-1, 9000).selectExpr("id AS k", "IF(id = -1, 3000L, 1L) AS w")
+        for joined in (lookup.attach(rows, table, "k", "w"), lookup.skewed_left_join(rows, table, "k")):
+            sizes = [r["n"] for r in joined.groupBy(F.spark_partition_id()).agg(F.count("w").alias("n")).collect()]
+            assert sum(sizes) == 9000 and max(sizes) < 3600, sizes
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_summaries(frame):
     _, bad = quarantine.quarantine(frame(SCHEMA, ROWS).coalesce(1), RULES, "t", is_source=False, path="f.csv")
     assert {"_row_index", "table_name", "side", "path"} <= set(bad.columns)
@@ -119,7 +137,9 @@ def test_count_first_last(parts):
         mapping.merge_sources(parts, "N:1", "sum", None)
 
 
-def test_join_parts(frame):
+@pytest.mark.parametrize("limit", [1_000_000, 2, 1])
+def test_join_parts(frame, monkeypatch, limit):
+    monkeypatch.setattr(lookup, "ROWS_PER_PART", limit)
     a = frame("id long, x long", [(1, 10), (2, 20), (2, 21), (None, 0)])
     b = frame("id long, x long, y long", [(2, 0, 200), (2, 0, 201), (3, 0, 300), (None, 0, 1)])
     got = mapping.merge_targets([a, b], "1:N", "join", ["id", "id"])
