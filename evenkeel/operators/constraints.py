@@ -13,7 +13,7 @@ from evenkeel.functions.values import quote
 from evenkeel.operators.aggregates import missing
 from evenkeel.operators.facts import ScalarCheck, Side
 from evenkeel.operators.run import scalar_rows
-from evenkeel.results import ERROR, FAIL, PASS, WARN, Finding, case, text
+from evenkeel.results import ERROR, FAIL, PASS, WARN, Finding, case, literal, text
 
 _BETWEEN = re.compile(r"^between_(-?\d+(?:\.\d+)?)_(-?\d+(?:\.\d+)?)$")
 
@@ -74,7 +74,7 @@ def plan_allowed_values(target: Side, columns: Sequence[str], allowed: Sequence[
         total = t.let(" + ".join([t(m) for m in invalid.values()] or ["0L"]))
         status = case((f"{n} = 0", WARN), (f"{quote(bool(absent))} OR {total} > 0", FAIL), otherwise=PASS)
         notes = [quote(f"column '{c}' is missing") for c in absent]
-        notes += [text(f"column '{c}': %d rows with a value not allowed", t(m)) for c, m in invalid.items()]
+        notes += [text(f"column '{literal(c)}': %d rows with a value not allowed", t(m)) for c, m in invalid.items()]
         message = f"CASE WHEN {n} = 0 THEN 'the target is empty' ELSE concat_ws('; ', {', '.join(notes)}) END"
         metrics = {"invalid_rows": total, **{f"invalid_rows_{c}": t(m) for c, m in invalid.items()}}
         details = {"missing_columns": quote(",".join(absent))}

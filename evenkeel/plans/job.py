@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,10 +21,35 @@ from evenkeel.sources.write import write_quarantine
 
 @dataclass
 class Audit:
-    """Results of a run. ``results`` holds one row per check, so its size follows the configuration."""
+    """Results of a run, one lazy frame per audited pair."""
 
-    results: DataFrame
+    spark: SparkSession
+    parts: list[tuple[str, DataFrame]] = field(default_factory=list)
     quarantined: dict[str, list[DataFrame]] = field(default_factory=dict)
+    run_id: str = ""
+
+    @property
+    def results(self) -> DataFrame:
+        """All result rows as one lazy frame."""
+        return R.union(self.spark, [df for _, df in self.parts])
+
+    def materialize(self, parallel: int = 4) -> DataFrame:
+        """Run the pairs, a few at a time, and keep the result rows (one per check).
+
+        A pair whose jobs fail gives one ERROR row instead of its results and does not stop the others.
+        """
+
+        def rows(part: tuple[str, DataFrame]) -> list:
+            label, df = part
+            try:
+                return df.collect()
+            except Exception as e:
+                found = fixed_finding("audit", "audit", None, ERROR, f"{type(e).__name__}: {e}"[:500])
+                return R.fixed(self.spark, [found], label, self.run_id).collect()
+
+        with ThreadPoolExecutor(max_workers=parallel) as pool:
+            found = [row for part in pool.map(rows, self.parts) for row in part]
+        return self.spark.createDataFrame(found, R.RESULT_SCHEMA)
 
     def verdict(self) -> str:
         return rollup.final_verdict(self.results)
@@ -100,45 +126,50 @@ def run_audit(
     frames: Mapping[str, DataFrame] | None = None,
     run_id: str = "",
     quarantine_path: str | None = None,
+    parallel: int = 4,
 ) -> Audit:
     """Audit the chosen tables of a configuration.
 
     A table that cannot be loaded or whose checks cannot be planned gives one ERROR row; the others go
     on. ``dry_run`` only loads. ``frames`` supplies tables under the names that the configuration uses
-    as paths. With ``quarantine_path`` invalid rows are written there.
+    as paths. With ``quarantine_path`` invalid rows are written there. ``parallel`` tables are prepared at
+    a time (type inference, staged keys).
     """
     loader = Loader(spark, config, frames)
-    parts: list[DataFrame] = []
-    quarantined: dict[str, list[DataFrame]] = {}
-    for name in tables or config.tables:
-        if name not in config.tables:
-            continue
+    audit = Audit(spark, run_id=run_id)
+
+    def error(check: str, label: str, e: Exception) -> tuple[str, DataFrame]:
+        message = hide_password(f"{type(e).__name__}: {e}"[:500])
+        return label, R.fixed(spark, [fixed_finding(check, check, None, ERROR, message)], label, run_id)
+
+    def one(name: str) -> tuple[list[tuple[str, DataFrame]], list[DataFrame]]:
         table = config.tables[name]
         bad: list[DataFrame] = []
         try:
             pairs = load_pairs(loader, name, table, ignore_invalid_rows, bad)
-        except (FileNotFoundError, DataLoadError) as e:
-            found = fixed_finding("load", "load", None, ERROR, hide_password(f"loading failed: {e}"))
-            parts.append(R.fixed(spark, [found], name, run_id))
-            continue
-        except Exception as e:  # one bad table must not end the run
-            found = fixed_finding("load", "load", None, ERROR, hide_password(f"{type(e).__name__}: {e}"[:500]))
-            parts.append(R.fixed(spark, [found], name, run_id))
-            continue
-        if bad:
-            quarantined[name] = bad
             if quarantine_path:
                 for rows in bad:
                     write_quarantine(rows, f"{quarantine_path}/{name}")
+        except Exception as e:  # one bad table must not end the run
+            return [error("load", name, e)], bad
         if dry_run:
-            continue
+            return [], bad
         settings = Settings(
             config.volume_tolerance(table), config.aggregate_tolerance(table), config.strict_schema, run_id
         )
+        parts = []
         for pair in pairs:
             try:
-                parts.append(audit_pair(pair.source, pair.target, table, pair.label, settings, loader.parents(table)))
-            except Exception as e:  # isolate a table whose checks cannot be planned
-                found = fixed_finding("audit", "audit", None, ERROR, f"{type(e).__name__}: {e}"[:500])
-                parts.append(R.fixed(spark, [found], pair.label, run_id))
-    return Audit(R.union(spark, parts), quarantined)
+                found = audit_pair(pair.source, pair.target, table, pair.label, settings, loader.parents(table))
+                parts.append((pair.label, found))
+            except Exception as e:
+                parts.append(error("audit", pair.label, e))
+        return parts, bad
+
+    names = [n for n in tables or config.tables if n in config.tables]
+    with ThreadPoolExecutor(max_workers=parallel) as pool:
+        for name, (parts, bad) in zip(names, pool.map(one, names)):
+            audit.parts += parts
+            if bad:
+                audit.quarantined[name] = bad
+    return audit

@@ -607,4 +607,22 @@ ALL: dict[str, str] = {
     "ci_summary": f"SELECT {_VERDICT} AS verdict, {_STATUS_COUNTS}, '2024-01-01T00:00:00+00:00' AS timestamp, CAST(count(*) AS BIGINT) AS total_checks FROM ({_FULL})",
     "result_fingerprint": "SELECT sha256(string_agg(line, chr(10) ORDER BY line)) AS content_hash, CAST(count(*) AS BIGINT) AS results FROM"
     " (SELECT concat_ws('|', table_name, \"check\", coalesce(\"column\", ''), status) AS line FROM (" + _FULL + "))",
+    "failing_rows": _with(ORDERS) + _union(
+        *[
+            f"SELECT '{check}' AS \"check\", '{column}' AS \"column\", 'target' AS side, CAST(o_orderkey AS VARCHAR) AS key,"
+            f" CAST({column} AS VARCHAR) AS value FROM tgt WHERE {broken} ORDER BY o_orderkey LIMIT 5"
+            for check, column, broken in (
+                ("whitespace", "o_orderpriority", f"regexp_matches(left(o_orderpriority, 1) || right(o_orderpriority, 1), '{_BLANK}')"),
+                ("allowed_values", "o_orderstatus", "o_orderstatus NOT IN ('F', 'O', 'P')"),
+                ("constraint", "o_custkey", "o_custkey IS NULL"),
+            )
+        ]
+    ),
+    "custom_checks": _with(ORDERS) + _union(
+        _volume("orders", "src", "tgt", 0.1, extra=False),
+        _constraint("orders", "tgt", "o_totalprice", "o_totalprice NOT BETWEEN 1000 AND 400000", [], extra=False),
+        _whitespace("orders", "o_orderpriority", "src", "tgt", extra=False),
+    ),
+    "split_shards": "SELECT CAST(o_orderkey % 4 AS INTEGER) AS shard, CAST(count(*) AS BIGINT) AS rows, CAST(sum(o_orderkey) AS BIGINT) AS keys"
+    " FROM orders GROUP BY 1",
 }

@@ -19,6 +19,7 @@ from evenkeel.functions import masking
 from evenkeel.operators import aggregates, constraints, datetimes, faults, frequency, keys, mapping, quarantine
 from evenkeel.operators import rollup, samples, sketch, strings, volume
 from evenkeel.plans import targets as X
+from evenkeel.plans.evidence import failing_values
 from evenkeel.plans.job import run_audit
 from evenkeel.plans.pair_audit import Settings, audit_pair
 from evenkeel.sources.read import read_csv, rename
@@ -613,6 +614,37 @@ def full_audit(spark, sf):
     return R.flat(_full(spark, sf))
 
 
+def failing_rows(spark, sf):
+    """The first rows behind every failed check of the audit."""
+    s, t = _orders(spark, sf)
+    return failing_values(s, t, orders_config(), _full(spark, sf), 5)
+
+
+def custom_checks(spark, sf):
+    """Checks by name from the registry, in one audit with the built-in ones."""
+    s, t = _orders(spark, sf)
+    table = TableConfig(
+        primary_key="absent",
+        custom_checks=(
+            {"check": "constraint", "column": "o_totalprice", "rules": ["between_1000_400000"]},
+            {"check": "whitespace", "column": "o_orderpriority"},
+        ),
+    )
+    return R.flat(audit_pair(s, t, table, "orders"))
+
+
+def sampled_rows(spark, sf):
+    """A tenth of the orders, chosen by the hash of the key."""
+    return samples.sample_rows(X.table(spark, sf, "orders"), "o_orderkey", 0.1).select("o_orderkey", "o_custkey")
+
+
+def split_shards(spark, sf):
+    """Rows and keys of the shards of a horizontal split."""
+    shards = mapping.split_horizontally(X.table(spark, sf, "orders"), "o_orderkey", 4)
+    rows = mapping.concat([df.withColumn("shard", F.lit(i)) for i, df in enumerate(shards)])
+    return rows.groupBy("shard").agg(F.count(F.lit(1)).alias("rows"), F.sum("o_orderkey").alias("keys"))
+
+
 def verdict(spark, sf):
     return rollup.verdict(_full(spark, sf))
 
@@ -663,7 +695,7 @@ ALL: dict[str, Query] = {
             filtered_audit, merge_n_to_1, sum_n_to_1, count_n_to_1, first_n_to_1, last_n_to_1, join_1_to_n,
             union_1_to_n, reshard_n_to_m, column_rename, mask_columns, redact_text, inject_faults,
             offending_values, csv_scan, full_audit, verdict, section_verdicts, table_summary, ci_summary,
-            result_fingerprint, incremental_audit,
+            result_fingerprint, incremental_audit, failing_rows, custom_checks, sampled_rows, split_shards,
         )
     },
     "agg_sum": _aggregate("sum"),

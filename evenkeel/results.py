@@ -66,6 +66,11 @@ def text(template: str, *values: str) -> str:
     return f"format_string({', '.join([quote(template), *values])})"
 
 
+def literal(name: str) -> str:
+    """A name as part of a message template."""
+    return name.replace("%", "%%")
+
+
 @dataclass(frozen=True)
 class Finding:
     """One result row, as SQL expressions over a one-row frame of facts."""

@@ -58,6 +58,33 @@ def test_missing_target_is_an_error_and_does_not_stop_the_run(spark, base):
     assert by_table == {"users": 1, "again": 0} and audit.verdict() == "ERROR"
 
 
+def test_a_failing_job_is_an_error_row(spark, base):
+    broken = base.selectExpr("id", "IF(id = 7, raise_error('boom'), amount) AS amount")
+    tables = {"users": {**USERS, "source": "bad"}, "again": USERS}
+    audit = run(spark, {"bad": broken, "src": base, "tgt": base}, tables)
+    found = audit.materialize()
+    errors = [r for r in found.collect() if r["status"] == "ERROR"]
+    assert [r["table_name"] for r in errors] == ["users"] and "boom" in errors[0]["message"]
+    assert {r["table_name"] for r in found.collect()} == {"users", "again"}
+    assert rollup.final_verdict(found) == "ERROR"
+
+
+def test_unusual_column_names(spark, base):
+    df = base.withColumnsRenamed({"amount": "the amount", "status": "a.b", "name": "x%`y", "created_at": "größe'"})
+    table = {
+        "source": "src", "target": "tgt", "primary_key": "id", "aggregates": ["the amount"], "unique_columns": ["x%`y"],
+        "enum_columns": [{"column": "a.b", "check_distribution": True}], "datetime_columns": [{"column": "größe'"}],
+        "string_columns": [{"column": "x%`y", "check_whitespace": True, "check_encoding": True}],
+        "mappings": [{"columns": ["a.b", "x%`y"], "allowed_values": ["it's", "Active"]}],
+        "data_constraints": {"the amount": ["positive"], "x%`y": ["not_null"]},
+    }
+    found = run(spark, {"src": df, "tgt": df}, table, ignore=1)
+    bad = {(r["check"], r["status"]) for r in found.results.collect() if r["status"] != "PASS"}
+    assert bad == {("allowed_values", "FAIL")}
+    valid = run_audit(spark, AuditConfig.from_dict({"tables": {"t": table}}), frames={"src": df, "tgt": df}, ignore_invalid_rows=True)
+    assert valid.results.count() > 0
+
+
 def test_larger_pair(spark):
     df = faults.base_table(spark, 50_000)
     assert run(spark, {"src": df, "tgt": df.repartition(5)}).verdict() == "GO"
