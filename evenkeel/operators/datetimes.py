@@ -13,7 +13,7 @@ from evenkeel.functions import values as V
 from evenkeel.functions.values import quote
 from evenkeel.operators.aggregates import missing
 from evenkeel.operators.facts import ScalarCheck, Side, derived
-from evenkeel.operators.keys import KeyReader, key_reader
+from evenkeel.operators.keys import PER_KEY, KeyReader, key_reader
 from evenkeel.operators.run import scalar_rows
 from evenkeel.results import FAIL, PASS, WARN, Finding, case, text
 from evenkeel.session import require_utc
@@ -115,16 +115,21 @@ def plan_datetime(source: Side, target: Side, column: str, expected_tz: str | No
 # --- systematic offset: rows of both sides with the same key ---------------------------------
 
 
-def stamp_rows(df: DataFrame, key: str, columns: Sequence[str], read: KeyReader = Side.col) -> DataFrame:
-    """``(column, k, ts, n)`` with ``ts`` in microseconds; rows without key or timestamp have no pair."""
+def stamp_rows(
+    df: DataFrame, key: str, columns: Sequence[str], read: KeyReader = Side.col, keep_all: bool = False
+) -> DataFrame:
+    """``(column, k, ts, n)`` with ``ts`` in microseconds. Rows without key or timestamp have no pair; they are
+    kept for the first column if ``keep_all``, so that keys can be counted in the same pass."""
     side = Side.of(df)
     structs = ", ".join(
         f"struct({quote(c)} AS column, {read(side, key)} AS k,"
         f" unix_micros({V.to_timestamp(side.col(c), side.dtype(c))}) AS ts)"
         for c in columns
     )
-    melted = df.selectExpr(f"inline(array({structs}))")
-    return melted.where("k IS NOT NULL AND ts IS NOT NULL").selectExpr("*", "1L AS n")
+    wanted = "k IS NOT NULL AND ts IS NOT NULL"
+    if keep_all:
+        wanted = f"column = {quote(columns[0])} OR ({wanted})"
+    return df.selectExpr(f"inline(array({structs}))").where(wanted).selectExpr("*", "1L AS n")
 
 
 def compact(rows: DataFrame) -> DataFrame:
@@ -138,47 +143,61 @@ def _minutes(source: str, target: str) -> str:
     return f"CAST(bround(({target} - {source}) / 60e6D) AS BIGINT)"
 
 
-def delta_histogram(source_rows: DataFrame, target_rows: DataFrame) -> DataFrame:
-    """``(column, delta, pairs)``: how many row pairs with one key lie ``delta`` minutes apart.
+def reduce_keys(source_rows: DataFrame, target_rows: DataFrame) -> DataFrame:
+    """``(column, delta, k, splits, pairs, <key counts>)``, staged; small unless timestamps of keys vary.
 
     A key repeated on both sides pairs every row with every row, so a plain join of a hot key grows
     with the square of its rows. Here one aggregate per key keeps counts and the first and last
     timestamp of each side. Where each side shows a single timestamp, which covers unique keys and
-    repeated equal rows, the pairs are ``src_n * tgt_n`` with one delta and no join happens. Only keys
-    with several distinct timestamps are joined, on counts per distinct timestamp and spread over
-    tasks by the number of their rows.
+    repeated equal rows, the pairs are ``sn * tn`` with one delta. Only keys with several distinct
+    timestamps stay as rows of their own.
     """
-    s = source_rows.selectExpr("column", "k", "n AS sn", "0L AS tn", "ts AS s", "CAST(NULL AS BIGINT) AS t")
-    t = target_rows.selectExpr("column", "k", "0L AS sn", "n AS tn", "CAST(NULL AS BIGINT) AS s", "ts AS t")
-    keys = (
-        s.unionByName(t)
-        .groupBy("column", "k")
-        .agg(
-            *[
-                F.expr(sql).alias(name)
-                for name, sql in {
-                    "sn": "sum(sn)", "tn": "sum(tn)",
-                    "s0": "min(s)", "s1": "max(s)", "t0": "min(t)", "t1": "max(t)",
-                }.items()
-            ]
-        )
-        .where("sn > 0 AND tn > 0")
-        .selectExpr("*", "s0 = s1 AND t0 = t1 AS single")
+    s = source_rows.selectExpr(
+        "column", "k", "n AS src_n", "0L AS tgt_n", "IF(ts IS NULL, 0L, n) AS sn", "0L AS tn", "ts AS s",
+        "CAST(NULL AS BIGINT) AS t",
     )
-    reduced = stage(
-        keys.selectExpr(
-            "column",
-            f"CASE WHEN single THEN {_minutes('s0', 't0')} END AS delta",
-            "CASE WHEN NOT single THEN k END AS k",
-            f"CASE WHEN NOT single THEN CAST(ceil(sn / {ROWS_PER_SPLIT}) AS INT) END AS splits",
-            f"{_PAIRS} AS pairs",
-        )
-        .groupBy("column", "delta", "k", "splits")
-        .agg(F.expr("CAST(sum(pairs) AS DECIMAL(38,0))").alias("pairs")),
+    t = target_rows.selectExpr(
+        "column", "k", "0L AS src_n", "n AS tgt_n", "0L AS sn", "IF(ts IS NULL, 0L, n) AS tn",
+        "CAST(NULL AS BIGINT) AS s", "ts AS t",
+    )
+    keys = s.unionByName(t).groupBy("column", "k").agg(
+        *[F.expr(f"sum({c})").alias(c) for c in ("src_n", "tgt_n", "sn", "tn")],
+        *[F.expr(sql).alias(c) for c, sql in {"s0": "min(s)", "s1": "max(s)", "t0": "min(t)", "t1": "max(t)"}.items()],
+    )
+    keys = keys.selectExpr("*", "k IS NOT NULL AND sn > 0 AND tn > 0 AS paired", "s0 = s1 AND t0 = t1 AS single")
+    several = "paired AND NOT single"
+    reduced = keys.selectExpr(
+        "column",
+        f"CASE WHEN paired AND single THEN {_minutes('s0', 't0')} END AS delta",
+        f"CASE WHEN {several} THEN k END AS several_k",
+        f"CASE WHEN {several} THEN CAST(ceil(sn / {ROWS_PER_SPLIT}) AS INT) END AS splits",
+        f"CASE WHEN paired THEN {_PAIRS} END AS pairs",
+        *[f"{sql} AS {name}" for name, sql in PER_KEY.items()],
+    )
+    return stage(
+        reduced.groupBy("column", "delta", "several_k", "splits").agg(
+            F.expr("CAST(sum(pairs) AS DECIMAL(38,0))").alias("pairs"),
+            *[F.expr(f"sum({name})").alias(name) for name in PER_KEY],
+        ),
         "deltas",
     )
-    histogram = reduced.where("k IS NULL").select("column", "delta", "pairs")
-    several = reduced.where("k IS NOT NULL").select("column", "k", "splits")
+
+
+def key_facts(reduced: DataFrame, column: str) -> DataFrame:
+    """The result of :func:`evenkeel.operators.keys.facts`, where rows of ``column`` were all kept."""
+    return reduced.where(f"column = {quote(column)}").selectExpr(
+        *[f"coalesce(sum({name}), 0L) AS {name}" for name in PER_KEY]
+    )
+
+
+def delta_histogram(reduced: DataFrame, source_rows: DataFrame, target_rows: DataFrame) -> DataFrame:
+    """``(column, delta, pairs)``: how many row pairs with one key lie ``delta`` minutes apart.
+
+    Keys with several timestamps are joined on counts per distinct timestamp, each key spread over as
+    many parts as its rows call for.
+    """
+    histogram = reduced.where("delta IS NOT NULL").select("column", "delta", "pairs")
+    several = reduced.where("several_k IS NOT NULL").selectExpr("column", "several_k AS k", "splits")
     n_several = several.limit(BROADCAST_KEYS + 1).count()
     if n_several == 0:
         return histogram
@@ -186,8 +205,9 @@ def delta_histogram(source_rows: DataFrame, target_rows: DataFrame) -> DataFrame
         several = F.broadcast(several)
     on = ["column", "k"]
     stamps = ["column", "k", "splits", "ts"]
-    src = source_rows.join(several, on).groupBy(*stamps).agg(F.sum("n").alias("sn"))
-    tgt = target_rows.join(several, on).groupBy(*stamps).agg(F.sum("n").alias("tn"))
+    stamped = "ts IS NOT NULL"
+    src = source_rows.where(stamped).join(several, on).groupBy(*stamps).agg(F.sum("n").alias("sn"))
+    tgt = target_rows.where(stamped).join(several, on).groupBy(*stamps).agg(F.sum("n").alias("tn"))
     src = src.selectExpr("column", "k", "CAST(pmod(xxhash64(ts), splits) AS INT) AS part", "ts AS s", "sn")
     tgt = tgt.selectExpr("column", "k", "explode(sequence(0, splits - 1)) AS part", "ts AS t", "tn")
     joined = src.join(tgt, ["column", "k", "part"]).selectExpr(
@@ -245,8 +265,12 @@ def offset_findings(columns: Sequence[str]) -> list[Finding]:
 def offset_rows(
     source_rows: DataFrame, target_rows: DataFrame, columns: Sequence[str], table: str, run_id: str = ""
 ) -> DataFrame:
-    row = offset_facts(delta_histogram(source_rows, target_rows), columns)
-    return R.rows(row, offset_findings(columns), table, run_id)
+    reduced = reduce_keys(source_rows, target_rows)
+    return histogram_rows(delta_histogram(reduced, source_rows, target_rows), columns, table, run_id)
+
+
+def histogram_rows(histogram: DataFrame, columns: Sequence[str], table: str, run_id: str = "") -> DataFrame:
+    return R.rows(offset_facts(histogram, columns), offset_findings(columns), table, run_id)
 
 
 def check_tz_offset(source: DataFrame, target: DataFrame, columns: Sequence[str], key: str, table: str) -> DataFrame:

@@ -19,6 +19,19 @@ from evenkeel.functions.values import quote
 from evenkeel.operators.facts import Facts, Side
 from evenkeel.results import FAIL, PASS, WARN, Finding, case, fixed_finding, text
 
+# What one key ``(k, src_n, tgt_n)`` adds to the numbers every key check needs.
+PER_KEY = {
+    "src_rows": "src_n",
+    "tgt_rows": "tgt_n",
+    "src_nulls": "IF(k IS NULL, src_n, 0L)",
+    "tgt_nulls": "IF(k IS NULL, tgt_n, 0L)",
+    "src_distinct": "IF(k IS NOT NULL AND src_n > 0, 1L, 0L)",
+    "tgt_distinct": "IF(k IS NOT NULL AND tgt_n > 0, 1L, 0L)",
+    "common": "IF(k IS NOT NULL AND src_n > 0 AND tgt_n > 0, 1L, 0L)",
+    "src_unmatched_keys": "IF(k IS NOT NULL AND src_n > 0 AND tgt_n = 0, 1L, 0L)",
+    "src_unmatched_rows": "IF(k IS NOT NULL AND tgt_n = 0, src_n, 0L)",
+}
+
 KeyReader = Callable[[Side, str], str]
 
 
@@ -54,17 +67,7 @@ def paired(source_rows: DataFrame, target_rows: DataFrame) -> DataFrame:
 
 def facts(pairs: DataFrame) -> DataFrame:
     """One row with the numbers every key check needs."""
-    return pairs.selectExpr(
-        "coalesce(sum(src_n), 0L) AS src_rows",
-        "coalesce(sum(tgt_n), 0L) AS tgt_rows",
-        "coalesce(sum(CASE WHEN k IS NULL THEN src_n END), 0L) AS src_nulls",
-        "coalesce(sum(CASE WHEN k IS NULL THEN tgt_n END), 0L) AS tgt_nulls",
-        "count_if(k IS NOT NULL AND src_n > 0) AS src_distinct",
-        "count_if(k IS NOT NULL AND tgt_n > 0) AS tgt_distinct",
-        "count_if(k IS NOT NULL AND src_n > 0 AND tgt_n > 0) AS common",
-        "count_if(k IS NOT NULL AND src_n > 0 AND tgt_n = 0) AS src_unmatched_keys",
-        "coalesce(sum(CASE WHEN k IS NOT NULL AND tgt_n = 0 THEN src_n END), 0L) AS src_unmatched_rows",
-    )
+    return pairs.selectExpr(*[f"coalesce(sum({sql}), 0L) AS {name}" for name, sql in PER_KEY.items()])
 
 
 @dataclass(frozen=True)
@@ -78,9 +81,14 @@ class KeyCheck:
 
 def key_check_rows(pairs: DataFrame, checks: Sequence[KeyCheck], table: str, run_id: str = "") -> DataFrame:
     """``checks`` all look at the same key columns."""
+    return fact_rows(facts(pairs), checks, table, run_id)
+
+
+def fact_rows(row: DataFrame, checks: Sequence[KeyCheck], table: str, run_id: str = "") -> DataFrame:
+    """Result rows from the one-row result of :func:`facts`."""
     scope = R.Scope()
     found = [f for c in checks for f in c.decide(Facts("", scope))]
-    return R.rows(facts(pairs), found, table, run_id, scope)
+    return R.rows(row, found, table, run_id, scope)
 
 
 def plan_identity(column: str, threshold: float = 95.0, same_type: bool = True) -> KeyCheck:

@@ -204,6 +204,10 @@ class TableInputs:
     def stamps(self, side: str, key: str, columns: Sequence[str], read: keys.KeyReader) -> DataFrame:
         return datetimes.stamp_rows(self.frames[side], key, columns, read)
 
+    def all_stamps(self, side: str, key: str, columns: Sequence[str], read: keys.KeyReader) -> DataFrame:
+        """Also the rows without a pair, so that the keys can be counted in the same pass."""
+        return datetimes.stamp_rows(self.frames[side], key, columns, read, keep_all=True)
+
 
 def pair_results(spark: SparkSession, inputs, plan: PairPlan, table: str, run_id: str = "") -> DataFrame:
     """Result rows of a plan over its inputs."""
@@ -232,7 +236,11 @@ def pair_results(spark: SparkSession, inputs, plan: PairPlan, table: str, run_id
             inputs.values("source", plan.counted()), inputs.values("target", plan.counted())
         )
         parts.append(frequency.value_check_rows(pairs, plan.values, table, run_id))
+    # where timestamps are paired by the key anyway, its counts come from the same shuffle
+    shared = bool(plan.stamps) and plan.stamp_key in plan.keyed and hasattr(inputs, "all_stamps")
     for column, (read, checks) in plan.keyed.items():
+        if shared and column == plan.stamp_key:
+            continue
         pairs = keys.paired(inputs.keys("source", column, read), inputs.keys("target", column, read))
         parts.append(keys.key_check_rows(pairs, checks, table, run_id))
     for link in plan.links:
@@ -244,12 +252,14 @@ def pair_results(spark: SparkSession, inputs, plan: PairPlan, table: str, run_id
         parts.append(keys.key_check_rows(keys.paired(child, parent), [link.check], table, run_id))
     if plan.stamps:
         require_utc(spark)
-        args = (plan.stamp_key, plan.stamps, plan.stamp_read)
-        parts.append(
-            datetimes.offset_rows(
-                inputs.stamps("source", *args), inputs.stamps("target", *args), plan.stamps, table, run_id
-            )
-        )
+        stamps = inputs.all_stamps if shared else inputs.stamps
+        source, target = (stamps(side, plan.stamp_key, plan.stamps, plan.stamp_read) for side in ("source", "target"))
+        reduced = datetimes.reduce_keys(source, target)
+        histogram = datetimes.delta_histogram(reduced, source, target)
+        parts.append(datetimes.histogram_rows(histogram, plan.stamps, table, run_id))
+        if shared:
+            checks = plan.keyed[plan.stamp_key][1]
+            parts.append(keys.fact_rows(datetimes.key_facts(reduced, plan.stamps[0]), checks, table, run_id))
     return R.union(spark, parts)
 
 

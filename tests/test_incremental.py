@@ -28,7 +28,7 @@ def outcome(results):
     """Everything but floating-point noise of the variance."""
     return [
         (r["check"], r["column"], r["status"], {k: pytest.approx(v, rel=1e-9, nan_ok=True) for k, v in r["metrics"].items()}, r["samples"])
-        for r in results.collect()
+        for r in sorted(results.collect(), key=lambda r: (r["check"], r["column"] or ""))
     ]
 
 
