@@ -34,6 +34,11 @@ def _ordinal(tables: Sequence[DataFrame]) -> DataFrame:
     return concat([t.withColumn("_ordinal", F.lit(i)) for i, t in enumerate(tables)])
 
 
+def _without_key(rows: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """Rows without a key match nothing and stay as they are."""
+    return rows.where(f"{ident(key)} IS NULL").select([ident(c) for c in columns])
+
+
 def sum_by_key(tables: Sequence[DataFrame], key: str) -> DataFrame:
     """One row per key with the columns of the first table: numbers added over all tables, other
     columns from the first table that has the key. One aggregate, no join."""
@@ -45,7 +50,8 @@ def sum_by_key(tables: Sequence[DataFrame], key: str) -> DataFrame:
     if others:
         aggs.append(F.min(F.struct("_ordinal", *map(ident, others))).alias("_rest"))
     out = rows.where(f"{ident(key)} IS NOT NULL").groupBy(key).agg(*aggs)
-    return out.selectExpr(*[f"_rest.{ident(c)} AS {ident(c)}" if c in others else ident(c) for c in first.columns])
+    merged = out.selectExpr(*[f"_rest.{ident(c)} AS {ident(c)}" if c in others else ident(c) for c in first.columns])
+    return merged.unionByName(_without_key(rows, key, first.columns))
 
 
 def count_by_key(tables: Sequence[DataFrame], key: str) -> DataFrame:
@@ -66,7 +72,9 @@ def pick_by_key(tables: Sequence[DataFrame], key: str, last: bool = False) -> Da
     rest = [c for c in rows.columns if c not in (key, "_ordinal")]
     pick = (F.max if last else F.min)(F.struct("_ordinal", *map(ident, rest)))
     out = rows.where(f"{ident(key)} IS NOT NULL").groupBy(key).agg(pick.alias("_row"))
-    return out.select([F.col(ident(key)) if c == key else F.col(f"_row.{ident(c)}").alias(c) for c in rows.columns if c != "_ordinal"])
+    columns = [c for c in rows.columns if c != "_ordinal"]
+    picked = out.select([F.col(ident(key)) if c == key else F.col(f"_row.{ident(c)}").alias(c) for c in columns])
+    return picked.unionByName(_without_key(rows, key, columns))
 
 
 def join_parts(tables: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:

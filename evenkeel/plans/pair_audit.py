@@ -22,6 +22,7 @@ from evenkeel import results as R
 from evenkeel.config import TableConfig
 from evenkeel.operators import aggregates, constraints, datetimes, frequency, keys, strings, volume
 from evenkeel.operators import facts as A
+from evenkeel.operators.run import scalar_parts
 from evenkeel.plans import registry
 from evenkeel.results import ERROR, FAIL, Finding, fixed_finding
 from evenkeel.session import require_utc
@@ -214,23 +215,7 @@ def pair_results(spark: SparkSession, inputs, plan: PairPlan, table: str, run_id
     parts = []
     if plan.fixed:
         parts.append(R.fixed(spark, plan.fixed, table, run_id))
-    for batch in A.batches(plan.scalar):
-        scope = R.Scope()
-        found = A.findings(batch, scope)
-        s_metrics = A.unique([m for c in batch for m in c.source])
-        t_metrics = A.unique([m for c in batch for m in c.target])
-        structs = []
-        if s_metrics:
-            structs.append(inputs.metrics("source", s_metrics))
-        if t_metrics:
-            structs.append(inputs.metrics("target", t_metrics))
-        if s_metrics and t_metrics:
-            facts = A.pair(*structs)
-        elif structs:
-            facts = structs[0].selectExpr(f"struct(*) AS {'s' if s_metrics else 't'}")
-        else:
-            facts = R.one_row(spark)
-        parts.append(R.rows(facts, found, table, run_id, scope))
+    parts += scalar_parts(spark, inputs.metrics, plan.scalar, table, run_id)
     if plan.values:
         pairs = frequency.paired(
             inputs.values("source", plan.counted()), inputs.values("target", plan.counted())

@@ -125,14 +125,15 @@ def test_merge_of_text_and_number(frame):
 
 def test_sum(parts):
     got = {r["id"]: (r["amount"], r["tag"]) for r in mapping.merge_sources(parts, "N:1", "sum", "id").collect()}
-    assert got == {1: (1.0, "a1"), 2: (22.0, None), 3: (30.0, "a3"), 4: (40.0, "b4")}
+    assert got == {1: (1.0, "a1"), 2: (22.0, None), 3: (30.0, "a3"), 4: (40.0, "b4"), None: (9.0, "bn")}
 
 
 def test_count_first_last(parts):
     assert {r["id"]: r["count"] for r in mapping.merge_sources(parts, "N:1", "count", "id").collect()} == {1: 1, 2: 2, 3: 2, 4: 1}
     first = {r["id"]: r["tag"] for r in mapping.merge_sources(parts, "N:1", "first", "id").collect()}
     last = {r["id"]: r["tag"] for r in mapping.merge_sources(parts, "N:1", "last", "id").collect()}
-    assert first == {1: "a1", 2: None, 3: "a3", 4: "b4"} and last == {1: "a1", 2: "b2", 3: "b3", 4: "b4"}
+    assert first == {1: "a1", 2: None, 3: "a3", 4: "b4", None: "bn"}
+    assert last == {1: "a1", 2: "b2", 3: "b3", 4: "b4", None: "bn"}
     with pytest.raises(ValueError, match="primary key"):
         mapping.merge_sources(parts, "N:1", "sum", None)
 
