@@ -82,7 +82,7 @@ class PieceEncoder:
         return out
 
 
-def slices(texts: pa.Array, most: int = 8_000_000) -> Iterable[pa.Array]:
+def slices(texts: pa.Array, most: int = 3_000_000) -> Iterable[pa.Array]:
     """Runs of texts of about ``most`` bytes together, one text at least."""
     sizes = np.cumsum(pc.binary_length(texts).to_numpy(False))
     at = 0
