@@ -61,9 +61,10 @@ def check(rows, texts, shards=8):
 def test_levels_give_even_shards(spark):
     texts = [(i, "x" * (i * 7919 % 400) + str(i - i % 3)) for i in range(6000)] + [(None, None), (-1, ""), (-2, "hot")]
     docs = spark.createDataFrame([(i, t, 0, "k") for i, t in texts], "doc_id long, text string, shard int, key string")
-    for last in (50, 500, 20_000):
+    # the fewer boxes are left for the last level, the coarser they are
+    for last, uneven in ((50, 1.4), (500, 1.1), (20_000, 1.001)):
         loads = check(sharding.shard(docs, last=last, run=100).collect(), texts)
-        assert max(loads.values()) <= 1.05 * sum(loads.values()) / 8
+        assert max(loads.values()) <= uneven * sum(loads.values()) / 8
 
 
 def test_hot_group_empty_and_repeated_rows(spark):
