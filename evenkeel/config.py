@@ -98,6 +98,17 @@ class Relationship:
     parent: Mapping[str, str]
 
 
+# What a table of a configuration may tell its reader: text files, then databases.
+READER_OPTIONS = ("delimiter", "encoding", "schema", "multiline", "infer", "na_values", "table", "partitioning")
+
+
+def reader_options(options: Mapping[str, Any] | None) -> dict[str, Any]:
+    unknown = set(options or {}) - set(READER_OPTIONS)
+    if unknown:
+        raise ConfigError(f"unknown reader options: {', '.join(sorted(unknown))}; known are {', '.join(READER_OPTIONS)}")
+    return dict(options or {})
+
+
 @dataclass(frozen=True)
 class TableSpec:
     """One physical table of a mapping."""
@@ -106,9 +117,11 @@ class TableSpec:
     primary_key: str | None = None
     column_mapping: Mapping[str, str] = field(default_factory=dict)
     query: str | None = None
+    options: Mapping[str, Any] = field(default_factory=dict)  # of the reader, see READER_OPTIONS
 
     def __post_init__(self):
         object.__setattr__(self, "column_mapping", dict(self.column_mapping or {}))
+        object.__setattr__(self, "options", reader_options(self.options))
 
 
 MAPPING_TYPES = ("1:1", "1:N", "N:1", "N:M")
@@ -148,6 +161,8 @@ class TableConfig:
     column_mapping: Mapping[str, str] = field(default_factory=dict)
     source_query: str | None = None
     target_query: str | None = None
+    source_options: Mapping[str, Any] = field(default_factory=dict)  # of the reader, see READER_OPTIONS
+    target_options: Mapping[str, Any] = field(default_factory=dict)
     aggregates: tuple[str, ...] = ()
     aggregate_column_mapping: Mapping[str, str] | None = None
     mappings: tuple[AllowedValues, ...] = ()
@@ -178,6 +193,8 @@ class TableConfig:
         for name in ("aggregates", "unique_columns", "order_by", "custom_checks"):
             put(self, name, tuple(getattr(self, name) or ()))
         put(self, "column_mapping", dict(self.column_mapping or {}))
+        for name in ("source_options", "target_options"):
+            put(self, name, reader_options(getattr(self, name)))
         put(self, "data_constraints", dict(self.data_constraints or {}))
         if isinstance(self.complex_mapping, Mapping):
             put(self, "complex_mapping", _build(ComplexMapping, self.complex_mapping))
@@ -190,10 +207,11 @@ class TableConfig:
     def _from_lists(self) -> ComplexMapping:
         """A list of sources or targets is a mapping of several tables."""
 
-        def specs(side, query):
-            return side if isinstance(side, (list, tuple)) else [{"path": side, "query": query}]
+        def specs(side, query, options):
+            return side if isinstance(side, (list, tuple)) else [{"path": side, "query": query, "options": options}]
 
-        sources, targets = specs(self.source, self.source_query), specs(self.target, self.target_query)
+        sources = specs(self.source, self.source_query, self.source_options)
+        targets = specs(self.target, self.target_query, self.target_options)
         kind = ("N" if len(sources) > 1 else "1") + ":" + (
             ("M" if len(sources) > 1 else "N") if len(targets) > 1 else "1"
         )
@@ -229,9 +247,12 @@ class AuditConfig:
     large_file_threshold_mb: float = 50.0
     strict_schema: bool = False
     na_values: tuple[str, ...] = NA_TOKENS
+    bad_lines: str = "ERROR"  # status of text lines that cannot be read: ERROR or WARN
 
     def __post_init__(self):
         put = object.__setattr__
+        if self.bad_lines not in ("ERROR", "WARN"):
+            raise ConfigError("bad_lines must be ERROR or WARN")
         if isinstance(self.tolerances, Mapping):
             put(self, "tolerances", _build(Tolerances, self.tolerances))
         put(

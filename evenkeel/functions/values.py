@@ -143,13 +143,30 @@ def plain_number(c: str, dtype: T.DataType) -> str:
         return f"CASE WHEN contains({text}, '.') THEN regexp_replace({text}, {zeros}, '') ELSE {text} END"
     x = to_number(c, dtype)
     text = f"CAST({x} AS STRING)"
-    wide = f"regexp_replace(CAST(try_cast({x} AS DECIMAL(38,18)) AS STRING), {zeros}, '')"
+    # the shortest print has one digit before the point; its exponent moves the point, whatever the size
+    power = f"CAST(substring_index({text}, 'E', -1) AS INT)"
+    digits = f"rtrim('0', translate(substring_index({text}, 'E', 1), '.-', ''))"
+    sign = f"IF({x} < 0, '-', '')"
+    small = f"concat({sign}, '0.', repeat('0', -{power} - 1), {digits})"
+    whole = f"rpad({digits}, {power} + 1, '0')"
+    large = (
+        f"IF(length({digits}) <= {power} + 1, concat({sign}, {whole}),"
+        f" concat({sign}, left({digits}, {power} + 1), '.', substring({digits}, {power} + 2)))"
+    )
     return (
-        f"CASE WHEN contains({text}, 'E') THEN coalesce({wide}, {text})"
+        f"CASE WHEN contains({text}, 'E') THEN IF({power} < 0, {small}, {large})"
         f" WHEN endswith({text}, '.0') THEN left({text}, length({text}) - 2) ELSE {text} END"
     )
 
 
+def exact_number(c: str, dtype: T.DataType) -> str:
+    """A number as text that is equal exactly if the values are, also between integers, decimals and doubles."""
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        whole = f"{c} = floor({c}) AND abs({c}) < 9.2e18D"  # a whole double of this size is a BIGINT, digit by digit
+        return f"CASE WHEN {whole} THEN CAST(CAST({c} AS BIGINT) AS STRING) ELSE {plain_number(c, dtype)} END"
+    return plain_number(c, dtype)
+
+
 def to_text(c: str, dtype: T.DataType) -> str:
     """The value as text; numbers through :func:`plain_number`, so 1 and 1.0 read the same."""
     if isinstance(dtype, T.StringType):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,11 +19,7 @@ from evenkeel.results import FAIL, PASS, WARN, Finding, case, text
 from evenkeel.session import require_utc
 from evenkeel.staging import stage
 
-# Keys with several timestamps on a side are joined through a broadcast of their key list only while
-# the list (counted first) is at most this long; beyond it the join shuffles.
-BROADCAST_KEYS = 100_000
-
-# Rows of one such key that go to one task.
+# Rows of a key with several timestamps that go to one task.
 ROWS_PER_SPLIT = 50_000
 
 
@@ -170,7 +166,7 @@ def reduce_keys(source_rows: DataFrame, target_rows: DataFrame) -> DataFrame:
         "column",
         f"CASE WHEN paired AND single THEN {_minutes('s0', 't0')} END AS delta",
         f"CASE WHEN {several} THEN k END AS several_k",
-        f"CASE WHEN {several} THEN CAST(ceil(sn / {ROWS_PER_SPLIT}) AS INT) END AS splits",
+        f"CASE WHEN {several} THEN CAST(ceil(greatest(sn, tn) / {ROWS_PER_SPLIT}) AS INT) * IF(sn >= tn, 1, -1) END AS splits",
         f"CASE WHEN paired THEN {_PAIRS} END AS pairs",
         *[f"{sql} AS {name}" for name, sql in PER_KEY.items()],
     )
@@ -193,23 +189,23 @@ def key_facts(reduced: DataFrame, column: str) -> DataFrame:
 def delta_histogram(reduced: DataFrame, source_rows: DataFrame, target_rows: DataFrame) -> DataFrame:
     """``(column, delta, pairs)``: how many row pairs with one key lie ``delta`` minutes apart.
 
-    Keys with several timestamps are joined on counts per distinct timestamp, each key spread over as
-    many parts as its rows call for.
+    Keys with several timestamps are joined on counts per distinct timestamp, made before anything is shuffled
+    by the key alone. The side with more rows of a key is dealt out to parts, as many as its rows call for
+    (``splits``, negative where that is the target); the other is copied to each. Spark broadcasts the list of keys if
+    it finds it small.
     """
     histogram = reduced.where("delta IS NOT NULL").select("column", "delta", "pairs")
     several = reduced.where("several_k IS NOT NULL").selectExpr("column", "several_k AS k", "splits")
-    n_several = several.limit(BROADCAST_KEYS + 1).count()
-    if n_several == 0:
+    if several.isEmpty():
         return histogram
-    if n_several <= BROADCAST_KEYS:
-        several = F.broadcast(several)
     on = ["column", "k"]
-    stamps = ["column", "k", "splits", "ts"]
     stamped = "ts IS NOT NULL"
-    src = source_rows.where(stamped).join(several, on).groupBy(*stamps).agg(F.sum("n").alias("sn"))
-    tgt = target_rows.where(stamped).join(several, on).groupBy(*stamps).agg(F.sum("n").alias("tn"))
-    src = src.selectExpr("column", "k", "CAST(pmod(xxhash64(ts), splits) AS INT) AS part", "ts AS s", "sn")
-    tgt = tgt.selectExpr("column", "k", "explode(sequence(0, splits - 1)) AS part", "ts AS t", "tn")
+    dealt = "array(CAST(pmod(xxhash64(ts), abs(splits)) AS INT))"
+    copied = "sequence(0, abs(splits) - 1)"
+    src = compact(source_rows.where(stamped)).join(several, on)
+    tgt = compact(target_rows.where(stamped)).join(several, on)
+    src = src.selectExpr("column", "k", f"explode(IF(splits > 0, {dealt}, {copied})) AS part", "ts AS s", "n AS sn")
+    tgt = tgt.selectExpr("column", "k", f"explode(IF(splits < 0, {dealt}, {copied})) AS part", "ts AS t", "n AS tn")
     joined = src.join(tgt, ["column", "k", "part"]).selectExpr(
         "column", f"{_minutes('s', 't')} AS delta", f"{_PAIRS} AS pairs"
     )
@@ -218,20 +214,49 @@ def delta_histogram(reduced: DataFrame, source_rows: DataFrame, target_rows: Dat
     )
 
 
+def medians(histogram: DataFrame) -> DataFrame:
+    """``(column, median)``, exact for any counts.
+
+    Pairs are summed per day of difference; running sums over the days find the one or two days that hold the middle,
+    and running sums over the minutes of these days the middle itself.
+    """
+    upto = Window.partitionBy("column").orderBy("day")
+    total = F.sum("pairs").over(Window.partitionBy("column"))
+    wide = "DECIMAL(38,0)"
+    days = histogram.withColumn("day", F.expr("CAST(floor(delta / 1440) AS BIGINT)")).groupBy("column", "day")
+    days = days.agg(F.expr(f"CAST(sum(pairs) AS {wide})").alias("pairs"))
+    days = days.select("column", "day", "pairs", F.sum("pairs").over(upto).cast(wide).alias("upto"), total.cast(wide).alias("total"))
+    # places of the middle, from 0
+    days = days.selectExpr(
+        "column", "day", "upto", "upto - pairs AS before", f"CAST(floor((total - 1) / 2) AS {wide}) AS low",
+        f"CAST(floor(total / 2) AS {wide}) AS high",
+    )
+    days = days.where("upto > low AND before <= high").select("column", "day", "before", "low", "high")
+    # one or two rows for each configured column
+    minutes = histogram.withColumn("day", F.expr("CAST(floor(delta / 1440) AS BIGINT)")).join(F.broadcast(days), ["column", "day"])
+    running = F.sum("pairs").over(Window.partitionBy("column", "day").orderBy("delta"))
+    minutes = minutes.withColumn("upto", (F.col("before") + running).cast(wide))
+    here = "upto > {0} AND upto - pairs <= {0}"
+    return minutes.groupBy("column").agg(
+        F.expr(
+            f"(max(CASE WHEN {here.format('low')} THEN delta END) + max(CASE WHEN {here.format('high')} THEN delta END)) / 2D"
+        ).alias("median")
+    )
+
+
 def offset_facts(histogram: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row with a struct per column: pairs, median and sample deviation of the deltas.
 
-    The moments are sums over whole minutes, hence exact and free of order. The exact median keeps
-    one counter per distinct minute, so its state grows with the time range and not with the rows.
+    The moments are sums over whole minutes, hence exact and free of order.
     """
     d = "CAST(delta AS DECIMAL(12,0))"
     moments = histogram.groupBy("column").agg(
         F.expr("CAST(sum(pairs) AS DOUBLE)").alias("rows"),
         F.expr(f"CAST(sum(CAST(pairs * {d} AS DECIMAL(38,0))) AS DOUBLE)").alias("total"),
         F.expr(f"CAST(sum(CAST(CAST(pairs * {d} AS DECIMAL(38,0)) * {d} AS DECIMAL(38,0))) AS DOUBLE)").alias("squares"),
-        F.expr("percentile(delta, 0.5D, CAST(least(pairs, 4000000000000000000) AS BIGINT))").alias("median"),
     )
-    rows = moments.selectExpr(
+    # a row for each configured column
+    rows = moments.join(F.broadcast(medians(histogram)), "column").selectExpr(
         "column", "rows", "median",
         "sqrt(try_divide(greatest(squares - total * total / rows, 0D), rows - 1)) AS std",
     )

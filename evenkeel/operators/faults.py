@@ -1,4 +1,4 @@
-"""Deterministic test data: generated tables, related tables, and faults put into a table.
+"""Deterministic faults put into a table.
 
 Which rows are hit follows from the key alone (``pmod(key, every) = 0``), so a fault does not depend on
 partitioning and can be reproduced in any SQL engine.
@@ -8,14 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.functions.values import ident, quote
 
-# Fixed value: appended to texts to test special characters.
-SPECIAL = ("🎉", "ñ", "ü", "🤔", "test,comma", "line\nbreak")
-
 
 def _hit(key: str, every: int) -> str:
     return f"pmod({ident(key)}, {int(every)}) = 0"
@@ -76,10 +73,9 @@ def damage_encoding(df: DataFrame, column: str, key: str, every: int) -> DataFra
     return _change(df, column, key, every, f"concat({ident(column)}, 'Ã©')")
 
 
-def special_characters(df: DataFrame, column: str, key: str, every: int) -> DataFrame:
-    choices = ", ".join(map(quote, SPECIAL))
-    pick = f"element_at(array({choices}), CAST(pmod({ident(key)} DIV {int(every)}, {len(SPECIAL)}) AS INT) + 1)"
-    return _change(df, column, key, every, f"concat({ident(column)}, {pick})")
+def append_text(df: DataFrame, column: str, key: str, every: int, text: str) -> DataFrame:
+    """Characters that a later step may not survive, as the caller chooses them."""
+    return _change(df, column, key, every, f"concat({ident(column)}, {quote(text)})")
 
 
 def shift_time(df: DataFrame, column: str, key: str, every: int, minutes: int) -> DataFrame:
@@ -98,7 +94,7 @@ FAULTS = {
     "delete_row": lose_rows, "modify_value": set_value, "nullify_value": null_value, "zero": zero_value,
     "negative": negate, "garbage": garbage, "boost": add_to, "orphan": add_to, "precision_loss": round_value,
     "truncate_string": truncate, "whitespace": pad, "encoding": damage_encoding,
-    "special_chars": special_characters, "shift_time": shift_time, "duplicate_ids": duplicate_rows,
+    "special_chars": append_text, "shift_time": shift_time, "duplicate_ids": duplicate_rows,
 }
 
 
@@ -111,92 +107,3 @@ def inject(df: DataFrame, key: str, faults: Sequence[Mapping]) -> DataFrame:
         else:
             df = FAULTS[fault["type"]](df, key=key, **args)
     return df
-
-
-# --- generated tables ------------------------------------------------------------------------
-
-
-def _draw(seed: str, low: int, high: int, row: str = "id") -> str:
-    """An integer in [low, high] that follows from the row number."""
-    return f"({low} + pmod(xxhash64({row}, {quote(seed)}), {high - low + 1}))"
-
-
-def _letters(seed: str, length: int) -> str:
-    return f"translate(left(sha2(concat({quote(seed)}, id), 256), {length}), '0123456789', 'ghijklmnop')"
-
-
-def base_table(spark: SparkSession, rows: int) -> DataFrame:
-    """id, name, amount, category, status, created_at."""
-    return spark.range(1, rows + 1).selectExpr(
-        "id",
-        f"{_letters('name', 10)} AS name",
-        f"CAST({_draw('amount', 1000, 100000)} / 100 AS DOUBLE) AS amount",
-        f"element_at(array('A', 'B', 'C', 'D'), CAST({_draw('category', 1, 4)} AS INT)) AS category",
-        f"element_at(array('Active', 'Inactive', 'Pending'), CAST({_draw('status', 1, 3)} AS INT)) AS status",
-        f"timestamp_seconds(1704067200 + {_draw('created', 0, 31535999)}) AS created_at",
-    )
-
-
-def related_table(spark: SparkSession, rows: int, parents: int, fk_column: str = "user_id") -> DataFrame:
-    """Child rows of a parent table whose keys are 1 to ``parents``."""
-    return spark.range(1, rows + 1).selectExpr(
-        "id",
-        f"{_draw('parent', 1, parents)} AS {ident(fk_column)}",
-        f"CAST({_draw('value', 500, 50000)} / 100 AS DOUBLE) AS order_value",
-        f"timestamp_seconds(1704067200 + {_draw('date', 0, 2591999)}) AS order_date",
-    )
-
-
-def generate_table(spark: SparkSession, table, rows: int) -> DataFrame:
-    """Rows for the columns a :class:`~evenkeel.config.TableConfig` names, by constraint and name."""
-    allowed = {c: m.allowed_values for m in table.mappings for c in m.columns}
-    names = dict.fromkeys([table.primary_key, *table.data_constraints, *allowed, *table.aggregates])
-
-    def value(name: str) -> str:
-        rules = table.data_constraints.get(name, ())
-        low = name.lower()
-        if name == table.primary_key:
-            return "id"
-        if name in allowed:
-            choices = ", ".join(map(quote, map(str, allowed[name])))
-            return f"element_at(array({choices}), CAST({_draw(name, 1, len(allowed[name]))} AS INT))"
-        if "date" in rules:
-            return f"CAST(date_add(DATE'2020-01-01', CAST({_draw(name, 0, 2190)} AS INT)) AS STRING)"
-        if "email" in low:
-            return f"concat('user', {_draw(name, 1000, 9999)}, '@example.com')"
-        if "name" in low:
-            return f"concat('Name_', {_draw(name, 1, 1000)})"
-        if "price" in low or "amount" in low or name in table.aggregates:
-            return f"CAST({_draw(name, 1000, 50000)} / 100 AS DOUBLE)"
-        return f"concat('val_', {_draw(name, 1, 100)})"
-
-    return spark.range(1, rows + 1).selectExpr(*[f"{value(n)} AS {ident(n)}" for n in names])
-
-
-def everything_table(spark: SparkSession, rows: int) -> DataFrame:
-    """A table with a column for every kind of check."""
-
-    def pick(seed: str, *values) -> str:
-        return f"element_at(array({', '.join(map(quote, values))}), CAST({_draw(seed, 1, len(values))} AS INT))"
-
-    created = f"timestamp_seconds(1704067200 + {_draw('created', 0, 31535999)})"
-    return spark.range(1, rows + 1).selectExpr(
-        "id",
-        "concat('ORD-', lpad(id, 6, '0')) AS order_id",
-        f"CAST({_draw('quantity', 1, 100)} AS INT) AS quantity",
-        f"CAST({_draw('price', 100, 500000)} / 100 AS DOUBLE) AS price_usd",
-        f"CAST({_draw('quantity', 1, 100)} * {_draw('price', 100, 500000)} / 100 AS DOUBLE) AS subtotal",
-        f"repeat({_letters('product', 20)}, CAST({_draw('length', 1, 10)} AS INT)) AS product_name",
-        "concat('Product ', id) AS description",
-        f"{pick('status', 'NEW', 'PROCESSING', 'SHIPPED', 'DELIVERED', 'CANCELLED')} AS status",
-        f"{pick('payment', 'CARD', 'BANK', 'PAYPAL', 'CRYPTO')} AS payment_method",
-        f"{pick('premium', 'True', 'False', '1', '0', 'Y', 'N')} AS is_premium",
-        f"{created} AS created_at",
-        f"{created} + make_dt_interval(0, CAST({_draw('hours', 0, 720)} AS INT)) AS updated_at",
-        f"{pick('notes', None, '', 'N/A', '-', 'null', 'NO DATA', 'a note')} AS customer_notes",
-        f"CASE WHEN {_draw('internal', 0, 1)} = 1 THEN concat('Internal ', id) END AS internal_notes",
-        f"CASE WHEN {_draw('has_rate', 1, 5)} > 1 THEN CAST({_draw('rate', 0, 5000)} / 10000 AS DOUBLE) END AS discount_rate",
-        f"concat('TXN-', id, '-', {_draw('hash', 10000, 99999)}) AS transaction_hash",
-        f"CAST({_draw('customer', 1, 100)} AS INT) AS customer_id",
-        f"nullif(CAST({_draw('warehouse', 1, 6)} AS INT), 6) AS warehouse_id",
-    )

@@ -44,6 +44,12 @@ def key_reader(source: T.DataType, target: T.DataType) -> tuple[KeyReader, bool]
             return f"concat({quote(V.type_family(side.dtype(name)) + ':')}, {side.text(name)})"
 
         return tagged, False
+    if families[0] == "number" and source != target:
+        binary = [isinstance(t, (T.DoubleType, T.FloatType)) for t in (source, target)]
+        integral = [isinstance(t, T.IntegralType) for t in (source, target)]
+        if not all(binary) and not all(integral):
+            # a common type would round: BIGINT and DOUBLE meet as DOUBLE
+            return lambda side, name: V.exact_number(side.col(name), side.dtype(name)), True
     if families[0] == "time":
         return lambda side, name: f"CAST({side.col(name)} AS TIMESTAMP)", True
     return Side.col, True

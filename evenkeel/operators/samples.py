@@ -14,6 +14,6 @@ def offending_values(df: DataFrame, predicate: str, column: str, order_by: str,
 
 
 def sample_rows(df: DataFrame, key: str, share: float, seed: int = 0) -> DataFrame:
-    """A share of the rows chosen by the hash of their key: the same rows for any partitioning."""
-    buckets = 1_000_000
-    return df.where(F.pmod(F.xxhash64(F.col(ident(key)), F.lit(seed)), F.lit(buckets)) < int(share * buckets))
+    """A share of the rows chosen by the MD5 of their key: the same rows for any partitioning, in any engine."""
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(ident(key)).cast("string"), F.lit("")))
+    return df.where(F.left(F.md5(text.cast("binary")), F.lit(8)) < f"{min(int(share * 2**32), 2**32 - 1):08x}")

@@ -2,54 +2,80 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import cached_property, partial
 
 from pyspark.sql import DataFrame, SparkSession
 
 from evenkeel import results as R
 from evenkeel.config import AuditConfig, TableConfig, TableSpec
+from evenkeel.functions.values import quote
 from evenkeel.operators import mapping as M
 from evenkeel.operators import quarantine as Q
 from evenkeel.operators import rollup
-from evenkeel.plans.pair_audit import Settings, audit_pair
+from evenkeel.plans.pair_audit import Settings, audit_by_check, audit_pair
 from evenkeel.results import ERROR, fixed_finding
-from evenkeel.sources.read import DataLoadError, hide_password, read_table, rename
+from evenkeel.sources.read import DataLoadError, bad_lines, hide_password, is_database, is_parquet, read_table, rename
 from evenkeel.sources.write import write_quarantine
 
 
+@dataclass
+class Part:
+    """Result rows of one audited pair, not yet computed; ``single`` gives them check by check if that fails."""
+
+    label: str
+    rows: Callable[[], DataFrame]
+    single: Callable[[], list[tuple[R.Finding, Callable[[], DataFrame]]]] | None = None
+
+
 @dataclass
 class Audit:
-    """Results of a run, one lazy frame per audited pair."""
+    """Results of a run. The checks run once, when :attr:`results` is first asked for."""
 
     spark: SparkSession
-    parts: list[tuple[str, DataFrame]] = field(default_factory=list)
+    parts: list[Part] = field(default_factory=list)
     quarantined: dict[str, list[DataFrame]] = field(default_factory=dict)
     run_id: str = ""
+    parallel: int = 4
 
-    @property
+    @cached_property
     def results(self) -> DataFrame:
-        """All result rows as one lazy frame."""
-        return R.union(self.spark, [df for _, df in self.parts])
-
-    def materialize(self, parallel: int = 4) -> DataFrame:
-        """Run the pairs, a few at a time, and keep the result rows (one per check).
+        """All result rows, one per check: pairs run a few at a time, and rows are kept.
 
-        A pair whose jobs fail gives one ERROR row instead of its results and does not stop the others.
+        If the jobs of a pair fail, its checks run one by one, and each that fails gives one ERROR row.
         """
+        with ThreadPoolExecutor(max_workers=self.parallel) as pool:
+            found = [row for part in pool.map(self._rows, self.parts) for row in part]
+        return self.spark.createDataFrame(found, R.RESULT_SCHEMA)
 
-        def rows(part: tuple[str, DataFrame]) -> list:
-            label, df = part
+    def _rows(self, part: Part) -> list:
+        try:
+            return part.rows().collect()
+        except Exception as e:
             try:
-                return df.collect()
+                pieces = part.single() if part.single else []
+            except Exception:  # not even a plan
+                pieces = []
+            if not pieces:
+                return self._error(part.label, R.Finding("audit", "audit", None, "", ""), e)
+        rows = []
+        for check, run in pieces:
+            try:
+                rows += run().collect()
             except Exception as e:
-                found = fixed_finding("audit", "audit", None, ERROR, f"{type(e).__name__}: {e}"[:500])
-                return R.fixed(self.spark, [found], label, self.run_id).collect()
+                rows += self._error(part.label, check, e)
+        return rows
 
-        with ThreadPoolExecutor(max_workers=parallel) as pool:
-            found = [row for part in pool.map(rows, self.parts) for row in part]
-        return self.spark.createDataFrame(found, R.RESULT_SCHEMA)
+    def _error(self, label: str, check: R.Finding, e: Exception) -> list:
+        message = hide_password(f"{type(e).__name__}: {e}")
+        found = fixed_finding(check.category, check.check, check.column, ERROR, message)
+        return R.fixed(self.spark, [found], label, self.run_id).collect()
+
+    def materialize(self) -> DataFrame:
+        """The same as :attr:`results`."""
+        return self.results
 
     def verdict(self) -> str:
         return rollup.final_verdict(self.results)
@@ -61,18 +87,22 @@ class Loader:
     def __init__(self, spark: SparkSession, config: AuditConfig, tables: Mapping[str, DataFrame] | None = None):
         self.spark, self.config, self.tables = spark, config, tables or {}
 
-    def read(self, path: str, query: str | None = None) -> DataFrame:
+    def read(self, path: str, query: str | None = None, options: Mapping | None = None, texts: dict | None = None) -> DataFrame:
+        """``texts`` gets the text files that were read, with their reader options."""
         if path in self.tables:
             return self.tables[path]
-        return read_table(self.spark, path, query=query, na_values=self.config.na_values)
+        settings = {"na_values": self.config.na_values, **(options or {})}
+        if texts is not None and not is_database(path) and not is_parquet(path):
+            texts[path] = settings
+        return read_table(self.spark, path, query=query, **settings)
 
-    def parents(self, table: TableConfig) -> dict[str, DataFrame | Exception]:
+    def parents(self, table: TableConfig, texts: dict | None = None) -> dict[str, DataFrame | Exception]:
         out: dict[str, DataFrame | Exception] = {}
         for rel in table.relationships:
             path = rel.parent.get("target")
             if path and path not in out:
                 try:
-                    out[path] = self.read(path)
+                    out[path] = self.read(path, options=rel.parent.get("options"), texts=texts)
                 except (FileNotFoundError, DataLoadError) as e:
                     out[path] = e
         return out
@@ -86,12 +116,17 @@ class Pair:
 
 
 def load_pairs(
-    loader: Loader, name: str, table: TableConfig, ignore_invalid_rows: bool, quarantined: list[DataFrame]
+    loader: Loader,
+    name: str,
+    table: TableConfig,
+    ignore_invalid_rows: bool,
+    quarantined: list[DataFrame],
+    texts: dict | None = None,
 ) -> list[Pair]:
     """The pairs to audit: one, or one per target where every target is a full copy."""
 
     def one(spec: TableSpec, is_source: bool, mapping: Mapping[str, str]) -> DataFrame:
-        df = loader.read(spec.path, spec.query)
+        df = loader.read(spec.path, spec.query, spec.options, texts)
         if not table.complex_mapping:
             df = rename(df, mapping)  # a simple mapping renames before rows are validated
         if ignore_invalid_rows:
@@ -103,8 +138,8 @@ def load_pairs(
     if cm is None:
         if not isinstance(table.source, str) or not isinstance(table.target, str):
             raise DataLoadError("source or target is not configured")
-        source = one(TableSpec(table.source, query=table.source_query), True, table.column_mapping)
-        target = one(TableSpec(table.target, query=table.target_query), False, {})
+        source = one(TableSpec(table.source, query=table.source_query, options=table.source_options), True, table.column_mapping)
+        target = one(TableSpec(table.target, query=table.target_query, options=table.target_options), False, {})
         return [Pair(source, target, name)]
     sources = [one(s, True, s.column_mapping) for s in cm.sources]
     targets = [one(t, False, t.column_mapping) for t in cm.targets]
@@ -117,6 +152,18 @@ def load_pairs(
     return [Pair(source, M.merge_targets(targets, cm.mapping_type, cm.split_strategy, keys), name)]
 
 
+def bad_line_rows(spark: SparkSession, path: str, options: Mapping, status: str, label: str, run_id: str = "") -> DataFrame:
+    """A result row if lines of a text file could not be read as they stand; none otherwise."""
+    counts = {"long_lines": "long_lines", "stray_quotes": "stray_quotes"}
+    found = R.Finding(
+        "load", "csv_lines", None, quote(status),
+        R.text("%d lines with more fields than the header are left out, %d lines or files with a stray quote", *counts.values()),
+        counts, {"path": quote(path)}, when="long_lines + stray_quotes > 0",
+    )
+    facts = bad_lines(spark, path, **{k: options[k] for k in ("delimiter", "encoding", "multiline") if k in options})
+    return R.rows(facts, [found], label, run_id)
+
+
 def run_audit(
     spark: SparkSession,
     config: AuditConfig,
@@ -136,17 +183,19 @@ def run_audit(
     a time (type inference, staged keys).
     """
     loader = Loader(spark, config, frames)
-    audit = Audit(spark, run_id=run_id)
+    audit = Audit(spark, run_id=run_id, parallel=parallel)
 
-    def error(check: str, label: str, e: Exception) -> tuple[str, DataFrame]:
-        message = hide_password(f"{type(e).__name__}: {e}"[:500])
-        return label, R.fixed(spark, [fixed_finding(check, check, None, ERROR, message)], label, run_id)
+    def error(check: str, label: str, e: Exception) -> Part:
+        message = hide_password(f"{type(e).__name__}: {e}")
+        found = fixed_finding(check, check, None, ERROR, message)
+        return Part(label, partial(R.fixed, spark, [found], label, run_id))
 
-    def one(name: str) -> tuple[list[tuple[str, DataFrame]], list[DataFrame]]:
+    def one(name: str) -> tuple[list[Part], list[DataFrame]]:
         table = config.tables[name]
         bad: list[DataFrame] = []
+        texts: dict = {}
         try:
-            pairs = load_pairs(loader, name, table, ignore_invalid_rows, bad)
+            pairs = load_pairs(loader, name, table, ignore_invalid_rows, bad, texts)
             if quarantine_path:
                 for rows in bad:
                     write_quarantine(rows, f"{quarantine_path}/{name}")
@@ -159,11 +208,10 @@ def run_audit(
         )
         parts = []
         for pair in pairs:
-            try:
-                found = audit_pair(pair.source, pair.target, table, pair.label, settings, loader.parents(table))
-                parts.append((pair.label, found))
-            except Exception as e:
-                parts.append(error("audit", pair.label, e))
+            what = pair.source, pair.target, table, pair.label, settings, loader.parents(table, texts)
+            parts.append(Part(pair.label, partial(audit_pair, *what), partial(audit_by_check, *what)))
+        for path, options in texts.items():
+            parts.append(Part(name, partial(bad_line_rows, spark, path, options, config.bad_lines, name, run_id)))
         return parts, bad
 
     names = [n for n in tables or config.tables if n in config.tables]

@@ -626,3 +626,45 @@ ALL: dict[str, str] = {
     "split_shards": "SELECT CAST(o_orderkey % 4 AS INTEGER) AS shard, CAST(count(*) AS BIGINT) AS rows, CAST(sum(o_orderkey) AS BIGINT) AS keys"
     " FROM orders GROUP BY 1",
 }
+
+_KEYS = ("doc_id", "vec_id", "event_id", "user_id")
+
+ALL |= {
+    "csv_bad_lines": "SELECT 'orders' AS table_name, 'csv_lines' AS \"check\", CAST(NULL AS VARCHAR) AS \"column\", 'ERROR' AS status,"
+    " count(*) FILTER (WHERE o_orderkey % 20 = 0) AS long_lines, CAST(0 AS BIGINT) AS stray_quotes, CAST(NULL AS BIGINT) AS src_rows,"
+    " CAST(NULL AS BIGINT) AS tgt_rows FROM orders UNION ALL SELECT 'orders', 'volume', NULL, 'PASS', NULL, NULL, count(*),"
+    " count(*) FILTER (WHERE o_orderkey % 20 <> 0) FROM orders",
+    "csv_stray_quote": "SELECT 'orders' AS table_name, 'csv_lines' AS \"check\", CAST(NULL AS VARCHAR) AS \"column\", 'WARN' AS status,"
+    " CAST(0 AS BIGINT) AS long_lines, count(*) FILTER (WHERE o_orderkey % 30 = 0) AS stray_quotes, CAST(NULL AS BIGINT) AS src_rows,"
+    " CAST(NULL AS BIGINT) AS tgt_rows FROM orders UNION ALL SELECT 'orders', 'volume', NULL, 'PASS', NULL, NULL, count(*), count(*) FROM orders",
+    "identity_wide_numbers": "SELECT 'orders' AS table_name, 'identity' AS \"check\", 'k' AS \"column\","
+    " CASE WHEN 100.0 * c / s >= 95 THEN 'PASS' WHEN c > 0 THEN 'WARN' ELSE 'FAIL' END AS status, c AS common_keys, s AS src_keys, t AS tgt_keys FROM ("
+    "SELECT count(DISTINCT k) AS s, count(DISTINCT CAST(CAST(k AS DOUBLE) AS HUGEINT)) AS t,"
+    " count(DISTINCT k) FILTER (WHERE k IN (SELECT CAST(CAST(9007199254740992 + o_orderkey AS DOUBLE) AS HUGEINT) FROM orders)) AS c"
+    " FROM (SELECT 9007199254740992 + o_orderkey AS k FROM orders))",
+    # 15 x 10^-n has n digits behind the point
+    "tiny_digits": "SELECT 'orders' AS table_name, 'numeric_precision' AS \"check\", 'x' AS \"column\", 'FAIL' AS status,"
+    " CAST(max(o_orderkey % 25) AS BIGINT) AS src_max_scale, CAST(0 AS BIGINT) AS tgt_max_scale FROM orders",
+    "id_columns": "SELECT table_name, column_name AS \"column\", column_name IN ("
+    + ", ".join(f"'{k}'" for k in _KEYS)
+    + ") AS is_key FROM (" + " UNION ALL ".join(
+        f"SELECT '{name}' AS table_name, column_name FROM (DESCRIBE {name})" for name in ("documents", "embeddings", "events", "orders", "customer")
+    ) + ")",
+    "load_errors": "SELECT * FROM (VALUES ('whole', 'volume', NULL, 'PASS'), ('whole', 'identity', 'c_custkey', 'PASS'),"
+    " ('absent', 'load', NULL, 'ERROR'), ('unnamed', 'load', NULL, 'ERROR')) AS found(table_name, \"check\", \"column\", status)",
+    "chosen_tables": "SELECT * FROM (VALUES ('part', 'volume', NULL, 'PASS'), ('part', 'identity', 'p_partkey', 'PASS'),"
+    " ('supplier', 'volume', NULL, 'PASS'), ('supplier', 'identity', 's_suppkey', 'PASS')) AS found(table_name, \"check\", \"column\", status)",
+    "input_guard": "SELECT 'orders' AS table_name, 'input' AS \"check\", CAST(NULL AS VARCHAR) AS \"column\", 'FAIL' AS status",
+    "quarantine_files": ALL["quarantine_summary"],
+    "report_files": f"SELECT section, section_verdict, checks FROM ({ALL['section_verdicts']})",
+    "suggested_configuration": "SELECT * FROM (VALUES ('orders', 'o_orderkey', 'o_custkey,o_totalprice', 'o_orderdate'),"
+    " ('customer', 'c_custkey', 'c_nationkey,c_acctbal', ''), ('lineitem', 'l_orderkey',"
+    " 'l_partkey,l_suppkey,l_linenumber,l_quantity,l_extendedprice,l_discount,l_tax', 'l_shipdate'))"
+    " AS found(table_name, primary_key, aggregates, datetimes)",
+    "copied_targets": "SELECT 'orders[1]' AS table_name, 'volume' AS \"check\", CAST(NULL AS VARCHAR) AS \"column\", 'PASS' AS status,"
+    " count(*) AS src_rows, count(*) AS tgt_rows FROM orders UNION ALL SELECT 'orders[2]', 'volume', NULL, 'FAIL', count(*),"
+    " count(*) FILTER (WHERE o_orderkey % 4 <> 0) FROM orders",
+    "sampled_rows": "SELECT o_orderkey, o_custkey FROM orders WHERE left(md5('0:' || o_orderkey), 8) < '19999999'",
+    "agg_presence": "SELECT * FROM (VALUES ('junk', 'o_totalprice', 'FAIL', 1)) AS found(\"check\", \"column\", status, results)",
+    "isolated_checks": f"SELECT * FROM ({_FULL}) WHERE \"column\" IS DISTINCT FROM 'o_totalprice'",
+}

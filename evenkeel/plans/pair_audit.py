@@ -13,8 +13,9 @@ over the stored state of an incremental audit.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, replace
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,6 +62,18 @@ class PairPlan:
     def counted(self) -> list[frequency.Counted]:
         return list(dict.fromkeys(c.counted for c in self.values))
 
+    def single(self) -> list[tuple[Finding, PairPlan]]:
+        """A plan for each check, with a finding that names it."""
+        blank = PairPlan([], [], [], {}, [], [], self.stamp_key, self.stamp_read)
+        get, sides = A.Facts("", R.Scope()), (A.Facts("s", R.Scope()), A.Facts("t", R.Scope()))
+        out = [([f], replace(blank, fixed=[f])) for f in self.fixed]
+        out += [(c.decide(*sides), replace(blank, scalar=[c])) for c in self.scalar]
+        out += [(c.decide(get), replace(blank, values=[c])) for c in self.values]
+        out += [(c.decide(get), replace(blank, keyed={k: (read, [c])})) for k, (read, cs) in self.keyed.items() for c in cs]
+        out += [(link.check.decide(get), replace(blank, links=[link])) for link in self.links]
+        out += [(datetimes.offset_findings([c]), replace(blank, stamps=[c])) for c in self.stamps]
+        return [(found[0], plan) for found, plan in out if found]
+
 
 def schema_findings(source: Sequence[str], target: Sequence[str], strict: bool) -> list[Finding]:
     """Columns the target lacks and, in strict mode, columns only the target has."""
@@ -265,3 +278,20 @@ def audit_pair(
         return R.fixed(spark, [fixed_finding("input", "input", None, FAIL, message)], name, settings.run_id)
     plan = plan_pair(A.Side.of(source), A.Side.of(target), table, settings, parents)
     return pair_results(source.sparkSession, TableInputs(source, target), plan, name, settings.run_id)
+
+
+def audit_by_check(
+    source: DataFrame,
+    target: DataFrame,
+    table: TableConfig,
+    name: str,
+    settings: Settings = Settings(),
+    parents: Mapping[str, DataFrame | Exception] | None = None,
+) -> list[tuple[Finding, Callable[[], DataFrame]]]:
+    """The audit of a pair check by check: a finding that names the check, and what gives its result rows.
+
+    Every check reads the tables on its own, so this is for pairs whose fused audit failed.
+    """
+    plan = plan_pair(A.Side.of(source), A.Side.of(target), table, settings, parents)
+    inputs, spark = TableInputs(source, target), source.sparkSession
+    return [(f, partial(pair_results, spark, inputs, one, name, settings.run_id)) for f, one in plan.single()]

@@ -16,14 +16,16 @@ from pyspark.sql import functions as F
 from evenkeel import results as R
 from evenkeel.config import AuditConfig, TableConfig
 from evenkeel.functions import masking
+from evenkeel.functions.values import looks_like_key
 from evenkeel.operators import aggregates, constraints, datetimes, faults, frequency, keys, mapping, quarantine
 from evenkeel.operators import rollup, samples, sketch, strings, volume
+from evenkeel.operators.suggest import suggest_config
 from evenkeel.plans import targets as X
 from evenkeel.plans.evidence import failing_values
 from evenkeel.plans.job import run_audit
 from evenkeel.plans.pair_audit import Settings, audit_pair
 from evenkeel.sources.read import read_csv, rename
-from evenkeel.sources.write import ci_report, content_hash
+from evenkeel.sources.write import ci_report, content_hash, write_quarantine, write_report
 from evenkeel.staging import staging_dir
 from evenkeel.streaming.incremental import IncrementalAudit
 
@@ -69,6 +71,13 @@ def identity_null_keys(spark, sf):
     return R.flat(keys.check_identity(s, t, "o_custkey", "orders"), counts, ["overlap_pct"])
 
 
+def identity_wide_numbers(spark, sf):
+    """BIGINT keys above 2^53 against DOUBLE keys: only those that a double holds exactly are found."""
+    orders = X.table(spark, sf, "orders").selectExpr("9007199254740992L + o_orderkey AS k")
+    counts = ["common_keys", "src_keys", "tgt_keys"]
+    return R.flat(keys.check_identity(orders, orders.selectExpr("CAST(k AS DOUBLE) AS k"), "k", "orders"), counts)
+
+
 def missing_keys(spark, sf):
     s, t = _orders(spark, sf)
     return keys.missing_keys(s, t, "o_custkey")
@@ -145,6 +154,32 @@ def numeric_precision(spark, sf):
     return R.flat(found, ["src_max_scale", "tgt_max_scale", "src_max_precision", "tgt_max_precision"])
 
 
+def tiny_digits(spark, sf):
+    """Digits far behind the point: 15 x 10^-(key mod 25) against zeros."""
+    orders = X.table(spark, sf, "orders")
+    small = orders.selectExpr("CAST(concat('15E-', o_orderkey % 25) AS DOUBLE) AS x")
+    found = aggregates.check_numeric_precision(small, orders.selectExpr("0D AS x"), "x", "orders")
+    return R.flat(found, ["src_max_scale", "tgt_max_scale"])
+
+
+def agg_presence(spark, sf):
+    """Aggregates of columns that a side lacks, and of one that holds junk."""
+    s, t = _orders(spark, sf)
+    s = s.withColumnRenamed("o_custkey", "old_key")
+    t = t.withColumn("o_totalprice", F.expr("IF(o_orderkey % 7 = 0, 'junk', CAST(o_totalprice AS STRING))"))
+    found = aggregates.check_aggregates(s, t, ["o_totalprice", "o_custkey", "nowhere"], "orders", 1.0)
+    return found.groupBy("check", "column", "status").agg(F.count(F.lit(1)).alias("results"))
+
+
+def id_columns(spark, sf):
+    """Which columns of all tables count as keys and so are left out of drift checks."""
+    rows = [
+        (name, f.name, looks_like_key(f.name)) for name in ("documents", "embeddings", "events", "orders", "customer")
+        for f in X.table(spark, sf, name).schema
+    ]
+    return spark.createDataFrame(rows, "table_name string, column string, is_key boolean")
+
+
 # --- values ----------------------------------------------------------------------------------------
 
 
@@ -583,6 +618,43 @@ def csv_scan(spark, sf):
     )
 
 
+def _written_csv(spark, df, line, name):
+    """One text column per row as lines of a file below a header."""
+    path = os.path.join(staging_dir(spark), "evenkeel", f"{name}-{uuid.uuid4().hex}")
+    df.selectExpr(f"{line} AS value").write.text(f"{path}/lines")
+    spark.range(0, 1, 1, 1).selectExpr("'k,price,status' AS value").write.text(f"{path}/head")
+    # every file of a folder has its own header line
+    body = spark.read.text(f"{path}/lines").coalesce(1)
+    spark.read.text(f"{path}/head").coalesce(1).union(body).coalesce(1).write.text(f"{path}/table")
+    return f"{path}/table"
+
+
+def _damaged_csv(spark, sf, line, bad_lines="ERROR"):
+    """An audit of a text file with damaged lines against one without."""
+    orders = X.table(spark, sf, "orders")
+    whole = "concat_ws(',', o_orderkey, o_totalprice, o_orderstatus)"
+    source, target = (_written_csv(spark, orders, sql, name) for sql, name in ((line, "damaged"), (whole, "whole")))
+    config = AuditConfig.from_dict({
+        "bad_lines": bad_lines, "tolerances": {"volume_loss_pct": 100.0},
+        "tables": {"orders": {"source": target, "target": source, "primary_key": "k"}},
+    })
+    return run_audit(spark, config).results
+
+
+def csv_bad_lines(spark, sf):
+    """Lines with a field too many are counted and keep the audit from GO."""
+    line = "concat_ws(',', o_orderkey, o_totalprice, o_orderstatus, IF(o_orderkey % 20 = 0, 'more', NULL))"
+    found = _damaged_csv(spark, sf, line)
+    return R.flat(found.where("check IN ('csv_lines', 'volume')"), ["long_lines", "stray_quotes", "src_rows", "tgt_rows"])
+
+
+def csv_stray_quote(spark, sf):
+    """A stray quote costs no other row, and is reported."""
+    line = "concat_ws(',', o_orderkey, o_totalprice, concat(IF(o_orderkey % 30 = 0, '\"', ''), o_orderstatus))"
+    found = _damaged_csv(spark, sf, line, "WARN")
+    return R.flat(found.where("check IN ('csv_lines', 'volume')"), ["long_lines", "stray_quotes", "src_rows", "tgt_rows"])
+
+
 # --- whole audits ----------------------------------------------------------------------------------------
 
 
@@ -620,6 +692,76 @@ def failing_rows(spark, sf):
     return failing_values(s, t, orders_config(), _full(spark, sf), 5)
 
 
+def isolated_checks(spark, sf):
+    """One column cannot be read: its checks are errors, all others have the results they have otherwise."""
+    s, t = _orders(spark, sf)
+    t = t.withColumn("o_totalprice", F.expr("IF(o_orderkey = 50, raise_error('unreadable'), o_totalprice)"))
+    frames = {"orders_source": s, "orders_target": t, "customer": X.table(spark, sf, "customer")}
+    audit = run_audit(spark, AuditConfig({"orders": orders_config()}), frames=frames)
+    of_column = "column <=> 'o_totalprice'"
+    assert not audit.results.where(f"{of_column} AND status = 'ERROR'").isEmpty()
+    return R.flat(audit.results.where(f"NOT {of_column}"))
+
+
+def load_errors(spark, sf):
+    """A table that is not there and one whose configuration lacks a side; the third is audited."""
+    customer = X.table(spark, sf, "customer")
+    pair = {"primary_key": "c_custkey", "source": "customer", "target": "customer"}
+    tables = {"whole": pair, "absent": {**pair, "target": "/nowhere/customer.parquet"}, "unnamed": {**pair, "target": None}}
+    audit = run_audit(spark, AuditConfig.from_dict({"tables": tables}), frames={"customer": customer})
+    return R.flat(audit.results)
+
+
+def chosen_tables(spark, sf):
+    """Two of three configured tables; a name that is not configured is passed over."""
+    frames = {n: X.table(spark, sf, n) for n in ("customer", "part", "supplier")}
+    keys_of = {"customer": "c_custkey", "part": "p_partkey", "supplier": "s_suppkey"}
+    config = AuditConfig.from_dict({"tables": {n: {"primary_key": k, "source": n, "target": n} for n, k in keys_of.items()}})
+    assert run_audit(spark, config, dry_run=True, frames=frames).results.isEmpty()
+    return R.flat(run_audit(spark, config, tables=["part", "supplier", "none"], frames=frames).results)
+
+
+def input_guard(spark, sf):
+    """A pair without a target gets one result, and no check runs."""
+    return R.flat(audit_pair(X.table(spark, sf, "orders"), None, orders_config(), "orders"))
+
+
+def quarantine_files(spark, sf):
+    """Invalid rows written to the quarantine and read back: rows per side and file."""
+    path = os.path.join(staging_dir(spark), "evenkeel", f"quarantine-{uuid.uuid4().hex}")
+    write_quarantine(_quarantined(spark, sf), path)
+    return spark.read.parquet(path).groupBy("table_name", "side").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def report_files(spark, sf):
+    """The report of an audit, written and read back: results per section."""
+    path = os.path.join(staging_dir(spark), "evenkeel", f"report-{uuid.uuid4().hex}")
+    write_report(_full(spark, sf), path)
+    found = spark.read.json(f"{path}/sections")
+    return found.selectExpr("section", "section_verdict", "checks")
+
+
+def suggested_configuration(spark, sf):
+    """The configuration suggested for each table, by its schema."""
+    rows = []
+    for name in ("orders", "customer", "lineitem"):
+        found = suggest_config(X.table(spark, sf, name).schema, "a", "b")
+        rows.append((name, found["primary_key"], ",".join(found["aggregates"]), ",".join(c["column"] for c in found["datetime_columns"])))
+    return spark.createDataFrame(rows, "table_name string, primary_key string, aggregates string, datetimes string")
+
+
+def copied_targets(spark, sf):
+    """Each full copy of a source is compared on its own."""
+    orders = X.table(spark, sf, "orders")
+    spec = lambda *names: [{"path": n, "primary_key": "o_orderkey"} for n in names]
+    table = {"primary_key": "o_orderkey", "complex_mapping": {
+        "mapping_type": "1:N", "split_strategy": "copy", "sources": spec("s"), "targets": spec("a", "b"),
+    }}
+    frames = {"s": orders, "a": orders, "b": orders.where("o_orderkey % 4 <> 0")}
+    found = run_audit(spark, AuditConfig.from_dict({"tables": {"orders": table}}), frames=frames).results
+    return R.flat(found.where("check = 'volume'"), ["src_rows", "tgt_rows"])
+
+
 def custom_checks(spark, sf):
     """Checks by name from the registry, in one audit with the built-in ones."""
     s, t = _orders(spark, sf)
@@ -696,6 +838,9 @@ ALL: dict[str, Query] = {
             union_1_to_n, reshard_n_to_m, column_rename, mask_columns, redact_text, inject_faults,
             offending_values, csv_scan, full_audit, verdict, section_verdicts, table_summary, ci_summary,
             result_fingerprint, incremental_audit, failing_rows, custom_checks, sampled_rows, split_shards,
+            csv_bad_lines, csv_stray_quote, identity_wide_numbers, tiny_digits, agg_presence, id_columns,
+            isolated_checks, load_errors, chosen_tables, input_guard, quarantine_files, report_files,
+            suggested_configuration, copied_targets,
         )
     },
     "agg_sum": _aggregate("sum"),

@@ -10,6 +10,7 @@ from urllib.parse import unquote, urlsplit
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evenkeel.functions import values as V
@@ -28,6 +29,9 @@ DIALECTS = {
 
 OVERFLOW = "_overflow"
 
+# Columns whose types are found in one pass.
+INFERRED = 12
+
 
 class DataLoadError(RuntimeError):
     """A table cannot be read."""
@@ -110,6 +114,8 @@ def read_jdbc(
     Without ``partitioning`` one task reads everything, so give it for any large table.
     """
     if uri.startswith("jdbc:"):
+        if not table and not query:
+            raise ValueError("the table to read is missing: a jdbc: URL needs a table or a query")
         target = {"query": query} if query and not partitioning else {"dbtable": f"({query}) q" if query else table}
         settings = {"url": uri, **target, **(partitioning.options() if partitioning else {})}
     else:
@@ -117,39 +123,28 @@ def read_jdbc(
     return spark.read.format("jdbc").options(**settings, **options).load()
 
 
-def _has_quoted_newlines(spark: SparkSession, path: str, encoding: str) -> bool:
-    """A record spans lines exactly if some line holds an odd number of quotes.
-
-    The answer decides whether the file can be split. The pass stops at the first such line.
-    """
-    lines = spark.read.option("encoding", encoding).text(path)
-    odd = "(length(value) - length(replace(value, '\"', ''))) % 2 = 1"
-    return not lines.where(odd).limit(1).isEmpty()
-
-
 def read_csv(
     spark: SparkSession,
     path: str,
     delimiter: str = ",",
     encoding: str = "utf-8",
     na_values: Sequence[str] = NA_TOKENS,
-    schema: T.StructType | None = None,
+    schema: T.StructType | str | None = None,
     infer: bool = True,
-    multiline: bool | None = None,
-    keep_long_lines: bool = False,
+    multiline: bool = False,
 ) -> DataFrame:
     """Delimited text with a header row.
 
     Everything is read as text; ``na_values`` become NULL; then a column turns numeric or boolean only
-    if every value converts. Lines with more fields than the header are dropped (see
-    :func:`long_lines`), shorter ones are filled with NULL. Give a ``schema`` to skip the pass that
-    finds the types, and ``multiline`` to skip the one that looks for quoted line breaks.
+    if every value converts. Lines with fewer fields than the header are filled with NULL. A line with more
+    cannot be read and is left out; :func:`bad_lines` counts such lines, and an audit reports them. Give a ``schema``
+    (also as DDL) to skip the pass that finds the types. Only with ``multiline`` may a quoted field hold line
+    breaks; a file is then read by one task, and a stray quote takes in what follows it.
     """
     names, raw = _raw_csv(spark, path, delimiter, encoding, multiline)
     if not names:
         return spark.createDataFrame([], T.StructType([]))
-    if not keep_long_lines:
-        raw = raw.where(f"{OVERFLOW} IS NULL")
+    raw = raw.where(f"{OVERFLOW} IS NULL")
     text = raw.selectExpr(
         *[
             f"CASE WHEN {V.is_any(ident(n), list(na_values))} THEN NULL ELSE {ident(n)} END AS {ident(n)}"
@@ -157,23 +152,34 @@ def read_csv(
         ]
     )
     if schema is not None:
+        schema = spark.createDataFrame([], schema).schema if isinstance(schema, str) else schema
         return text.selectExpr(
             *[_convert(f.name, f.dataType) if f.name in names else f"CAST(NULL AS {f.dataType.simpleString()}) AS {ident(f.name)}" for f in schema]
         )
     return infer_types(text) if infer else text
 
 
-def long_lines(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "utf-8") -> DataFrame:
-    """Lines that hold more fields than the header."""
-    _, raw = _raw_csv(spark, path, delimiter, encoding, None)
-    return raw.where(f"{OVERFLOW} IS NOT NULL")
+def bad_lines(
+    spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "utf-8", multiline: bool = False, **_
+) -> DataFrame:
+    """One row: ``long_lines``, lines with more fields than the header, and ``stray_quotes``.
+
+    The latter counts lines with an odd number of quotes; with ``multiline``, where such lines belong together, files
+    with an odd number.
+    """
+    _, raw = _raw_csv(spark, path, delimiter, encoding, multiline)
+    long = raw.selectExpr(f"count_if({OVERFLOW} IS NOT NULL) AS long_lines", "0L AS stray_quotes")
+    quotes = "length(value) - length(replace(value, '\"', ''))"
+    lines = spark.read.option("encoding", encoding).text(path).selectExpr(f"{quotes} AS quotes", "input_file_name() AS file")
+    if multiline:
+        lines = lines.groupBy("file").agg(F.sum("quotes").alias("quotes"))
+    stray = lines.selectExpr("0L AS long_lines", "count_if(quotes % 2 = 1) AS stray_quotes")
+    return long.unionByName(stray).selectExpr("sum(long_lines) AS long_lines", "sum(stray_quotes) AS stray_quotes")
 
 
-def _raw_csv(spark: SparkSession, path: str, delimiter: str, encoding: str, multiline: bool | None):
+def _raw_csv(spark: SparkSession, path: str, delimiter: str, encoding: str, multiline: bool):
     options = {"header": "true", "sep": delimiter, "encoding": encoding, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
     try:
-        if multiline is None:
-            multiline = _has_quoted_newlines(spark, path, encoding)
         reader = spark.read.options(**options, multiLine=str(multiline).lower())
         names = reader.csv(path).columns
     except AnalysisException as e:
@@ -200,18 +206,20 @@ def _convert(name: str, dtype: T.DataType) -> str:
 
 
 def infer_types(df: DataFrame) -> DataFrame:
-    """Text columns become BIGINT, DOUBLE or BOOLEAN where every value converts; one aggregate."""
+    """Text columns become BIGINT, DOUBLE or BOOLEAN where every value converts; an aggregate for every few columns."""
     texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
     if not texts:
         return df
-    aggs = ["count(1) AS n"]
-    for i, name in enumerate(texts):
-        c = ident(name)
-        aggs += [
-            f"count({c}) AS a{i}", f"count({V.to_number(c, T.StringType())}) AS d{i}",
-            f"count({V.to_integer(c)}) AS l{i}", f"count_if(lower({c}) IN ('true', 'false')) AS b{i}",
-        ]
-    seen = df.selectExpr(*aggs).first()
+    seen: dict[str, int] = {}
+    for at in range(0, len(texts), INFERRED):  # more aggregates in one pass would not be compiled
+        aggs = ["count(1) AS n"]
+        for i, name in enumerate(texts[at : at + INFERRED], at):
+            c = ident(name)
+            aggs += [
+                f"count({c}) AS a{i}", f"count({V.to_number(c, T.StringType())}) AS d{i}",
+                f"count({V.to_integer(c)}) AS l{i}", f"count_if(lower({c}) IN ('true', 'false')) AS b{i}",
+            ]
+        seen |= df.selectExpr(*aggs).first().asDict()
     kinds: dict[str, T.DataType] = {}
     for i, name in enumerate(texts):
         n = seen[f"a{i}"]
@@ -233,22 +241,29 @@ def rename(df: DataFrame, mapping: Mapping[str, str] | None) -> DataFrame:
     return df.withColumnsRenamed(dict(mapping)) if mapping else df
 
 
+def is_parquet(path: str) -> bool:
+    return path.startswith("parquet:") or path.rstrip("/").endswith(".parquet")
+
+
 def read_table(
     spark: SparkSession,
     path: str,
     query: str | None = None,
     column_mapping: Mapping[str, str] | None = None,
-    partitioning: JdbcPartitioning | None = None,
+    partitioning: JdbcPartitioning | Mapping[str, Any] | None = None,
+    table: str | None = None,
     **csv_options,
 ) -> DataFrame:
     """The table behind a path: database URI, parquet (``*.parquet`` or ``parquet:<path>``), else CSV.
 
+    ``table`` and ``partitioning`` are for databases, the other options those of :func:`read_csv`.
     Raises ``FileNotFoundError`` for a missing file and ``DataLoadError`` for anything else.
     """
     try:
         if is_database(path):
-            df = read_jdbc(spark, path, query=query, partitioning=partitioning)
-        elif path.startswith("parquet:") or path.rstrip("/").endswith(".parquet"):
+            ranges = JdbcPartitioning(**partitioning) if isinstance(partitioning, Mapping) else partitioning
+            df = read_jdbc(spark, path, table=table, query=query, partitioning=ranges)
+        elif is_parquet(path):
             df = spark.read.parquet(path.removeprefix("parquet:"))
         else:
             df = read_csv(spark, path, **csv_options)

@@ -25,8 +25,11 @@ def staging_dir(spark: SparkSession) -> str:
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back."""
+    """Write ``df`` once to the shared folder and read it back. The files go when the application ends."""
     spark = df.sparkSession
     path = os.path.join(staging_dir(spark), "evenkeel", f"{name}-{uuid.uuid4().hex}")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    # told before the job starts, so that a failed job leaves nothing behind either
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

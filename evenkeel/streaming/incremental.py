@@ -4,8 +4,12 @@ The state holds, per side, one row of metrics per batch, value counts, key count
 All of it merges by addition (or minimum, maximum, see :mod:`evenkeel.operators.facts`), so the final
 status comes from the very plan the batch audit uses, over the state instead of the tables.
 
-A batch always writes to the folder named after its id and replaces what is there. A batch that a
-failure makes Spark run again therefore counts once.
+A batch always writes to the folder named after its stream and its id and replaces what is there. A batch that a
+failure makes Spark run again therefore counts once, and a stream with a new checkpoint, which numbers its batches
+anew, takes nothing away from what another has stored.
+
+Every ``compact_every`` batches the folders of a side are merged into one. A marker that is put in place by a rename
+names the merged folder and all that it holds, so a reader sees either the folders or their sum.
 """
 
 from __future__ import annotations
@@ -14,7 +18,6 @@ import os
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -41,7 +44,9 @@ class IncrementalAudit:
         state_dir: str,
         settings: Settings = Settings(),
         parents: Mapping[str, DataFrame | Exception] | None = None,
+        compact_every: int = 50,
     ):
+        self.compact_every = compact_every
         self.spark, self.name, self.state_dir, self.settings = spark, name, state_dir, settings
         self.schemas = {"source": source_schema, "target": target_schema}
         self.plan = plan_pair(A.Side(source_schema), A.Side(target_schema), table, settings, parents)
@@ -77,41 +82,116 @@ class IncrementalAudit:
     def _path(self, side: str, part: str) -> str:
         return os.path.join(self.state_dir, self.name, part, f"side={side}")
 
-    def add_batch(self, side: str, df: DataFrame, batch_id: int) -> None:
-        """Store the contribution of one batch; the same id replaces an earlier attempt."""
+    def add_batch(self, side: str, df: DataFrame, batch_id: int, stream: str = "batches") -> None:
+        """Store the contribution of one batch; the same id of the same stream replaces an earlier attempt."""
         if side not in SIDES:
             raise ValueError(f"side must be one of {SIDES}")
+        folder = f"stream={stream}/batch_id={batch_id}"
+
         def write(item: tuple[str, DataFrame]) -> None:
             part, rows = item
-            rows.write.mode("overwrite").parquet(os.path.join(self._path(side, part), f"batch_id={batch_id}"))
+            rows.write.mode("overwrite").parquet(os.path.join(self._path(side, part), folder))
 
-        # the parts are independent jobs over few columns each; submitted together they fill the cluster
-        with ThreadPoolExecutor(max_workers=WRITERS) as pool:
-            list(pool.map(write, self._parts(side, df).items()))
+        df = df.persist()  # the parts are independent jobs over few columns each; together they fill the cluster
+        try:
+            with ThreadPoolExecutor(max_workers=WRITERS) as pool:
+                list(pool.map(write, self._parts(side, df).items()))
+        finally:
+            df.unpersist()
+        if len(self._folders(side)) >= self.compact_every:
+            self.compact(side)
 
     def process(self, side: str, stream: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         """Start a query that stores every micro-batch; by default it stops at the end of the input."""
+
+        def store(df: DataFrame, batch_id: int) -> None:
+            query = df.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+            self.add_batch(side, df, batch_id, query)
+
         return (
-            stream.writeStream.foreachBatch(lambda df, batch_id: self.add_batch(side, df, batch_id))
+            stream.writeStream.foreachBatch(store)
             .option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True}))
             .start()
         )
 
+    # --- folders of batches ----------------------------------------------------------------
+
+    def _files(self):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(self.state_dir).getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _names(self, path: str) -> list[str]:
+        fs, folder = self._files(), self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return sorted(f.getPath().getName() for f in fs.listStatus(folder)) if fs.exists(folder) else []
+
+    def _marker(self, side: str) -> str:
+        return os.path.join(self.state_dir, self.name, f"compacted-{side}")
+
+    def _compacted(self, side: str) -> tuple[str | None, set[str]]:
+        """The merged folder, and the folders it holds."""
+        found = [n for n in self._names(self._marker(side)) if not n.startswith((".", "_"))]
+        if not found:
+            return None, set()
+        newest = max(found, key=int)
+        held = {r["value"] for r in self.spark.read.text(os.path.join(self._marker(side), newest)).collect()}
+        return f"stream=compacted/batch_id={newest}", held
+
+    def _folders(self, side: str, part: str | None = None) -> list[str]:
+        """Folders of batches that no merged folder holds, of one part."""
+        part = part or next(iter(self._parts(side, self._nothing(side))), None)
+        if part is None:
+            return []
+        _, held = self._compacted(side)
+        here = self._path(side, part)
+        streams = [s for s in self._names(here) if s.startswith("stream=") and s != "stream=compacted"]
+        found = [f"{stream}/{batch}" for stream in streams for batch in self._names(f"{here}/{stream}")]
+        return [f for f in found if f not in held]
+
+    def compact(self, side: str) -> None:
+        """Merge all stored batches of a side into one folder per part."""
+        folders = self._folders(side)
+        merged, held = self._compacted(side)
+        number = int(merged.rpartition("=")[2]) + 1 if merged else 0
+        for part in self._parts(side, self._nothing(side)):
+            rows = self._merged(side, part)
+            rows.write.mode("overwrite").parquet(os.path.join(self._path(side, part), f"stream=compacted/batch_id={number}"))
+        path, fs = self.spark._jvm.org.apache.hadoop.fs.Path, self._files()
+        draft = path(os.path.join(self._marker(side), f"_{number}"))
+        out = fs.create(draft, True)
+        out.write(bytearray("\n".join(sorted(held | set(folders))).encode()))
+        out.close()
+        fs.rename(draft, path(os.path.join(self._marker(side), str(number))))
+        for part in self._parts(side, self._nothing(side)):
+            for folder in [*folders, *([merged] if merged else [])]:
+                fs.delete(path(os.path.join(self._path(side, part), folder)), True)
+
+    def _merged(self, side: str, part: str) -> DataFrame:
+        """The stored rows of a part as one batch over all data would have left them."""
+        rows, columns = self.state(side, part), self._blank[side][part][0].columns
+        if part.startswith("metrics-"):
+            batch = A.batches(self.plan.scalar)[int(part.rpartition("-")[2])]
+            return A.merge(rows, _of_side(batch, side)).select([f"`{c}`" for c in columns])
+        if part == "values":
+            return frequency.compact(rows).select(columns)
+        return (datetimes.compact(rows) if part == "stamps" else keys.compact(rows)).select(columns)
+
     # --- the result ------------------------------------------------------------------------
 
     def state(self, side: str, part: str) -> DataFrame:
         """Stored rows of a part; a side without batches is an empty table."""
+        self._nothing(side)
+        blank, schema = self._blank[side][part]
+        merged, _ = self._compacted(side)
+        folders = [*self._folders(side, part), *([merged] if merged else [])]
+        if not folders:
+            return blank
+        return self.spark.read.schema(schema).parquet(*[os.path.join(self._path(side, part), f) for f in folders])
+
+    def _nothing(self, side: str) -> DataFrame:
+        nothing = self.spark.createDataFrame([], self.schemas[side])
         if side not in self._blank:
-            nothing = self.spark.createDataFrame([], self.schemas[side])
             self._blank[side] = {name: (rows, rows.schema) for name, rows in self._parts(side, nothing).items()}
-        blank, schema = self._blank[side][part]
-        try:
-            return self.spark.read.schema(schema).parquet(self._path(side, part))
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return blank
-            raise
+        return nothing
 
     def finalize(self) -> DataFrame:
         """Result rows over everything stored so far. The state stays and can grow further."""

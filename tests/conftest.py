@@ -9,6 +9,19 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from evenkeel import session  # noqa: E402
 
 
+DATA = "/root/testdata"
+
+
+def order_rows(spark, rows, scale="sf0.001"):
+    """The first orders of a driver table under short names, with ids from 1 and a time of day."""
+    orders = spark.read.parquet(f"{DATA}/{scale}/orders.parquet").where(f"o_orderkey < {rows}")
+    return orders.selectExpr(
+        "o_orderkey + 1 AS id", "concat('order ', lpad(o_orderkey, 4, '0')) AS name", "round(o_totalprice / 1000, 2) AS amount",
+        "o_orderpriority AS category", "o_orderstatus AS status",
+        "CAST(o_orderdate AS timestamp) + make_dt_interval(0, 0, 0, o_orderkey * 977 % 86400) AS created_at",
+    )
+
+
 @pytest.fixture(scope="session")
 def spark():
     settings = {

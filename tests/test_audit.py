@@ -1,7 +1,7 @@
 """The fused audit: invariances, extension, evidence, number of jobs, plan shape."""
 
 import pytest
-from conftest import by_check
+from conftest import by_check, order_rows
 
 from evenkeel.config import TableConfig
 from evenkeel.operators import faults, rollup
@@ -16,14 +16,14 @@ TABLE = TableConfig(
     string_columns=({"column": "name", "check_whitespace": True, "check_encoding": True, "max_length": 12},),
     datetime_columns=({"column": "created_at"},), unique_columns=("name", "id"), null_sentinels=({"column": "name", "sentinels": [""]},),
     numeric_precision_columns=({"column": "amount"},),
-    mappings=({"columns": ["status"], "allowed_values": ["Active", "Inactive", "Pending"]},),
+    mappings=({"columns": ["status"], "allowed_values": ["F", "O", "P"]},),
     data_constraints={"amount": ["positive", "between_0_5000"], "name": ["not_null"]},
 )
 
 
 @pytest.fixture(scope="module")
 def base(spark):
-    return faults.base_table(spark, 400)
+    return order_rows(spark, 400)
 
 
 def test_a_table_against_itself_is_go(base):

@@ -69,19 +69,17 @@ def test_deltas_round_half_to_even(column):
     assert only(D.check_tz_offset(s, t, ["c"], "id", "t"))["metrics"]["median_delta_minutes"] == 1.0  # of 0 and 2
 
 
-@pytest.mark.parametrize("broadcast", [True, False])
-def test_repeated_keys_equal_all_pairs(frame, monkeypatch, broadcast):
+@pytest.mark.parametrize(("rows", "split"), [((150, 150), 5), ((40, 300), 5), ((300, 40), 5), ((150, 151), 10**6)])
+def test_repeated_keys_equal_all_pairs(frame, monkeypatch, rows, split):
     """Several timestamps per key on both sides, one hot key: compared with every pair in plain Python."""
-    if not broadcast:
-        monkeypatch.setattr(D, "BROADCAST_KEYS", 2)
-    monkeypatch.setattr(D, "ROWS_PER_SPLIT", 5)
+    monkeypatch.setattr(D, "ROWS_PER_SPLIT", split)
     rng = random.Random(1)
 
-    def side():
-        rows = [(rng.choice([7, 7, rng.randrange(40)]), rng.randrange(5000) * 30) for _ in range(150)]
+    def side(n):
+        rows = [(rng.choice([7, 7, rng.randrange(40)]), rng.randrange(5000) * 30) for _ in range(n)]
         return rows + [(None, 5), (3, None)]
 
-    s, t = side(), side()
+    s, t = map(side, rows)
     pairs = [round((b - a) / 60) for k, a in s for j, b in t if k is not None and k == j and a is not None and b is not None]
     schema = "id long, sec long"
     make = lambda rows: frame(schema, rows).selectExpr("id", "timestamp_seconds(sec) AS c")
@@ -91,6 +89,20 @@ def test_repeated_keys_equal_all_pairs(frame, monkeypatch, broadcast):
     assert m["std_delta_minutes"] == pytest.approx(statistics.stdev(pairs))
 
 
+@pytest.mark.parametrize("weights", [[1], [1, 1], [2, 1, 1], [5, 1], [1, 5], [3, 3], [10**30, 10**30], [1, 10**30, 10**30 + 2]])
+def test_median_of_counts(spark, weights):
+    """Exact for counts beyond 64 bits, within a day and across days."""
+    for step in (1, 700, 5000):
+        rows = [("c", (i - 1) * step, w) for i, w in enumerate(weights)]
+        df = spark.createDataFrame([(c, d, str(w)) for c, d, w in rows], "column string, delta long, pairs string")
+        got = D.medians(df.withColumn("pairs", df.pairs.cast("decimal(38,0)"))).first()["median"]
+        total, seen, places = sum(weights), 0, []
+        for _, d, w in rows:
+            places += [d for place in ((total - 1) // 2, total // 2) if seen <= place < seen + w]
+            seen += w
+        assert got == sum(places) / 2
+
+
 def test_equal_rows_of_a_hot_key_need_no_join(spark):
     """A third of a million rows with one key and one timestamp: 1.1e11 pairs from one counted row per side."""
     df = spark.range(900_000).selectExpr("IF(id % 3 = 0, -1L, id) AS id", "IF(id % 3 = 0, timestamp_seconds(0), timestamp_seconds(id)) AS c")

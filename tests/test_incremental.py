@@ -1,4 +1,5 @@
 import pytest
+from conftest import order_rows
 
 from evenkeel.config import TableConfig
 from evenkeel.operators import faults, sketch
@@ -15,7 +16,7 @@ TABLE = TableConfig(
 
 @pytest.fixture(scope="module")
 def pair(spark):
-    source = faults.base_table(spark, 300)
+    source = order_rows(spark, 300)
     plan = [
         {"type": "delete_row", "every": 50}, {"type": "negative", "column": "amount", "every": 30},
         {"type": "whitespace", "column": "name", "every": 20}, {"type": "duplicate_ids", "every": 25},
@@ -52,6 +53,31 @@ def test_streams(spark, pair, tmp_path):
     assert outcome(audit.finalize()) == outcome(audit_pair(source, target, TABLE, "users"))
 
 
+def test_a_new_checkpoint_takes_nothing_away(spark, pair, tmp_path):
+    """Two streams that both number their batches from 0."""
+    source, target = pair
+    audit = IncrementalAudit(spark, "users", TABLE, source.schema, target.schema, str(tmp_path / "state"))
+    audit.add_batch("target", target, 0)
+    for name, rows in (("old", "id <= 200"), ("new", "id > 200")):
+        source.where(rows).write.parquet(str(tmp_path / name))
+        stream = spark.readStream.schema(source.schema).parquet(str(tmp_path / name))
+        audit.process("source", stream, str(tmp_path / f"checkpoint-{name}")).awaitTermination()
+    assert outcome(audit.finalize()) == outcome(audit_pair(source, target, TABLE, "users"))
+
+
+def test_many_small_batches_leave_few_files(spark, pair, tmp_path):
+    source, target = pair
+    audit = IncrementalAudit(spark, "users", TABLE, source.schema, target.schema, str(tmp_path), compact_every=4)
+    audit.add_batch("target", target, 0)
+    for i in range(11):
+        audit.add_batch("source", source.where(f"id % 11 = {i}"), i)
+    assert outcome(audit.finalize()) == outcome(audit_pair(source, target, TABLE, "users"))
+    folders = list(tmp_path.glob("users/values/side=source/*/batch_id=*"))
+    assert len(folders) <= 4
+    audit.add_batch("source", source.where("id % 11 = 2"), 2)  # a late second attempt of a batch that is merged already
+    assert outcome(audit.finalize()) == outcome(audit_pair(source, target, TABLE, "users"))
+
+
 def test_a_side_without_batches_is_empty(spark, pair, tmp_path):
     source, target = pair
     audit = IncrementalAudit(spark, "users", TABLE, source.schema, target.schema, str(tmp_path))

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import pytest
+from conftest import order_rows
 from pyspark.sql import functions as F
 
 from evenkeel.config import TableConfig
@@ -53,10 +54,11 @@ def test_equal_rows_keep_exactly_one(spark):
     assert (counts, kept) == (10, 10)
 
 
-@pytest.mark.parametrize("limit", [100_000, 3])
-def test_duplicates_of_a_hot_key(spark, monkeypatch, limit):
-    """A third of the rows share a key; the same result whether the lookup is broadcast or shuffled."""
-    monkeypatch.setattr(lookup, "BROADCAST_ROWS", limit)
+@pytest.mark.parametrize(("share", "key_bytes"), [(1, 4096), (2, 4096), (100_000, 4096), (2_000, 0)])
+def test_duplicates_of_a_hot_key(spark, monkeypatch, share, key_bytes):
+    """A third of the rows share a key; the same result whichever keys are taken for hot."""
+    monkeypatch.setattr(lookup.attach, "__defaults__", (share,))
+    monkeypatch.setattr(lookup, "KEY_BYTES", key_bytes)
     rng = random.Random(3)
     rows = [(rng.choice([0, rng.randrange(60), rng.randrange(500)]), i) for i in range(900)]
     df = spark.createDataFrame(rows, "id long, pos long").repartition(5)
@@ -68,26 +70,24 @@ def test_duplicates_of_a_hot_key(spark, monkeypatch, limit):
     assert got == want
 
 
-def test_attach_keeps_every_row(spark, monkeypatch):
-    monkeypatch.setattr(lookup, "BROADCAST_ROWS", 2)
+@pytest.mark.parametrize("share", [1, 3, 10**9])
+def test_attach_keeps_every_row(spark, share):
     rows = spark.createDataFrame([(k % 7 if k % 7 < 6 else None, k) for k in range(100)], "k long, v long")
     table = spark.createDataFrame([(i, i * 10, f"n{i}") for i in range(5)], "k long, w long, name string")
-    got = lookup.attach(rows, table, "k", "w")
+    got = lookup.attach(rows, table, "k", "w", share)
     assert got.columns == ["k", "v", "w", "name"]
     want = [(k, v, *((k * 10, f"n{k}") if k is not None and k < 5 else (None, None))) for k, v in map(tuple, rows.collect())]
     assert Counter(map(tuple, got.collect())) == Counter(want)
 
 
-def test_rows_of_a_hot_key_are_spread(spark, monkeypatch):
+def test_rows_of_a_hot_key_are_spread(spark):
     """Of rows with one key, no task of the join may get all."""
-    monkeypatch.setattr(lookup, "BROADCAST_ROWS", 2)
-    monkeypatch.setattr(lookup, "ROWS_PER_PART", 500)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         rows = spark.range(9000).selectExpr("IF(id % 3 = 0, -1L, id) AS k", "id AS v")
         table = spark.range(-1, 9000).selectExpr("id AS k", "IF(id = -1, 3000L, 1L) AS w")
-        for joined in (lookup.attach(rows, table, "k", "w"), lookup.skewed_left_join(rows, table, "k")):
+        for joined in (lookup.attach(rows, table, "k", "w", 20), lookup.skewed_left_join(rows, table, "k", 20)):
             sizes = [r["n"] for r in joined.groupBy(F.spark_partition_id()).agg(F.count("w").alias("n")).collect()]
             assert sum(sizes) == 9000 and max(sizes) < 3600, sizes
     finally:
@@ -138,9 +138,9 @@ def test_count_first_last(parts):
         mapping.merge_sources(parts, "N:1", "sum", None)
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 2, 1])
-def test_join_parts(frame, monkeypatch, limit):
-    monkeypatch.setattr(lookup, "ROWS_PER_PART", limit)
+@pytest.mark.parametrize("share", [1, 2, 10**9])
+def test_join_parts(frame, monkeypatch, share):
+    monkeypatch.setattr(lookup.skewed_left_join, "__defaults__", (share,))
     a = frame("id long, x long", [(1, 10), (2, 20), (2, 21), (None, 0)])
     b = frame("id long, x long, y long", [(2, 0, 200), (2, 0, 201), (3, 0, 300), (None, 0, 1)])
     got = mapping.merge_targets([a, b], "1:N", "join", ["id", "id"])
@@ -165,8 +165,8 @@ def test_redaction(frame):
 
 
 def test_faults_do_not_depend_on_partitioning(spark):
-    df = faults.base_table(spark, 200)
-    plan = [{"type": "delete_row", "every": 9}, {"type": "special_chars", "column": "name", "every": 4}, {"type": "garbage", "column": "amount", "every": 5}]
+    df = order_rows(spark, 200)
+    plan = [{"type": "delete_row", "every": 9}, {"type": "special_chars", "column": "name", "every": 4, "text": "ß,\"☂"}, {"type": "garbage", "column": "amount", "every": 5}]
     a, b = faults.inject(df, "id", plan), faults.inject(df.repartition(6), "id", plan)
     assert Counter(map(tuple, a.collect())) == Counter(map(tuple, b.collect())) and a.count() == 178
 
@@ -179,17 +179,6 @@ def test_samples(spark):
     assert Counter(share.collect()) == Counter(samples.sample_rows(df.repartition(3), "id", 0.2).collect())
 
 
-def test_generated_rows_follow_the_configuration(spark):
-    table = TableConfig(
-        primary_key="id", data_constraints={"day": ["date"], "email": ["not_null"], "name": []}, aggregates=("amount",),
-        mappings=({"columns": ["status"], "allowed_values": ["a", "b"]},),
-    )
-    df = faults.generate_table(spark, table, 50)
-    valid, bad = quarantine.split(df, table, is_source=False)
-    assert valid.count() == 50 and bad.count() == 0
-    assert {r["status"] for r in df.select("status").distinct().collect()} == {"a", "b"}
-
-
 def test_suggested_configuration(spark):
     from pyspark.sql import types as T
 

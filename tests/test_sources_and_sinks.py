@@ -1,6 +1,8 @@
 import json
 
 import pytest
+from conftest import order_rows
+from pyspark.sql import functions as F
 
 from evenkeel.config import AuditConfig, ConfigError, TableConfig, load_config
 from evenkeel.operators import faults, rollup
@@ -44,14 +46,54 @@ def test_delimiter_encoding_and_quotes(spark, csv):
 
 
 def test_line_breaks_inside_quotes(spark, csv):
-    df = read.read_csv(spark, csv('id,name\n1,"two\nlines"\n2,"a,b"\n'))
+    path = csv('id,name\n1,"two\nlines"\n2,"a,b"\n')
+    df = read.read_csv(spark, path, multiline=True)
+    assert read.bad_lines(spark, path, multiline=True).first() == (0, 0)
+    assert read.bad_lines(spark, path).first() == (0, 2)
     assert [tuple(r) for r in df.collect()] == [(1, "two\nlines"), (2, "a,b")]
 
 
 def test_long_and_short_lines(spark, csv):
     path = csv("a,b\n1,2\n1,2,3\n4\n")
     assert [tuple(r) for r in read.read_csv(spark, path).collect()] == [(1, 2), (4, None)]
-    assert read.long_lines(spark, path).count() == 1
+    assert read.bad_lines(spark, path).first() == (1, 0)
+
+
+def test_a_stray_quote_costs_no_other_row(spark, csv):
+    path = csv('a,b\n1,"x\n2,y\n3,z\n4,"w"\n')
+    assert [r["a"] for r in read.read_csv(spark, path).collect()] == [1, 2, 3, 4]
+    assert read.bad_lines(spark, path).first() == (0, 1)
+
+
+@pytest.mark.parametrize(("status", "verdict"), [("ERROR", "ERROR"), ("WARN", "GO WITH WARNINGS")])
+def test_an_audit_of_a_damaged_file_is_not_go(spark, csv, status, verdict):
+    good = "id,amount\n" + "".join(f"{i},{i}\n" for i in range(1, 6))
+    bad = good + "".join(f"{i},{i},{i}\n" for i in range(6, 106))
+    table = {"source": csv(good, "s.csv"), "target": csv(bad, "t.csv"), "primary_key": "id", "aggregates": ["amount"]}
+    config = AuditConfig.from_dict({"tables": {"t": table}, "bad_lines": status})
+    audit = run_audit(spark, config)
+    lines = [r for r in audit.results.collect() if r["check"] == "csv_lines"]
+    assert [(r["status"], r["metrics"]["long_lines"]) for r in lines] == [(status, 100)] and audit.verdict() == verdict
+
+
+def test_reader_options_of_a_table(spark, csv, monkeypatch):
+    path = csv("a|b\n1|caf\u00e9\n2|x\n", "l.csv", "iso-8859-1")
+    options = {"delimiter": "|", "encoding": "iso-8859-1", "schema": "a double, b string"}
+    table = {"source": path, "target": path, "primary_key": "a", "aggregates": ["a"], "source_options": options, "target_options": options}
+    assert run_audit(spark, AuditConfig.from_dict({"tables": {"t": table}})).verdict() == "GO"
+    with pytest.raises(ConfigError, match="unknown reader options: color"):
+        TableConfig(primary_key="a", source_options={"color": 1})
+    seen = {}
+    monkeypatch.setattr(read, "read_jdbc", lambda spark, uri, **k: seen.update(uri=uri, **k) or spark.range(3))
+    ranges = {"column": "id", "lower": 0, "upper": 9, "partitions": 3}
+    table = {"source": "mysql://h/db", "target": "jdbc:mysql://h/db", "primary_key": "id", "source_options": {"table": "s", "partitioning": ranges}, "target_options": {"table": "t"}}
+    assert run_audit(spark, AuditConfig.from_dict({"tables": {"t": table}})).verdict() == "GO"
+    assert seen["table"] in ("s", "t")
+    df = read.read_table(spark, "mysql://h/db", table="s", partitioning=ranges)
+    assert df.count() == 3 and seen["partitioning"] == read.JdbcPartitioning("id", 0, 9, 3)
+    monkeypatch.undo()
+    with pytest.raises(read.DataLoadError, match="missing"):
+        read.read_table(spark, "jdbc:mysql://h/db")
 
 
 def test_declared_schema(spark, csv):
@@ -148,13 +190,13 @@ def test_aggregate_mapping_reads_both_ways():
 @pytest.fixture(scope="module")
 def audit(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("audit")
-    df = faults.base_table(spark, 60).withColumn("created_at", faults.F.expr("CAST(created_at AS STRING)"))
+    df = order_rows(spark, 60).withColumn("created_at", F.expr("CAST(created_at AS STRING)"))
     df.write.option("header", "true").csv(str(folder / "src"))
     bad = faults.set_value(faults.duplicate_rows(df, "id", 20), "status", "id", 15, "BANNED")
     bad.write.option("header", "true").csv(str(folder / "tgt"))
     config = AuditConfig.from_dict({"tables": {"users": {
         "source": str(folder / "src"), "target": str(folder / "tgt"), "primary_key": "id", "aggregates": ["amount"],
-        "mappings": [{"columns": ["status"], "allowed_values": ["Active", "Inactive", "Pending"]}], "order_by": ["name"],
+        "mappings": [{"columns": ["status"], "allowed_values": ["F", "O", "P"]}], "order_by": ["name"],
         "data_constraints": {"created_at": ["not_null", "date"]},
     }}})
     return spark, config, folder
