@@ -665,6 +665,8 @@ ALL |= {
     " count(*) AS src_rows, count(*) AS tgt_rows FROM orders UNION ALL SELECT 'orders[2]', 'volume', NULL, 'FAIL', count(*),"
     " count(*) FILTER (WHERE o_orderkey % 4 <> 0) FROM orders",
     "sampled_rows": "SELECT o_orderkey, o_custkey FROM orders WHERE left(md5('0:' || o_orderkey), 8) < '19999999'",
-    "agg_presence": "SELECT * FROM (VALUES ('junk', 'o_totalprice', 'FAIL', 1)) AS found(\"check\", \"column\", status, results)",
+    "agg_presence": _with(ORDERS) + "SELECT 'orders' AS table_name, 'junk_values' AS \"check\", 'o_totalprice' AS \"column\", 'FAIL' AS status,"
+    " count(*) AS junk_rows FROM tgt WHERE o_orderkey % 7 = 0 UNION ALL SELECT 'orders', 'column_presence', 'o_custkey', 'FAIL', NULL"
+    " UNION ALL SELECT 'orders', 'column_presence', 'o_orderpriority', 'WARN', NULL",
     "isolated_checks": f"SELECT * FROM ({_FULL}) WHERE \"column\" IS DISTINCT FROM 'o_totalprice'",
 }

@@ -166,9 +166,10 @@ def agg_presence(spark, sf):
     """Aggregates of columns that a side lacks, and of one that holds junk."""
     s, t = _orders(spark, sf)
     s = s.withColumnRenamed("o_custkey", "old_key")
-    t = t.withColumn("o_totalprice", F.expr("IF(o_orderkey % 7 = 0, 'junk', CAST(o_totalprice AS STRING))"))
-    found = aggregates.check_aggregates(s, t, ["o_totalprice", "o_custkey", "nowhere"], "orders", 1.0)
-    return found.groupBy("check", "column", "status").agg(F.count(F.lit(1)).alias("results"))
+    t = t.withColumn("o_totalprice", F.expr("IF(o_orderkey % 7 = 0, 'junk', CAST(o_totalprice AS STRING))")).drop("o_orderpriority")
+    table = TableConfig(primary_key="o_orderkey", aggregates=("o_totalprice", "o_custkey", "o_orderpriority"))
+    found = audit_pair(s, t, table, "orders")
+    return R.flat(found.where("check IN ('column_presence', 'junk_values')"), ["junk_rows"])
 
 
 def id_columns(spark, sf):
