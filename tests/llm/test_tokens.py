@@ -9,6 +9,7 @@ from tokenizers import Tokenizer
 from evenkeel.llm import bpe, tokens
 
 MULTI, RANKS, FILE = (P.path(f) for f in ("byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"))
+LIBRARY = Tokenizer.from_file(FILE)
 TEXTS = [
     "", " ", "a", "  a  b ", "don't  stop\n\n now", "a b   c", "x\x1c y", "日本語 テキスト、です", "<|endoftext|>", "a <|endoftext|> b<|endoftext|>",
     "one two,\nThree 4.5!", "\n", "a" * 3000, "é\r\n é", "a \tb", "　x y　 z", "it's we'll 's 't", "🙂🙂 🙂",
@@ -26,9 +27,8 @@ def test_ranks_as_the_library():
 
 
 def test_file_as_the_library():
-    library = Tokenizer.from_file(FILE)
     got = tokens.file_encoder(FILE, RANKS, P.PATTERN)(pa.array(TEXTS))
-    assert [plain(x) for x in got] == [library.encode(t, add_special_tokens=False).ids for t in TEXTS]
+    assert [plain(x) for x in got] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in TEXTS]
 
 
 @settings(max_examples=200, deadline=None)
@@ -40,9 +40,8 @@ def test_any_text(texts):
     assert [plain(x) for x in got] == [want.encode_ordinary(t) for t in texts]
     back = tokens.decoded(pa.array(got, pa.binary()), tokens.vocabulary(MULTI, P.PATTERN)).to_pylist()
     assert back == [t.encode() for t in texts]
-    library = Tokenizer.from_file(FILE)
     got = tokens.file_encoder(FILE, RANKS, P.PATTERN)(column)
-    assert [plain(x) for x in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [plain(x) for x in got] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_long_texts_are_cut_at_safe_places():
