@@ -244,6 +244,8 @@ def plan_enum(column: str, mapping: Mapping[Any, Any] | None = None) -> ValueChe
                 {
                     "mapping": quote(",".join(f"{k}->{v}" for k, v in pairs or ())),
                     "expected_missing_values": unseen,
+                    # the differing values as a whole: value_differences
+                    "samples_cut": f"IF({lost} > {SAMPLE_VALUES} OR {extra} > {SAMPLE_VALUES}, 'yes', 'no')",
                 },
                 samples=get("samples"),
             )

@@ -138,7 +138,7 @@ class IncrementalAudit:
 
     def _folders(self, side: str, part: str | None = None) -> list[str]:
         """Folders of batches that no merged folder holds, of one part."""
-        part = part or next(iter(self._parts(side, self._nothing(side))), None)
+        part = part or next(iter(self._stored(side)), None)
         if part is None:
             return []
         _, held = self._compacted(side)
@@ -152,7 +152,7 @@ class IncrementalAudit:
         folders = self._folders(side)
         merged, held = self._compacted(side)
         number = int(merged.rpartition("=")[2]) + 1 if merged else 0
-        for part in self._parts(side, self._nothing(side)):
+        for part in self._stored(side):
             rows = self._merged(side, part)
             rows.write.mode("overwrite").parquet(os.path.join(self._path(side, part), f"stream=compacted/batch_id={number}"))
         path, fs = self.spark._jvm.org.apache.hadoop.fs.Path, self._files()
@@ -161,13 +161,13 @@ class IncrementalAudit:
         out.write(bytearray("\n".join(sorted(held | set(folders))).encode()))
         out.close()
         fs.rename(draft, path(os.path.join(self._marker(side), str(number))))
-        for part in self._parts(side, self._nothing(side)):
+        for part in self._stored(side):
             for folder in [*folders, *([merged] if merged else [])]:
                 fs.delete(path(os.path.join(self._path(side, part), folder)), True)
 
     def _merged(self, side: str, part: str) -> DataFrame:
         """The stored rows of a part as one batch over all data would have left them."""
-        rows, columns = self.state(side, part), self._blank[side][part][0].columns
+        rows, columns = self.state(side, part), self._stored(side)[part][0].columns
         if part.startswith("metrics-"):
             batch = A.batches(self.plan.scalar)[int(part.rpartition("-")[2])]
             return A.merge(rows, _of_side(batch, side)).select([f"`{c}`" for c in columns])
@@ -179,19 +179,19 @@ class IncrementalAudit:
 
     def state(self, side: str, part: str) -> DataFrame:
         """Stored rows of a part; a side without batches is an empty table."""
-        self._nothing(side)
-        blank, schema = self._blank[side][part]
+        blank, schema = self._stored(side)[part]
         merged, _ = self._compacted(side)
         folders = [*self._folders(side, part), *([merged] if merged else [])]
         if not folders:
             return blank
         return self.spark.read.schema(schema).parquet(*[os.path.join(self._path(side, part), f) for f in folders])
 
-    def _nothing(self, side: str) -> DataFrame:
-        nothing = self.spark.createDataFrame([], self.schemas[side])
+    def _stored(self, side: str) -> dict[str, tuple[DataFrame, T.StructType]]:
+        """The parts of a side, as they are without rows, and their schemas."""
         if side not in self._blank:
+            nothing = self.spark.createDataFrame([], self.schemas[side])
             self._blank[side] = {name: (rows, rows.schema) for name, rows in self._parts(side, nothing).items()}
-        return nothing
+        return self._blank[side]
 
     def finalize(self) -> DataFrame:
         """Result rows over everything stored so far. The state stays and can grow further."""
