@@ -7,8 +7,8 @@ Training, on the driver, from a bounded sample of labelled texts:
   different words in toxic texts than in ordinary ones (copies of a text add nothing), each as long as it keeps most
   of its places, follow the ordinary content in the toxic dictionary;
 * a window of ``WORDS`` words is compressed with either; the difference of the lengths is what toxic strings save. A
-  saving is large if it exceeds the ``QUANTILE`` of ordinary windows. A logistic curve over a text's savings is
-  calibrated on the sample.
+  saving counts by the thresholds that it reaches, quantiles of ordinary windows. A logistic curve over a text's savings
+  is calibrated on the sample.
 
 Scoring runs where the texts are, over all windows of the whole text. A text without words, so also NULL, has the
 score of a text without savings. If the sample lacks one of the classes, every score is that of the other class, and 0
@@ -37,9 +37,14 @@ TOXIC_ROWS, ORDINARY_ROWS, SAMPLE_BYTES = 1_000, 3_000, 100_000
 WORDS, DICTIONARY, TRAINING_WINDOWS = 12, 16_384, 40_000
 #: Lengths of beginnings of words; places a toxic one needs; how much likelier it is (log), alone and times places.
 SHORTEST, LONGEST, PLACES, RATIO, EVIDENCE = 4, 10, 5, 2.0, 25.0
+#: Such beginnings in the toxic dictionary, the strongest; they keep it in reach of a window's matches.
+STRINGS = 1_000
+#: Bytes from which a beginning stands alone, without the longer ones.
+ALONE = 6
 #: Matches shorter than this don't count.
 MATCH = 5
-QUANTILE = 0.985
+#: Shares of ordinary windows that save less than each threshold; the least threshold in bytes.
+QUANTILES, LEAST = (0.95, 0.985, 0.995), 2.0
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -91,17 +96,19 @@ def toxic_strings(toxic: list[str], ordinary: list[str]) -> list[str]:
         ratio = math.log((n + 0.5) / sizes[0] * sizes[1] / (there.get(h, 0) + 0.5))
         if ratio > RATIO and n * ratio >= EVIDENCE:
             strength[names[h]] = n, n * ratio
-    longer: dict[str, str] = {}
+    # a beginning that goes on in the same way nearly everywhere is left to the longer one
+    most_after: dict[str, int] = {}
     for s, (n, _) in strength.items():
-        if s[:-1] in strength and n > strength.get(longer.get(s[:-1], ""), (0, 0))[0]:
-            longer[s[:-1]] = s
-    chosen = set()
-    for s in strength:
-        if s[:-1] not in strength:
-            while s in longer and strength[longer[s]][0] >= 0.7 * strength[s][0]:
-                s = longer[s]
-            chosen.add(s)
-    return sorted(chosen, key=lambda s: (-strength[s][1], s))
+        most_after[s[:-1]] = max(n, most_after.get(s[:-1], 0))
+    chosen: list[str] = []
+    enough: set[str] = set()
+    for s in sorted(strength, key=len):
+        # what follows a beginning that is long enough to save much also stands in ordinary words
+        if most_after.get(s, 0) < 0.8 * strength[s][0] and not any(s[:n] in enough for n in range(SHORTEST, len(s))):
+            chosen.append(s)
+            if len(s.encode()) >= ALONE:
+                enough.add(s)
+    return sorted(chosen, key=lambda s: (-strength[s][1], s))[:STRINGS]
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -119,7 +126,7 @@ class Model:
 
     ordinary: bytes
     toxic: bytes
-    large: float
+    large: tuple[float, ...]
     center: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
@@ -133,11 +140,12 @@ class Model:
         return _compressor(self.ordinary), _compressor(self.toxic)
 
     def features(self, savings: np.ndarray) -> list[float]:
-        n, large = len(savings), savings >= self.large
-        return [
-            np.maximum(savings - 1, 0).sum() / (4 + n), min(savings.max(), 12), min(large.sum(), 6), math.log(1 + n),
-            large.sum() / (4 + n), float(savings.max() >= 2),
-        ]
+        n = len(savings)
+        out = [np.maximum(savings - 1, 0).sum() / (4 + n), min(savings.max(), 12), math.log(1 + n)]
+        for least in self.large:
+            count = (savings >= least).sum()
+            out += [count / (4 + n), min(count, 6), float(count > 0)]
+        return out
 
     def scores(self, texts: list[str]) -> list[float]:
         if self.constant is not None:
@@ -166,7 +174,7 @@ def train(toxic: list[str], ordinary: list[str]) -> Model:
     toxic, ordinary = sorted(toxic), sorted(ordinary)
     none = np.zeros(0)
     if not toxic or not ordinary:
-        return Model(b"", b"", 0, none, none, none, 1.0 if toxic else 0.0)
+        return Model(b"", b"", (), none, none, none, 1.0 if toxic else 0.0)
     seen = [w for t in ordinary for w in windows(t)]
     seen = seen[:: max(1, len(seen) // TRAINING_WINDOWS)]
     try:
@@ -175,10 +183,10 @@ def train(toxic: list[str], ordinary: list[str]) -> Model:
         content = b"".join(seen)[-DICTIONARY:]
     strings = toxic_strings(toxic, ordinary)
     # the strongest stand last, where they are nearest to the window
-    model = Model(content, content + "".join(" " + s for s in reversed(strings)).encode(), 1.0, none, none, none)
+    model = Model(content, content + "".join(" " + s for s in reversed(strings)).encode(), (), none, none, none)
     pair = model.compressors()
     savings = [model.savings(t, pair) for t in ordinary + toxic]
-    model.large = max(2.0, float(np.quantile(np.concatenate(savings[: len(ordinary)]), QUANTILE)))
+    model.large = tuple(np.maximum(LEAST, np.quantile(np.concatenate(savings[: len(ordinary)]), QUANTILES)).tolist())
     rows = np.array([model.features(s) for s in savings])
     model.center, model.scale = rows.mean(0), rows.std(0) + 1e-9
     labels = np.repeat([0.0, 1.0], [len(ordinary), len(toxic)])
