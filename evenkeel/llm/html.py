@@ -59,6 +59,8 @@ SIBLINGS = {
 #: Where the search for an open element to close ends.
 SCOPE = frozenset("html body table td th div section article main aside ul ol dl blockquote".split())
 
+#: Elements that a head may hold; any other ends it.
+IN_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript template noframes object".split())
 #: Elements that are no part of an article.
 DROPPED = frozenset(
     "nav footer aside form script style noscript template svg math canvas iframe object embed applet audio video button "
@@ -116,7 +118,7 @@ def _marks(value: str) -> set[str]:
 
 def _boilerplate(node: Node) -> bool:
     """Whether the element and all in it is no part of an article."""
-    if node.tag in DROPPED:
+    if node.tag in DROPPED and not (node.tag == "form" and _wraps(node)):
         return True
     if node.tag in ("html", "body"):
         return False
@@ -135,6 +137,29 @@ def _boilerplate(node: Node) -> bool:
     return not any(n.tag in ("article", "main") and not COMMENT.search(f" {_names(n.values())} ") for n in below(node))
 
 
+def _wraps(form: Node) -> bool:
+    """Whether a form holds an article or main, or most of the text in paragraphs of the page."""
+    if any(n.tag in ("article", "main") and not COMMENT.search(f" {_names(n.values())} ") for n in below(form)):
+        return True
+    own = _paragraph_text(form)
+    *_, root = _above(form)
+    return own > 0 and 2 * own > _paragraph_text(root)
+
+
+def _paragraph_text(node: Node) -> int:
+    """Letters in the paragraphs of a node, without those of dropped elements other than forms."""
+    size, stack = 0, [(node, False)]
+    while stack:
+        one, inside = stack.pop()
+        inside = inside or one.tag == "p"
+        for child in one.children:
+            if not isinstance(child, Node):
+                size += len(child.strip()) if inside else 0
+            elif child.tag == "form" or child.tag not in DROPPED:
+                stack.append((child, inside))
+    return size
+
+
 def _names(values: dict[str, str]) -> str:
     """Class names and the id, without those that tell what a page has or lacks."""
     names = (values.get("class", "") + " " + values.get("id", "")).split()
@@ -191,6 +216,8 @@ def parse(page: str) -> Node:
             here = _close(here, SIBLINGS[tag])
         if tag == "body" and any(n.tag == "body" for n in _above(here)):
             continue
+        if tag not in IN_HEAD:
+            here = _out_of_head(here)
         node = Node(tag, attributes.rstrip("/") if attributes else "", here)
         here.children.append(node)
         if tag in VOID:
@@ -204,6 +231,16 @@ def parse(page: str) -> Node:
     return root
 
 
+def _out_of_head(here: Node) -> Node:
+    """An element that cannot stand in the head ends an open one, but not within a template."""
+    for node in _above(here):
+        if node.tag == "template":
+            break
+        if node.tag == "head":
+            return node.parent
+    return here
+
+
 def _above(node: Node | None) -> Iterator[Node]:
     while node is not None:
         yield node

@@ -63,3 +63,22 @@ def test_host_agrees(spark):
 
 def test_empty(spark):
     assert H.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html><head><title>T</title><meta charset=utf-8><body><p>The text of the page.</p></body></html>",
+        "<html><head><title>T</title><div><p>The text of the page.</p></div></html>",
+        "<html><head><title>T</title></head><body><form action='/x'><input name=v><div><p>The text of the page.</p></div></form></body></html>",
+        "<html><body><form><nav>Menu</nav><article>The text of the page.</article></form></body></html>",
+        "<html><body><form><nav>Menu</nav><div><p>The text of the page.</p></div></form><p>End</p></body></html>".replace("<p>End</p>", ""),
+    ],
+)
+def test_pages_without_an_end_of_the_head_or_in_a_form(page):
+    assert H.extract(page, None) == "The text of the page."
+
+
+def test_forms_beside_the_text_go():
+    page = "<html><body><form><p>Search here</p></form><div><p>The text of the page, longer than the form.</p></div></body></html>"
+    assert H.extract(page, None) == "The text of the page, longer than the form."
