@@ -4,7 +4,7 @@ Detected are e-mail addresses, telephone, card, social security and account (IBA
 their keyword, and names of persons. Every mention has a kind and a canonical form (the digits of a telephone number,
 an address in lower case), and its surrogate depends on these and a secret key alone: mentions of one entity stay
 alike in all texts, however they are written (coreference). Surrogates keep the kind's form: lengths, separators,
-letter case, alphabets, country codes, check digits where the original had valid ones, and for names the gender and
+letter case, alphabets, digits' scripts, country codes, check digits where the original had valid ones, and for names the gender and
 the script; given names and surnames are replaced on their own.
 
 Different entities must keep different surrogates, and no surrogate may be an entity of the corpus. The distinct
@@ -31,6 +31,8 @@ from evenkeel.llm import common
 
 #: Entities that had to try again and may be handed to every task: about 100 bytes each.
 REMEMBERED = 20_000
+#: After so many attempts a surrogate gets one digit or letter more, an IP address any numbers.
+WIDEN = 8
 
 UP, LOW = "A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆΈΉΊΌΎΏ", "a-zß-öø-ÿа-яёα-ωάέήίόύώϊϋΐΰ"
 NAME = rf"[{UP}][{LOW}]+(?:-[{UP}][{LOW}]+)*"
@@ -105,19 +107,29 @@ def iban_rest(compact: str) -> int:
 
 
 def _digits(text: str) -> str:
-    return "".join(c for c in text if c.isascii() and c.isdigit())
+    return "".join(str(int(c)) for c in text if c.isdecimal())
+
+
+def _plain(text: str) -> str:
+    """Digits of any script as ASCII ones."""
+    return text if text.isascii() else "".join(str(int(c)) if c.isdecimal() else c for c in text)
+
+
+def _like(digit: str, value: str) -> str:
+    """A digit in the script of another one; what is no digit stays."""
+    return chr(ord(digit) - int(digit) + int(value)) if digit.isdecimal() and value.isdecimal() else value
 
 
 def _numbers(text: str) -> Iterator[Mention]:
     if not DIGITS.search(text):
         return
     for m in IBAN.finditer(text) if COUNTRY.search(text) else ():
-        compact = m[0].replace(" ", "")
+        compact = _plain(m[0].replace(" ", ""))
         if iban_rest(compact) == 1:
             yield m.start(), m.end(), "iban", compact
     for m in IP.finditer(text):
         if all(int(n) <= 255 for n in m[0].split(".")):
-            yield m.start(), m.end(), "ip", m[0]
+            yield m.start(), m.end(), "ip", _plain(m[0])
     for m in SSN.finditer(text):
         yield m.start(), m.end(), "ssn", _digits(m[0])
     for m in CARD.finditer(text):
@@ -184,8 +196,8 @@ class Stream:
         """Digits for digits, letters for letters of the same alphabet and case."""
         out = []
         for c in text:
-            if c.isascii() and c.isdigit():
-                out.append(self.of("0123456789"))
+            if c.isdecimal():
+                out.append(_like(c, self.of("0123456789")))
             elif not c.isalpha():
                 out.append(c)
             elif hexadecimal:
@@ -202,27 +214,28 @@ class Stream:
 def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
     """The canonical form of an entity's surrogate."""
     s = Stream(key, kind, entity, attempt)
+    more = attempt // WIDEN  # digits or letters more, where the form's own space is crowded
     if kind == "email":
         local, _, domain = entity.rpartition("@")
         name, _, top = domain.rpartition(".")
-        return f"{s.alike(local)}@{s.alike(name)}.{top}"
+        return f"{s.alike(local)}{s.alike('x' * more)}@{s.alike(name)}.{top}"
     if kind == "ip":
         ranges = {1: (0, 10), 2: (10, 100), 3: (100, 256)}
-        parts = [ranges[len(n)] for n in entity.split(".")]
+        parts = [ranges[len(n)] if not more else (0, 256) for n in entity.split(".")]
         return ".".join(str(low + s.below(high - low)) for low, high in parts)
     if kind == "phone":
         country = max(0, len(entity) - 10)
-        return entity[:country] + s.alike(entity[country:])
+        return entity[:country] + s.alike(entity[country:] + "0" * more)
     if kind == "card":
-        body = entity[0] + s.alike(entity[1:-1])
+        body = entity[0] + s.alike(entity[1:-1] + "0" * more)
         if luhn(entity):
             return next(body + d for d in "0123456789" if luhn(body + d))
         return body + s.of([d for d in "0123456789" if not luhn(body + d)])
     if kind == "iban":
-        body = s.alike(entity[4:])
+        body = s.alike(entity[4:] + "0" * more)
         return f"{entity[:2]}{98 - iban_rest(entity[:2] + '00' + body):02d}{body}"
     if kind == "secret":
-        return s.alike(entity, hexadecimal=re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", entity) is not None)
+        return s.alike(entity + "0" * more, hexadecimal=re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", entity) is not None)
     if kind.startswith("given"):
         gender = kind[-1] if kind[-1] in "mf" else s.of("mf")
         names = GIVEN[script(entity), gender]
@@ -231,14 +244,18 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
         kinds = script(entity)
         parts = [s.of(ROOTS[kinds]) + s.of(ENDS[kinds]) for _ in range(1 + attempt // 3 + entity.count("-"))]
         return "-".join(parts)
-    return s.alike(entity)
+    return s.alike(entity + "0" * more)
 
 
 def written(mention: str, kind: str, value: str) -> str:
     """A surrogate in the way the mention is written."""
     if kind in ("phone", "card", "ssn", "iban"):
         left = iter(value)
-        return "".join(next(left) if c.isalnum() else c for c in mention)
+        same = "".join(_like(c, next(left)) if c.isalnum() else c for c in mention)
+        return same + "".join(left)
+    if kind == "ip" and not mention.isascii():
+        digit = next(c for c in mention if c.isdecimal() and not c.isascii())
+        return "".join(_like(digit, v) for v in value)
     if kind == "email" and mention != mention.lower():
         return "".join(v.upper() if m.isupper() else v for m, v in zip(mention, value, strict=False)) if len(mention) == len(value) else value
     return value

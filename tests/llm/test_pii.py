@@ -67,3 +67,29 @@ def test_distinct_and_alike_over_a_crowded_corpus(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert pii.pseudonymize(docs, KEY).count() == 0
+
+
+@pytest.mark.parametrize("zero", ["٠", "०", "０"])
+@pytest.mark.parametrize(("number", "kind"), [("4111111111111111", "card"), ("4222222222222", "card"), ("078-05-1120", "ssn"), ("017 555 7713", "phone"), ("144.137.247.239", "ip")])
+def test_digits_of_other_scripts(zero, number, kind):
+    other = "".join(chr(ord(zero) + int(c)) if c.isdigit() else c for c in number)
+    out, n = pii.replace(f"at {other} or {number}", KEY, {})
+    first, second = out[3:].split(" or ")
+    assert n == 2 and {m[2] for m in pii.detect(f"at {other} or {number}")} == {kind}
+    assert first != other and all(not c.isascii() for c in first if c.isdecimal())
+    assert "".join(str(int(c)) if c.isdecimal() else c for c in first) == second
+
+
+def test_crowded_forms_are_widened(spark):
+    texts = [f"{a}.{b}.{c}.{d}" for a in range(10) for b in range(10) for c in range(10) for d in range(6)]
+    docs = spark.createDataFrame([(0, " ".join(texts)), (1, "password: ********")], "doc_id long, text string")
+    attempts = {(r.kind, r.entity): r.attempt for r in pii.tried_again(pii.entities(docs), KEY).collect()}
+    found = [("ip", t) for t in texts] + [("secret", "********")]
+    values = [pii.surrogate(KEY, k, e, attempts.get((k, e), 0)) for k, e in found]
+    assert len(set(values)) == len(values) and not set(values) & {e for _, e in found}
+
+
+def test_widened_numbers_are_written_whole():
+    for kind, entity in (("ssn", "078051120"), ("phone", "0175557713"), ("card", "4111111111111111")):
+        value = pii.surrogate(KEY, kind, entity, 2 * pii.WIDEN)
+        assert len(value) == len(entity) + 2 and pii.written(entity, kind, value) == value
