@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from evenkeel.llm import bpe, exact_dedup, html, license_scan, near_dedup, packing, pii, sharding, topk, toxicity
+from evenkeel.llm import (
+    ann, bpe, exact_dedup, fim, html, license_scan, near_dedup, negatives, packing, pii, sharding, topk, toxicity,
+)
 from evenkeel.llm.common import table
 
 
@@ -63,11 +65,28 @@ def op10_license_scan(spark, sf_dir):
     return license_scan.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark, sf_dir):
+    rows = fim.restored(fim.fill_in_middle(table(spark, sf_dir, "documents")))
+    return rows.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
+def op12_nearest(spark, sf_dir):
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op13_hard_negatives(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=label)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_packing, op2_exact_dedup, op3_main_text, op4_top_k, op5_toxicity, op6_sharding, op7_near_dedup,
-        op8_surrogates, op9_bpe, op10_license_scan,
+        op8_surrogates, op9_bpe, op10_license_scan, op11_fill_in_middle, op12_nearest, op13_hard_negatives,
     )
 }
 
@@ -82,4 +101,6 @@ FROM texts WINDOW same AS (PARTITION BY text_sha256)
 """,
     "op4_top_k": topk.ORACLE,
     "op10_license_scan": license_scan.oracle_sql(),
+    "op11_fill_in_middle": fim.ORACLE,
+    "op13_hard_negatives": negatives.ORACLE,
 }
