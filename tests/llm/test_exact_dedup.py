@@ -2,6 +2,8 @@ import hashlib
 import re
 from collections import defaultdict
 
+import pytest
+
 from evenkeel.llm import exact_dedup
 
 
@@ -39,14 +41,24 @@ def test_hot_digest_is_a_winner(spark):
     assert [(r.group_size, r.first.doc_id) for r in top] == [(1000, 0)]
 
 
-def test_deduplicate_keeps_columns_and_the_first_row(spark):
-    docs = spark.createDataFrame([(i, t, i, "x") for i, t in ROWS], "doc_id long, text string, digest long, known string")
-    kept = exact_dedup.deduplicate(docs)
+@pytest.mark.parametrize(("most", "broadcast_rows"), [(50, 1000), (1, 1000), (1, 0)])
+def test_deduplicate_keeps_columns_and_the_first_row(spark, most, broadcast_rows):
+    docs = spark.createDataFrame([(i, t, i, "x") for i, t in ROWS * 2], "doc_id long, text string, digest long, known string")
+    kept = exact_dedup.deduplicate(docs, tracked=100, most=most, broadcast_rows=broadcast_rows)
     assert kept.columns == docs.columns
     first = {r[3]: r[1] for r in brute(ROWS)}
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted(first.values(), key=repr)
 
 
+def test_texts_stay_where_they_are_read(spark, tmp_path):
+    texts = [(i, f"text {i // 3} " * 200) for i in range(300)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    kept = exact_dedup.deduplicate(spark.read.parquet(str(tmp_path / "docs")))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" in plan and "Exchange hashpartitioning" not in plan
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 300, 3))
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert exact_dedup.exact_groups(docs).count() == 0
