@@ -4,7 +4,13 @@ The split pattern of these vocabularies never matches across a single space that
 sides, except that the space starts the next match. Cutting there leaves all matches as they are. Pieces repeat, so
 the library only encodes the distinct pieces of a batch; finding them and putting ids together is array work.
 
-Ids are kept as little-endian unsigned 32-bit integers in bytes.
+Long texts are cut where a match ends whatever follows: before white space, and between a letter and a mark. In a run of
+white space the pattern takes all but the last character as one match (all of it at the end of the text). The library
+fails on runs of about a million characters, so long runs are encoded as that one match, without the pattern.
+
+NULL is not taken here: callers make it the empty text, which has no ids. Texts may be of any length, repeat, or
+consist of white space only. An empty column gives an empty list. Ids are kept as little-endian unsigned 32-bit
+integers in bytes.
 """
 
 from __future__ import annotations
@@ -17,10 +23,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: A place between a character that isn't white space, and one space followed by another such character.
-SAFE = re.compile(r"(?<=\S)(?= \S)")
+#: White space as the split pattern's library sees it.
+BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Places where one match ends and another begins: before white space, and between a letter and a mark.
+SAFE = re.compile(rf"(?<=[^{BLANK}])(?=[{BLANK}])|(?<=[A-Za-z\u4e00-\u9fa5\u3041-\u3096\u30a1-\u30fa\uac00-\ud7a3])(?=[,.;:!?。、，！？])")
 #: Characters that are encoded in one call at most, if there is a safe place to cut.
 LONG = 100_000
+#: Runs of white space from this length on are encoded without the pattern.
+RUN = re.compile(rf"[{BLANK}]{{10000,}}")
 
 Encode = Callable[[str], Sequence[int]]
 
@@ -29,24 +39,42 @@ def packed(ids: Sequence[int]) -> bytes:
     return np.asarray(ids, dtype="<u4").tobytes()
 
 
-def whole(text: str, encode: Encode, most: int = LONG) -> bytes:
-    """The ids of any text; long ones are cut at safe places into stretches of about ``most`` characters."""
+def whole(text: str, encode: Encode, single: Encode, most: int = LONG, run: re.Pattern = RUN) -> bytes:
+    """The ids of any text; long ones are cut at safe places into stretches of about ``most`` characters.
+
+    ``encode`` gives the ids of a text, ``single`` those of one match of the pattern.
+    """
     out, at = [], 0
-    while len(text) - at > most and (cut := SAFE.search(text, at + most)):
-        out.append(packed(encode(text[at : cut.start()])))
-        at = cut.start()
-    return b"".join([*out, packed(encode(text[at:]))])
+
+    def stretch(end: int) -> None:
+        nonlocal at
+        while end - at > most and (cut := SAFE.search(text, at + most, end)) and cut.start() < end:
+            out.append(packed(encode(text[at : cut.start()])))
+            at = cut.start()
+        if at < end:
+            out.append(packed(encode(text[at:end])))
+        at = end
+
+    if len(text) > most:
+        for blank in run.finditer(text):
+            stretch(blank.start())
+            # the last one may belong to the next match
+            at = blank.end() - (blank.end() < len(text))
+            out.append(packed(single(text[blank.start() : at])))
+    stretch(len(text))
+    return b"".join(out)
 
 
 class PieceEncoder:
     """Whole texts to ids.
 
-    ``encode`` gives the ids of a text, ``opens`` tells for each id whether its bytes start with a space. Pieces are
-    encoded many at once; in a row of pieces exactly the first id of each starts with a space, as they hold no other.
+    ``encode`` gives the ids of a text and ``single`` those of one match, ``opens`` tells for each id whether its bytes
+    start with a space. Pieces are encoded many at once; in a row of pieces exactly the first id of each starts with a
+    space, as they hold no other.
     """
 
-    def __init__(self, encode: Encode, opens: np.ndarray):
-        self.encode, self.opens = encode, opens
+    def __init__(self, encode: Encode, single: Encode, opens: np.ndarray):
+        self.encode, self.single, self.opens = encode, single, opens
 
     def _pieces(self, parts: list[str]) -> tuple[bytes, np.ndarray]:
         """Ids of all ``parts``, each with a space before it, and the number of ids of each."""
@@ -64,7 +92,8 @@ class PieceEncoder:
         ends, flat = lists.offsets.to_numpy(), lists.values
         coded = flat.dictionary_encode()
         parts, index = coded.dictionary, coded.indices.to_numpy()
-        clean = pc.and_(pc.not_equal(parts, ""), pc.equal(pc.utf8_trim_whitespace(parts), parts)).to_numpy(False)
+        clean = pc.and_(pc.not_equal(parts, ""), pc.equal(pc.utf8_trim_whitespace(parts), parts))
+        clean = pc.and_(clean, pc.less_equal(pc.binary_length(parts), LONG)).to_numpy(False)
         raw, counts = self._pieces(parts.filter(pa.array(clean)).to_pylist())
         size = np.zeros(len(parts) + 1, np.int64)
         size[1:][clean] = 4 * counts
@@ -74,9 +103,9 @@ class PieceEncoder:
         odd = np.append(0, np.cumsum(~clean[index]))
         out = []
         for k, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
-            if odd[a] != odd[b]:  # other white space than single spaces between other characters
+            if odd[a] != odd[b]:  # other white space than single spaces between other characters, or long pieces
                 text = texts[k].as_py()
-                out.append(whole(text, self.encode) if text else b"")
+                out.append(whole(text, self.encode, self.single))
             else:
                 out.append(packed(self.encode(flat[a].as_py())) + bytes(data[at[a + 1] : at[b]]))
         return out
@@ -147,11 +176,16 @@ def _opens(path: str, pattern: str) -> np.ndarray:
     return pc.fill_null(pc.starts_with(vocabulary(path, pattern), b" "), False).to_numpy(False)
 
 
+def one_match(encoding) -> Encode:
+    """Ids of a text that is one match of the pattern."""
+    return lambda text: encoding._core_bpe.encode_single_piece(text.encode())
+
+
 def rank_encoder(path: str, pattern: str) -> PieceEncoder:
     encoding = rank_encoding(path, pattern)
 
     def make():
-        return PieceEncoder(encoding.encode_ordinary, _opens(path, pattern))
+        return PieceEncoder(encoding.encode_ordinary, one_match(encoding), _opens(path, pattern))
 
     return loaded(("pieces", path, pattern), make)
 
@@ -178,6 +212,6 @@ def file_encoder(path: str, ranks: str, pattern: str) -> PieceEncoder:
             return encoding.encode_ordinary(text)
 
         opens = _opens(ranks, pattern)
-        return PieceEncoder(encode, np.concatenate([opens, np.zeros(max(0, tokenizer.get_vocab_size() - len(opens)), bool)]))
+        return PieceEncoder(encode, one_match(encoding), np.concatenate([opens, np.zeros(max(0, tokenizer.get_vocab_size() - len(opens)), bool)]))
 
     return loaded(("file", path, ranks, pattern), make)

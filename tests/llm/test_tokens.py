@@ -1,7 +1,10 @@
+import re
+
 import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -44,10 +47,34 @@ def test_any_text(texts):
     assert [plain(x) for x in got] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
 
 
-def test_long_texts_are_cut_at_safe_places():
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list("ab' .\n\t  \x85\x1c\u3000é1s,日。！")), max_size=120), st.integers(1, 40), st.integers(2, 4))
+def test_long_texts_are_cut_at_safe_places(text, most, run):
+    want = tokens.rank_encoding(MULTI, P.PATTERN)
+    blanks = re.compile(rf"[{tokens.BLANK}]{{{run},}}")
+    assert plain(tokens.whole(text, want.encode_ordinary, tokens.one_match(want), most, blanks)) == want.encode_ordinary(text)
+
+
+N = 2_000_000
+LONG_TEXTS = [
+    "a" + " " * N + "b", " " * N, "\n" * N, "a b" + "\n" * N, "a" * N, "世" * (N // 4), "世界。" * (N // 8), "x\n" * (N // 4), "a b  c " * (N // 8),
+    "\u3000" * (N // 2) + "\u3000x" + " " * N + "\n",
+]
+
+
+@pytest.mark.parametrize("text", LONG_TEXTS, ids=range(len(LONG_TEXTS)))
+def test_very_long_texts_match_by_match(text):
+    """The matches are found with another library; each alone is encoded as the encoding's library does."""
+    known = {}
     want = tokens.rank_encoding(MULTI, P.PATTERN)
-    text = "ab\n 12  cd e' f" * 500
-    assert plain(tokens.whole(text, want.encode_ordinary, most=100)) == want.encode_ordinary(text)
+    single = tokens.one_match(want)
+    for match in regex.finditer(P.PATTERN, text):
+        own = match.group()
+        if own not in known:
+            known[own] = single(own) if len(own) > 1000 else want.encode_ordinary(own)
+    got = plain(tokens.rank_encoder(MULTI, P.PATTERN)(pa.array([text, "a b"]))[0])
+    assert got == [i for match in regex.finditer(P.PATTERN, text) for i in known[match.group()]]
+    assert want.decode_bytes(got) == text.encode()
 
 
 def test_slices_hold_every_text_once():
