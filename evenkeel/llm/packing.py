@@ -7,7 +7,9 @@ Each task reads its documents once, encodes them and packs them as they come:
    tiers that fits, again and again. If none fits, the shortest of the others is cut to fill the gap, and what is left
    of it is routed anew. So every window is filled;
 3. sequences of a tier are dealt to step groups of equal token count in order of their attention cost (the sum of
-   squared piece lengths), forwards and backwards in turn, so that groups cost about the same.
+   squared piece lengths), forwards and backwards in turn, so that groups cost about the same. Full windows of long
+   documents are dealt along with the others; sequences beyond the last whole group wait for the next ones, so a task
+   has one group of fewer tokens per tier at most.
 
 Less than one window is left over per task. These pieces, with their ids, are packed again by groups of ``FAN`` tasks,
 and so on; in the end one sequence of the whole table may be padded. No document is shuffled, and memory is bounded by
@@ -106,17 +108,26 @@ def pack_pieces(pieces: list[Piece], tiers=TIERS) -> tuple[list[tuple[int, list[
     return filled, []
 
 
-def step_groups(filled: list[tuple[int, list[Piece]]], step: int) -> list[int]:
-    """The step group of each window: groups of one tier hold equal token counts and have about equal cost."""
-    groups, used = [0] * len(filled), 0
+def step_groups(filled: list[tuple[int, list[Piece]]], step: int, last: bool = False) -> list[int | None]:
+    """The step group of each window: groups of one tier hold equal token counts and have about equal cost.
+
+    Windows beyond the last whole group of their tier get none, or one group of their own if they are the ``last``.
+    """
+    groups, used = [None] * len(filled), 0
     for tier in sorted({t for t, _ in filled}):
         own = [k for k, (t, _) in enumerate(filled) if t == tier]
-        n = -(-len(own) * tier // step)
-        own.sort(key=lambda k: -sum(len(p.ids) ** 2 for p in filled[k][1]))
-        for place, k in enumerate(own):
+        most = max(1, step // tier)
+        n = len(own) // most
+        whole, rest = own[: n * most], own[n * most :]
+        whole.sort(key=lambda k: -sum(len(p.ids) ** 2 for p in filled[k][1]))
+        for place, k in enumerate(whole):
             turn, at = divmod(place, n)
             groups[k] = used + (at if turn % 2 == 0 else n - 1 - at)
         used += n
+        if last and rest:
+            for k in rest:
+                groups[k] = used
+            used += 1
     return groups
 
 
@@ -127,6 +138,7 @@ class Packer:
         self.cell, self.base, self.window, self.tiers = cell, base, window, tiers
         self.step, self.most, self.keep_ids = step, pool, keep_ids
         self.waiting: list[Piece] = []
+        self.full: list[tuple[int, list[Piece]]] = []
         self.tokens = self.sequences = self.groups = 0
         self.rows: list[tuple] = []
 
@@ -142,36 +154,40 @@ class Packer:
             offset += len(p.ids)
 
     def add(self, doc, ids: np.ndarray) -> None:
-        rest, total = Piece(doc, 0, ids, len(ids)), len(ids)
-        full = []
-        while len(rest.ids) >= self.window:
-            head, rest = rest.cut(self.window)
-            full.append((self.window, [head]))
-        self._emit_all(full)
-        if len(rest.ids):
+        total = len(ids)
+        for start in range(0, total, self.window):
             # the array of the whole document isn't kept alive
-            self.add_piece(Piece(doc, rest.start, rest.ids.copy(), total))
+            piece = Piece(doc, start, ids[start : start + self.window].copy(), total)
+            if len(piece.ids) < self.window:
+                self.add_piece(piece)
+            else:
+                self.full.append((self.window, [piece]))
+                self._gathered(self.window)
 
     def add_piece(self, piece: Piece) -> None:
         self.waiting.append(piece)
-        self.tokens += len(piece.ids)
+        self._gathered(len(piece.ids))
+
+    def _gathered(self, more: int) -> None:
+        self.tokens += more
         if self.tokens >= self.most:
             self.pack()
 
-    def _emit_all(self, filled) -> None:
-        groups = step_groups(filled, self.step)
-        for (tier, parts), group in zip(filled, groups, strict=True):
-            self._emit(parts, tier, self.groups + group)
-        self.groups += max(groups, default=-1) + 1
-
-    def pack(self) -> None:
+    def pack(self, last: bool = False) -> None:
         filled, self.waiting = pack_pieces(self.waiting, self.tiers)
+        filled = self.full + filled
+        groups, self.full = step_groups(filled, self.step, last), []
+        for (tier, parts), group in zip(filled, groups, strict=True):
+            if group is None:
+                self.full.append((tier, parts))
+            else:
+                self._emit(parts, tier, self.groups + group)
+        self.groups += max((g for g in groups if g is not None), default=-1) + 1
         self.tokens = sum(len(p.ids) for p in self.waiting)
-        self._emit_all(filled)
 
     def end(self, last: bool) -> None:
         """``last``: no further level follows, so what is left becomes a sequence that is padded."""
-        self.pack()
+        self.pack(True)
         if last and self.waiting:
             self._emit(self.waiting, self.window, self.groups)
         else:

@@ -88,10 +88,28 @@ def test_step_groups_are_balanced():
     groups = packing.step_groups(filled, 16_384)
     tokens, cost = defaultdict(int), defaultdict(int)
     for (tier, parts), g in zip(filled, groups):
-        tokens[tier, g] += tier
-        cost[tier, g] += sum(len(p.ids) ** 2 for p in parts)
+        if g is not None:
+            tokens[tier, g] += tier
+            cost[tier, g] += sum(len(p.ids) ** 2 for p in parts)
+    assert len({g for _, g in tokens}) > 10 and set(tokens.values()) == {16_384}
     for tier in {t for t, _ in tokens}:
-        counts = [n for (t, _), n in tokens.items() if t == tier]
         costs = [n for (t, _), n in cost.items() if t == tier]
-        assert max(counts) - min(counts) <= tier
-        assert max(costs) <= 1.5 * min(costs) or len(set(counts)) > 1
+        assert max(costs) <= 1.5 * min(costs)
+        assert sum(t == tier and g is None for (t, _), g in zip(filled, groups)) < 16_384 // tier
+
+
+def test_step_groups_go_on_from_one_flush_to_the_next():
+    rng = np.random.default_rng(3)
+    packer = packing.Packer(0, 0, 2048, packing.TIERS, packing.STEP, 300_000, False)
+    for doc, n in enumerate(rng.integers(300, 9_000, 400).tolist()):
+        packer.add(doc, np.zeros(n, "<u4"))
+    packer.end(True)
+    tier_of, tokens = {}, defaultdict(int)
+    for row in packer.rows:
+        tier_of[row[8]] = row[7]
+        tokens[row[8]] += row[2]
+    for tier in set(tier_of.values()):
+        sizes = sorted(n for g, n in tokens.items() if tier_of[g] == tier)
+        # all but the last of a tier are whole; the padded sequence is a group of its own
+        assert all(n == packing.STEP for n in sizes[2 if tier == 2048 else 1 :])
+    assert len(tokens) < sum(tokens.values()) / packing.STEP + 6
