@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,9 +21,16 @@ from evenkeel.results import FAIL, PASS, WARN, Finding, case, text
 from evenkeel.session import require_utc
 from evenkeel.staging import stage
 
-# Rows of a key with several timestamps that go to one task.
+# Distinct timestamps of a key that go to one task.
 ROWS_PER_SPLIT = 50_000
 
+# Up to so many distinct timestamps on one side of a key, each is paired with each of the other side: this many rows per
+# timestamp at most. Keys with more on both sides are counted without building their pairs.
+NARROW = 32
+
+# Deltas tried at once in the search for the median.
+PROBES = 24
+
 
 # --- parse failures and awareness: scalar metrics -------------------------------------------
 
@@ -132,6 +141,7 @@ def compact(rows: DataFrame) -> DataFrame:
     return rows.groupBy("column", "k", "ts").agg(F.sum("n").alias("n"))
 
 
+WIDE = "DECIMAL(38,0)"
 _PAIRS = "CAST(CAST(sn AS DECIMAL(19,0)) * CAST(tn AS DECIMAL(19,0)) AS DECIMAL(38,0))"
 
 
@@ -140,7 +150,7 @@ def _minutes(source: str, target: str) -> str:
 
 
 def reduce_keys(source_rows: DataFrame, target_rows: DataFrame) -> DataFrame:
-    """``(column, delta, k, splits, pairs, <key counts>)``, staged; small unless timestamps of keys vary.
+    """``(column, delta, several_k, pairs, <key counts>)``, staged; small unless timestamps of keys vary.
 
     A key repeated on both sides pairs every row with every row, so a plain join of a hot key grows
     with the square of its rows. Here one aggregate per key keeps counts and the first and last
@@ -161,17 +171,15 @@ def reduce_keys(source_rows: DataFrame, target_rows: DataFrame) -> DataFrame:
         *[F.expr(sql).alias(c) for c, sql in {"s0": "min(s)", "s1": "max(s)", "t0": "min(t)", "t1": "max(t)"}.items()],
     )
     keys = keys.selectExpr("*", "k IS NOT NULL AND sn > 0 AND tn > 0 AS paired", "s0 = s1 AND t0 = t1 AS single")
-    several = "paired AND NOT single"
     reduced = keys.selectExpr(
         "column",
         f"CASE WHEN paired AND single THEN {_minutes('s0', 't0')} END AS delta",
-        f"CASE WHEN {several} THEN k END AS several_k",
-        f"CASE WHEN {several} THEN CAST(ceil(greatest(sn, tn) / {ROWS_PER_SPLIT}) AS INT) * IF(sn >= tn, 1, -1) END AS splits",
+        "CASE WHEN paired AND NOT single THEN k END AS several_k",
         f"CASE WHEN paired THEN {_PAIRS} END AS pairs",
         *[f"{sql} AS {name}" for name, sql in PER_KEY.items()],
     )
     return stage(
-        reduced.groupBy("column", "delta", "several_k", "splits").agg(
+        reduced.groupBy("column", "delta", "several_k").agg(
             F.expr("CAST(sum(pairs) AS DECIMAL(38,0))").alias("pairs"),
             *[F.expr(f"sum({name})").alias(name) for name in PER_KEY],
         ),
@@ -186,34 +194,202 @@ def key_facts(reduced: DataFrame, column: str) -> DataFrame:
     )
 
 
-def delta_histogram(reduced: DataFrame, source_rows: DataFrame, target_rows: DataFrame) -> DataFrame:
-    """``(column, delta, pairs)``: how many row pairs with one key lie ``delta`` minutes apart.
+@dataclass(frozen=True)
+class Deltas:
+    """Differences of all row pairs with one key.
+
+    ``histogram``: ``(column, delta, pairs)``, how many pairs lie ``delta`` minutes apart, staged if it has to be computed
+    from more than the reduced keys. ``wide``: ``(column, k, ts, sn, tn)``, the distinct timestamps of further keys with
+    their rows on either side, staged; their pairs are only ever counted.
+    """
+
+    histogram: DataFrame
+    wide: DataFrame | None = None
+
+
+def key_deltas(reduced: DataFrame, source_rows: DataFrame, target_rows: DataFrame) -> Deltas:
+    """The differences for :func:`reduce_keys` of the same rows.
 
-    Keys with several timestamps are joined on counts per distinct timestamp, made before anything is shuffled
-    by the key alone. The side with more rows of a key is dealt out to parts, as many as its rows call for
-    (``splits``, negative where that is the target); the other is copied to each. Spark broadcasts the list of keys if
-    it finds it small.
+    Keys with several timestamps are reduced to counts per distinct timestamp, made before anything is shuffled by the
+    key alone. A key with few of them on one side is joined: the other side is dealt out to parts, as many as its
+    timestamps call for (``splits``, negative where that is the target), and the few are copied to each. Spark broadcasts
+    the list of keys if it finds it small.
     """
     histogram = reduced.where("delta IS NOT NULL").select("column", "delta", "pairs")
-    several = reduced.where("several_k IS NOT NULL").selectExpr("column", "several_k AS k", "splits")
+    several = reduced.where("several_k IS NOT NULL").selectExpr("column", "several_k AS k")
     if several.isEmpty():
-        return histogram
+        return Deltas(histogram)
     on = ["column", "k"]
-    stamped = "ts IS NOT NULL"
+    both = source_rows.selectExpr("column", "k", "ts", "n AS sn", "0L AS tn").unionByName(
+        target_rows.selectExpr("column", "k", "ts", "0L AS sn", "n AS tn")
+    )
+    both = both.where("ts IS NOT NULL").groupBy("column", "k", "ts").agg(F.sum("sn").alias("sn"), F.sum("tn").alias("tn"))
+    stamps = stage(both.join(several, on), "stamps-of-keys")
+    shapes = stamps.groupBy(on).agg(F.count_if(F.col("sn") > 0).alias("s"), F.count_if(F.col("tn") > 0).alias("t"))
+    shapes = shapes.selectExpr(
+        "column", "k", f"least(s, t) > {NARROW} AS wide",
+        f"CAST(ceil(greatest(s, t) / {ROWS_PER_SPLIT}) AS INT) * IF(s >= t, 1, -1) AS splits",
+    )
+    shapes = stage(shapes, "shapes-of-keys")
     dealt = "array(CAST(pmod(xxhash64(ts), abs(splits)) AS INT))"
     copied = "sequence(0, abs(splits) - 1)"
-    src = compact(source_rows.where(stamped)).join(several, on)
-    tgt = compact(target_rows.where(stamped)).join(several, on)
-    src = src.selectExpr("column", "k", f"explode(IF(splits > 0, {dealt}, {copied})) AS part", "ts AS s", "n AS sn")
-    tgt = tgt.selectExpr("column", "k", f"explode(IF(splits < 0, {dealt}, {copied})) AS part", "ts AS t", "n AS tn")
+    narrow = stamps.join(shapes.where("NOT wide"), on)
+    src = narrow.where("sn > 0").selectExpr("column", "k", f"explode(IF(splits > 0, {dealt}, {copied})) AS part", "ts AS s", "sn")
+    tgt = narrow.where("tn > 0").selectExpr("column", "k", f"explode(IF(splits < 0, {dealt}, {copied})) AS part", "ts AS t", "tn")
     joined = src.join(tgt, ["column", "k", "part"]).selectExpr(
         "column", f"{_minutes('s', 't')} AS delta", f"{_PAIRS} AS pairs"
     )
-    return histogram.unionByName(joined).groupBy("column", "delta").agg(
-        F.expr("CAST(sum(pairs) AS DECIMAL(38,0))").alias("pairs")
+    histogram = histogram.unionByName(joined).groupBy("column", "delta").agg(
+        F.expr(f"CAST(sum(pairs) AS {WIDE})").alias("pairs")
+    )
+    wide = shapes.where("wide")
+    if wide.isEmpty():
+        return Deltas(stage(histogram, "delta-histogram"))
+    return Deltas(stage(histogram, "delta-histogram"), stage(stamps.join(wide.select(on), on), "wide-keys"))
+
+
+# --- keys with many timestamps on both sides: pairs are counted, never built ------------------
+
+_MICROS, _HALF = 60_000_000, 30_000_000
+
+
+def _sums(**sums: str) -> list:
+    return [F.expr(f"CAST(sum({sql}) AS {WIDE})").alias(name) for name, sql in sums.items()]
+
+
+def _times(a: str, b: str) -> str:
+    return f"CAST({a} AS {WIDE}) * CAST({b} AS {WIDE})"
+
+
+def wide_moments(wide: DataFrame) -> DataFrame:
+    """``(column, rows, total, squares, low, high)``: pairs, sum and sum of squares of their whole minutes, and bounds.
+
+    A timestamp is a minute m and a rest below it. The rounded difference of a pair is the difference of its minutes,
+    moved by one where the rests are more than half a minute apart (or just that, with an odd difference). Sums over
+    differences of minutes follow from sums per key. Moved pairs are those whose rest in the source lies below, or
+    above, the target's rest half a minute on: running sums over the rests of a key count them. A rest is one of
+    60 million values, and running sums are taken within a second and over the 60 seconds, so no group grows beyond that.
+    """
+    rows = wide.selectExpr(
+        "column", "k", "ts", "sn", "tn", f"pmod(ts, {_MICROS}L) AS rest", f"(ts - pmod(ts, {_MICROS}L)) div {_MICROS}L AS m0"
+    )
+    base = wide.groupBy("column").agg(F.min("ts").alias("first"))
+    rows = rows.join(F.broadcast(base), "column")  # one row for each configured column
+    rows = rows.withColumn("m", F.expr(f"m0 - (first - pmod(first, {_MICROS}L)) div {_MICROS}L"))
+
+    per_key = rows.groupBy("column", "k").agg(
+        *_sums(sn="sn", sa=_times("sn", "m"), saa=_times(_times("sn", "m"), "m")),
+        *_sums(tn="tn", tb=_times("tn", "m"), tbb=_times(_times("tn", "m"), "m")),
+        *[F.expr(f"{f}(IF({n} > 0, ts, NULL))").alias(f + n) for f in ("min", "max") for n in ("sn", "tn")],
+    )
+    whole = per_key.groupBy("column").agg(
+        *_sums(
+            rows=_times("sn", "tn"),
+            minutes=f"{_times('sn', 'tb')} - {_times('tn', 'sa')}",
+            squares=f"{_times('sn', 'tbb')} - 2 * {_times('tb', 'sa')} + {_times('tn', 'saa')}",
+        ),
+        F.expr(f"min({_minutes('maxsn', 'mintn')})").alias("low"),
+        F.expr(f"max({_minutes('minsn', 'maxtn')})").alias("high"),
+    )
+
+    odd = "pmod(m, 2)"
+    source = rows.where("sn > 0").selectExpr("column", "k", "rest AS place", "m", "sn", "0L AS tn")
+    target = rows.where("tn > 0").selectExpr("column", "k", f"(rest + {_HALF}L) % {_MICROS}L AS place", "m", "0L AS sn", "tn")
+    places = source.unionByName(target).groupBy("column", "k", "place").agg(
+        *_sums(sn="sn", sa=_times("sn", "m"), sno=f"sn * {odd}", sao=_times(f"sn * {odd}", "m")),
+        *_sums(tn="tn", tb=_times("tn", "m"), tno=f"tn * {odd}", tbo=_times(f"tn * {odd}", "m")),
+    )
+    places = places.withColumn("second", F.expr("place div 1000000L"))
+    below = Window.partitionBy("column", "k", "second").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    nothing = F.lit(0).cast(WIDE)
+    for name, sums in (("bn", "sn"), ("ba", "sa")):
+        places = places.withColumn(name, F.coalesce(F.sum(sums).over(below).cast(WIDE), nothing))
+    seconds = places.groupBy("column", "k", "second").agg(
+        *_sums(
+            sn="sn", sa="sa", tn="tn", tb="tb",
+            x1=_times("tn", "bn"), x2=f"{_times('tb', 'bn')} - {_times('tn', 'ba')}",
+            e1=_times("tn", "sn"), e2=f"{_times('tb', 'sn')} - {_times('tn', 'sa')}",
+            o1=f"{_times('tno', '(sn - sno)')} + {_times('(tn - tno)', 'sno')}",
+            o2=f"{_times('tbo', '(sn - sno)')} - {_times('tno', '(sa - sao)')} + {_times('(tb - tbo)', 'sno')} - {_times('(tn - tno)', 'sao')}",
+        )
+    )
+    earlier = Window.partitionBy("column", "k").orderBy("second").rowsBetween(Window.unboundedPreceding, -1)
+    key = Window.partitionBy("column", "k")
+    for name, sums in (("bn", "sn"), ("ba", "sa")):
+        seconds = seconds.withColumn(name, F.coalesce(F.sum(sums).over(earlier).cast(WIDE), nothing))
+        seconds = seconds.withColumn("all_" + name, F.sum(sums).over(key).cast(WIDE))
+    upto = f"x1 + {_times('tn', 'bn')}", f"x2 + {_times('tb', 'bn')} - {_times('tn', 'ba')}"
+    all_of = _times("tn", "all_bn"), f"{_times('tb', 'all_bn')} - {_times('tn', 'all_ba')}"
+    # the target's rest is half a minute or more in the first 30 seconds of the places
+    moved = seconds.selectExpr(
+        "column", "IF(second < 30, 1, -1) AS by",
+        f"CAST(IF(second < 30, {upto[0]} + o1, {all_of[0]} - ({upto[0]}) - e1 + o1) AS {WIDE}) AS n",
+        f"CAST(IF(second < 30, {upto[1]} + o2, {all_of[1]} - ({upto[1]}) - e2 + o2) AS {WIDE}) AS d",
+    )
+    moved = moved.groupBy("column").agg(*_sums(total="by * n", squares="2 * by * d + n"))
+    moved = moved.withColumnsRenamed({"total": "more", "squares": "more_squares"})
+    return whole.join(F.broadcast(moved), "column").selectExpr(
+        "column", "rows", f"CAST(minutes + more AS {WIDE}) AS total", f"CAST(squares + more_squares AS {WIDE}) AS squares", "low", "high"
     )
 
 
+def pairs_upto(wide: DataFrame, probes: DataFrame) -> DataFrame:
+    """``(column, probe, pairs)``: how many pairs lie ``probe`` minutes apart at most, for a few ``(column, probe)``.
+
+    A pair counts if its source timestamp is not below the target's less the largest difference that rounds to the
+    probe. Both are sorted together, in ranges, so that the timestamps of one key can be spread over many tasks; running
+    sums within a range and sums of the ranges before give the counts. One row per timestamp and probe is moved.
+    """
+    # half a minute rounds to the even one
+    reach = f"probe * {_MICROS}L + {_HALF}L - pmod(probe, 2)"
+    source = wide.where("sn > 0").selectExpr("column", "k", "-ts AS place", "0 AS side", "CAST(NULL AS BIGINT) AS probe", "sn", "0L AS tn")
+    target = wide.where("tn > 0").join(F.broadcast(probes), "column")
+    target = target.selectExpr("column", "k", f"{reach} - ts AS place", "1 AS side", "probe", "0L AS sn", "tn")
+    both = source.unionByName(target).repartitionByRange("column", "k", "place", "side")
+    both = stage(both.withColumn("range", F.spark_partition_id()), "ranges")
+    within = Window.partitionBy("column", "k", "range").orderBy("place", "side").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("seen", F.sum("sn").over(within).cast(WIDE))
+    parts = both.groupBy("column", "k", "range", "probe").agg(*_sums(sn="sn", tn="tn", pairs=_times("tn", "seen")))
+    before = Window.partitionBy("column", "k").orderBy("range").rangeBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("before", F.coalesce(F.sum("sn").over(before).cast(WIDE), F.lit(0).cast(WIDE)))
+    parts = parts.where("probe IS NOT NULL")
+    return parts.groupBy("column", "probe").agg(*_sums(pairs=f"pairs + {_times('tn', 'before')}"))
+
+
+def wide_medians(deltas: Deltas, moments: DataFrame) -> DataFrame:
+    """``(column, median)`` of columns with wide keys, exact.
+
+    No median is further from the mean than the deviation. From there the range of the middle pairs is narrowed by
+    counting the pairs up to ``PROBES`` differences in a job, until one is left. The driver holds a few numbers per column.
+    """
+    spark = deltas.histogram.sparkSession
+    known = deltas.wide.select("column").distinct()
+    state = {}
+    for r in moments.join(F.broadcast(known), "column").collect():
+        n, mean = int(r["rows"]), int(r["total"]) / int(r["rows"])
+        spread = (max(0, int(r["squares"]) * n - int(r["total"]) ** 2)) ** 0.5 / n + 1
+        low, high = max(r["low"], math.floor(mean - spread)), min(r["high"], math.ceil(mean + spread))
+        state[r["column"]] = {rank: [low, high] for rank in {(n - 1) // 2, n // 2}}
+    while any(low < high for ranges in state.values() for low, high in ranges.values()):
+        tried = set()
+        for column, ranges in state.items():
+            for low, high in ranges.values():
+                step = max(1, -(-(high - low) // (PROBES + 1)))
+                tried.update((column, probe) for probe in range(low + step - 1, high, step))
+        probes = spark.createDataFrame(sorted(tried), "column string, probe bigint")
+        counts = deltas.histogram.join(F.broadcast(probes), "column").where("delta <= probe").groupBy("column", "probe")
+        counts = counts.agg(*_sums(pairs="pairs")).unionByName(pairs_upto(deltas.wide, probes))
+        counts = {(r["column"], r["probe"]): int(r["pairs"]) for r in counts.groupBy("column", "probe").agg(*_sums(pairs="pairs")).collect()}
+        for column, probe in tried:
+            for rank, bounds in state[column].items():
+                if counts.get((column, probe), 0) > rank:
+                    bounds[1] = min(bounds[1], probe)
+                else:
+                    bounds[0] = max(bounds[0], probe + 1)
+    rows = [(column, sum(low for low, _ in ranges.values()) / len(ranges)) for column, ranges in state.items()]
+    return spark.createDataFrame(rows, "column string, median double")
+
+
 def medians(histogram: DataFrame) -> DataFrame:
     """``(column, median)``, exact for any counts.
 
@@ -222,7 +398,7 @@ def medians(histogram: DataFrame) -> DataFrame:
     """
     upto = Window.partitionBy("column").orderBy("day")
     total = F.sum("pairs").over(Window.partitionBy("column"))
-    wide = "DECIMAL(38,0)"
+    wide = WIDE
     days = histogram.withColumn("day", F.expr("CAST(floor(delta / 1440) AS BIGINT)")).groupBy("column", "day")
     days = days.agg(F.expr(f"CAST(sum(pairs) AS {wide})").alias("pairs"))
     days = days.select("column", "day", "pairs", F.sum("pairs").over(upto).cast(wide).alias("upto"), total.cast(wide).alias("total"))
@@ -244,21 +420,34 @@ def medians(histogram: DataFrame) -> DataFrame:
     )
 
 
-def offset_facts(histogram: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row with a struct per column: pairs, median and sample deviation of the deltas.
-
-    The moments are sums over whole minutes, hence exact and free of order.
-    """
+def moments_of(deltas: Deltas) -> DataFrame:
+    """``(column, rows, total, squares, low, high)``: sums over whole minutes, hence exact and free of order."""
     d = "CAST(delta AS DECIMAL(12,0))"
-    moments = histogram.groupBy("column").agg(
-        F.expr("CAST(sum(pairs) AS DOUBLE)").alias("rows"),
-        F.expr(f"CAST(sum(CAST(pairs * {d} AS DECIMAL(38,0))) AS DOUBLE)").alias("total"),
-        F.expr(f"CAST(sum(CAST(CAST(pairs * {d} AS DECIMAL(38,0)) * {d} AS DECIMAL(38,0))) AS DOUBLE)").alias("squares"),
+    found = deltas.histogram.groupBy("column").agg(
+        *_sums(rows="pairs", total=f"CAST(pairs * {d} AS {WIDE})", squares=f"CAST(CAST(pairs * {d} AS {WIDE}) * {d} AS {WIDE})"),
+        F.min("delta").alias("low"), F.max("delta").alias("high"),
+    )
+    if deltas.wide is None:
+        return found
+    found = found.unionByName(wide_moments(deltas.wide)).groupBy("column").agg(
+        *_sums(rows="rows", total="total", squares="squares"), F.min("low").alias("low"), F.max("high").alias("high")
     )
+    return stage(found, "delta-moments")
+
+
+def offset_facts(deltas: Deltas, columns: Sequence[str]) -> DataFrame:
+    """One row with a struct per column: pairs, median and sample deviation of the deltas."""
+    moments = moments_of(deltas)
+    middle = medians(deltas.histogram)
+    if deltas.wide is not None:
+        exact = wide_medians(deltas, moments)
+        middle = middle.join(F.broadcast(exact.select("column")), "column", "left_anti").unionByName(exact)
     # a row for each configured column
-    rows = moments.join(F.broadcast(medians(histogram)), "column").selectExpr(
-        "column", "rows", "median",
-        "sqrt(try_divide(greatest(squares - total * total / rows, 0D), rows - 1)) AS std",
+    rows = moments.join(F.broadcast(middle), "column").selectExpr(
+        "column", "CAST(rows AS DOUBLE) AS rows", "median", "CAST(total AS DOUBLE) AS total", "CAST(squares AS DOUBLE) AS squares"
+    )
+    rows = rows.selectExpr(
+        "column", "rows", "median", "sqrt(try_divide(greatest(squares - total * total / rows, 0D), rows - 1)) AS std"
     )
     return rows.selectExpr(
         *[
@@ -291,11 +480,11 @@ def offset_rows(
     source_rows: DataFrame, target_rows: DataFrame, columns: Sequence[str], table: str, run_id: str = ""
 ) -> DataFrame:
     reduced = reduce_keys(source_rows, target_rows)
-    return histogram_rows(delta_histogram(reduced, source_rows, target_rows), columns, table, run_id)
+    return delta_rows(key_deltas(reduced, source_rows, target_rows), columns, table, run_id)
 
 
-def histogram_rows(histogram: DataFrame, columns: Sequence[str], table: str, run_id: str = "") -> DataFrame:
-    return R.rows(offset_facts(histogram, columns), offset_findings(columns), table, run_id)
+def delta_rows(deltas: Deltas, columns: Sequence[str], table: str, run_id: str = "") -> DataFrame:
+    return R.rows(offset_facts(deltas, columns), offset_findings(columns), table, run_id)
 
 
 def check_tz_offset(source: DataFrame, target: DataFrame, columns: Sequence[str], key: str, table: str) -> DataFrame:

@@ -253,8 +253,8 @@ def pair_results(spark: SparkSession, inputs, plan: PairPlan, table: str, run_id
         stamps = inputs.all_stamps if shared else inputs.stamps
         source, target = (stamps(side, plan.stamp_key, plan.stamps, plan.stamp_read) for side in ("source", "target"))
         reduced = datetimes.reduce_keys(source, target)
-        histogram = datetimes.delta_histogram(reduced, source, target)
-        parts.append(datetimes.histogram_rows(histogram, plan.stamps, table, run_id))
+        deltas = datetimes.key_deltas(reduced, source, target)
+        parts.append(datetimes.delta_rows(deltas, plan.stamps, table, run_id))
         if shared:
             checks = plan.keyed[plan.stamp_key][1]
             parts.append(keys.fact_rows(datetimes.key_facts(reduced, plan.stamps[0]), checks, table, run_id))
