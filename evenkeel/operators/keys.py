@@ -1,13 +1,15 @@
 """Shape 3: keys and their row counts on both sides.
 
 One union and one aggregate answer key overlap, uniqueness and referential integrity. Rows of a hot
-key are summed before the shuffle; no join is needed and no key is collected.
+key are summed before the shuffle; no join is needed and no key is collected. The keys of all checks of a pair
+are read in one scan per table, told apart by the number of their check, and reduced in one shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -76,6 +78,54 @@ def facts(pairs: DataFrame) -> DataFrame:
     return pairs.selectExpr(*[f"coalesce(sum({sql}), 0L) AS {name}" for name, sql in PER_KEY.items()])
 
 
+@dataclass(frozen=True)
+class KeyColumn:
+    """A key column of a frame: an expression for the key, and one for the number of rows a row stands for."""
+
+    frame: DataFrame
+    key: str
+    weight: str = "1L"
+
+
+def read_column(df: DataFrame, column: str, read: KeyReader = Side.col) -> KeyColumn:
+    return KeyColumn(df, read(Side.of(df), column))
+
+
+def tagged(compared: Sequence[tuple[KeyColumn, KeyColumn]]) -> tuple[DataFrame, list[str]]:
+    """The keys of several comparisons ``(source, target)`` in one table, and the names of its key columns.
+
+    ``check`` is the place of the comparison. Keys of one type share a column; the others are NULL. A frame that takes part in
+    several comparisons is read once.
+    """
+    kinds = [
+        s.frame.selectExpr(f"{s.key} AS k").union(t.frame.selectExpr(f"{t.key} AS k")).schema["k"].dataType.simpleString()
+        for s, t in compared
+    ]
+    slots = {kind: f"k{i}" for i, kind in enumerate(dict.fromkeys(kinds))}
+    by_frame: dict[int, tuple[DataFrame, list[str]]] = {}
+    for i, (pair, kind) in enumerate(zip(compared, kinds)):
+        for side, column in zip(("src_n", "tgt_n"), pair):
+            named = [f"CAST({column.key if k == kind else 'NULL'} AS {k}) AS {slot}" for k, slot in slots.items()]
+            counts = [f"{column.weight if n == side else '0L'} AS {n}" for n in ("src_n", "tgt_n")]
+            structs = by_frame.setdefault(id(column.frame), (column.frame, []))[1]
+            structs.append(f"struct({', '.join([f'{i} AS check', *named, *counts])})")
+    rows = [df.selectExpr(f"inline(array({', '.join(structs)}))") for df, structs in by_frame.values()]
+    return reduce(DataFrame.unionByName, rows), list(slots.values())
+
+
+def compared_facts(compared: Sequence[tuple[KeyColumn, KeyColumn]]) -> DataFrame:
+    """One row with a struct ``c<i>`` per comparison, which holds what :func:`facts` gives."""
+    rows, slots = tagged(compared)
+    pairs = rows.groupBy("check", *slots).agg(F.sum("src_n").alias("src_n"), F.sum("tgt_n").alias("tgt_n"))
+    pairs = pairs.selectExpr("check", f"coalesce({', '.join(f'{s} IS NOT NULL OR NULL' for s in slots)}) AS k", "src_n", "tgt_n")
+    sums = pairs.groupBy("check").agg(*[F.expr(f"sum({sql})").alias(name) for name, sql in PER_KEY.items()])
+    zeros = ", ".join(f"0L AS {name}" for name in PER_KEY)
+    return sums.selectExpr(*[
+        f"coalesce(first(IF(check = {i}, struct({', '.join(PER_KEY)}), NULL), true), struct({zeros})) AS c{i}"
+        for i in range(len(compared))
+    ])
+
+
 @dataclass(frozen=True)
 class KeyCheck:
     """A rule over the facts of one key column pair."""
@@ -90,6 +140,15 @@ def key_check_rows(pairs: DataFrame, checks: Sequence[KeyCheck], table: str, run
     return fact_rows(facts(pairs), checks, table, run_id)
 
 
+def compared_rows(
+    compared: Sequence[tuple[KeyColumn, KeyColumn]], checks: Sequence[Sequence[KeyCheck]], table: str, run_id: str = ""
+) -> DataFrame:
+    """Result rows of the ``checks`` of each comparison."""
+    scope = R.Scope()
+    found = [f for i, some in enumerate(checks) for c in some for f in c.decide(Facts(f"c{i}", scope))]
+    return R.rows(compared_facts(compared), found, table, run_id, scope)
+
+
 def fact_rows(row: DataFrame, checks: Sequence[KeyCheck], table: str, run_id: str = "") -> DataFrame:
     """Result rows from the one-row result of :func:`facts`."""
     scope = R.Scope()

@@ -15,7 +15,7 @@ from evenkeel.functions.values import quote
 from evenkeel.operators import mapping as M
 from evenkeel.operators import quarantine as Q
 from evenkeel.operators import rollup
-from evenkeel.plans.pair_audit import Settings, audit_by_check, audit_pair
+from evenkeel.plans.pair_audit import PairAudit, Settings, audit_pair
 from evenkeel.results import ERROR, fixed_finding
 from evenkeel.sources.read import DataLoadError, bad_lines, hide_password, is_database, is_parquet, read_table, rename
 from evenkeel.sources.write import write_quarantine
@@ -23,11 +23,11 @@ from evenkeel.sources.write import write_quarantine
 
 @dataclass
 class Part:
-    """Result rows of one audited pair, not yet computed; ``single`` gives them check by check if that fails."""
+    """Result rows of one audited pair, not yet computed; ``planned`` finds the checks that fail if the whole does."""
 
     label: str
     rows: Callable[[], DataFrame]
-    single: Callable[[], list[tuple[R.Finding, Callable[[], DataFrame]]]] | None = None
+    planned: Callable[[], PairAudit] | None = None
 
 
 @dataclass
@@ -44,7 +44,8 @@ class Audit:
     def results(self) -> DataFrame:
         """All result rows, one per check: pairs run a few at a time, and rows are kept.
 
-        If the jobs of a pair fail, its checks run one by one, and each that fails gives one ERROR row.
+        If the jobs of a pair fail, its checks run in halves and halves of these, until those that fail are alone; each
+        of them gives one ERROR row.
         """
         with ThreadPoolExecutor(max_workers=self.parallel) as pool:
             found = [row for part in pool.map(self._rows, self.parts) for row in part]
@@ -55,18 +56,12 @@ class Audit:
             return part.rows().collect()
         except Exception as e:
             try:
-                pieces = part.single() if part.single else []
+                audit = part.planned() if part.planned else None
             except Exception:  # not even a plan
-                pieces = []
-            if not pieces:
+                audit = None
+            if audit is None:
                 return self._error(part.label, R.Finding("audit", "audit", None, "", ""), e)
-        rows = []
-        for check, run in pieces:
-            try:
-                rows += run().collect()
-            except Exception as e:
-                rows += self._error(part.label, check, e)
-        return rows
+        return audit.isolated(partial(self._error, part.label))
 
     def _error(self, label: str, check: R.Finding, e: Exception) -> list:
         message = hide_password(f"{type(e).__name__}: {e}")
@@ -209,7 +204,7 @@ def run_audit(
         parts = []
         for pair in pairs:
             what = pair.source, pair.target, table, pair.label, settings, loader.parents(table, texts)
-            parts.append(Part(pair.label, partial(audit_pair, *what), partial(audit_by_check, *what)))
+            parts.append(Part(pair.label, partial(audit_pair, *what), partial(PairAudit.of, *what)))
         for path, options in texts.items():
             parts.append(Part(name, partial(bad_line_rows, spark, path, options, config.bad_lines, name, run_id)))
         return parts, bad

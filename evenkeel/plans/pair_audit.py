@@ -4,7 +4,7 @@ The configuration is turned into checks of four shapes, and each shape reads the
 
 1. scalar metrics    one aggregate per side, no shuffle of rows
 2. value counts      one shuffle for all enum, distribution and length checks
-3. key counts        one shuffle per key column (identity, uniqueness, foreign keys)
+3. key counts        one shuffle for all key columns (identity, uniqueness, foreign keys)
 4. timestamp pairs   one shuffle for all datetime columns
 
 The inputs of a shape are small functions, so the same plan runs over tables (:class:`TableInputs`) and
@@ -15,7 +15,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,7 +64,8 @@ class PairPlan:
     def single(self) -> list[tuple[Finding, PairPlan]]:
         """A plan for each check, with a finding that names it."""
         blank = PairPlan([], [], [], {}, [], [], self.stamp_key, self.stamp_read)
-        get, sides = A.Facts("", R.Scope()), (A.Facts("s", R.Scope()), A.Facts("t", R.Scope()))
+        scope = R.Scope()
+        get, sides = A.Facts("", scope), (A.Facts("s", scope), A.Facts("t", scope))
         out = [([f], replace(blank, fixed=[f])) for f in self.fixed]
         out += [(c.decide(*sides), replace(blank, scalar=[c])) for c in self.scalar]
         out += [(c.decide(get), replace(blank, values=[c])) for c in self.values]
@@ -212,8 +212,8 @@ class TableInputs:
     def values(self, side: str, counted: Sequence[frequency.Counted]) -> DataFrame:
         return frequency.value_rows(self.frames[side], counted)
 
-    def keys(self, side: str, column: str, read: keys.KeyReader) -> DataFrame:
-        return keys.key_rows(self.frames[side], column, read)
+    def keys(self, side: str, column: str, read: keys.KeyReader) -> keys.KeyColumn:
+        return keys.read_column(self.frames[side], column, read)
 
     def stamps(self, side: str, key: str, columns: Sequence[str], read: keys.KeyReader) -> DataFrame:
         return datetimes.stamp_rows(self.frames[side], key, columns, read)
@@ -236,18 +236,18 @@ def pair_results(spark: SparkSession, inputs, plan: PairPlan, table: str, run_id
         parts.append(frequency.value_check_rows(pairs, plan.values, table, run_id))
     # where timestamps are paired by the key anyway, its counts come from the same shuffle
     shared = bool(plan.stamps) and plan.stamp_key in plan.keyed and hasattr(inputs, "all_stamps")
-    for column, (read, checks) in plan.keyed.items():
-        if shared and column == plan.stamp_key:
-            continue
-        pairs = keys.paired(inputs.keys("source", column, read), inputs.keys("target", column, read))
-        parts.append(keys.key_check_rows(pairs, checks, table, run_id))
+    compared, checks = [], []
+    for column, (read, some) in plan.keyed.items():
+        if not (shared and column == plan.stamp_key):
+            compared.append((inputs.keys("source", column, read), inputs.keys("target", column, read)))
+            checks.append(some)
     for link in plan.links:
-        child = inputs.keys("target", link.check.source_column, link.read)
-        if link.parent is None:
-            parent = inputs.keys("target", link.check.target_column, link.read)
-        else:
-            parent = keys.key_rows(link.parent, link.check.target_column, link.read)
-        parts.append(keys.key_check_rows(keys.paired(child, parent), [link.check], table, run_id))
+        child, parent = link.check.source_column, link.check.target_column
+        of_parent = inputs.keys("target", parent, link.read) if link.parent is None else keys.read_column(link.parent, parent, link.read)
+        compared.append((inputs.keys("target", child, link.read), of_parent))
+        checks.append([link.check])
+    if compared:
+        parts.append(keys.compared_rows(compared, checks, table, run_id))
     if plan.stamps:
         require_utc(spark)
         stamps = inputs.all_stamps if shared else inputs.stamps
@@ -256,8 +256,8 @@ def pair_results(spark: SparkSession, inputs, plan: PairPlan, table: str, run_id
         deltas = datetimes.key_deltas(reduced, source, target)
         parts.append(datetimes.delta_rows(deltas, plan.stamps, table, run_id))
         if shared:
-            checks = plan.keyed[plan.stamp_key][1]
-            parts.append(keys.fact_rows(datetimes.key_facts(reduced, plan.stamps[0]), checks, table, run_id))
+            of_key = plan.keyed[plan.stamp_key][1]
+            parts.append(keys.fact_rows(datetimes.key_facts(reduced, plan.stamps[0]), of_key, table, run_id))
     return R.union(spark, parts)
 
 
@@ -280,18 +280,60 @@ def audit_pair(
     return pair_results(source.sparkSession, TableInputs(source, target), plan, name, settings.run_id)
 
 
-def audit_by_check(
-    source: DataFrame,
-    target: DataFrame,
-    table: TableConfig,
-    name: str,
-    settings: Settings = Settings(),
-    parents: Mapping[str, DataFrame | Exception] | None = None,
-) -> list[tuple[Finding, Callable[[], DataFrame]]]:
-    """The audit of a pair check by check: a finding that names the check, and what gives its result rows.
+def merged(plans: Sequence[PairPlan]) -> PairPlan:
+    """One plan with the checks of all of them, which belong to one pair."""
+    out = replace(plans[0], fixed=[], scalar=[], values=[], keyed={}, links=[], stamps=[])
+    for plan in plans:
+        for name in ("fixed", "scalar", "values", "links", "stamps"):
+            getattr(out, name).extend(getattr(plan, name))
+        for column, (read, checks) in plan.keyed.items():
+            out.keyed.setdefault(column, (read, []))[1].extend(checks)
+    return out
+
 
-    Every check reads the tables on its own, so this is for pairs whose fused audit failed.
+def isolate(checks: Sequence[tuple[Finding, PairPlan]], run: Callable[[PairPlan], list], failed: Callable[[Finding, Exception], list]) -> list:
+    """What ``run`` gives for checks that failed together, and ``failed`` for each that fails on its own.
+
+    Halves run fused, and only those that fail are halved again: one bad check of n costs about 2 log2(n) fused runs.
     """
-    plan = plan_pair(A.Side.of(source), A.Side.of(target), table, settings, parents)
-    inputs, spark = TableInputs(source, target), source.sparkSession
-    return [(f, partial(pair_results, spark, inputs, one, name, settings.run_id)) for f, one in plan.single()]
+    rows = []
+    middle = (len(checks) + 1) // 2
+    for half in (checks[:middle], checks[middle:]):
+        if not half:
+            continue
+        try:
+            rows += run(merged([plan for _, plan in half]))
+        except Exception as e:
+            rows += failed(half[0][0], e) if len(half) == 1 else isolate(half, run, failed)
+    return rows
+
+
+@dataclass(frozen=True)
+class PairAudit:
+    """The planned audit of a pair. ``checks`` are its checks one by one, each a plan with a finding that names it."""
+
+    spark: SparkSession
+    inputs: TableInputs
+    plan: PairPlan
+    name: str
+    run_id: str
+
+    @classmethod
+    def of(
+        cls,
+        source: DataFrame,
+        target: DataFrame,
+        table: TableConfig,
+        name: str,
+        settings: Settings = Settings(),
+        parents: Mapping[str, DataFrame | Exception] | None = None,
+    ) -> PairAudit:
+        plan = plan_pair(A.Side.of(source), A.Side.of(target), table, settings, parents)
+        return cls(source.sparkSession, TableInputs(source, target), plan, name, settings.run_id)
+
+    def rows(self, plan: PairPlan | None = None) -> DataFrame:
+        return pair_results(self.spark, self.inputs, plan or self.plan, self.name, self.run_id)
+
+    def isolated(self, failed: Callable[[Finding, Exception], list]) -> list:
+        """All result rows, after the fused audit has failed."""
+        return isolate(self.plan.single(), lambda plan: self.rows(plan).collect(), failed)

@@ -65,7 +65,7 @@ class IncrementalAudit:
         if plan.values:
             parts["values"] = frequency.compact(inputs.values(side, plan.counted()))
         for i, (column, read) in enumerate(self._key_columns(side)):
-            parts[f"keys-{i}"] = keys.compact(inputs.keys(side, column, read))
+            parts[f"keys-{i}"] = keys.compact(keys.key_rows(df, column, read))
         if plan.stamps:
             parts["stamps"] = datetimes.compact(inputs.stamps(side, plan.stamp_key, plan.stamps, plan.stamp_read))
         return parts
@@ -218,9 +218,9 @@ class StateInputs:
     def values(self, side: str, counted: Sequence[frequency.Counted]) -> DataFrame:
         return self.audit.state(side, "values")
 
-    def keys(self, side: str, column: str, read: keys.KeyReader) -> DataFrame:
+    def keys(self, side: str, column: str, read: keys.KeyReader) -> keys.KeyColumn:
         index = self.audit._key_columns(side).index((column, read))
-        return self.audit.state(side, f"keys-{index}")
+        return keys.KeyColumn(self.audit.state(side, f"keys-{index}"), "k", "n")
 
     def stamps(self, side: str, key: str, columns: Sequence[str], read: keys.KeyReader) -> DataFrame:
         return self.audit.state(side, "stamps")

@@ -1,14 +1,19 @@
 """The fused audit: invariances, extension, evidence, number of jobs, plan shape."""
 
+from dataclasses import replace
+
 import pytest
 from conftest import by_check, order_rows
+from pyspark.sql import functions as F
 
-from evenkeel.config import TableConfig
-from evenkeel.operators import faults, rollup
+from evenkeel import results as R
+from evenkeel.config import AuditConfig, TableConfig
 from evenkeel.operators import facts as A
-from evenkeel.plans import registry
+from evenkeel.operators import faults, keys, rollup
+from evenkeel.plans import pair_audit, registry
 from evenkeel.plans.evidence import failing_values
-from evenkeel.plans.pair_audit import Settings, audit_pair
+from evenkeel.plans.job import run_audit
+from evenkeel.plans.pair_audit import PairPlan, Settings, audit_pair, isolate
 from evenkeel.results import FAIL, PASS, Finding, case
 
 TABLE = TableConfig(
@@ -106,8 +111,7 @@ def test_scans_per_audit(spark, base, tmp_path):
     key; the primary key is counted with the staged timestamps."""
     path = str(tmp_path / "t.parquet")
     base.write.parquet(path)
-    df = spark.read.parquet(path)
-    results = audit_pair(df, df, TABLE, "t", Settings())
+    results = audit_pair(spark.read.parquet(path), spark.read.parquet(path), TABLE, "t", Settings())
     results.collect()
     plan = results._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     for slow in ("SortMergeJoin", "CartesianProduct", "NestedLoop"):
@@ -116,6 +120,75 @@ def test_scans_per_audit(spark, base, tmp_path):
     assert len(scans) == 2 * 3, plan
 
 
+def test_six_key_columns_are_read_in_one_scan_per_side(spark, base, tmp_path):
+    """Keys of three types and a foreign key: one scan of each side and of the parent, one shuffle of keys."""
+    for name, where in (("s", "true"), ("t", "id % 10 <> 0"), ("p", "id % 7 <> 0")):
+        base.where(where).write.parquet(str(tmp_path / name))
+    s, t, parent = (spark.read.parquet(str(tmp_path / name)) for name in "stp")
+    columns = ["id", "name", "amount", "category", "status", "created_at"]
+    table = TableConfig(
+        primary_key="id", unique_columns=tuple(columns[1:]),
+        relationships=({"child": {"fk_column": "id"}, "parent": {"pk_column": "id", "target": "p"}},),
+    )
+    results = audit_pair(s, t, table, "t", parents={"p": parent}).where("check IN ('identity', 'uniqueness', 'foreign_key')")
+    got = by_check(results)
+    plan = results._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    scans = [line for line in plan.splitlines() if "FileScan parquet" in line and "ReadSchema: struct<>" not in line]
+    # the rows of the volume check are counted without reading a column
+    assert sorted(line.split("paths)[")[1].split("]")[0][-1] for line in scans) == ["p", "s", "t"], plan
+    assert plan.count("Exchange hashpartitioning") == 2, plan  # the keys, and their sums per check
+    want = R.union(spark, [
+        keys.check_identity(s, t, "id", "t"), *[keys.check_uniqueness(s, t, c, "t") for c in columns[1:]],
+        keys.check_links(t, parent, "id", "id", "t"),
+    ])
+    want = by_check(want)
+    assert len(want) == 7 and {k: (r["status"], r["metrics"]) for k, r in got.items()} == {k: (r["status"], r["metrics"]) for k, r in want.items()}
+
+
+def test_keys_of_empty_tables(base):
+    table = TableConfig(primary_key="id", unique_columns=("name",))
+    got = by_check(audit_pair(base.limit(0), base.limit(0), table, "t"))
+    assert got[("identity", "id")]["status"] == "FAIL" and got[("uniqueness", "name")]["metrics"]["src_unique_count"] == 0
+
+
+@pytest.mark.parametrize("bad", [{"c7"}, {"c0", "c19"}, set(), {f"c{i}" for i in range(20)}])
+def test_failing_checks_are_found_by_halving(bad):
+    runs = []
+
+    def run(plan):
+        names = [f.check for f in plan.fixed]
+        runs.append(names)
+        if bad & set(names):
+            raise RuntimeError(names)
+        return names
+
+    blank = PairPlan([], [], [], {}, [], [])
+    checks = [(f, replace(blank, fixed=[f])) for f in (Finding("x", f"c{i}", None, "", "") for i in range(20))]
+    rows = isolate(checks, run, lambda finding, e: [f"error {finding.check}"])
+    assert sorted(rows) == sorted(f"error c{i}" if f"c{i}" in bad else f"c{i}" for i in range(20))
+    if len(bad) == 1:
+        assert len(runs) <= 10  # of 20 checks
+
+
+def test_one_unreadable_column_costs_few_scans(spark, base, monkeypatch):
+    """Scans of the tables while one bad check of 20 is looked for."""
+    bad = base.withColumn("amount", F.expr("IF(id = 5, raise_error('unreadable'), amount)"))
+    rules = {"id": ["not_null", "positive"], "name": ["not_null"], "status": ["not_null"], "category": ["not_null"]}
+    table = TableConfig(
+        primary_key="id", source="s", target="t", data_constraints={**rules, "amount": ["positive"]},
+        mappings=tuple({"columns": [c], "allowed_values": ["x"]} for c in ("status", "name", "category")),
+        boolean_columns=tuple({"column": c} for c in ("status", "name", "category")),
+        string_columns=tuple({"column": c, "check_whitespace": True, "check_encoding": True} for c in ("name", "status", "category")),
+    )
+    fused = []
+    whole = pair_audit.pair_results
+    monkeypatch.setattr(pair_audit, "pair_results", lambda *a: fused.append(a[2]) or whole(*a))
+    found = run_audit(spark, AuditConfig({"t": table}), frames={"s": base, "t": bad}).results.collect()
+    errors = [r for r in found if r["status"] == "ERROR"]
+    assert [(r["check"], r["column"]) for r in errors] == [("constraint", "amount")] and "unreadable" in errors[0]["message"]
+    assert len(found) >= 18 and len(fused) <= 1 + 2 * 5
+
+
 def test_no_column_is_read_in_vain(spark, base, tmp_path):
     path = str(tmp_path / "t.parquet")
     base.write.parquet(path)
