@@ -12,7 +12,9 @@ A template is found in a block if the block holds at least ``threshold`` of the
 A pair is verified once, at its first common word. Words that no template holds can't add to an overlap, so blocks
 are reduced to template words in the one pass over the texts. Everything is built-in DataFrame functions.
 
-Blocks are lines (``block`` takes another separator, for example blank lines). NULL text is the empty text: no words,
+Blocks are paragraphs: they end at lines without a word, as blank ones or those of a comment's frame are, so notices
+that are wrapped over several lines are whole in one block (``block`` takes another separator). Templates are a parameter: sentences
+that open a notice, as they are here, or whole paragraphs. NULL text is the empty text: no words,
 no labels, score 0. Rows with equal ids are handled on their own. An empty table, or no templates, gives no labels.
 Other columns are not looked at.
 """
@@ -33,6 +35,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What stands between words.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+#: What stands between paragraphs: the end of a line, and lines that hold no word.
+PARAGRAPH = r"\n(?:[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]*\n)+"
+
 # Phrases and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
@@ -159,7 +164,7 @@ def license_scan(
     threshold: float = THRESHOLD,
     id_col: str = "doc_id",
     text_col: str = "text",
-    block: str = r"\n",
+    block: str = PARAGRAPH,
 ) -> DataFrame:
     """One row per input row: ``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score``.
 
@@ -190,7 +195,7 @@ def license_scan(
     )
 
 
-def oracle_sql(templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD) -> str:
+def oracle_sql(templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD, block: str = PARAGRAPH) -> str:
     """The same by brute force over all blocks and templates."""
 
     def quoted(items):
@@ -213,7 +218,7 @@ base AS (
   SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list_sort(list_distinct(list(label))) AS base
   FROM places GROUP BY r
 ), blocks AS (
-  SELECT r, string_split_regex(b, '{GAP}') AS b FROM (SELECT r, unnest(string_split(t, chr(10))) AS b FROM worded)
+  SELECT r, string_split_regex(b, '{GAP}') AS b FROM (SELECT r, unnest(string_split_regex(t, '{block}')) AS b FROM worded)
 ), found AS (
   SELECT r, list(DISTINCT label) AS more, max(len(list_intersect(s, b)) / CAST(len(s) AS DOUBLE)) AS best
   FROM blocks, (VALUES {rows}) AS templates(label, s, needed)
