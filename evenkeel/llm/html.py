@@ -6,7 +6,13 @@
    rows are summed up in each task first.
 3. Pages are parsed again. The elements at the winning path of their host, or at the page's own best path where the
    host's is absent, give the text, without menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
-   and reader comments. The winners are broadcast if they are measured to be small, else joined by host.
+   and reader comments. Where the container around them adds further text of the article, as headings, leads or sections
+   beside them are, and not mostly links, it is taken instead, and so on upwards. The winners are broadcast if they are
+   measured to be small, else joined by host.
+
+Names of classes mark what is no part of an article. An element that holds an article or nearly all of the page's text is
+kept whatever its name says, in an article's headings and paragraphs only whole names count, and where marks would leave a
+page without text, those names are passed over.
 
 Inside a block, white space runs become one space; blocks are joined by one space. A NULL page or one without text
 has the empty text; text outside of tags is the text of the body. Pages without a URL share one host. Repeated rows
@@ -79,6 +85,12 @@ HEAD_MARK, OWN = "header", frozenset("article entry post story content".split())
 STATE = re.compile(r"(has|with|no|without|is)[-_]", re.IGNORECASE)
 #: Class names and ids of reader comments.
 COMMENT = re.compile(r"\scomments?([-_](?!open|closed|off|on\b)\S*)?\s|\sdisqus\S*\s", re.IGNORECASE)
+#: Of these words those that count in an article's own headings and paragraphs, as whole class names.
+INNER_MARKS = MARKS - frozenset("alert notice notices related comment comments header widget widgets banner hidden modal overlay".split())
+#: Share of a page's text that a container with a marked name has to hold to be kept.
+NEARLY_ALL = 0.8
+#: Share of links up to which the text around an article's container may be part of the article.
+LINKED = 1 / 3
 CONTAINERS = frozenset("article main section div td body blockquote".split())
 PARAGRAPHS = frozenset("p li pre blockquote h1 h2 h3 h4 h5 h6 dd dt td th figcaption".split())
 
@@ -116,8 +128,8 @@ def _marks(value: str) -> set[str]:
     return set(PARTS.split(CAMEL.sub(r"\1-\2", value).lower()))
 
 
-def _boilerplate(node: Node) -> bool:
-    """Whether the element and all in it is no part of an article."""
+def _boilerplate(node: Node, named: bool) -> bool:
+    """Whether the element and all in it is no part of an article; ``named``: also by its class names and id."""
     if node.tag in DROPPED and not (node.tag == "form" and _wraps(node)):
         return True
     if node.tag in ("html", "body"):
@@ -132,9 +144,28 @@ def _boilerplate(node: Node) -> bool:
         return True
     if COMMENT.search(f" {values.get('class', '')} {values.get('id', '')} "):
         return True
-    if node.tag in ("article", "main") or not _marks(_names(values)) & MARKS:
+    if not named or node.tag in ("article", "main") or not _marks(_names(values)) & MARKS:
+        return False
+    if node.tag in PARAGRAPHS and any(n.tag in ("article", "main") for n in _above(node.parent)):
+        return not INNER_MARKS.isdisjoint(_names(values).lower().split())
+    if any(n.tag in ("article", "main") and not COMMENT.search(f" {_names(n.values())} ") for n in below(node)):
         return False
-    return not any(n.tag in ("article", "main") and not COMMENT.search(f" {_names(n.values())} ") for n in below(node))
+    *_, root = _above(node)
+    own = _plain_text(node)
+    return not own or own < NEARLY_ALL * _plain_text(root)
+
+
+def _plain_text(node: Node) -> int:
+    """Letters outside of links and of elements that are dropped by their tag or as reader comments."""
+    size, stack = 0, [node]
+    while stack:
+        for child in stack.pop().children:
+            if not isinstance(child, Node):
+                size += len(child.strip())
+            elif child.tag != "a" and child.tag != "header" and (child.tag == "form" or child.tag not in DROPPED):
+                if not (child.attributes and COMMENT.search(f" {_names(child.values())} ")):
+                    stack.append(child)
+    return size
 
 
 def _wraps(form: Node) -> bool:
@@ -166,9 +197,9 @@ def _names(values: dict[str, str]) -> str:
     return " ".join(n for n in names if not STATE.match(n))
 
 
-def _heads(node: Node) -> bool:
+def _heads(node: Node, named: bool) -> bool:
     """Headers go, but for one of an article that holds its heading."""
-    marks = _marks(_names(node.values())) if node.attributes else set()
+    marks = _marks(_names(node.values())) if node.attributes and named else set()
     if node.tag != "header" and (HEAD_MARK not in marks or node.tag in ("html", "body", "article", "main")):
         return False
     owned = bool(marks & OWN) or any(n.tag in ("article", "main") for n in _above(node))
@@ -267,12 +298,12 @@ def _close(here: Node, tags) -> Node:
     return closed.parent if closed is not None else here
 
 
-def mark(root: Node) -> None:
-    """Marks elements that are no part of an article."""
+def mark(root: Node, named: bool = True) -> None:
+    """Marks elements that are no part of an article; ``named``: also by their class names and ids."""
     stack = [root]
     while stack:
         node = stack.pop()
-        node.dropped = _boilerplate(node) or _heads(node)
+        node.dropped = _boilerplate(node, named) or _heads(node, named)
         if not node.dropped:
             stack.extend(c for c in node.children if isinstance(c, Node))
 
@@ -324,7 +355,7 @@ def vote(page: str) -> list[tuple[str, float]]:
     top = max(scores.values(), default=0.0)
     if top <= 0:
         return []
-    return [(path, s / top) for path, s in scores.items() if s >= 0.5 * top]
+    return [(path, s / top) for path, s in scores.items() if s > 0]
 
 
 def text_of(nodes: list[Node]) -> str:
@@ -360,16 +391,56 @@ def text_of(nodes: list[Node]) -> str:
 
 
 def extract(page: str, path: str | None) -> str:
-    """The text at ``path``, or at the page's best path."""
+    """The text at ``path``, or at the page's best path, with what belongs to it around."""
     root = parse(page)
-    mark(root)
-    found = _at(root, path) if path else []
-    text = text_of(found)
-    if not text:
-        scores = candidates(root)
-        best = max(scores, key=lambda p: (scores[p], p), default=None)
-        text = text_of(_at(root, best)) if best is not None and scores[best] > 0 else text_of([root])
-    return text
+    for named in (True, False):
+        mark(root, named)
+        text = text_of(_widened(_at(root, path))) if path else ""
+        if not text:
+            scores = candidates(root)
+            best = max(scores, key=lambda p: (scores[p], p), default=None)
+            text = text_of(_widened(_at(root, best))) if best is not None and scores[best] > 0 else text_of([root])
+        if text:
+            return text
+    return ""
+
+
+def _widened(nodes: list[Node]) -> list[Node]:
+    """The container around ``nodes`` that holds all of the article, or the nodes themselves if there is none."""
+    here = nodes
+    while here:
+        over = [set(map(id, _above(n.parent))) for n in here[1:]]
+        around = next(n for n in _above(here[0].parent) if all(id(n) in some for some in over))
+        if around.parent is None or around.tag == "html":
+            break
+        if any(n.dropped for n in _above(around)) or not _belongs(around, here):
+            break
+        here = [around]
+    return here
+
+
+def _belongs(around: Node, inner: list[Node]) -> bool:
+    """Whether the text that a container adds is of an article: in headings, paragraphs or sections, and not mostly links."""
+    plain = linked = loose = 0
+    known = set(map(id, inner))
+    stack = [(c, False, False) for c in around.children]
+    while stack:
+        item, in_link, in_block = stack.pop()
+        if isinstance(item, str):
+            size = len(item.strip())
+            if in_link:
+                linked += size
+            else:
+                plain += size
+                loose += 0 if in_block else size
+        elif not item.dropped and id(item) not in known:
+            block = in_block or item.tag in PARAGRAPHS or item.tag in ("section", "article", "table", "figure", "header")
+            stack.extend((c, in_link or item.tag == "a", block) for c in item.children)
+    own = around.tag in ("article", "main") or any(n.tag in ("article", "main") for n in _above(around))
+    if linked > LINKED * (plain + linked):
+        return False
+    # in an article any text is its own; elsewhere the text has to stand in blocks
+    return own or loose <= LINKED * plain
 
 
 def _at(root: Node, path: str) -> list[Node]:

@@ -1,4 +1,8 @@
+from html.parser import HTMLParser
+
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from evenkeel.llm import html as H
 
@@ -82,3 +86,95 @@ def test_pages_without_an_end_of_the_head_or_in_a_form(page):
 def test_forms_beside_the_text_go():
     page = "<html><body><form><p>Search here</p></form><div><p>The text of the page, longer than the form.</p></div></body></html>"
     assert H.extract(page, None) == "The text of the page, longer than the form."
+
+
+LONG = "This is a sentence of the article that goes on for a while, with some commas, and ends here. "
+
+
+@pytest.mark.parametrize(
+    "main",
+    [
+        "<main><h1>Head</h1><div class=lead><p>Lead of it. {x}</div><div class=body><p>{x}{x}{x}</div></main>",
+        "<article><h1>Head</h1><p>Lead of it. {x}</p><div class=body><section><p>{x}{x}</section><section><p>{x}</section></div></article>",
+        "<article><h1>Head</h1><div class=a><p>Lead of it. {x}</div><div class=a><p>{x}{x}</div><div class=b><p>{x}</div></article>",
+        "<div class=wrap><h1>Head</h1><p>Lead of it. {x}</p><div class=text><p>{x}{x}{x}</div></div>",
+        "<main><div><div><h1>Head</h1></div></div><div><p>Lead of it. {x}</div><div><div><p>{x}{x}<p>{x}</div></div></main>",
+    ],
+)
+def test_text_beside_the_best_container_stays(main):
+    page = SITE.format(main=main.replace("{x}", LONG))
+    want = " ".join(f"Head Lead of it. {LONG * 4}".split())
+    best = max(H.vote(page), key=lambda v: v[1])[0]
+    assert H.extract(page, best) == want and H.extract(page, None) == want
+
+
+@pytest.mark.parametrize("name", ["page-with-sidebar", "layout-sidebar-right", "widget-area main", "modal-open", "share-page", "theme-banner", "sidebar"])
+def test_wrappers_with_marked_names_keep_the_text(name):
+    page = f"<html><body><div class='{name}'><nav>Menu</nav><div><h1>Head</h1><p>{LONG}</p></div><div class=ad>Buy</div></div></body></html>"
+    assert H.extract(page, None) == f"Head {LONG.strip()}"
+    # a real sidebar beside the text still goes
+    page = f"<html><body><div class=text><h1>Head</h1><p>{LONG * 3}</p></div><div class='{name}'><p>{LONG}</p></div></body></html>"
+    if "with" not in name:
+        assert H.extract(page, None) == f"Head {LONG * 3}".strip()
+
+
+def test_names_inside_an_article():
+    article = "<article><h1>Head</h1><h2 class=related-work>Related work</h2><p class=alert>Mind this.</p><p>{x}</p><p class=ad>Buy</p><div class=related><p>Other posts</div></article>"
+    page = SITE.format(main=article.replace("{x}", LONG))
+    assert H.extract(page, None) == f"Head Related work Mind this. {LONG.strip()}"
+
+
+def test_lists_of_links_beside_the_text_stay_out():
+    links = "".join(f"<li><a href='/{i}'>Another story number {i} of this site</a>" for i in range(9))
+    page = f"<html><body><div class=all><ul>{links}</ul><div class=text><h1>Head</h1><p>{LONG * 2}</p></div></div></body></html>"
+    assert H.extract(page, None) == f"Head {LONG * 2}".strip()
+
+
+def texts_by_rule(page):
+    """A slow reference on fixtures whose article is known: an independent parser, and names to leave out given by hand."""
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.depth, self.out, self.open = 0, [], []
+
+        def handle_starttag(self, tag, attrs):
+            if tag not in H.VOID:
+                gone = tag in ("nav", "aside", "footer", "script", "style", "form", "title") or dict(attrs).get("class") in GONE
+                self.open.append((tag, gone))
+                self.depth += gone
+            self.out.append(" " if tag not in H.INLINE else "")
+
+        def handle_endtag(self, tag):
+            while self.open:
+                name, gone = self.open.pop()
+                self.depth -= gone
+                if name == tag:
+                    break
+            self.out.append(" " if tag not in H.INLINE else "")
+
+        def handle_data(self, data):
+            if not self.depth:
+                self.out.append(data)
+
+    reader = Reader()
+    reader.feed(page)
+    return " ".join("".join(reader.out).split())
+
+
+GONE = ("ad", "share", "cookie-notice", "comments", "related")
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["p", "h2", "section", "ad", "share", "list", "table", "quote"]), min_size=1, max_size=9), st.sampled_from(["article", "main", "div"]), st.booleans())
+def test_fixtures_with_known_text(parts, tag, wrapped):
+    made = {
+        "p": f"<p>{LONG} <b>bold</b>&amp; more</p>", "h2": "<h2>A heading</h2>", "section": f"<section><h3>Part</h3><p>{LONG}</p></section>",
+        "ad": "<div class='ad'><p>Buy this</p></div>", "share": "<div class='share'>Tell others</div>", "list": "<ul><li>First point</li><li>Second point</li></ul>",
+        "table": "<table><tr><td>one</td><td>two</td></tr></table>", "quote": f"<blockquote>{LONG}</blockquote>",
+    }
+    body = f"<h1>Head</h1><p>{LONG * 2}</p>" + "".join(made[p] for p in parts)
+    body = f"<{tag}>{body}</{tag}>"
+    body = f"<div class='outer'>{body}</div>" if wrapped else body
+    page = f"<html><body><nav><a href='/'>Home</a></nav>{body}<aside>{LONG}</aside><footer>End</footer></body></html>"
+    assert H.extract(page, None) == texts_by_rule(page)
