@@ -3,9 +3,11 @@
 Training, on the driver, from a bounded sample of labelled texts:
 
 * the ordinary dictionary is trained by zstandard on windows of ordinary texts;
-* toxic text is ordinary text with some strings of its own. Beginnings of words that stand after clearly more
-  different words in toxic texts than in ordinary ones (copies of a text add nothing), each as long as it keeps most
-  of its places, follow the ordinary content in the toxic dictionary;
+* the toxic one is trained by the same trainer on windows of toxic texts, reduced to what ordinary text doesn't explain:
+  beginnings of words that stand after clearly more different words in toxic texts than in ordinary ones (copies of a
+  text add nothing), each as long as it keeps most of its places. Windows as they are would teach it ordinary words
+  again, as toxic text is ordinary text with some strings of its own. What it learnt follows the ordinary content, so
+  that either dictionary holds ordinary words alike; a string counts once, and pieces that the trainer cut are left out;
 * a window of ``WORDS`` words is compressed with either; the difference of the lengths is what toxic strings save. A
   saving counts by the thresholds that it reaches, quantiles of ordinary windows. A logistic curve over a text's savings
   is calibrated on the sample.
@@ -37,8 +39,8 @@ TOXIC_ROWS, ORDINARY_ROWS, SAMPLE_BYTES = 1_000, 3_000, 100_000
 WORDS, DICTIONARY, TRAINING_WINDOWS = 12, 16_384, 40_000
 #: Lengths of beginnings of words; places a toxic one needs; how much likelier it is (log), alone and times places.
 SHORTEST, LONGEST, PLACES, RATIO, EVIDENCE = 4, 10, 5, 2.0, 25.0
-#: Such beginnings in the toxic dictionary, the strongest; they keep it in reach of a window's matches.
-STRINGS = 1_000
+#: Such beginnings that windows are reduced to, the strongest, and bytes that are trained from them.
+STRINGS, TOXIC_DICTIONARY, PASSES = 1_000, 8_192, 5
 #: Bytes from which a beginning stands alone, without the longer ones.
 ALONE = 6
 #: Matches shorter than this don't count.
@@ -111,6 +113,39 @@ def toxic_strings(toxic: list[str], ordinary: list[str]) -> list[str]:
     return sorted(chosen, key=lambda s: (-strength[s][1], s))[:STRINGS]
 
 
+def toxic_dictionary(toxic: list[str], ordinary: list[str]) -> bytes:
+    """What the trainer learns from the windows of toxic texts, reduced to strings that mark them.
+
+    It is trained in passes: what one pass learnt is taken out of the windows of the next. The strongest strings stand
+    last, where they are nearest to the window.
+    """
+    strongest = toxic_strings(toxic, ordinary)
+    strings = set(strongest)
+    reduced = []
+    for window in sorted({w for t in toxic for w in windows(t)}):
+        begun = [max((w[:n] for n in range(SHORTEST, LONGEST + 1) if w[:n] in strings), key=len, default="") for w in window.decode().split()]
+        reduced.append([s for s in begun if s])
+    found: set[str] = set()
+    for _ in range(PASSES):
+        samples = ["".join(f" {s}" for s in row) + " " for row in ([s for s in row if s not in found] for row in reduced) if row]
+        learnt = _trained([s.encode() for s in samples], TOXIC_DICTIONARY).decode("utf-8", "replace").split()
+        more = strings & set(learnt) - found
+        if not more:
+            break
+        found |= more
+    return "".join(" " + s for s in reversed(strongest) if s in found).encode()
+
+
+def _trained(samples: list[bytes], size: int) -> bytes:
+    """A dictionary of at most ``size`` bytes; the library asks for more samples than there may be for that size."""
+    while size >= 256:
+        try:
+            return zstandard.train_dictionary(size, samples, k=64, d=6).as_bytes()
+        except zstandard.ZstdError:
+            size //= 2
+    return b"".join(dict.fromkeys(samples))
+
+
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     settings = zstandard.ZstdCompressionParameters(
         strategy=zstandard.STRATEGY_DFAST, min_match=MATCH, window_log=16, hash_log=15, chain_log=15,
@@ -178,13 +213,8 @@ def train(toxic: list[str], ordinary: list[str]) -> Model:
         return Model(b"", b"", (), none, none, none, 1.0 if toxic else 0.0)
     seen = [w for t in ordinary for w in windows(t)]
     seen = seen[:: max(1, len(seen) // TRAINING_WINDOWS)]
-    try:
-        content = zstandard.train_dictionary(DICTIONARY, seen, k=64, d=6).as_bytes()
-    except zstandard.ZstdError:  # the library asks for a minimum of text
-        content = b"".join(seen)[-DICTIONARY:]
-    strings = toxic_strings(toxic, ordinary)
-    # the strongest stand last, where they are nearest to the window
-    model = Model(content, content + "".join(" " + s for s in reversed(strings)).encode(), (), none, none, none)
+    content = _trained(seen, DICTIONARY)[-DICTIONARY:]
+    model = Model(content, content + toxic_dictionary(toxic, ordinary), (), none, none, none)
     pair = model.compressors()
     savings = [model.savings(t, pair) for t in ordinary + toxic]
     model.large = tuple(np.maximum(LEAST, np.quantile(np.concatenate(savings[: len(ordinary)]), QUANTILES)).tolist())

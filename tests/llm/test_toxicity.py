@@ -1,7 +1,11 @@
+import math
 import random
+import re
 import zlib
 
 import numpy as np
+import pytest
+import zstandard
 
 from evenkeel.llm import toxicity as T
 
@@ -34,6 +38,49 @@ def test_copies_of_a_text_are_no_evidence():
     assert T.toxic_strings(["uvwxyz is here"] * 50, ordinary) == []
 
 
+def test_both_dictionaries_are_trained(monkeypatch):
+    rows, trained = corpus(), []
+    whole = T.zstandard.train_dictionary
+    monkeypatch.setattr(T.zstandard, "train_dictionary", lambda size, samples, **k: trained.append(len(samples)) or whole(size, samples, **k))
+    model = T.train([t for _, t, y in rows if y], [t for _, t, y in rows if not y])
+    assert len(trained) >= 2 and model.toxic.startswith(model.ordinary)
+    learnt = model.toxic[len(model.ordinary) :].decode().split()
+    assert {w[:4] for w in BAD} <= {w[:4] for w in learnt} and len(learnt) == len(set(learnt))
+
+
+def slow_scores(model, texts):
+    """The scores again, in plain Python: word by word, window by window, with compressors of their own."""
+    out = []
+    for text in texts:
+        words, savings = [w for w in re.findall(r"[^\W\d_]+", text.lower())], []
+        for at in range(0, max(1, len(words)), T.WORDS):
+            window = (" " + " ".join(words[at : at + T.WORDS]) + " ").encode()
+            lengths = []
+            for content in (model.ordinary, model.toxic):
+                raw = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                settings = zstandard.ZstdCompressionParameters(
+                    strategy=zstandard.STRATEGY_DFAST, min_match=5, window_log=16, hash_log=15, chain_log=15,
+                    write_content_size=False, write_checksum=False, write_dict_id=False,
+                )
+                lengths.append(len(zstandard.ZstdCompressor(compression_params=settings, dict_data=raw).compress(window)))
+            savings.append(lengths[0] - lengths[1])
+        n = len(savings)
+        row = [sum(max(s - 1, 0) for s in savings) / (4 + n), min(max(savings), 12), math.log(1 + n)]
+        for least in model.large:
+            count = sum(s >= least for s in savings)
+            row += [count / (4 + n), min(count, 6), float(count > 0)]
+        logit = model.weights[0] + sum(w * (x - c) / d for w, x, c, d in zip(model.weights[1:], row, model.center, model.scale))
+        out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, logit)))))
+    return out
+
+
+def test_scores_as_by_a_slow_reference():
+    rows = corpus(300)
+    model = T.train([t for _, t, y in rows if y], [t for _, t, y in rows if not y])
+    texts = [t for _, t, _ in rows[:60]] + ["", "...", "one", "Grumble GRUMBLE snarkish!", "x" * 100_000, " ".join(["an", *BAD] * 200)]
+    assert model.scores(texts) == pytest.approx(slow_scores(model, texts), abs=1e-12)
+
+
 def test_held_out_accuracy_and_defined_cases(spark):
     rows = corpus()
     docs = spark.createDataFrame([(i, t, "x", 0.5) for i, t, _ in rows] + [(9001, None, "x", 0.5), (9002, "", "x", 0.5), (None, rows[0][1], "x", 0.5)], "doc_id long, text string, toxic string, score double")
