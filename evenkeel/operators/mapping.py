@@ -80,9 +80,50 @@ def pick_by_key(tables: Sequence[DataFrame], key: str, last: bool = False) -> Da
 def join_parts(tables: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
     """Full join of vertical parts on their key; a column the left side already has is dropped.
 
-    Written as a left join plus the right rows without a partner: unlike in a full join, rows of a skewed
-    key can then be dealt out to many tasks. Rows without a key have no partner and stay out of the joins.
+    Where all parts share the key, rows of all parts are stacked and brought together in one shuffle, however many parts
+    there are: per key one aggregate counts the rows of each part and keeps one of them, so a key takes up one row of
+    each part at most. Keys that no part repeats are put together by that. Rows of repeated keys, which make every
+    combination, are joined part by part, as are parts with different keys.
     """
+    if len(set(keys)) > 1 or len(tables) < 2:
+        return _join_in_turn(tables, keys)
+    key, known, fresh = keys[0], set(tables[0].columns), [list(tables[0].columns)]
+    for t in tables[1:]:
+        fresh.append([c for c in t.columns if c not in known])
+        known.update(fresh[-1])
+    fresh[0].remove(key)
+    columns = [*tables[0].columns, *(c for some in fresh[1:] for c in some)]
+    parts = [t.select(ident(key), *map(ident, some)) for t, some in zip(tables, fresh)]
+    no_key = f"{ident(key)} IS NULL"
+    rows = [t.where(f"NOT {no_key}").select(ident(key), F.lit(i).alias("_part"), _struct(some).alias(f"_p{i}")) for i, (t, some) in enumerate(zip(parts, fresh))]
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+    counts = [F.count_if(F.col("_part") == i).alias(f"_n{i}") for i in range(len(parts))]
+    kept = [F.first(f"_p{i}", ignorenulls=True).alias(f"_p{i}") for i in range(len(parts))]
+    together = stage(stacked.groupBy(key).agg(*counts, *kept), "parts")
+    most = "greatest(" + ", ".join(f"_n{i}" for i in range(len(parts))) + ")"
+    placed = {c: F.col(f"_p{i}").getField(c).alias(c) for i, some in enumerate(fresh) for c in some}
+    out = together.where(f"{most} = 1").select(*[placed.get(c, F.col(ident(c))) for c in columns])
+    repeated = together.where(f"{most} > 1").select(ident(key))
+    if not repeated.isEmpty():
+        several = [_rows_of(t, repeated, key) for t in parts]
+        out = out.unionByName(_join_in_turn(several, keys).select([ident(c) for c in columns]))
+    apart = [t.where(no_key) for t in parts]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), apart, out)
+
+
+def _struct(columns: Sequence[str]):
+    """A struct that is never NULL, also without columns."""
+    return F.struct(F.lit(True).alias("_there"), *map(ident, columns))
+
+
+def _rows_of(table: DataFrame, keys_of: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is listed, each once in the list."""
+    return table.join(keys_of, key, "left_semi")
+
+
+def _join_in_turn(tables: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
+    """The same by a left join for each further part, plus its rows without a partner: unlike in a full join, rows of a
+    skewed key can then be dealt out to many tasks. Rows without a key have no partner and stay out of the joins."""
     out = tables[0]
     for table, key in zip(tables[1:], keys[1:]):
         fresh = [c for c in table.columns if c not in out.columns]

@@ -1,11 +1,17 @@
-"""Rows that break the rules of a table, with every reason."""
+"""Rows that break the rules of a table, with every reason.
+
+A row is named by its file and its place there, from 0, which do not depend on how files are split into tasks: parquet tells
+the row index; for delimited text the rows before each stretch of a file are counted, and added to the place in the
+stretch. Other frames have no files; their rows are numbered as they come.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenkeel.config import TableConfig
@@ -17,7 +23,7 @@ from evenkeel.staging import stage
 
 ERRORS = "_validation_errors"
 RULES = "_broken_rules"
-ROW_INDEX = "_row_index"
+ROW_INDEX, ROW_FILE = "_row_index", "_row_file"
 
 
 @dataclass(frozen=True)
@@ -64,6 +70,38 @@ def _reasons(side: Side, table: TableConfig, is_source: bool) -> list[Reason]:
     return out
 
 
+def positioned(df: DataFrame) -> DataFrame:
+    """Add ``_row_file`` and ``_row_index``, the file and the place of each row in it."""
+    if _has(df, "_metadata.row_index"):
+        return df.select("*", F.col("_metadata.file_path").alias(ROW_FILE), F.col("_metadata.row_index").alias(ROW_INDEX))
+    if _has(df, "_metadata.file_block_start"):
+        return _text_positions(df)
+    return df.select("*", F.lit(None).cast("string").alias(ROW_FILE), F.monotonically_increasing_id().alias(ROW_INDEX))
+
+
+def _has(df: DataFrame, field: str) -> bool:
+    try:
+        df.select(field).schema  # resolved here, nothing runs
+        return True
+    except AnalysisException:
+        return False
+
+
+def _text_positions(df: DataFrame) -> DataFrame:
+    """For text: the rows of a stretch of a file are read in order by one task, and stretches stand in the order of bytes.
+
+    One pass counts the rows of every stretch, a few numbers per task. The list is as long as the table has stretches of
+    ``spark.sql.files.maxPartitionBytes``, and is joined as Spark finds best.
+    """
+    place = F.monotonically_increasing_id()
+    named = df.select("*", F.col("_metadata.file_path").alias(ROW_FILE), F.col("_metadata.file_block_start").alias("_start"), place.alias("_place"))
+    stretches = stage(named.groupBy(ROW_FILE, "_start").agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n")), "stretches")
+    before = Window.partitionBy(ROW_FILE).orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    stretches = stretches.select(ROW_FILE, "_start", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    found = named.join(stretches, [ROW_FILE, "_start"])
+    return found.select(*[F.col(ident(c)) for c in df.columns], ROW_FILE, (F.col("_before") + F.col("_place") - F.col("_first")).alias(ROW_INDEX))
+
+
 def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
     """Keys that occur more than once: ``(key, rows)``. Counted before the shuffle, so skew does not matter."""
     counts = df.where(f"{ident(key)} IS NOT NULL").groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
@@ -74,20 +112,25 @@ def mark_duplicates(df: DataFrame, key: str, order_by: Sequence[str] = ()) -> Da
     """Add ``_duplicate``: true for every row of a key but the first.
 
     First is the lowest by ``order_by``, then by position. Only rows whose key repeats are written to the
-    staging folder, which fixes their position; all others pass through without a shuffle of the table.
+    staging folder; all others pass through without a shuffle of the table.
     """
     repeated = stage(duplicate_keys(df, key), "duplicate-keys")
     if repeated.isEmpty():
         return df.withColumn("_duplicate", F.lit(False))
-    marked = attach(df, repeated.withColumnRenamed("rows", "_rows"), key, "_rows")
-    single = marked.where("_rows IS NULL").drop("_rows").withColumn("_duplicate", F.lit(False))
-    several = stage(marked.where("_rows IS NOT NULL").withColumn("_position", F.monotonically_increasing_id()), "duplicate-rows")
-    order = "struct(" + ", ".join([*map(ident, order_by), "_position"]) + ")"
+    place = [ROW_FILE, ROW_INDEX]
+    known = set(place) <= set(df.columns)
+    marked = attach(df if known else positioned(df), repeated.withColumnRenamed("rows", "_rows"), key, "_rows")
+    marked = marked if known else marked.withColumnsRenamed({c: "_at" + c for c in place})
+    position = place if known else ["_at" + c for c in place]
+    dropped = [] if known else position
+    single = marked.where("_rows IS NULL").drop("_rows", *dropped).withColumn("_duplicate", F.lit(False))
+    several = stage(marked.where("_rows IS NOT NULL"), "duplicate-rows")
+    order = "struct(" + ", ".join([*map(ident, order_by), *position]) + ")"
     firsts = several.groupBy(key).agg(F.expr(f"min({order})").alias("_first"), F.count(F.lit(1)).alias("_n"))
     several = (
         attach(several, firsts, key, "_n")
         .withColumn("_duplicate", F.expr(f"{order} <> _first"))
-        .drop("_rows", "_position", "_first", "_n")
+        .drop("_rows", "_first", "_n", *dropped)
     )
     return single.unionByName(several)
 
@@ -137,13 +180,12 @@ def split(df: DataFrame, table: TableConfig, is_source: bool = True) -> tuple[Da
 def quarantine(
     df: DataFrame, table: TableConfig, name: str, is_source: bool = True, path: str = ""
 ) -> tuple[DataFrame, DataFrame]:
-    """(valid rows, invalid rows as they go to the quarantine: with position, table, side and file)."""
-    numbered = df.withColumn(ROW_INDEX, F.monotonically_increasing_id())
-    valid, bad = split(numbered, table, is_source)
+    """(valid rows, invalid rows as they go to the quarantine: with file and place there, table, side and path)."""
+    valid, bad = split(positioned(df), table, is_source)
     bad = bad.withColumns(
         {"table_name": F.lit(name), "side": F.lit("source" if is_source else "target"), "path": F.lit(path)}
     )
-    return valid.drop(ROW_INDEX), bad
+    return valid.drop(ROW_FILE, ROW_INDEX), bad
 
 
 def quarantine_summary(bad: DataFrame) -> DataFrame:

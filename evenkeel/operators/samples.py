@@ -17,3 +17,14 @@ def sample_rows(df: DataFrame, key: str, share: float, seed: int = 0) -> DataFra
     """A share of the rows chosen by the MD5 of their key: the same rows for any partitioning, in any engine."""
     text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(ident(key)).cast("string"), F.lit("")))
     return df.where(F.left(F.md5(text.cast("binary")), F.lit(8)) < f"{min(int(share * 2**32), 2**32 - 1):08x}")
+
+
+def smallest_rows(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """Exactly ``n`` rows (all, if fewer): those whose keys have the smallest hashes, the same for any partitioning.
+
+    Each task keeps ``n`` rows, so this is for samples that fit a task. Samples of parts merge: the sample of their union is the
+    sample of the whole. Rows of a key stand in the order of their values, with NULL first.
+    """
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(ident(key)).cast("string"), F.lit("")))
+    values = F.to_json(F.struct(*[F.col(ident(c)) for c in df.columns]), {"ignoreNullFields": "false"})
+    return df.orderBy(F.md5(text.cast("binary")), F.col(ident(key)).asc_nulls_first(), values).limit(n)

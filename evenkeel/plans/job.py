@@ -17,7 +17,7 @@ from evenkeel.operators import quarantine as Q
 from evenkeel.operators import rollup
 from evenkeel.plans.pair_audit import PairAudit, Settings, audit_pair
 from evenkeel.results import ERROR, fixed_finding
-from evenkeel.sources.read import DataLoadError, bad_lines, hide_password, is_database, is_parquet, read_table, rename
+from evenkeel.sources.read import CsvProfile, DataLoadError, bad_lines, hide_password, is_database, is_parquet, read_table, rename
 from evenkeel.sources.write import write_quarantine
 
 
@@ -83,13 +83,16 @@ class Loader:
         self.spark, self.config, self.tables = spark, config, tables or {}
 
     def read(self, path: str, query: str | None = None, options: Mapping | None = None, texts: dict | None = None) -> DataFrame:
-        """``texts`` gets the text files that were read, with their reader options."""
+        """``texts`` gets the text files that were read, with their reader options and what the pass for types found."""
         if path in self.tables:
             return self.tables[path]
         settings = {"na_values": self.config.na_values, **(options or {})}
-        if texts is not None and not is_database(path) and not is_parquet(path):
-            texts[path] = settings
-        return read_table(self.spark, path, query=query, **settings)
+        if is_database(path) or is_parquet(path):
+            return read_table(self.spark, path, query=query, **settings)
+        profiles: list = []
+        if texts is not None:
+            texts[path] = settings, profiles
+        return read_table(self.spark, path, query=query, profiles=profiles, **settings)
 
     def parents(self, table: TableConfig, texts: dict | None = None) -> dict[str, DataFrame | Exception]:
         out: dict[str, DataFrame | Exception] = {}
@@ -147,15 +150,20 @@ def load_pairs(
     return [Pair(source, M.merge_targets(targets, cm.mapping_type, cm.split_strategy, keys), name)]
 
 
-def bad_line_rows(spark: SparkSession, path: str, options: Mapping, status: str, label: str, run_id: str = "") -> DataFrame:
-    """A result row if lines of a text file could not be read as they stand; none otherwise."""
+def bad_line_rows(
+    spark: SparkSession, path: str, options: Mapping, status: str, label: str, run_id: str = "", profiles: Sequence[CsvProfile] = ()
+) -> DataFrame:
+    """A result row if lines of a text file could not be read as they stand; none otherwise. A profile saves the pass."""
     counts = {"long_lines": "long_lines", "stray_quotes": "stray_quotes"}
     found = R.Finding(
         "load", "csv_lines", None, quote(status),
         R.text("%d lines with more fields than the header are left out, %d lines or files with a stray quote", *counts.values()),
         counts, {"path": quote(path)}, when="long_lines + stray_quotes > 0",
     )
-    facts = bad_lines(spark, path, **{k: options[k] for k in ("delimiter", "encoding", "multiline") if k in options})
+    if profiles:
+        facts = R.one_row(spark).selectExpr(f"{profiles[0].long_lines}L AS long_lines", f"{profiles[0].stray_quotes}L AS stray_quotes")
+    else:
+        facts = bad_lines(spark, path, **{k: options[k] for k in ("delimiter", "encoding", "multiline") if k in options})
     return R.rows(facts, [found], label, run_id)
 
 
@@ -205,8 +213,8 @@ def run_audit(
         for pair in pairs:
             what = pair.source, pair.target, table, pair.label, settings, loader.parents(table, texts)
             parts.append(Part(pair.label, partial(audit_pair, *what), partial(PairAudit.of, *what)))
-        for path, options in texts.items():
-            parts.append(Part(name, partial(bad_line_rows, spark, path, options, config.bad_lines, name, run_id)))
+        for path, (options, profiles) in texts.items():
+            parts.append(Part(name, partial(bad_line_rows, spark, path, options, config.bad_lines, name, run_id, profiles)))
         return parts, bad
 
     names = [n for n in tables or config.tables if n in config.tables]

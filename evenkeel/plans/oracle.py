@@ -669,4 +669,31 @@ ALL |= {
     " count(*) AS junk_rows FROM tgt WHERE o_orderkey % 7 = 0 UNION ALL SELECT 'orders', 'column_presence', 'o_custkey', 'FAIL', NULL"
     " UNION ALL SELECT 'orders', 'column_presence', 'o_orderpriority', 'WARN', NULL",
     "isolated_checks": f"SELECT * FROM ({_FULL}) WHERE \"column\" IS DISTINCT FROM 'o_totalprice'",
+    "tz_offset_hot_keys": _with(
+        EVENTS, "hsrc AS (SELECT event_id % 5 AS k, ts FROM esrc)", "htgt AS (SELECT event_id % 5 AS k, ts FROM etgt WHERE event_id % 3 = 0)"
+    ) + _offset("events", "ts", "k", "hsrc", "htgt"),
+    "quarantine_positions": """SELECT o_orderkey, CAST(place AS BIGINT) AS _row_index, concat_ws('; ',
+    CASE WHEN o_orderstatus NOT IN ('F', 'O') THEN 'o_orderstatus has a value that is not allowed: ' || o_orderstatus END,
+    CASE WHEN nth > 1 THEN 'duplicate key in o_custkey: ' || o_custkey END) AS _validation_errors
+  FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY place) AS nth FROM (SELECT *, row_number() OVER () - 1 AS place FROM orders))
+  WHERE o_orderstatus NOT IN ('F', 'O') OR nth > 1""",
+    "join_four_parts": """WITH d AS (SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderkey % 5 <> 0
+    UNION ALL SELECT o_orderkey, 'again' FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderkey % 11 = 0)
+  SELECT o_orderkey, a.o_custkey, b.o_totalprice, c.o_orderstatus, d.o_orderpriority
+  FROM (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 83 <> 0) a
+  FULL JOIN (SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 89 <> 0) b USING (o_orderkey)
+  FULL JOIN (SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 7 <> 0) c USING (o_orderkey)
+  FULL JOIN d USING (o_orderkey)""",
+    "sampled_exactly": "SELECT o_orderkey, o_custkey FROM orders ORDER BY md5('0:' || o_orderkey) LIMIT 100",
+    "replayed_batches": _with(ORDERS) + """SELECT 'orders' AS table_name, 'volume' AS "check",
+    CASE WHEN abs(a - b) * 100.0 / a <= 0.1 THEN 'PASS' ELSE 'FAIL' END AS status, CAST(a AS BIGINT) AS src_rows, CAST(b AS BIGINT) AS tgt_rows,
+    CAST(NULL AS DOUBLE) AS src_value, CAST(NULL AS DOUBLE) AS tgt_value
+  FROM (SELECT (SELECT count(*) FROM src) AS a, (SELECT count(*) FROM tgt) AS b)
+  UNION ALL SELECT 'orders', 'sum', CASE WHEN a = b THEN 'PASS' WHEN abs(a - b) / abs(a) * 100 <= 1 THEN 'WARN' ELSE 'FAIL' END, NULL, NULL,
+    round(CAST(a AS DOUBLE), 2), round(CAST(b AS DOUBLE), 2)
+  FROM (SELECT (SELECT sum(CAST(o_totalprice AS DECIMAL(18,4))) FROM src) AS a, (SELECT sum(CAST(o_totalprice AS DECIMAL(18,4))) FROM tgt) AS b)""",
+    "incremental_overlap_estimate": _with(ORDERS) + """SELECT 'identity' AS "check", CASE WHEN c * 100.0 / s >= 95 THEN 'PASS' ELSE 'WARN' END AS status,
+    round(CAST(c * 100.0 / s AS DOUBLE), 4) AS exact_overlap_pct, true AS within_error
+  FROM (SELECT (SELECT count(DISTINCT o_orderkey) FROM src) AS s,
+    (SELECT count(*) FROM (SELECT o_orderkey FROM src INTERSECT SELECT o_orderkey FROM tgt)) AS c)""",
 }

@@ -426,6 +426,14 @@ def tz_offset_repeated_keys(spark, sf):
     return R.flat(datetimes.check_tz_offset(s, t, ["o_orderdate"], "o_custkey", "orders"), ["rows_analysed"], _OFFSET)
 
 
+def tz_offset_hot_keys(spark, sf):
+    """Five keys with thousands of distinct timestamps on each side: their pairs are counted, not built."""
+    s, t = _pair(spark, sf, "events")
+    s = s.selectExpr("event_id % 5 AS k", "CAST(ts AS TIMESTAMP) AS ts")
+    t = t.where("event_id % 3 = 0").selectExpr("event_id % 5 AS k", "ts")
+    return R.flat(datetimes.check_tz_offset(s, t, ["ts"], "k", "events"), ["rows_analysed"], _OFFSET)
+
+
 # --- rows ----------------------------------------------------------------------------------------------
 
 
@@ -473,6 +481,13 @@ def duplicate_pk(spark, sf):
     return marked.where("_duplicate").select("o_orderkey", "copy", "o_custkey")
 
 
+def quarantine_positions(spark, sf):
+    """Invalid rows of a table, by their place in its file: of customers with several orders all but the first, and a status."""
+    table = TableConfig(primary_key="o_custkey", mappings=({"columns": ["o_orderstatus"], "allowed_values": ["F", "O"]},))
+    _, bad = quarantine.quarantine(X.table(spark, sf, "orders"), table, "orders", is_source=False)
+    return bad.select("o_orderkey", quarantine.ROW_INDEX, quarantine.ERRORS)
+
+
 def filtered_audit(spark, sf):
     """The audit over valid rows only."""
     orders = X.table(spark, sf, "orders")
@@ -536,6 +551,17 @@ def join_1_to_n(spark, sf):
     return mapping.merge_targets(_vertical(spark, sf), "1:N", "join", ["o_orderkey", "o_orderkey"])
 
 
+def join_four_parts(spark, sf):
+    """Four vertical parts, each without some keys; one repeats keys, so that all its combinations are there."""
+    orders = X.table(spark, sf, "orders")
+    a = orders.where("o_orderkey % 83 <> 0").select("o_orderkey", "o_custkey")
+    b = orders.where("o_orderkey % 89 <> 0").select("o_orderkey", "o_totalprice")
+    c = orders.where("o_orderkey % 7 <> 0").select("o_orderkey", "o_orderstatus")
+    d = orders.where("o_orderkey % 5 <> 0").select("o_orderkey", "o_orderpriority")
+    d = d.unionByName(d.where("o_orderkey % 11 = 0").withColumn("o_orderpriority", F.lit("again")))
+    return mapping.merge_targets([a, b, c, d], "1:N", "join", ["o_orderkey"] * 4)
+
+
 def union_1_to_n(spark, sf):
     """One source, three shards as target."""
     orders = X.table(spark, sf, "orders")
@@ -620,14 +646,12 @@ def csv_scan(spark, sf):
 
 
 def _written_csv(spark, df, line, name):
-    """One text column per row as lines of a file below a header."""
+    """One text column per row as lines of files that each have a header, written by all tasks as they come."""
     path = os.path.join(staging_dir(spark), "evenkeel", f"{name}-{uuid.uuid4().hex}")
-    df.selectExpr(f"{line} AS value").write.text(f"{path}/lines")
-    spark.range(0, 1, 1, 1).selectExpr("'k,price,status' AS value").write.text(f"{path}/head")
-    # every file of a folder has its own header line
-    body = spark.read.text(f"{path}/lines").coalesce(1)
-    spark.read.text(f"{path}/head").coalesce(1).union(body).coalesce(1).write.text(f"{path}/table")
-    return f"{path}/table"
+    lines = df.selectExpr(f"{line} AS `k,price,status`")
+    # no character of the lines is a separator or a quote of this writer
+    lines.write.options(header="true", sep="\u0001", quote="\u0002", escapeQuotes="false").csv(path)
+    return path
 
 
 def _damaged_csv(spark, sf, line, bad_lines="ERROR"):
@@ -781,6 +805,13 @@ def sampled_rows(spark, sf):
     return samples.sample_rows(X.table(spark, sf, "orders"), "o_orderkey", 0.1).select("o_orderkey", "o_custkey")
 
 
+def sampled_exactly(spark, sf):
+    """A hundred orders by the hash of their key, merged from the samples of three parts."""
+    orders = X.table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    parts = [samples.smallest_rows(part, "o_orderkey", 100) for part in mapping.split_horizontally(orders, "o_orderkey", 3)]
+    return samples.smallest_rows(mapping.concat(parts), "o_orderkey", 100)
+
+
 def split_shards(spark, sf):
     """Rows and keys of the shards of a horizontal split."""
     shards = mapping.split_horizontally(X.table(spark, sf, "orders"), "o_orderkey", 4)
@@ -824,6 +855,42 @@ def incremental_audit(spark, sf):
     return R.flat(audit.finalize())
 
 
+def replayed_batches(spark, sf):
+    """Batches that are delivered twice, before and after the folders were merged, and a stream that numbers anew."""
+    s, t = _orders(spark, sf)
+    base = os.path.join(staging_dir(spark), "evenkeel", f"replayed-{uuid.uuid4().hex}")
+    table = TableConfig(primary_key="absent", aggregates=("o_totalprice",))
+    audit = IncrementalAudit(spark, "orders", table, s.schema, t.schema, base, compact_every=3)
+    part = lambda df, i: df.where(f"o_orderkey % 5 = {i}")
+    for i in (0, 1, 1, 2, 3):  # the third folder makes the side merge
+        audit.add_batch("source", part(s, i), i, "first")
+    audit.add_batch("source", part(s, 1), 1, "first")  # as if the folder had been left behind by a failure
+    audit.add_batch("source", part(s, 4), 0, "second")  # a new checkpoint
+    audit.add_batch("target", t, 0, "first")
+    found = audit.finalize().where("check IN ('volume', 'sum')")
+    return found.selectExpr(
+        "table_name", "check", "status", "CAST(metrics['src_rows'] AS BIGINT) AS src_rows", "CAST(metrics['tgt_rows'] AS BIGINT) AS tgt_rows",
+        "round(metrics['src_value'], 2) AS src_value", "round(metrics['tgt_value'], 2) AS tgt_value",
+    )
+
+
+def incremental_overlap_estimate(spark, sf):
+    """Key overlap from sketches of six batches, against the exact one: whether it lies within its stated error."""
+    s, t = _orders(spark, sf)
+    base = os.path.join(staging_dir(spark), "evenkeel", f"sketched-{uuid.uuid4().hex}")
+    table = TableConfig(primary_key="o_orderkey")
+    audit = IncrementalAudit(spark, "orders", table, s.schema, t.schema, base, sketched=("o_orderkey",))
+    for side, df in (("source", s), ("target", t)):
+        for i in range(3):
+            audit.add_batch(side, df.where(f"o_orderkey % 3 = {i}"), i)
+    exact = keys.check_identity(s, t, "o_orderkey", "orders").selectExpr("metrics['overlap_pct'] AS exact")
+    found = audit.finalize().where("check = 'identity'").crossJoin(exact)  # one row each
+    return found.selectExpr(
+        "check", "status", "round(exact, 4) AS exact_overlap_pct",
+        "abs(metrics['overlap_pct'] - exact) <= metrics['error_pct'] AS within_error",
+    )
+
+
 ALL: dict[str, Query] = {
     **{
         f.__name__: f
@@ -841,7 +908,8 @@ ALL: dict[str, Query] = {
             result_fingerprint, incremental_audit, failing_rows, custom_checks, sampled_rows, split_shards,
             csv_bad_lines, csv_stray_quote, identity_wide_numbers, tiny_digits, agg_presence, id_columns,
             isolated_checks, load_errors, chosen_tables, input_guard, quarantine_files, report_files,
-            suggested_configuration, copied_targets,
+            suggested_configuration, copied_targets, tz_offset_hot_keys, quarantine_positions, join_four_parts,
+            sampled_exactly, replayed_batches, incremental_overlap_estimate,
         )
     },
     "agg_sum": _aggregate("sum"),

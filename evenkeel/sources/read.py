@@ -29,8 +29,12 @@ DIALECTS = {
 
 OVERFLOW = "_overflow"
 
-# Columns whose types are found in one pass.
-INFERRED = 12
+# Up to so many columns are profiled side by side; rows of wider tables are turned into a row per column first, as so many
+# aggregates at once would not be compiled.
+SIDE_BY_SIDE = 40
+
+# What a text can be, as bits that add up over values: a column is what the bits of all its values allow.
+WHOLE, NUMBER, FLAG, TEXT = 1, 2, 4, 8
 
 
 class DataLoadError(RuntimeError):
@@ -123,6 +127,18 @@ def read_jdbc(
     return spark.read.format("jdbc").options(**settings, **options).load()
 
 
+@dataclass(frozen=True)
+class CsvProfile:
+    """What one pass over a text table finds: types of the columns that are no text, values that stand for NULL, damage."""
+
+    names: tuple[str, ...]
+    rows: int
+    kinds: Mapping[str, T.DataType]
+    missing: Mapping[str, int]
+    long_lines: int
+    stray_quotes: int
+
+
 def read_csv(
     spark: SparkSession,
     path: str,
@@ -132,19 +148,21 @@ def read_csv(
     schema: T.StructType | str | None = None,
     infer: bool = True,
     multiline: bool = False,
+    profiles: list[CsvProfile] | None = None,
 ) -> DataFrame:
     """Delimited text with a header row.
 
     Everything is read as text; ``na_values`` become NULL; then a column turns numeric or boolean only
     if every value converts. Lines with fewer fields than the header are filled with NULL. A line with more
     cannot be read and is left out; :func:`bad_lines` counts such lines, and an audit reports them. Give a ``schema``
-    (also as DDL) to skip the pass that finds the types. Only with ``multiline`` may a quoted field hold line
-    breaks; a file is then read by one task, and a stray quote takes in what follows it.
+    (also as DDL) to skip the pass that finds the types; that of :func:`profile_csv` is added to ``profiles``. Only with
+    ``multiline`` may a quoted field hold line breaks; a file is then read by one task, and a stray quote takes in what
+    follows it.
     """
     names, raw = _raw_csv(spark, path, delimiter, encoding, multiline)
     if not names:
         return spark.createDataFrame([], T.StructType([]))
-    raw = raw.where(f"{OVERFLOW} IS NULL")
+    raw_lines, raw = raw, raw.where(f"{OVERFLOW} IS NULL")
     text = raw.selectExpr(
         *[
             f"CASE WHEN {V.is_any(ident(n), list(na_values))} THEN NULL ELSE {ident(n)} END AS {ident(n)}"
@@ -156,7 +174,67 @@ def read_csv(
         return text.selectExpr(
             *[_convert(f.name, f.dataType) if f.name in names else f"CAST(NULL AS {f.dataType.simpleString()}) AS {ident(f.name)}" for f in schema]
         )
-    return infer_types(text) if infer else text
+    if not infer:
+        return text
+    found = _profiled(spark, path, names, raw_lines, encoding, na_values, multiline)
+    if profiles is not None:
+        profiles.append(found)
+    return text.selectExpr(*[_convert(n, found.kinds[n]) if n in found.kinds else ident(n) for n in names])
+
+
+def profile_csv(
+    spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "utf-8", na_values: Sequence[str] = NA_TOKENS,
+    multiline: bool = False,
+) -> CsvProfile:
+    """Types, missing values and damaged lines of a text table, found in one pass that parses it once."""
+    names, raw = _raw_csv(spark, path, delimiter, encoding, multiline)
+    return _profiled(spark, path, names, raw, encoding, na_values, multiline)
+
+
+def _profiled(spark, path: str, names: Sequence[str], raw: DataFrame, encoding: str, na_values: Sequence[str], multiline: bool):
+    def missing(c: str) -> str:
+        return f"({c} IS NULL OR {V.is_any(c, list(na_values))})"
+
+    def bits(c: str) -> str:
+        return (
+            f"CASE WHEN {missing(c)} THEN 0 WHEN {V.to_integer(c)} IS NOT NULL THEN {WHOLE}"
+            f" WHEN {V.to_number(c, T.StringType())} IS NOT NULL THEN {NUMBER} WHEN lower({c}) IN ('true', 'false') THEN {FLAG} ELSE {TEXT} END"
+        )
+
+    good = f"{OVERFLOW} IS NULL"
+    cells = [(bits(ident(n)), missing(ident(n))) for n in names]
+    if len(names) <= SIDE_BY_SIDE:
+        sums = [f"bit_or(IF({good}, {b}, 0)) AS b{i}" for i, (b, _) in enumerate(cells)]
+        sums += [f"count_if({good} AND {m}) AS m{i}" for i, (_, m) in enumerate(cells)]
+        facts = raw.selectExpr(f"count_if({good}) AS n", f"count_if(NOT ({good})) AS long_lines", *sums)
+    else:
+        structs = [f"struct({i} AS i, {b} AS b, {m} AS m)" for i, (b, m) in enumerate(cells)]
+        structs.append(f"struct(-1 AS i, 0 AS b, NOT ({good}) AS m)")
+        melted = raw.selectExpr(good + " AS good", f"inline(array({', '.join(structs)}))").where("good OR i = -1")
+        melted = melted.groupBy("i").agg(F.expr("bit_or(b) AS b"), F.count_if("m").alias("m"), F.count(F.lit(1)).alias("n"))
+        facts = melted.selectExpr(
+            "first(IF(i = -1, n - m, NULL), true) AS n", "first(IF(i = -1, m, NULL), true) AS long_lines",
+            *[f"first(IF(i = {i}, {x}, NULL), true) AS {x}{i}" for i in range(len(names)) for x in "bm"],
+        )
+    row = facts.crossJoin(_stray_quotes(spark, path, encoding, multiline)).first()  # one row each
+    rows = row["n"] or 0
+    kinds: dict[str, T.DataType] = {}
+    for i, name in enumerate(names):
+        found = row[f"b{i}"] or 0
+        if rows and found in (0, NUMBER, WHOLE | NUMBER):
+            kinds[name] = T.DoubleType()
+        elif rows and found in (WHOLE, FLAG):
+            kinds[name] = T.LongType() if found == WHOLE else T.BooleanType()
+    counts = {n: row[f"m{i}"] or 0 for i, n in enumerate(names)}
+    return CsvProfile(tuple(names), rows, kinds, counts, row["long_lines"] or 0, row["stray_quotes"] or 0)
+
+
+def _stray_quotes(spark: SparkSession, path: str, encoding: str, multiline: bool) -> DataFrame:
+    quotes = "length(value) - length(replace(value, '\"', ''))"
+    lines = spark.read.option("encoding", encoding).text(path).selectExpr(f"{quotes} AS quotes", "input_file_name() AS file")
+    if multiline:
+        lines = lines.groupBy("file").agg(F.sum("quotes").alias("quotes"))
+    return lines.selectExpr("count_if(quotes % 2 = 1) AS stray_quotes")
 
 
 def bad_lines(
@@ -168,13 +246,8 @@ def bad_lines(
     with an odd number.
     """
     _, raw = _raw_csv(spark, path, delimiter, encoding, multiline)
-    long = raw.selectExpr(f"count_if({OVERFLOW} IS NOT NULL) AS long_lines", "0L AS stray_quotes")
-    quotes = "length(value) - length(replace(value, '\"', ''))"
-    lines = spark.read.option("encoding", encoding).text(path).selectExpr(f"{quotes} AS quotes", "input_file_name() AS file")
-    if multiline:
-        lines = lines.groupBy("file").agg(F.sum("quotes").alias("quotes"))
-    stray = lines.selectExpr("0L AS long_lines", "count_if(quotes % 2 = 1) AS stray_quotes")
-    return long.unionByName(stray).selectExpr("sum(long_lines) AS long_lines", "sum(stray_quotes) AS stray_quotes")
+    long = raw.selectExpr(f"count_if({OVERFLOW} IS NOT NULL) AS long_lines")
+    return long.crossJoin(_stray_quotes(spark, path, encoding, multiline))  # one row each
 
 
 def _raw_csv(spark: SparkSession, path: str, delimiter: str, encoding: str, multiline: bool):
@@ -205,37 +278,6 @@ def _convert(name: str, dtype: T.DataType) -> str:
     return f"try_cast({c} AS {dtype.simpleString()}) AS {c}"
 
 
-def infer_types(df: DataFrame) -> DataFrame:
-    """Text columns become BIGINT, DOUBLE or BOOLEAN where every value converts; an aggregate for every few columns."""
-    texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
-    if not texts:
-        return df
-    seen: dict[str, int] = {}
-    for at in range(0, len(texts), INFERRED):  # more aggregates in one pass would not be compiled
-        aggs = ["count(1) AS n"]
-        for i, name in enumerate(texts[at : at + INFERRED], at):
-            c = ident(name)
-            aggs += [
-                f"count({c}) AS a{i}", f"count({V.to_number(c, T.StringType())}) AS d{i}",
-                f"count({V.to_integer(c)}) AS l{i}", f"count_if(lower({c}) IN ('true', 'false')) AS b{i}",
-            ]
-        seen |= df.selectExpr(*aggs).first().asDict()
-    kinds: dict[str, T.DataType] = {}
-    for i, name in enumerate(texts):
-        n = seen[f"a{i}"]
-        if seen["n"] == 0:
-            continue  # a header without rows says nothing about types
-        if n == 0:
-            kinds[name] = T.DoubleType()
-        elif seen[f"l{i}"] == n:
-            kinds[name] = T.LongType()
-        elif seen[f"d{i}"] == n:
-            kinds[name] = T.DoubleType()
-        elif seen[f"b{i}"] == n:
-            kinds[name] = T.BooleanType()
-    return df.selectExpr(*[_convert(n, kinds[n]) if n in kinds else ident(n) for n in df.columns])
-
-
 def rename(df: DataFrame, mapping: Mapping[str, str] | None) -> DataFrame:
     """Source names to target names; names that are absent are ignored."""
     return df.withColumnsRenamed(dict(mapping)) if mapping else df

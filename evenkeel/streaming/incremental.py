@@ -9,21 +9,26 @@ failure makes Spark run again therefore counts once, and a stream with a new che
 anew, takes nothing away from what another has stored.
 
 Every ``compact_every`` batches the folders of a side are merged into one. A marker that is put in place by a rename
-names the merged folder and all that it holds, so a reader sees either the folders or their sum.
+names the merged folder and what it holds, so a reader sees either the folders or their sum: for each stream the id up
+to which it holds every batch, and the ids above. Streams number their batches from 0 without a gap, so the marker stays as
+small as the number of streams, however many batches there were. A batch that is delivered again after it was merged, or
+whose folder a failure left behind, is known by its id and does not count twice.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from evenkeel import results as R
 from evenkeel.config import TableConfig
-from evenkeel.operators import datetimes, frequency, keys
+from evenkeel.operators import datetimes, frequency, keys, sketch
 from evenkeel.operators import facts as A
 from evenkeel.plans.pair_audit import Settings, TableInputs, pair_results, plan_pair
 
@@ -31,6 +36,51 @@ SIDES = ("source", "target")
 WRITERS = 4
 
 
+@dataclass
+class Held:
+    """The batches that a merged folder holds, by stream: ``upto`` is the highest id of those without a gap from 0."""
+
+    upto: dict[str, int] = field(default_factory=dict)
+    above: dict[str, set[int]] = field(default_factory=dict)
+
+    def __contains__(self, folder: str) -> bool:
+        stream, batch = self._read(folder)
+        return batch is not None and (0 <= batch <= self.upto.get(stream, -1) or batch in self.above.get(stream, ()))
+
+    @staticmethod
+    def _read(folder: str) -> tuple[str, int | None]:
+        stream, _, batch = folder.partition("/")
+        number = batch.removeprefix("batch_id=")
+        return stream.removeprefix("stream="), int(number) if number.lstrip("-").isdigit() else None
+
+    def add(self, folders: Iterable[str]) -> Held:
+        for folder in folders:
+            stream, batch = self._read(folder)
+            self.above.setdefault(stream, set()).add(batch)
+        for stream, some in self.above.items():
+            at = self.upto.get(stream, -1)
+            while at + 1 in some:
+                at += 1
+            if at >= 0:
+                self.upto[stream] = at
+            self.above[stream] = {b for b in some if b > at or b < 0}
+        return self
+
+    def lines(self) -> list[str]:
+        """One line per stream: the id up to which all are held, the ids above, the stream."""
+        streams = sorted({*self.upto, *(s for s, some in self.above.items() if some)})
+        return [f"{self.upto.get(s, -1)} {','.join(map(str, sorted(self.above.get(s, ()))))} {s}" for s in streams]
+
+    @classmethod
+    def of(cls, lines: Iterable[str]) -> Held:
+        held = cls()
+        for line in lines:
+            upto, above, stream = line.split(" ", 2)
+            held.upto[stream] = int(upto)
+            held.above[stream] = {int(b) for b in above.split(",") if b}
+        return held
+
+
 class IncrementalAudit:
     """Add batches or streams of both sides, then :meth:`finalize`."""
 
@@ -45,11 +95,18 @@ class IncrementalAudit:
         settings: Settings = Settings(),
         parents: Mapping[str, DataFrame | Exception] | None = None,
         compact_every: int = 50,
+        sketched: Sequence[str] = (),
     ):
+        """``sketched``: key columns whose state would be too large. Of them a sketch of fixed size is kept per batch instead of the
+        counts of all keys; the overlap of keys is then an estimate with a stated error, and uniqueness is not checked."""
         self.compact_every = compact_every
         self.spark, self.name, self.state_dir, self.settings = spark, name, state_dir, settings
         self.schemas = {"source": source_schema, "target": target_schema}
         self.plan = plan_pair(A.Side(source_schema), A.Side(target_schema), table, settings, parents)
+        self.sketched = {c: read for c, (read, _) in self.plan.keyed.items() if c in sketched}
+        for c in self.sketched:
+            del self.plan.keyed[c]
+        self.overlap_threshold = table.identity_overlap_threshold
         self._blank: dict[str, dict[str, tuple[DataFrame, T.StructType]]] = {}
 
     # --- what is stored --------------------------------------------------------------------
@@ -66,6 +123,9 @@ class IncrementalAudit:
             parts["values"] = frequency.compact(inputs.values(side, plan.counted()))
         for i, (column, read) in enumerate(self._key_columns(side)):
             parts[f"keys-{i}"] = keys.compact(keys.key_rows(df, column, read))
+        for i, (column, read) in enumerate(self.sketched.items()):
+            k = f"CAST({read(A.Side.of(df), column)} AS STRING)"
+            parts[f"sketch-{i}"] = sketch.key_text_sketch(df, k)
         if plan.stamps:
             parts["stamps"] = datetimes.compact(inputs.stamps(side, plan.stamp_key, plan.stamps, plan.stamp_read))
         return parts
@@ -127,14 +187,14 @@ class IncrementalAudit:
     def _marker(self, side: str) -> str:
         return os.path.join(self.state_dir, self.name, f"compacted-{side}")
 
-    def _compacted(self, side: str) -> tuple[str | None, set[str]]:
-        """The merged folder, and the folders it holds."""
+    def _compacted(self, side: str) -> tuple[str | None, Held]:
+        """The merged folder, and the batches it holds."""
         found = [n for n in self._names(self._marker(side)) if not n.startswith((".", "_"))]
         if not found:
-            return None, set()
+            return None, Held()
         newest = max(found, key=int)
-        held = {r["value"] for r in self.spark.read.text(os.path.join(self._marker(side), newest)).collect()}
-        return f"stream=compacted/batch_id={newest}", held
+        lines = self.spark.read.text(os.path.join(self._marker(side), newest)).collect()  # one for each stream
+        return f"stream=compacted/batch_id={newest}", Held.of(r["value"] for r in lines)
 
     def _folders(self, side: str, part: str | None = None) -> list[str]:
         """Folders of batches that no merged folder holds, of one part."""
@@ -158,11 +218,18 @@ class IncrementalAudit:
         path, fs = self.spark._jvm.org.apache.hadoop.fs.Path, self._files()
         draft = path(os.path.join(self._marker(side), f"_{number}"))
         out = fs.create(draft, True)
-        out.write(bytearray("\n".join(sorted(held | set(folders))).encode()))
+        out.write(bytearray("\n".join(held.add(folders).lines()).encode()))
         out.close()
         fs.rename(draft, path(os.path.join(self._marker(side), str(number))))
+        self._delete(side, [*folders, *([merged] if merged else [])])
+        for old in self._names(self._marker(side)):
+            if old.isdigit() and int(old) < number:
+                fs.delete(path(os.path.join(self._marker(side), old)), True)
+
+    def _delete(self, side: str, folders: Iterable[str]) -> None:
+        path, fs = self.spark._jvm.org.apache.hadoop.fs.Path, self._files()
         for part in self._stored(side):
-            for folder in [*folders, *([merged] if merged else [])]:
+            for folder in folders:
                 fs.delete(path(os.path.join(self._path(side, part), folder)), True)
 
     def _merged(self, side: str, part: str) -> DataFrame:
@@ -171,6 +238,8 @@ class IncrementalAudit:
         if part.startswith("metrics-"):
             batch = A.batches(self.plan.scalar)[int(part.rpartition("-")[2])]
             return A.merge(rows, _of_side(batch, side)).select([f"`{c}`" for c in columns])
+        if part.startswith("sketch-"):
+            return sketch.merge_sketches(rows).select(columns)
         if part == "values":
             return frequency.compact(rows).select(columns)
         return (datetimes.compact(rows) if part == "stamps" else keys.compact(rows)).select(columns)
@@ -195,7 +264,11 @@ class IncrementalAudit:
 
     def finalize(self) -> DataFrame:
         """Result rows over everything stored so far. The state stays and can grow further."""
-        return pair_results(self.spark, StateInputs(self), self.plan, self.name, self.settings.run_id)
+        parts = [pair_results(self.spark, StateInputs(self), self.plan, self.name, self.settings.run_id)]
+        for i, column in enumerate(self.sketched):
+            sides = [sketch.merge_sketches(self.state(side, f"sketch-{i}")) for side in SIDES]
+            parts.append(sketch.overlap_rows(*sides, column, self.name, self.overlap_threshold, self.settings.run_id))
+        return R.union(self.spark, parts)
 
 
 def _of_side(checks: Sequence[A.ScalarCheck], side: str) -> list[A.Metric]:

@@ -4,7 +4,7 @@ from conftest import order_rows
 from evenkeel.config import TableConfig
 from evenkeel.operators import faults, sketch
 from evenkeel.plans.pair_audit import audit_pair
-from evenkeel.streaming.incremental import IncrementalAudit
+from evenkeel.streaming.incremental import Held, IncrementalAudit
 
 TABLE = TableConfig(
     primary_key="id", aggregates=("amount",), enum_columns=({"column": "status", "check_distribution": True},),
@@ -78,6 +78,48 @@ def test_many_small_batches_leave_few_files(spark, pair, tmp_path):
     assert outcome(audit.finalize()) == outcome(audit_pair(source, target, TABLE, "users"))
 
 
+def test_the_marker_does_not_grow_with_the_batches():
+    held, folders = Held(), [f"stream=a b/batch_id={i}" for i in range(10_000)]
+    for at in range(0, 10_000, 50):
+        held = Held.of(held.add(folders[at : at + 50]).lines())
+    held.add(["stream=late/batch_id=7", "stream=late/batch_id=9", "stream=late/batch_id=0", "stream=late/batch_id=-1"])
+    held = Held.of(held.lines())
+    assert held.lines() == ["9999  a b", "0 -1,7,9 late"]
+    assert folders[0] in held and folders[9_999] in held and "stream=a b/batch_id=10000" not in held
+    assert "stream=late/batch_id=9" in held and "stream=late/batch_id=8" not in held and "stream=other/batch_id=0" not in held
+    assert Held.of(held.add(f"stream=late/batch_id={i}" for i in range(1, 7)).lines()).lines() == ["9999  a b", "7 -1,9 late"]
+
+
+def test_a_failure_between_merge_and_delete(spark, pair, tmp_path, monkeypatch):
+    source, target = pair
+    audit = IncrementalAudit(spark, "users", TABLE, source.schema, target.schema, str(tmp_path), compact_every=3)
+    audit.add_batch("target", target, 0)
+    monkeypatch.setattr(IncrementalAudit, "_delete", lambda *a: (_ for _ in ()).throw(OSError("gone")))
+    for i in range(2):
+        audit.add_batch("source", source.where(f"id % 3 = {i}"), i)
+    with pytest.raises(OSError):
+        audit.add_batch("source", source.where("id % 3 = 2"), 2)
+    again = IncrementalAudit(spark, "users", TABLE, source.schema, target.schema, str(tmp_path))
+    assert len(list(tmp_path.glob("users/values/side=source/stream=batches/batch_id=*"))) == 3  # left behind
+    assert outcome(again.finalize()) == outcome(audit_pair(source, target, TABLE, "users"))
+
+
+def test_sketched_keys(spark, tmp_path):
+    """More distinct keys than a sketch holds: the estimate lies within its stated error; small tables are exact."""
+    for n, folder in ((300_000, "large"), (300, "small")):
+        source, target = spark.range(n).selectExpr("id"), spark.range(n // 3, n + n // 2).selectExpr("id")
+        audit = IncrementalAudit(
+            spark, "t", TableConfig(primary_key="id"), source.schema, target.schema, str(tmp_path / folder), sketched=("id",), compact_every=2
+        )
+        for i in range(3):
+            audit.add_batch("source", source.where(f"id % 3 = {i}"), i)
+        audit.add_batch("target", target, 0)
+        row = {r["check"]: r for r in audit.finalize().collect()}["identity"]
+        assert row["status"] == "WARN" and abs(row["metrics"]["overlap_pct"] - 200 / 3) <= row["metrics"]["error_pct"] + 1e-9
+        assert (row["metrics"]["error_pct"] == 0) == (n == 300) and row["metrics"]["error_pct"] < 5
+        assert not list((tmp_path / folder).glob("t/keys-*"))
+
+
 def test_a_side_without_batches_is_empty(spark, pair, tmp_path):
     source, target = pair
     audit = IncrementalAudit(spark, "users", TABLE, source.schema, target.schema, str(tmp_path))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from evenkeel.config import TableConfig
 from evenkeel.functions import masking
+from evenkeel.sources.read import read_csv
 from evenkeel.operators import faults, lookup, mapping, quarantine, samples
 from evenkeel.operators.suggest import suggest_config
 
@@ -103,6 +104,41 @@ def test_summaries(frame):
     assert rules == {"name:not_null": 2, "day:date": 2, "status:allowed": 1, "id:duplicate": 1}
 
 
+@pytest.mark.parametrize("kind", ["parquet", "csv"])
+def test_positions_do_not_depend_on_the_split(spark, tmp_path, kind):
+    """The file and the place of a row, whether a file is read by one task or by dozens."""
+    path = str(tmp_path / f"t.{kind}")
+    ids = spark.range(0, 30_000, 1, 1).selectExpr("id", "IF(id % 1000 = 7, NULL, concat('name ', id)) AS name", "id % 7500 AS k")
+    if kind == "parquet":
+        ids.write.option("parquet.block.size", 64_000).option("parquet.page.size", 8_000).parquet(path)
+    else:
+        ids.write.option("header", "true").csv(path)
+    read = lambda: spark.read.parquet(path) if kind == "parquet" else read_csv(spark, path)
+    rules = TableConfig(primary_key="k", data_constraints={"name": ["not_null"]})
+    found, tasks = [], []
+    for size in ("100m", "16k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+        try:
+            table = read()
+            tasks.append(table.rdd.getNumPartitions())
+            valid, bad = quarantine.quarantine(table, rules, "t", is_source=False)
+            found.append(sorted((r["_row_index"], r["id"], r["_row_file"].rpartition("/")[2]) for r in bad.collect()))
+            assert sorted(valid.columns) == sorted(table.columns) and valid.where("id >= 7500").count() == 0
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert tasks[0] <= 4 and tasks[1] >= 10
+    assert found[0] == found[1] and len(found[0]) == 22_500 + 8
+    assert all(i == place for place, i, _ in found[0]) and len({f for *_, f in found[0]}) == 1
+
+
+def test_rows_of_frames_without_files_are_numbered(frame):
+    _, bad = quarantine.quarantine(frame(SCHEMA, ROWS).coalesce(1), RULES, "t", is_source=False)
+    places = [r["_row_index"] for r in bad.collect()]
+    assert len(set(places)) == len(places) and all(r["_row_file"] is None for r in bad.collect())
+
+
 # --- reassembly --------------------------------------------------------------------------------
 
 
@@ -151,6 +187,41 @@ def test_join_parts(frame, monkeypatch, share):
 # --- masking, faults, samples, suggestion -----------------------------------------------------
 
 
+def test_join_of_many_parts_moves_rows_once(spark, frame, monkeypatch):
+    """Four parts with unique keys: one exchange, which all parts share; a part without further columns tells keys only."""
+    parts = [
+        frame("id long, a string", [(1, "a1"), (2, "a2"), (None, "an")]), frame("id long, b struct<x:int>", [(2, (5,)), (3, None)]),
+        frame("id long, a string, c long", [(3, "lost", 33), (4, "lost", None)]), frame("id long", [(5,), (1,)]),
+    ]
+    plans, whole = [], mapping.stage
+    monkeypatch.setattr(mapping, "stage", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or whole(df, name))
+    out = mapping.join_parts(parts, ["id"] * 4)
+    assert len(plans) == 1 and plans[0].count("Exchange hashpartitioning") == 1 and "Join" not in plans[0]
+    assert out.columns == ["id", "a", "b", "c"]
+    rows = {tuple(r) for r in out.collect()}
+    assert rows == {(1, "a1", None, None), (2, "a2", (5,), None), (3, None, None, 33), (4, None, None, None), (5, None, None, None), (None, "an", None, None)}
+
+
+@pytest.mark.parametrize("keys", [["id"] * 3, ["id", "id", "b"]])
+def test_join_of_parts_with_repeated_keys_equals_sql(spark, keys):
+    import duckdb
+
+    parts = [
+        spark.range(60).selectExpr("id % 40 AS id", "id AS a"), spark.range(90).selectExpr("id % 45 AS id", "id % 7 AS b"),
+        spark.range(50).selectExpr("id % 25 AS id", "id % 9 AS b", "id AS c"),
+    ]
+    db = duckdb.connect()
+    for name, part in zip("pqr", parts):
+        db.register(name, part.toPandas())
+    on = "q.id IS NOT DISTINCT FROM r.id" if keys[2] == "id" else None
+    got = mapping.join_parts(parts, keys)
+    if on:
+        want = db.sql("SELECT id, a, q.b, c FROM p FULL JOIN q USING (id) FULL JOIN (SELECT id, c FROM r) r USING (id)").fetchall()
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    else:
+        assert got.columns == ["id", "a", "b", "c"] and got.count() > 100
+
+
 def test_masking(frame):
     df = frame("a string, b long, c string", [("x", 1, "secret"), (None, 2, "s")])
     rows = masking.mask_columns(df, ["a", "b"], ["c"]).collect()
@@ -179,6 +250,18 @@ def test_samples(spark):
     assert Counter(share.collect()) == Counter(samples.sample_rows(df.repartition(3), "id", 0.2).collect())
 
 
+def test_exact_samples_merge(spark):
+    df = spark.range(1000).selectExpr("IF(id % 50 = 0, NULL, id % 300) AS id", "id AS v", "CAST(id AS STRING) AS t")
+    whole = {tuple(r) for r in samples.smallest_rows(df, "id", 40).collect()}
+    assert len(whole) == 40
+    for n in (1, 7):
+        assert {tuple(r) for r in samples.smallest_rows(df.repartition(n), "id", 40).collect()} == whole
+    parts = [samples.smallest_rows(df.where(f"v % 3 = {i}"), "id", 40) for i in range(3)]
+    assert {tuple(r) for r in samples.smallest_rows(mapping.concat(parts), "id", 40).collect()} == whole
+    assert {tuple(r) for r in samples.smallest_rows(df, "id", 40, seed=1).collect()} != whole
+    assert samples.smallest_rows(df, "id", 5000).count() == 1000 and samples.smallest_rows(df.limit(0), "id", 5).count() == 0
+
+
 def test_suggested_configuration(spark):
     from pyspark.sql import types as T
 

@@ -59,6 +59,37 @@ def test_long_and_short_lines(spark, csv):
     assert read.bad_lines(spark, path).first() == (1, 0)
 
 
+def test_a_profile_is_found_in_one_pass(spark, csv):
+    path = csv("id,price,flag,mixed,nothing,note\n1,1.5,True,1,,a\n2,NA,False,x,,\"\n3, 2 ,true,true,NULL,c,long\n4,7,,2.5,,d\n")
+    found = read.profile_csv(spark, path)
+    assert found.names == ("id", "price", "flag", "mixed", "nothing", "note") and found.rows == 3
+    assert {n: k.simpleString() for n, k in found.kinds.items()} == {"id": "bigint", "price": "double", "flag": "boolean", "nothing": "double"}
+    assert found.missing["price"] == 1 and found.missing["nothing"] == 3 and found.missing["flag"] == 1
+    assert (found.long_lines, found.stray_quotes) == (1, 1) == tuple(read.bad_lines(spark, path).first())
+
+
+@pytest.mark.parametrize("columns", [3, 60])
+def test_wide_tables_are_profiled_as_narrow_ones(spark, csv, columns):
+    kinds = {0: "bigint", 1: "double", 2: "boolean", 3: "string", 4: "double"}
+    values = {0: ("1", "22"), 1: ("1", "2.5"), 2: ("true", "NA"), 3: ("1", "false"), 4: ("", "NA")}
+    lines = [",".join(f"c{i}" for i in range(columns))] + [",".join(values[i % 5][r] for i in range(columns)) for r in range(2)]
+    path = csv("\n".join([*lines, ",".join("9" * (columns + 1))]) + "\n")
+    assert [t for _, t in read.read_csv(spark, path).dtypes] == [kinds[i % 5] for i in range(columns)]
+    found = read.profile_csv(spark, path)
+    assert found.rows == 2 and found.long_lines == 1 and found.missing["c2"] == 1
+
+
+def test_text_is_parsed_twice(spark, csv, monkeypatch):
+    """Once for types and damaged lines, once for the data; the report of damaged lines parses nothing."""
+    path = csv("id,amount\n" + "".join(f"{i},{i}.5\n" for i in range(50)) + "7,8,9\n")
+    parsed, whole = [], read._raw_csv
+    monkeypatch.setattr(read, "_raw_csv", lambda *a: parsed.append(a[1]) or whole(*a))
+    config = AuditConfig.from_dict({"tables": {"t": {"source": path, "target": path, "primary_key": "id"}}})
+    found = {r["check"]: r for r in run_audit(spark, config).results.collect()}
+    assert found["csv_lines"]["metrics"]["long_lines"] == 1 and found["identity"]["status"] == "PASS"
+    assert len(parsed) == 2  # a frame for each side, used for its profile and its data
+
+
 def test_a_stray_quote_costs_no_other_row(spark, csv):
     path = csv('a,b\n1,"x\n2,y\n3,z\n4,"w"\n')
     assert [r["a"] for r in read.read_csv(spark, path).collect()] == [1, 2, 3, 4]
