@@ -7,7 +7,7 @@
 3. Pages are parsed again. The elements at the winning path of their host, or at the page's own best path where the
    host's is absent, give the text, without menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
    and reader comments. Where the container around them adds further text of the article, as headings, leads or sections
-   beside them are, and not mostly links, it is taken instead, and so on upwards. The winners are broadcast if they are
+   beside them are, and neither mostly links nor much beside what is there, it is taken instead, and so on upwards. The winners are broadcast if they are
    measured to be small, else joined by host.
 
 Names of classes mark what is no part of an article. An element that holds an article or nearly all of the page's text is
@@ -91,6 +91,8 @@ INNER_MARKS = MARKS - frozenset("alert notice notices related comment comments h
 NEARLY_ALL = 0.8
 #: Share of links up to which the text around an article's container may be part of the article.
 LINKED = 1 / 3
+#: Text that a container outside of an article may add, as a share of what is in it already.
+BESIDE = 0.5
 CONTAINERS = frozenset("article main section div td body blockquote".split())
 PARAGRAPHS = frozenset("p li pre blockquote h1 h2 h3 h4 h5 h6 dd dt td th figcaption".split())
 
@@ -422,6 +424,7 @@ def _widened(nodes: list[Node]) -> list[Node]:
 def _belongs(around: Node, inner: list[Node]) -> bool:
     """Whether the text that a container adds is of an article: in headings, paragraphs or sections, and not mostly links."""
     plain = linked = loose = 0
+    headed = False
     known = set(map(id, inner))
     stack = [(c, False, False) for c in around.children]
     while stack:
@@ -434,13 +437,16 @@ def _belongs(around: Node, inner: list[Node]) -> bool:
                 plain += size
                 loose += 0 if in_block else size
         elif not item.dropped and id(item) not in known:
+            headed = headed or item.tag in ("h1", "h2")
             block = in_block or item.tag in PARAGRAPHS or item.tag in ("section", "article", "table", "figure", "header")
             stack.extend((c, in_link or item.tag == "a", block) for c in item.children)
     own = around.tag in ("article", "main") or any(n.tag in ("article", "main") for n in _above(around))
     if linked > LINKED * (plain + linked):
         return False
-    # in an article any text is its own; elsewhere the text has to stand in blocks
-    return own or loose <= LINKED * plain
+    if around.tag == "body" and not headed:
+        return False
+    # in an article any text is its own; elsewhere it has to stand in blocks, and be less than what is there
+    return own or (loose <= LINKED * plain and plain <= BESIDE * len(text_of(inner)))
 
 
 def _at(root: Node, path: str) -> list[Node]:
