@@ -14,8 +14,12 @@
    become one class. Buckets that are of more than one class then go on without their pivots, round by round, with ``PIVOTS``
    pivots each, the heaviest of as many parts of the bucket. Rounds end when one links nothing, or less than ``SETTLED`` of
    all links so far. A round is linear in the sizes of the buckets. ``all_pairs`` also verifies all other pairs of a
-   bucket in different classes, in blocks of nodes; only this step grows with the square of a bucket.
-4. Classes are the connected components of all links, found by passing on the smallest node.
+   bucket in different classes, in blocks of nodes.
+4. Sketches may miss a pair and rounds leave pairs out, so what is left is found without a miss: of the labelled pairs of
+   neighbouring words, all but 2 d of the longer text's stand in both texts, so similar texts share some of their rarest ones
+   (``rare_runs`` says how many each text shows, ``spare`` how many of them two texts share at least). Nodes of different
+   classes that share as many are verified, in blocks of nodes. Only this step grows with the square of the texts that show one run.
+5. Classes are the connected components of all links, found by passing on the smallest node.
 
 Words are runs of letters, digits and underscores in lower case. Texts without words are equal if they are identical;
 NULL is the empty text. Of a class the row with the smallest id
@@ -35,7 +39,7 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenkeel.llm import common
@@ -48,6 +52,10 @@ EXACT = 50
 COUNTERS = 2**18
 #: Pivots of a bucket in a round after the first; share of links below which no further round follows.
 PIVOTS, SETTLED = 4, 0.001
+#: Of so many words of a text one more rare run is shown, and one more has to be shared.
+SPARE = 16
+#: One of so many nodes tells how common words are. This orders runs and decides nothing else.
+RANKED = 4
 #: Nodes of a bucket on either side of a block of pairs.
 BLOCK = 1_000
 #: Numbers of nodes that may be broadcast, 8 bytes each; more are joined.
@@ -139,6 +147,50 @@ def prefix(n: int, least: float, exact: int) -> int:
     return max(0, max(0, n - k + 1) - min(shared) + 1) if shared else 0
 
 
+@lru_cache(maxsize=None)
+def shown(n: int, least: float) -> int:
+    """How many of its rarest runs a text of ``n`` words has to show, so that it shares ``1 + spare`` of them with any similar,
+    not equal text; see :func:`spare`.
+
+    Of the runs of the longer of two texts ``d`` edits leave all but ``k * d``, at least ``shared``. Of two lists of shown runs
+    take the one that ends first in the common order: what both texts share is shown by both, or is one of the runs not shown
+    of this text. If these are ``shared - 1 - spare``, at least ``1 + spare`` shared runs are shown by both.
+    """
+    most, shared = _shared_runs(n, least)
+    return most - shared + 1 + spare(n, least) if shared else 0
+
+
+@lru_cache(maxsize=None)
+def spare(n: int, least: float) -> int:
+    """How many runs beyond one a text of ``n`` words has to share with any similar one, among those shown by both."""
+    return max(0, min(n // SPARE, _shared_runs(n, least)[1] - 1))
+
+
+def long_run(least: float) -> int:
+    """Words of a run for texts of any length; see :func:`run_length`."""
+    return run_length(least, int(2 / (2 * least - 1)) + 2) if least > 0.5 else 1
+
+
+def _shared_runs(n: int, least: float) -> tuple[int, int]:
+    """The runs of a text of ``n`` words, and how many any similar, not equal text shares at least; 0 if there is none."""
+    k = long_run(least)
+    longest = np.arange(n, int(n / least) + 2)
+    edits = np.floor((1 - least) * longest + 1e-9).astype(np.int64)
+    there = (edits > 0) & (longest - n <= edits)
+    return max(0, n - k + 1), int((longest - k + 1 - k * edits)[there].min()) if there.any() else 0
+
+
+def rare_runs(words: np.ndarray, ranks: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
+    """The rarest labelled runs of a text; ``ranks`` tells how common words are, by classes of words."""
+    most = shown(len(words), least)
+    if not most:
+        return np.zeros(0, np.int64)
+    k, own = long_run(least), ranks[words % np.uint32(len(ranks))]
+    runs = labelled(shingles(words.astype(np.uint64), k))
+    together = own[1:] + own[:-1] if k == 2 else own
+    return runs[np.lexsort((runs, together))][:most].view(np.int64)
+
+
 def short_runs(hashes: np.ndarray, least: float = SIMILARITY, exact: int = EXACT) -> np.ndarray:
     """The labelled runs of a short text."""
     return labelled(shingles(hashes, run_length(least, exact)))
@@ -330,19 +382,74 @@ def pairs_left(entries: DataFrame, met: DataFrame, least: float, block: int = BL
     """
     mixed_ones = entries.groupBy("value").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high")
     own = common.stage(entries.join(mixed_ones.select("value"), "value"), "open-buckets")
+    both = _meetings(own, least, block).select("a", "b", "class_a", "class_b").distinct()
+    return common.stage(both.join(met, ["a", "b"], "left_anti"), "pairs-left")
+
+
+def _meetings(own: DataFrame, least: float, block: int, *further: str) -> DataFrame:
+    """All pairs of a bucket in different classes whose lengths allow the similarity, once for each of their buckets."""
     cells = F.ceil(F.col("size") / block)
     own = own.withColumn("cell", F.pmod(F.xxhash64("node"), cells)).withColumn("other", F.explode(F.sequence(F.lit(0), cells - 1)))
 
     def side(end: str, i: str, j: str) -> DataFrame:
         return own.select(
             "value", F.col("cell").alias(i), F.col("other").cast("long").alias(j),
-            F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("class").alias(f"class_{end}"),
+            F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("n", "class", *further)],
         )
 
     both = side("a", "i", "j").join(side("b", "j", "i"), ["value", "i", "j"])
-    both = both.where("a > b AND class_a <> class_b").where(fits(least, "n_a", "n_b"))
-    both = both.select("a", "b", "class_a", "class_b").distinct()
-    return common.stage(both.join(met, ["a", "b"], "left_anti"), "pairs-left")
+    return both.where("a > b AND class_a <> class_b").where(fits(least, "n_a", "n_b"))
+
+
+def word_ranks(words: DataFrame) -> np.ndarray:
+    """How common words are in one of ``RANKED`` nodes, by ``COUNTERS`` classes of words. The driver gets these numbers only."""
+
+    def run(batches):
+        counts = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            lists = batch.column("words")
+            ends, values = lists.offsets.to_numpy(), lists.values.to_numpy(False).view(np.uint32)
+            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                np.add.at(counts, np.unique(values[a:b]) % np.uint32(COUNTERS), 1)
+        there = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array(counts[there], pa.int64())], ["slot", "n"])
+
+    some = words.where(f"pmod(xxhash64(node), {RANKED}) = 0").select("words").mapInArrow(run, "slot long, n long")
+    found = some.groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    ranks = np.zeros(COUNTERS, np.float32)
+    ranks[found.column("slot").to_numpy()] = np.log1p(found.column("n").to_numpy())
+    return ranks
+
+
+def pairs_missed(words: DataFrame, met: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """``a, b, class_a, class_b`` with ``a > b``: all pairs of nodes in different classes that may be similar and are not in ``met``.
+    Staged.
+
+    ``words`` has ``node, class, words``. Runs that only nodes of one class show are left out before any pair is made.
+    """
+    ranks = word_ranks(words)
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("words")
+            ends, values = lists.offsets.to_numpy(), lists.values.to_numpy(False).view(np.uint32)
+            sizes = np.diff(ends)
+            shows = [rare_runs(values[a:b], ranks, least) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            spares = np.array([spare(n, least) for n in sizes.tolist()], np.int32)
+            times = np.array([len(x) for x in shows], np.int64)
+            own = [np.repeat(batch.column(c).to_numpy(), times) for c in ("node", "class")]
+            made = [np.concatenate([np.zeros(0, np.int64), *shows]), *own, np.repeat(sizes.astype(np.int32), times), np.repeat(spares, times)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], ["value", "node", "class", "n", "spare"])
+
+    entries = words.select("node", "class", "words").mapInArrow(run, "value long, node long, class long, n int, spare int")
+    same = Window.partitionBy("value")
+    entries = entries.select(
+        "*", F.min("class").over(same).alias("low"), F.max("class").over(same).alias("high"), F.count(F.lit(1)).over(same).alias("size")
+    )
+    own = common.stage(entries.where("low <> high").drop("low", "high"), "open-runs")
+    both = _meetings(own, least, block, "spare").groupBy("a", "b", "class_a", "class_b")
+    both = both.agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("spare_a", "spare_b")).alias("spare")).where("shared > spare")
+    return common.stage(both.select("a", "b", "class_a", "class_b").join(met, ["a", "b"], "left_anti"), "pairs-missed")
 
 
 def linked(edges: DataFrame, words: DataFrame, least: float) -> DataFrame:
@@ -435,6 +542,13 @@ def node_classes(
         links = _verified(pairs_left(entries.drop("pivots"), met, least, block), words, least)
         if links is not None:
             classes = _grown(classes, components(links.select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))))
+    heads = nodes.select("node", F.col("node").alias("class")) if classes is None else nodes.select("node").join(classes, "node", "left")
+    heads = common.stage(heads.select("node", F.coalesce("class", "node").alias("class")), "heads")
+    few = heads.count() <= BROADCAST_NODES
+    missed = pairs_missed(words.join(F.broadcast(heads) if few else heads, "node"), met, least, block)
+    links = _verified(missed, words, least)
+    if links is not None:
+        classes = _grown(classes, components(links.select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))))
     return classes if classes is not None else nodes.select("node", F.col("node").alias("class")).limit(0)
 
 

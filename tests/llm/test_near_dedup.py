@@ -210,3 +210,45 @@ def test_all_pairs_left(spark, block):
     found = sorted(tuple(r)[:2] for r in N.pairs_left(entries, met, 0.8, block).collect())
     want = [(a, b) for a in range(7) for b in range(a) if own.get(a, a) != own.get(b, b) and abs(n[a] - n[b]) <= int(0.2 * max(n[a], n[b]) + 1e-9)]
     assert found == [p for p in want if p != (3, 0)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(1, 30), min_size=1, max_size=120), st.sampled_from([0.5, 0.8, 0.9]), st.data())
+def test_similar_texts_share_rare_runs(a, least, data):
+    b = list(a)
+    for _ in range(data.draw(st.integers(0, int(len(a) * (1 - least)) + 1))):
+        at = data.draw(st.integers(0, len(b) - 1))
+        b[at : at + 1] = data.draw(st.sampled_from([[b[at], 77], [88]] + ([[]] if len(b) > 1 else [])))
+    x, y = np.array(a, np.uint32), np.array(b, np.uint32)
+    if N.similar(x, y, least) and a != b:
+        ranks = COUNTS.astype(np.float32)
+        shared = {*N.rare_runs(x, ranks, least).tolist()} & {*N.rare_runs(y, ranks, least).tolist()}
+        assert len(shared) > min(N.spare(len(a), least), N.spare(len(b), least))
+
+
+@pytest.mark.parametrize("deduplicated", [False, True])
+def test_similar_texts_without_a_common_sketch(spark, deduplicated):
+    rng, pairs = random.Random(8), []
+    while len(pairs) < 6:
+        base = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+        pair = base, edited(rng, base, 0.2)
+        a, b = (N.keys(np.array([N._Hashes()[w] for w in words], np.uint64)).tolist() for words in pair)
+        if not set(a) & set(b):
+            pairs.append(pair)
+    docs = spark.createDataFrame([(i, " ".join(words)) for i, words in enumerate(sum(pairs, ()))], "doc_id long, text string")
+    if deduplicated:
+        assert sorted(r.doc_id for r in N.deduplicate(docs).collect()) == [0, 2, 4, 6, 8, 10]
+    else:
+        found = N.near_duplicates(docs).collect()
+        assert partition((r.doc_id, r.class_id) for r in found) == [[2 * i, 2 * i + 1] for i in range(6)]
+
+
+def test_pairs_that_no_pivot_meets(spark):
+    # a bucket of many classes whose pivots are alike to none: two further nodes are
+    rng = random.Random(9)
+    passage = [f"p{rng.randrange(10**6)}" for _ in range(60)]
+    texts = [passage + [f"w{rng.randrange(10**6)}" for _ in range(60)] for _ in range(60)]
+    texts += [passage + edited(rng, t[60:], 0.3) for t in texts[20:23]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = N.near_duplicates(docs, sketches=2).collect()
+    assert [g for g in partition((r.doc_id, r.class_id) for r in found) if len(g) > 1] == [[20, 60], [21, 61], [22, 62]]
