@@ -28,8 +28,9 @@ ROWS_PER_SPLIT = 50_000
 # timestamp at most. Keys with more on both sides are counted without building their pairs.
 NARROW = 32
 
-# Deltas tried at once in the search for the median.
-PROBES = 24
+# Deltas tried at once in the search for the median, over coarse timestamps and over all; coarse ones of a key.
+COARSE_PROBES, PROBES = 8, 3
+COARSE = 4096
 
 
 # --- parse failures and awareness: scalar metrics -------------------------------------------
@@ -356,11 +357,25 @@ def pairs_upto(wide: DataFrame, probes: DataFrame) -> DataFrame:
     return parts.groupBy("column", "probe").agg(*_sums(pairs=f"pairs + {_times('tn', 'before')}"))
 
 
+def coarse(wide: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """Two tables like ``wide`` with one row per ``width`` microseconds of a key and side, staged. Of the first, as many pairs or fewer
+    lie up to any difference as of ``wide``, of the second as many or more."""
+    cells = wide.groupBy("column", "k", F.expr(f"(ts - pmod(ts, {width}L))").alias("ts")).agg(F.sum("sn").alias("sn"), F.sum("tn").alias("tn"))
+    cells = stage(cells, "coarse-keys")
+    source = cells.where("sn > 0").selectExpr("column", "k", "ts", "sn", "0L AS tn")
+
+    def moved(by: int) -> DataFrame:
+        return source.unionByName(cells.where("tn > 0").selectExpr("column", "k", f"ts + {by}L AS ts", "0L AS sn", "tn"))
+
+    return moved(width - 1), moved(1 - width)
+
+
 def wide_medians(deltas: Deltas, moments: DataFrame) -> DataFrame:
     """``(column, median)`` of columns with wide keys, exact.
 
     No median is further from the mean than the deviation. From there the range of the middle pairs is narrowed by
-    counting the pairs up to ``PROBES`` differences in a job, until one is left. The driver holds a few numbers per column.
+    counting the pairs up to a few differences in a job, until one is left: first over coarse timestamps, which give bounds
+    of the counts and are at most ``COARSE`` rows per key, then over all timestamps. The driver holds a few numbers per column.
     """
     spark = deltas.histogram.sparkSession
     known = deltas.wide.select("column").distinct()
@@ -370,22 +385,45 @@ def wide_medians(deltas: Deltas, moments: DataFrame) -> DataFrame:
         spread = (max(0, int(r["squares"]) * n - int(r["total"]) ** 2)) ** 0.5 / n + 1
         low, high = max(r["low"], math.floor(mean - spread)), min(r["high"], math.ceil(mean + spread))
         state[r["column"]] = {rank: [low, high] for rank in {(n - 1) // 2, n // 2}}
-    while any(low < high for ranges in state.values() for low, high in ranges.values()):
+
+    def narrow(fewest: DataFrame, most: DataFrame, at_once: int) -> bool:
+        """Try some differences of each range; whether a range became smaller."""
         tried = set()
         for column, ranges in state.items():
             for low, high in ranges.values():
-                step = max(1, -(-(high - low) // (PROBES + 1)))
+                step = max(1, -(-(high - low) // (at_once + 1)))
                 tried.update((column, probe) for probe in range(low + step - 1, high, step))
-        probes = spark.createDataFrame(sorted(tried), "column string, probe bigint")
-        counts = deltas.histogram.join(F.broadcast(probes), "column").where("delta <= probe").groupBy("column", "probe")
-        counts = counts.agg(*_sums(pairs="pairs")).unionByName(pairs_upto(deltas.wide, probes))
-        counts = {(r["column"], r["probe"]): int(r["pairs"]) for r in counts.groupBy("column", "probe").agg(*_sums(pairs="pairs")).collect()}
+        probes = spark.createDataFrame(sorted(tried), "column string, probe bigint").coalesce(1)
+        known = deltas.histogram.join(F.broadcast(probes), "column").where("delta <= probe").groupBy("column", "probe").agg(*_sums(pairs="pairs"))
+        parts = [known.withColumn("bound", F.lit(0)), pairs_upto(fewest, probes).withColumn("bound", F.lit(1))]
+        if most is not fewest:
+            parts.append(pairs_upto(most, probes).withColumn("bound", F.lit(2)))
+        found = parts[0]
+        for part in parts[1:]:
+            found = found.unionByName(part)
+        counts = {(r["column"], r["probe"], r["bound"]): int(r["pairs"]) for r in found.collect()}
+        smaller = False
         for column, probe in tried:
+            below = counts.get((column, probe, 0), 0)
+            least = below + counts.get((column, probe, 1), 0)
+            upto = least if most is fewest else below + counts.get((column, probe, 2), 0)
             for rank, bounds in state[column].items():
-                if counts.get((column, probe), 0) > rank:
-                    bounds[1] = min(bounds[1], probe)
-                else:
-                    bounds[0] = max(bounds[0], probe + 1)
+                if least > rank and probe < bounds[1]:
+                    bounds[1], smaller = probe, True
+                elif upto <= rank and probe + 1 > bounds[0]:
+                    bounds[0], smaller = probe + 1, True
+        return smaller
+
+    def widest() -> int:
+        return max((high - low for ranges in state.values() for low, high in ranges.values()), default=0)
+
+    first, last = deltas.wide.agg(F.min("ts"), F.max("ts")).first()
+    width = max(1, (last - first) // COARSE)
+    bounds = coarse(deltas.wide, width) if widest() > 4 * width // _MICROS + COARSE_PROBES else None
+    while bounds and widest() > 4 * width // _MICROS + COARSE_PROBES and narrow(*bounds, COARSE_PROBES):
+        pass
+    while widest():
+        narrow(deltas.wide, deltas.wide, PROBES)
     rows = [(column, sum(low for low, _ in ranges.values()) / len(ranges)) for column, ranges in state.items()]
     return spark.createDataFrame(rows, "column string, median double")
 

@@ -170,6 +170,30 @@ def test_one_key_with_many_timestamps_on_both_sides(spark, monkeypatch):
     assert row["std"] == pytest.approx((float((counts[order] * (values - mean) ** 2).sum()) / (total - 1)) ** 0.5, rel=1e-9)
 
 
+def test_the_median_of_many_timestamps_moves_few_rows(spark, monkeypatch):
+    """Every round over all timestamps moves each source row once and each target row once for a difference that is tried."""
+    n = 10_000
+    rng = random.Random(4)
+    frames = [
+        spark.createDataFrame([(1, rng.randrange(3 * 10**13), 1) for _ in range(n)], "k long, ts long, n long").selectExpr("'c' AS column", "*")
+        for _ in range(2)
+    ]
+    moved, whole = [], D.stage
+
+    def watched(df, name):
+        out = whole(df, name)
+        if name == "ranges":
+            moved.append(out.count())
+        return out
+
+    monkeypatch.setattr(D, "stage", watched)
+    row = D.offset_facts(D.key_deltas(D.reduce_keys(*frames), *frames), ["c"]).first()["d0"]
+    s, t = (np.array([r["ts"] for r in df.collect()]) for df in frames)
+    d = np.sort(np.rint((t[:, None] - s).ravel() / 60e6).astype(np.int64))
+    assert row["median"] == (int(d[(len(d) - 1) // 2]) + int(d[len(d) // 2])) / 2
+    assert sum(x for x in moved if x > 8 * n) == 0 and sum(moved) <= 65 * n
+
+
 def test_session_must_be_in_utc(spark, column):
     df = column("string", ["2023-01-01"])
     spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
