@@ -23,6 +23,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -34,6 +35,10 @@ from evenkeel.plans.pair_audit import Settings, TableInputs, pair_results, plan_
 
 SIDES = ("source", "target")
 WRITERS = 4
+#: Rows of a batch that one task reads; a larger part is dealt out. A file of one row group cannot be split by its reader.
+ROWS_PER_TASK = 250_000
+#: Parts that are dealt out without sorting or holding rows (``spark.shuffle.sort.bypassMergeThreshold``).
+MOST_PARTS = 200
 
 
 @dataclass
@@ -152,7 +157,7 @@ class IncrementalAudit:
             part, rows = item
             rows.write.mode("overwrite").parquet(os.path.join(self._path(side, part), folder))
 
-        df = df.persist()  # the parts are independent jobs over few columns each; together they fill the cluster
+        df = spread(df, ROWS_PER_TASK).persist()  # the parts are independent jobs over few columns each; together they fill the cluster
         try:
             with ThreadPoolExecutor(max_workers=WRITERS) as pool:
                 list(pool.map(write, self._parts(side, df).items()))
@@ -271,6 +276,15 @@ class IncrementalAudit:
         return R.union(self.spark, parts)
 
 
+def spread(df: DataFrame, rows_per_task: int) -> DataFrame:
+    """The same rows in parts of about ``rows_per_task`` rows, if a part is larger. Equal rows stay together; they are counted as one."""
+    plain = ["`" + f.name.replace("`", "``") + "`" for f in df.schema if not isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType, T.VariantType))]
+    sizes = df.groupBy(F.spark_partition_id().alias("part")).count().agg(F.max("count"), F.sum("count")).first()
+    if not plain or (sizes[0] or 0) <= rows_per_task:
+        return df
+    return df.repartition(min(MOST_PARTS, -(-sizes[1] // rows_per_task)), F.xxhash64(*plain))
+
+
 def _of_side(checks: Sequence[A.ScalarCheck], side: str) -> list[A.Metric]:
     return A.unique([m for c in checks for m in (c.source if side == "source" else c.target)])
 

@@ -1,9 +1,11 @@
 import pytest
 from conftest import order_rows
+from pyspark.sql import functions as F
 
 from evenkeel.config import TableConfig
 from evenkeel.operators import faults, sketch
 from evenkeel.plans.pair_audit import audit_pair
+from evenkeel.streaming import incremental
 from evenkeel.streaming.incremental import Held, IncrementalAudit
 
 TABLE = TableConfig(
@@ -135,3 +137,19 @@ def test_sketches_merge(spark):
     parts = sketch.key_sketch(source.where("k < 400"), "k").unionByName(sketch.key_sketch(source.where("k >= 300"), "k"))
     row = sketch.approximate_overlap(sketch.merge_sketches(parts), sketch.key_sketch(target, "k")).first()
     assert (row["src_keys"], row["tgt_keys"], row["common_keys"], row["overlap_pct"]) == (1000, 1000, 500, 50.0)
+
+
+def test_a_batch_of_one_large_part_is_dealt_out(spark, pair, tmp_path, monkeypatch):
+    source, _ = pair
+    whole, seen = IncrementalAudit._parts, []
+
+    def watched(self, side, df):
+        seen.append([r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()])
+        return whole(self, side, df)
+
+    monkeypatch.setattr(incremental, "ROWS_PER_TASK", 50)
+    monkeypatch.setattr(IncrementalAudit, "_parts", watched)
+    audit = IncrementalAudit(spark, "users", TABLE, source.schema, source.schema, str(tmp_path), compact_every=1000)
+    audit.add_batch("source", source.coalesce(1), 0)
+    assert sum(seen[0]) == source.count() and max(seen[0]) <= 100
+    assert sorted(map(str, incremental.spread(source.coalesce(1), 50).collect())) == sorted(map(str, source.collect()))
