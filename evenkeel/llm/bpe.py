@@ -11,8 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from evenkeel.llm import common, tokens
 
@@ -48,5 +50,19 @@ def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, ids, n_tokens, decoded``: the ids and the bytes they stand for."""
-    return encoded(docs, path, pattern, id_col, text_col).withColumn("decoded", decode(F.col("ids"), path, pattern))
+    """``doc_id, ids, n_tokens, decoded``: the ids and the bytes they stand for.
+
+    Both ways are taken in one pass, by one worker for each task, and rows leave it a few million bytes of text at a time.
+    """
+
+    def run(batches):
+        encoder, known = tokens.rank_encoder(path, pattern), tokens.vocabulary(path, pattern)
+        for batch in tokens.small_batches(batches, "text"):
+            ids = pa.array(encoder(batch.column("text")), pa.binary())
+            counts = pc.cast(pc.divide(pc.binary_length(ids), 4), pa.int64())
+            made = [batch.column("doc_id"), ids, counts, tokens.decoded(ids, known)]
+            yield pa.RecordBatch.from_arrays(made, ["doc_id", "ids", "n_tokens", "decoded"])
+
+    texts = common.text_of(docs, id_col, text_col)
+    schema = StructType([texts.schema["doc_id"]]).add("ids", "binary").add("n_tokens", "long").add("decoded", "binary")
+    return texts.mapInArrow(run, schema)

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenkeel.llm import common
-from evenkeel.llm.tokens import slices
+from evenkeel.llm.tokens import small_batches
 
 SHINGLE, SKETCHES, SIMILARITY = 3, 32, 0.8
 #: Pairs of texts of up to so many words are found by their rarest pairs of words, without a miss.
@@ -213,15 +213,6 @@ def keys(
     return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
 
-def _small(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of a few million bytes of text, one row at least."""
-    for batch in batches:
-        at = 0
-        for texts in slices(batch.column("text")):
-            yield batch.slice(at, len(texts))
-            at += len(texts)
-
-
 def run_counts(texts: DataFrame, least: float = SIMILARITY, exact: int = EXACT) -> np.ndarray:
     """How often runs of words stand in all texts of up to ``exact`` words, by ``COUNTERS`` classes of runs.
 
@@ -230,7 +221,7 @@ def run_counts(texts: DataFrame, least: float = SIMILARITY, exact: int = EXACT)
 
     def run(batches):
         hashes, counts = _Hashes(), np.zeros(COUNTERS, np.int64)
-        for batch in _small(batches):
+        for batch in small_batches(batches, "text"):
             for text in batch.column("text").to_pylist():
                 words = [m.group() for m in islice(WORD.finditer(text.lower()), exact + 1)]
                 if 0 < len(words) <= exact:
@@ -342,7 +333,7 @@ def signatures(
 
     def run(batches):
         hashes = _Hashes()
-        for batch in _small(batches):
+        for batch in small_batches(batches, "text"):
             named, sizes, found, words_of = [], [], [], []
             for text, same in zip(batch.column("text").to_pylist(), batch.column("same").to_pylist(), strict=True):
                 words = WORD.findall(text.lower())

@@ -121,6 +121,15 @@ def slices(texts: pa.Array, most: int = 3_000_000) -> Iterable[pa.Array]:
         at = end
 
 
+def small_batches(batches: Iterable[pa.RecordBatch], column: str, most: int = 3_000_000) -> Iterable[pa.RecordBatch]:
+    """The same rows in batches of about ``most`` bytes of a text column together, one row at least."""
+    for batch in batches:
+        at = 0
+        for texts in slices(batch.column(column), most):
+            yield batch.slice(at, len(texts))
+            at += len(texts)
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}

@@ -99,3 +99,16 @@ def test_round_trip_of_a_table(spark):
         (i, want.encode_ordinary(t or ""), len(want.encode_ordinary(t or "")), (t or "").encode()) for i, t, _ in rows
     ]
     assert bpe.round_trip(docs.limit(0), MULTI, P.PATTERN).count() == 0
+
+
+def test_round_trip_needs_one_worker_for_each_task(spark, capsys):
+    docs = spark.createDataFrame([(0, "a b")], "doc_id long, text string")
+    bpe.round_trip(docs, MULTI, P.PATTERN).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
+
+
+def test_small_batches_hold_every_row_once():
+    batch = pa.RecordBatch.from_pydict({"id": [1, 2, 3, 4], "text": ["x" * n for n in (5, 100, 1, 0)]})
+    found = list(tokens.small_batches([batch, batch.slice(0, 0)], "text", 10))
+    assert [b.num_rows for b in found] == [1, 1, 2] and pa.Table.from_batches(found).to_pydict() == batch.to_pydict()
