@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.llm import common
+from evenkeel.llm.tokens import slices
 
 #: Labelled texts of each class in the sample, and the bytes a text there has at most: 4 000 texts and 400 MB.
 TOXIC_ROWS, ORDINARY_ROWS, SAMPLE_BYTES = 1_000, 3_000, 100_000
@@ -248,12 +249,17 @@ def fit(docs: DataFrame, labels: DataFrame, **columns: str) -> Model:
     return train(*sample(docs, labels, **columns))
 
 
+def batch_scores(texts: pa.Array, model: Model) -> pa.Array:
+    """The scores of a batch; only a few million bytes of its text are strings at a time."""
+    return pa.array([x for some in slices(texts) for x in model.scores(some.to_pylist())], pa.float64())
+
+
 def score(text: Column, model: Model) -> Column:
     """The score of a text column, 0 to 1."""
 
     def run(batches):
         for batch in batches:
-            yield pa.array(model.scores(batch.fill_null("").to_pylist()), pa.float64())
+            yield batch_scores(batch.fill_null(""), model)
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, "double")(text)

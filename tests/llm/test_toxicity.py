@@ -4,6 +4,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 
@@ -124,3 +125,16 @@ def test_without_labels_and_empty(spark):
     assert T.classify(docs.limit(0), T.fit(docs.limit(0), none)).count() == 0
     kept = T.keep_ordinary(docs, T.fit(docs, one))
     assert kept.columns == docs.columns and kept.count() == 0
+
+
+def test_a_batch_is_scored_in_slices():
+    class Counted:
+        sizes = []
+
+        def scores(self, texts):
+            self.sizes.append(sum(map(len, texts)))
+            return [len(t) / 10_000_000 for t in texts]
+
+    texts = ["a" * 1_000_000] * 10 + ["", "b" * 5_000_000, "c"]
+    assert T.batch_scores(pa.array(texts), Counted()).to_pylist() == [len(t) / 10_000_000 for t in texts]
+    assert max(Counted.sizes) <= 5_000_000 and len(T.batch_scores(pa.array([], pa.string()), Counted())) == 0
