@@ -17,8 +17,11 @@
    bucket in different classes, in blocks of nodes.
 4. Sketches may miss a pair and rounds leave pairs out, so what is left is found without a miss: of the labelled pairs of
    neighbouring words, all but 2 d of the longer text's stand in both texts, so similar texts share some of their rarest ones
-   (``rare_runs`` says how many each text shows, ``spare`` how many of them two texts share at least). Nodes of different
-   classes that share as many are verified, in blocks of nodes. Only this step grows with the square of the texts that show one run.
+   (``rare_runs`` says how many each text shows, ``spare`` how many of them two texts share at least). Rare are runs that few
+   texts hold, by counters, so passages that many texts hold come last. Runs are dealt into buckets by their values, many in a row
+   as arrays; in a bucket nodes of different classes meet if their lengths allow it and both show the run early enough for these
+   lengths, and those that share as many runs over all buckets are verified. Runs that more than ``BLOCK`` nodes show meet in
+   blocks of nodes. Only this step grows with the square of the texts that show one run.
 5. Classes are the connected components of all links, found by passing on the smallest node.
 
 Words are runs of letters, digits and underscores in lower case. Texts without words are equal if they are identical;
@@ -54,8 +57,10 @@ COUNTERS = 2**18
 PIVOTS, SETTLED = 4, 0.001
 #: Of so many words of a text one more rare run is shown, and one more has to be shared.
 SPARE = 16
-#: One of so many nodes tells how common words are. This orders runs and decides nothing else.
-RANKED = 4
+#: One of so many nodes tells how common words and runs are, runs by so many counters. This orders runs and decides nothing else.
+RANKED, RUN_COUNTERS = 8, 2**20
+#: Rare runs that meet in one bucket, and words or pairs that a task handles at once.
+BUCKET, AT_ONCE = 1_500_000, 1_000_000
 #: Nodes of a bucket on either side of a block of pairs.
 BLOCK = 1_000
 #: Numbers of nodes that may be broadcast, 8 bytes each; more are joined.
@@ -180,15 +185,20 @@ def _shared_runs(n: int, least: float) -> tuple[int, int]:
     return max(0, n - k + 1), int((longest - k + 1 - k * edits)[there].min()) if there.any() else 0
 
 
-def rare_runs(words: np.ndarray, ranks: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
-    """The rarest labelled runs of a text; ``ranks`` tells how common words are, by classes of words."""
+def rare_runs(words: np.ndarray, ranks: np.ndarray, least: float = SIMILARITY, common_runs: np.ndarray | None = None) -> np.ndarray:
+    """The rarest labelled runs of a text, the rarest first.
+
+    ``common_runs`` tells how common runs are, by classes of runs, and ``ranks`` how common words are, by classes of words.
+    """
     most = shown(len(words), least)
     if not most:
         return np.zeros(0, np.int64)
     k, own = long_run(least), ranks[words % np.uint32(len(ranks))]
-    runs = labelled(shingles(words.astype(np.uint64), k))
+    plain = shingles(words.astype(np.uint64), k)
+    runs = labelled(plain)
     together = own[1:] + own[:-1] if k == 2 else own
-    return runs[np.lexsort((runs, together))][:most].view(np.int64)
+    seen = common_runs[plain % np.uint64(len(common_runs))] if common_runs is not None else np.zeros(len(runs), np.uint8)
+    return runs[np.lexsort((runs, together, seen))][:most].view(np.int64)
 
 
 def short_runs(hashes: np.ndarray, least: float = SIMILARITY, exact: int = EXACT) -> np.ndarray:
@@ -392,55 +402,171 @@ def _meetings(own: DataFrame, least: float, block: int, *further: str) -> DataFr
     return both.where("a > b AND class_a <> class_b").where(fits(least, "n_a", "n_b"))
 
 
-def word_ranks(words: DataFrame) -> np.ndarray:
-    """How common words are in one of ``RANKED`` nodes, by ``COUNTERS`` classes of words. The driver gets these numbers only."""
+def run_ranks(words: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """How common words and runs are in one of ``RANKED`` nodes, by ``COUNTERS`` classes of words and ``RUN_COUNTERS`` of runs.
+
+    The driver gets these numbers only.
+    """
+    k = long_run(least)
 
     def run(batches):
-        counts = np.zeros(COUNTERS, np.int64)
+        counts = np.zeros(COUNTERS + RUN_COUNTERS, np.int32)
         for batch in batches:
             lists = batch.column("words")
             ends, values = lists.offsets.to_numpy(), lists.values.to_numpy(False).view(np.uint32)
             for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                 np.add.at(counts, np.unique(values[a:b]) % np.uint32(COUNTERS), 1)
+                if b - a >= k:
+                    runs = np.unique(shingles(values[a:b].astype(np.uint64), k)) % np.uint64(RUN_COUNTERS)
+                    np.add.at(counts, runs.astype(np.int64) + COUNTERS, 1)
         there = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array(counts[there], pa.int64())], ["slot", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(counts[there], pa.int32())], ["slot", "n"])
 
-    some = words.where(f"pmod(xxhash64(node), {RANKED}) = 0").select("words").mapInArrow(run, "slot long, n long")
+    some = words.where(f"pmod(xxhash64(node), {RANKED}) = 0").select("words").mapInArrow(run, "slot int, n int")
     found = some.groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    ranks = np.zeros(COUNTERS, np.float32)
+    ranks = np.zeros(COUNTERS + RUN_COUNTERS, np.float32)
     ranks[found.column("slot").to_numpy()] = np.log1p(found.column("n").to_numpy())
-    return ranks
+    # half powers of two: what differs less is told apart by the words
+    return ranks[:COUNTERS], np.floor(ranks[COUNTERS:] * (2 / np.log(2)) + 1e-3).astype(np.uint8)
 
 
-def pairs_missed(words: DataFrame, met: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
-    """``a, b, class_a, class_b`` with ``a > b``: all pairs of nodes in different classes that may be similar and are not in ``met``.
-    Staged.
+def _stretches(ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about ``most`` words together, one text at least and fewer than 2^16."""
+    at = 0
+    while at < len(ends) - 1:
+        to = min(max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1), at + 2**16 - 1)
+        yield at, to
+        at = to
+
+
+#: Rare runs of many nodes: their values, the places of their nodes among ``node, class, n``, and their places in the order of a node.
+RUNS = "bucket int, value binary, place binary, at binary, node binary, class binary, n binary"
+#: A pair and how many runs it shares, or (without ``b``) one of the nodes of a run that more than a block of nodes show.
+MET = "a long, class_a long, b long, class_b long, spare int, times long, value long, n int, size long, at int"
 
-    ``words`` has ``node, class, words``. Runs that only nodes of one class show are left out before any pair is made.
-    """
-    ranks = word_ranks(words)
+
+def shown_runs(words: DataFrame, least: float, buckets: int, ranks: np.ndarray, common_runs: np.ndarray) -> DataFrame:
+    """The rare runs of all nodes, dealt into ``buckets`` by their values; see ``RUNS``."""
 
     def run(batches):
         for batch in batches:
             lists = batch.column("words")
             ends, values = lists.offsets.to_numpy(), lists.values.to_numpy(False).view(np.uint32)
-            sizes = np.diff(ends)
-            shows = [rare_runs(values[a:b], ranks, least) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            spares = np.array([spare(n, least) for n in sizes.tolist()], np.int32)
-            times = np.array([len(x) for x in shows], np.int64)
-            own = [np.repeat(batch.column(c).to_numpy(), times) for c in ("node", "class")]
-            made = [np.concatenate([np.zeros(0, np.int64), *shows]), *own, np.repeat(sizes.astype(np.int32), times), np.repeat(spares, times)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], ["value", "node", "class", "n", "spare"])
-
-    entries = words.select("node", "class", "words").mapInArrow(run, "value long, node long, class long, n int, spare int")
-    same = Window.partitionBy("value")
-    entries = entries.select(
-        "*", F.min("class").over(same).alias("low"), F.max("class").over(same).alias("high"), F.count(F.lit(1)).over(same).alias("size")
-    )
-    own = common.stage(entries.where("low <> high").drop("low", "high"), "open-runs")
-    both = _meetings(own, least, block, "spare").groupBy("a", "b", "class_a", "class_b")
-    both = both.agg(F.count(F.lit(1)).alias("shared"), F.min(F.least("spare_a", "spare_b")).alias("spare")).where("shared > spare")
-    return common.stage(both.select("a", "b", "class_a", "class_b").join(met, ["a", "b"], "left_anti"), "pairs-missed")
+            whole = [batch.column(c).to_numpy() for c in ("node", "class")] + [np.diff(ends).astype(np.int32)]
+            for first, last in _stretches(ends, AT_ONCE):
+                shows = [rare_runs(values[a:b], ranks, least, common_runs) for a, b in zip(ends[first:last].tolist(), ends[first + 1 : last + 1].tolist(), strict=True)]
+                times = np.array([len(x) for x in shows], np.int64)
+                value = np.concatenate(shows).view(np.uint64)
+                place = np.repeat(np.arange(last - first, dtype=np.uint16), times)
+                # of places beyond, only that they are large
+                at = np.minimum(np.arange(len(value)) - np.repeat(np.cumsum(times) - times, times), 2**16 - 1).astype(np.uint16)
+                bucket = ((value >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+                order = np.argsort(bucket, kind="stable")
+                cuts = np.flatnonzero(np.diff(bucket[order])) + 1
+                rows = []
+                for own in np.split(order, cuts) if len(order) else ():
+                    there, local = np.unique(place[own], return_inverse=True)
+                    made = value[own].astype(np.uint32), local.astype(np.uint16), at[own], *(x[first:last][there] for x in whole)
+                    rows.append((int(bucket[own[0]]), *(x.tobytes() for x in made)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r[i] for r in rows], pa.binary() if i else pa.int32()) for i in range(7)],
+                    ["bucket", "value", "place", "at", "node", "class", "n"],
+                )
+
+    return words.select("node", "class", "words").mapInArrow(run, RUNS)
+
+
+def _reach(n: np.ndarray, longest: np.ndarray, spares: np.ndarray, least: float) -> np.ndarray:
+    """How many of its rarest runs a text of ``n`` words has to show to a similar one, if ``longest`` is the longer's length; see :func:`shown`."""
+    k = long_run(least)
+    shared = longest - k + 1 - k * np.floor((1 - least) * longest + 1e-9).astype(np.int64)
+    return n - k + 1 - shared + 1 + spares
+
+
+def _bucket_pairs(value, node, group, n, at, least: float, block: int) -> Iterator[dict[str, np.ndarray]]:
+    """Columns of ``MET`` from all entries of a bucket: pairs of nodes of different classes with a common run, once for each."""
+    order = np.argsort((value.astype(np.uint64) << np.uint64(32)) | n.astype(np.uint64))
+    value, node, group, n, at = (x[order] for x in (value, node, group, n, at))
+    starts = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
+    sizes = np.diff(np.append(starts, len(value)))
+    several = np.minimum.reduceat(group, starts) != np.maximum.reduceat(group, starts)
+    keep = np.repeat(several, sizes)
+    value, node, group, n, at, size = (x[keep] for x in (value, node, group, n, at, np.repeat(sizes, sizes)))
+    lengths, back = np.unique(n, return_inverse=True)
+    spares = np.array([spare(x, least) for x in lengths.tolist()], np.int64)[back] if len(n) else np.zeros(0, np.int64)
+    large = size > block
+    yield {"a": node[large], "class_a": group[large], "value": value[large], "n": n[large], "size": size[large], "at": at[large], "spare": spares[large]}
+    value, node, group, n, at, spares = (x[~large] for x in (value, node, group, n, at, spares))
+    # in the order of lengths, each with the next, the one after it, and so on while the lengths allow the similarity
+    parts, held = [], 0
+    here, step = np.arange(len(value)), 1
+    while len(here):
+        here = here[here + step < len(value)]
+        there = here + step
+        near = (value[here] == value[there]) & (n[there] - n[here] <= np.floor((1 - least) * n[there] + 1e-9))
+        here, there, step = here[near], there[near], step + 1
+        s = np.minimum(spares[here], spares[there])
+        pairs = (group[here] != group[there]) & (at[here] < _reach(n[here], n[there], s, least)) & (at[there] < _reach(n[there], n[there], s, least))
+        parts.append((here[pairs], there[pairs]))
+        held += int(pairs.sum())
+        if held > AT_ONCE or not len(here):
+            i, j = (np.concatenate(x) for x in zip(*parts, strict=True))
+            i, j = np.where(node[i] > node[j], i, j), np.where(node[i] > node[j], j, i)
+            yield {"a": node[i], "class_a": group[i], "b": node[j], "class_b": group[j], "spare": np.minimum(spares[i], spares[j])}
+            parts, held = [], 0
+
+
+def met_runs(runs: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """``MET`` for the rows of :func:`shown_runs`, bucket by bucket. Staged.
+
+    Pairs stand there once for each run that both show early enough for their lengths.
+    """
+    kinds = {"value": np.uint32, "place": np.uint16, "at": np.uint16, "node": np.int64, "class": np.int64, "n": np.int32}
+    schema = pa.schema([(c, pa.int32() if t == "int" else pa.int64()) for c, t in (x.split() for x in MET.split(", "))])
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[str, list[np.ndarray]] = {c: [] for c in ("value", "node", "class", "n", "at")}
+        for batch in batches:
+            for row in batch.select(list(kinds)).to_pylist():
+                own = {c: np.frombuffer(row[c], kind) for c, kind in kinds.items()}
+                for c in parts:
+                    parts[c].append(own[c][own["place"]] if c in ("node", "class", "n") else own[c])
+        value, node, group, n, at = (np.concatenate(x) for x in parts.values())
+        parts.clear()
+        first = key[0].as_py() << 32
+        for found in _bucket_pairs(value, node, group, n.astype(np.int64), at.astype(np.int64), least, block):
+            rows = len(found["a"])
+            if "value" in found:
+                found["value"] = found["value"].astype(np.int64) + first
+            else:
+                found["times"] = np.ones(rows, np.int64)
+            made = [pa.array(found[f.name], f.type) if f.name in found else pa.nulls(rows, f.type) for f in schema]
+            yield pa.RecordBatch.from_arrays(made, schema=schema)
+
+    return common.stage(runs.groupBy("bucket").applyInArrow(run, MET), "met-runs")
+
+
+def pairs_missed(words: DataFrame, met: DataFrame, least: float, block: int = BLOCK, bucket: int = BUCKET) -> DataFrame:
+    """``a, b, class_a, class_b`` with ``a > b``: all pairs of nodes in different classes that may be similar and are not in ``met``.
+    Staged.
+
+    ``words`` has ``node, class, words``. Runs that only nodes of one class show are left out before any pair is made. A bucket
+    holds about ``bucket`` runs, however many nodes there are; runs that more than a block of nodes show are met in blocks.
+    """
+    ranks, common_runs = run_ranks(words, least)
+    total = words.agg(F.sum(F.size("words").cast("long")).alias("n")).first()["n"] or 0
+    made = met_runs(shown_runs(words, least, 1 + total // (2 * bucket), ranks, common_runs), least, block)
+    own = made.where("b IS NULL").selectExpr("value", "a AS node", "class_a AS class", "n", "size", "spare", "at")
+    k, longest = long_run(least), F.greatest("n_a", "n_b")
+    spares = F.least("spare_a", "spare_b")
+    shared = longest - k + 1 - k * F.floor((1 - least) * longest + 1e-9)
+    blocks = _meetings(own, least, block, "spare", "at")
+    for end in "ab":
+        blocks = blocks.where(F.col(f"at_{end}") < F.col(f"n_{end}") - k + 1 - shared + 1 + spares)
+    pairs = made.where("b IS NOT NULL").select("a", "b", "class_a", "class_b", "spare", "times")
+    pairs = pairs.unionByName(blocks.select("a", "b", "class_a", "class_b", spares.alias("spare"), F.lit(1).cast("long").alias("times")))
+    both = pairs.groupBy("a", "b", "class_a", "class_b").agg(F.sum("times").alias("shared"), F.min("spare").alias("spare"))
+    return common.stage(both.where("shared > spare").select("a", "b", "class_a", "class_b").join(met, ["a", "b"], "left_anti"), "pairs-missed")
 
 
 def linked(edges: DataFrame, words: DataFrame, least: float) -> DataFrame:

@@ -252,3 +252,52 @@ def test_pairs_that_no_pivot_meets(spark):
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
     found = N.near_duplicates(docs, sketches=2).collect()
     assert [g for g in partition((r.doc_id, r.class_id) for r in found) if len(g) > 1] == [[20, 60], [21, 61], [22, 62]]
+
+
+def meetings(words, ranks, common_runs, least):
+    """Pairs of different classes that share enough of the runs both have to show for their lengths, in plain Python."""
+    k, out = N.long_run(least), set()
+    shows = {i: N.rare_runs(w, ranks, least, common_runs).tolist() for i, (_, w) in words.items()}
+    for i, (x, a) in words.items():
+        for j, (y, b) in words.items():
+            longest = max(len(a), len(b))
+            edits = int((1 - least) * longest + 1e-9)
+            if i > j and x != y and abs(len(a) - len(b)) <= edits:
+                spare = min(N.spare(len(a), least), N.spare(len(b), least))
+                first = [s[: max(0, len(w) - k + 1 - (longest - k + 1 - k * edits) + 1 + spare)] for s, w in ((shows[i], a), (shows[j], b))]
+                if len(set(first[0]) & set(first[1])) > spare:
+                    out.add((i, j, x, y))
+    return out
+
+
+@pytest.mark.parametrize(("block", "bucket"), [(1000, 10**6), (2, 10**6), (1000, 50), (3, 50)])
+def test_pairs_missed_in_any_buckets_and_blocks(spark, monkeypatch, block, bucket):
+    monkeypatch.setattr(N, "AT_ONCE", 300)
+    rng = random.Random(10)
+    passage, words = [rng.randrange(2**31) for _ in range(15)], {}
+    for group in range(12):
+        base = [rng.randrange(2**31) for _ in range(rng.choice((4, 12, 60)))]
+        for copy in range(4):
+            own = list(base) + passage * (group % 3 == 0)
+            for _ in range(len(own) // 6):
+                own[rng.randrange(len(own))] = rng.randrange(50)
+            i = 100 * group + copy
+            words[i] = (i - i % 2 if copy < 2 else i, np.array(own, np.uint32))
+    frame = spark.createDataFrame([(i, c, w.view(np.int32).tolist()) for i, (c, w) in words.items()], "node long, class long, words array<int>")
+    want = meetings(words, *N.run_ranks(frame, 0.8), 0.8)
+    met = spark.createDataFrame([max(want)[:2]], "a long, b long")
+    assert {tuple(r) for r in N.pairs_missed(frame, met, 0.8, block, bucket).collect()} == want - {max(want)}
+    alike = {(i, j, x, y) for i, (x, a) in words.items() for j, (y, b) in words.items() if i > j and x != y and a.tolist() != b.tolist() and N.similar(a, b)}
+    assert alike and alike <= want
+
+
+def test_runs_of_common_passages_are_shown_last(spark):
+    rng = np.random.default_rng(11)
+    passage = rng.integers(0, 2**31, 40)
+    rows = [(i, i, [*passage.tolist(), *rng.integers(0, 500, 60).tolist()]) for i in range(400)]
+    frame = spark.createDataFrame(rows, "node long, class long, words array<int>")
+    ranks, common_runs = N.run_ranks(frame, 0.8)
+    # the words of the passage stand in no other place, those beside it are common, alone but not as pairs
+    inside = set(N.labelled(N.shingles(passage.astype(np.uint64), 2)).view(np.int64).tolist())
+    shown = [N.rare_runs(np.array(w, np.uint32), ranks, 0.8, common_runs).tolist() for _, _, w in rows[:20]]
+    assert all(not inside & set(runs) for runs in shown)
