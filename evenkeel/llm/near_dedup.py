@@ -60,7 +60,7 @@ SPARE = 16
 #: One of so many nodes tells how common words and runs are, runs by so many counters. This orders runs and decides nothing else.
 RANKED, RUN_COUNTERS = 8, 2**20
 #: Rare runs that meet in one bucket, and words or pairs that a task handles at once.
-BUCKET, AT_ONCE = 1_500_000, 1_000_000
+BUCKET, AT_ONCE = 500_000, 500_000
 #: Nodes of a bucket on either side of a block of pairs.
 BLOCK = 1_000
 #: Numbers of nodes that may be broadcast, 8 bytes each; more are joined.
@@ -116,9 +116,10 @@ def sketch(hashes: np.ndarray, sketches: int = SKETCHES) -> np.ndarray:
     runs = shingles(hashes)
     marks = labelled(runs)
     out = np.empty(sketches, np.uint64)
-    step = max(1, 2_000_000 // len(runs))
+    step = max(1, 200_000 // len(runs))
+    mixed_marks = mixed(marks)
     for at in range(0, sketches, step):
-        ranks = mixed(marks)[None, :] * ODD[at : min(at + step, sketches), None]
+        ranks = mixed_marks[None, :] * ODD[at : min(at + step, sketches), None]
         rows = np.arange(len(ranks))
         first = ranks.argmin(axis=1)
         if len(runs) > 1:
@@ -127,7 +128,7 @@ def sketch(hashes: np.ndarray, sketches: int = SKETCHES) -> np.ndarray:
         else:
             second = first
         a, b = np.minimum(first, second), np.maximum(first, second)
-        out[at : at + len(rows)] = mixed(mixed(marks[a]) + marks[b])
+        out[at : at + len(rows)] = mixed(mixed_marks[a] + marks[b])
     return mixed(out + np.arange(sketches, dtype=np.uint64) * MIX).view(np.int64)
 
 
@@ -186,7 +187,7 @@ def _shared_runs(n: int, least: float) -> tuple[int, int]:
 
 
 def rare_runs(words: np.ndarray, ranks: np.ndarray, least: float = SIMILARITY, common_runs: np.ndarray | None = None) -> np.ndarray:
-    """The rarest labelled runs of a text, the rarest first.
+    """The rarest labelled runs of a text, the rarest first, as numbers in that order: 16 bits of how common it is, 48 of the run.
 
     ``common_runs`` tells how common runs are, by classes of runs, and ``ranks`` how common words are, by classes of words.
     """
@@ -197,8 +198,10 @@ def rare_runs(words: np.ndarray, ranks: np.ndarray, least: float = SIMILARITY, c
     plain = shingles(words.astype(np.uint64), k)
     runs = labelled(plain)
     together = own[1:] + own[:-1] if k == 2 else own
-    seen = common_runs[plain % np.uint64(len(common_runs))] if common_runs is not None else np.zeros(len(runs), np.uint8)
-    return runs[np.lexsort((runs, together, seen))][:most].view(np.int64)
+    place = np.minimum(together * 32, 1023).astype(np.uint64)
+    if common_runs is not None:
+        place |= np.minimum(common_runs[plain % np.uint64(len(common_runs))], 31).astype(np.uint64) << np.uint64(10)
+    return np.sort((place << np.uint64(48)) | (runs >> np.uint64(16)))[:most].view(np.int64)
 
 
 def short_runs(hashes: np.ndarray, least: float = SIMILARITY, exact: int = EXACT) -> np.ndarray:
@@ -460,7 +463,7 @@ def shown_runs(words: DataFrame, least: float, buckets: int, ranks: np.ndarray,
                 place = np.repeat(np.arange(last - first, dtype=np.uint16), times)
                 # of places beyond, only that they are large
                 at = np.minimum(np.arange(len(value)) - np.repeat(np.cumsum(times) - times, times), 2**16 - 1).astype(np.uint16)
-                bucket = ((value >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+                bucket = (((value >> np.uint64(32)) & np.uint64(2**16 - 1)) % np.uint64(buckets)).astype(np.int32)
                 order = np.argsort(bucket, kind="stable")
                 cuts = np.flatnonzero(np.diff(bucket[order])) + 1
                 rows = []
