@@ -341,7 +341,8 @@ def signatures(
     """One row per input row, staged: ids, the words' key, the keys it may share, and the words as 32-bit hashes."""
     texts = common.text_of(docs, id_col, text_col)
     id_type = texts.schema["doc_id"].dataType.simpleString()
-    counts = run_counts(texts, least, exact)
+    with common.arrow_rows(docs.sparkSession):
+        counts = run_counts(texts, least, exact)
     texts = texts.select(common.row_key().alias("row"), "doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("same"), "text")
 
     def run(batches):
@@ -359,7 +360,8 @@ def signatures(
             front = [batch.column(c) for c in ("row", "doc_id", "same")]
             yield pa.RecordBatch.from_arrays([*front, *made], ["row", "doc_id", "same", "key", "n", "sketch", "words"])
 
-    return common.stage(texts.mapInArrow(run, SIGNATURE.replace("doc_id long", f"doc_id {id_type}")), "signatures")
+    with common.arrow_rows(docs.sparkSession):
+        return common.stage(texts.mapInArrow(run, SIGNATURE.replace("doc_id long", f"doc_id {id_type}")), "signatures")
 
 
 def shared_keys(nodes: DataFrame) -> DataFrame:
@@ -682,7 +684,8 @@ def classes_of(rows: DataFrame, least: float, all_pairs: bool = False) -> DataFr
     by_key = common.stage(by_key, "keys")
     own = rows.join(by_key.select(F.col("node").alias("row")), "row", "left_semi")
     nodes, words = own.select(F.col("row").alias("node"), "n", "sketch"), rows.select(F.col("row").alias("node"), "words")
-    found = node_classes(nodes, words, least, all_pairs)
+    with common.arrow_rows(rows.sparkSession):
+        found = node_classes(nodes, words, least, all_pairs)
     by_key = by_key.join(found, "node", "left").withColumn("class", F.coalesce("class", "node"))
     firsts = by_key.groupBy("class").agg(F.min("first").alias("first"), F.sum("copies").alias("class_size"))
     by_key = by_key.select("key", "class").join(firsts, "class")

@@ -2,10 +2,12 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from evenkeel.llm import common
 from evenkeel.llm import near_dedup as N
 
 
@@ -303,3 +305,16 @@ def test_runs_of_common_passages_are_shown_last(spark):
     shown = [N.rare_runs(np.array(w, np.uint32), ranks, 0.8, common_runs).tolist() for _, _, w in rows[1:20:2]]
     assert all(not inside & {x & low for x in runs} for runs in shown)
     assert inside & {x & low for x in N.rare_runs(np.array(rows[1][2], np.uint32), ranks, 0.8).tolist()}
+
+
+def test_workers_get_few_rows_at_a_time(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    before = spark.conf.get(common.ARROW_ROWS)
+    rows = spark.range(0, 25, 1, 1)
+    with common.arrow_rows(spark, 10):
+        assert [r.n for r in rows.mapInArrow(sizes, "n long").collect()] == [10, 10, 5]
+    assert spark.conf.get(common.ARROW_ROWS) == before
+    assert [r.n for r in rows.mapInArrow(sizes, "n long").collect()] == [25]
