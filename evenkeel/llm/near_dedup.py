@@ -19,9 +19,10 @@
    neighbouring words, all but 2 d of the longer text's stand in both texts, so similar texts share some of their rarest ones
    (``rare_runs`` says how many each text shows, ``spare`` how many of them two texts share at least). Rare are runs that few
    texts hold, by counters, so passages that many texts hold come last. Runs are dealt into buckets by their values, many in a row
-   as arrays; in a bucket nodes of different classes meet if their lengths allow it and both show the run early enough for these
-   lengths, and those that share as many runs over all buckets are verified. Runs that more than ``BLOCK`` nodes show meet in
-   blocks of nodes. Only this step grows with the square of the texts that show one run.
+   as arrays; in a bucket nodes of different classes meet if their lengths allow it, both show the run early enough for these
+   lengths, and it stands where an alignment can match it (``place_fits``); those that share as many runs over all buckets are
+   verified. Runs that more than ``BLOCK`` nodes show meet in blocks of nodes. Only this step grows with the square of the texts
+   that show one run.
 5. Classes are the connected components of all links, found by passing on the smallest node.
 
 Words are runs of letters, digits and underscores in lower case. Texts without words are equal if they are identical;
@@ -56,11 +57,13 @@ COUNTERS = 2**18
 #: Pivots of a bucket in a round after the first; share of links below which no further round follows.
 PIVOTS, SETTLED = 4, 0.001
 #: Of so many words of a text one more rare run is shown, and one more has to be shared.
-SPARE = 16
+SPARE = 32
 #: One of so many nodes tells how common words and runs are, runs by so many counters. This orders runs and decides nothing else.
-RANKED, RUN_COUNTERS = 8, 2**20
+RANKED, RUN_COUNTERS = 8, 2**22
 #: Rare runs that meet in one bucket, and words or pairs that a task handles at once.
 BUCKET, AT_ONCE = 500_000, 500_000
+#: The place of a run that stands more than once in its text, or too late for 16 bits.
+ANYWHERE = 2**16 - 1
 #: Nodes of a bucket on either side of a block of pairs.
 BLOCK = 1_000
 #: Numbers of nodes that may be broadcast, 8 bytes each; more are joined.
@@ -191,9 +194,14 @@ def rare_runs(words: np.ndarray, ranks: np.ndarray, least: float = SIMILARITY, c
 
     ``common_runs`` tells how common runs are, by classes of runs, and ``ranks`` how common words are, by classes of words.
     """
+    return placed_runs(words, ranks, least, common_runs)[0]
+
+
+def placed_runs(words: np.ndarray, ranks: np.ndarray, least: float, common_runs: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of :func:`rare_runs`, and where each stands in the text, if it stands there once; see ``ANYWHERE``."""
     most = shown(len(words), least)
     if not most:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint16)
     k, own = long_run(least), ranks[words % np.uint32(len(ranks))]
     plain = shingles(words.astype(np.uint64), k)
     runs = labelled(plain)
@@ -201,7 +209,14 @@ def rare_runs(words: np.ndarray, ranks: np.ndarray, least: float = SIMILARITY, c
     place = np.minimum(together * 32, 1023).astype(np.uint64)
     if common_runs is not None:
         place |= np.minimum(common_runs[plain % np.uint64(len(common_runs))], 31).astype(np.uint64) << np.uint64(10)
-    return np.sort((place << np.uint64(48)) | (runs >> np.uint64(16)))[:most].view(np.int64)
+    value = (place << np.uint64(48)) | (runs >> np.uint64(16))
+    first = np.argsort(value)[:most]
+    alike = np.sort(plain)
+    repeated = np.unique(alike[1:][alike[1:] == alike[:-1]])
+    at = np.minimum(first, ANYWHERE)
+    if len(repeated):
+        at[np.isin(plain[first], repeated)] = ANYWHERE
+    return value[first].view(np.int64), at.astype(np.uint16)
 
 
 def short_runs(hashes: np.ndarray, least: float = SIMILARITY, exact: int = EXACT) -> np.ndarray:
@@ -410,29 +425,49 @@ def _meetings(own: DataFrame, least: float, block: int, *further: str) -> DataFr
 def run_ranks(words: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
     """How common words and runs are in one of ``RANKED`` nodes, by ``COUNTERS`` classes of words and ``RUN_COUNTERS`` of runs.
 
-    The driver gets these numbers only.
+    Classes travel as arrays, by parts of 2^16 of them; the driver gets the sums only. Of a class of runs only what stands out of
+    the many rare runs in any class tells that it holds a common one.
     """
     k = long_run(least)
 
+    def dealt(found: list[np.ndarray]) -> pa.RecordBatch:
+        slots = np.sort(np.concatenate([np.zeros(0, np.int64), *found]))
+        parts, starts = np.unique(slots >> 16, return_index=True)
+        low = [x.astype(np.uint16).tobytes() for x in np.split(slots, starts[1:])] if len(slots) else []
+        return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(low, pa.binary())], ["part", "slots"])
+
     def run(batches):
-        counts = np.zeros(COUNTERS + RUN_COUNTERS, np.int32)
+        found, held = [], 0
         for batch in batches:
             lists = batch.column("words")
             ends, values = lists.offsets.to_numpy(), lists.values.to_numpy(False).view(np.uint32)
             for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                np.add.at(counts, np.unique(values[a:b]) % np.uint32(COUNTERS), 1)
+                found.append((np.unique(values[a:b]) % np.uint32(COUNTERS)).astype(np.int64))
                 if b - a >= k:
                     runs = np.unique(shingles(values[a:b].astype(np.uint64), k)) % np.uint64(RUN_COUNTERS)
-                    np.add.at(counts, runs.astype(np.int64) + COUNTERS, 1)
-        there = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(counts[there], pa.int32())], ["slot", "n"])
-
-    some = words.where(f"pmod(xxhash64(node), {RANKED}) = 0").select("words").mapInArrow(run, "slot int, n int")
-    found = some.groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    ranks = np.zeros(COUNTERS + RUN_COUNTERS, np.float32)
-    ranks[found.column("slot").to_numpy()] = np.log1p(found.column("n").to_numpy())
+                    found.append(runs.astype(np.int64) + COUNTERS)
+                held += b - a
+                if held > AT_ONCE:
+                    yield dealt(found)
+                    found, held = [], 0
+        yield dealt(found)
+
+    def counted(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(2**16, np.int32)
+        for batch in batches:
+            for low in batch.column("slots"):
+                counts += np.bincount(np.frombuffer(low.as_py(), np.uint16), minlength=2**16).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([counts.tobytes()], pa.binary())], ["part", "counts"])
+
+    some = words.where(f"pmod(xxhash64(node), {RANKED}) = 0").select("words").mapInArrow(run, "part int, slots binary")
+    counts = np.zeros((COUNTERS + RUN_COUNTERS + 2**16 - 1 >> 16) << 16, np.int32)
+    for part, own in some.groupBy("part").applyInArrow(counted, "part int, counts binary").collect():
+        counts[part << 16 :][: 2**16] = np.frombuffer(own, np.int32)
+    counts = counts[: COUNTERS + RUN_COUNTERS]
+    usual = counts[COUNTERS:].mean()
+    beyond = np.maximum(counts[COUNTERS:] - usual - 3 * np.sqrt(usual), 0).astype(np.float32)
     # half powers of two: what differs less is told apart by the words
-    return ranks[:COUNTERS], np.floor(ranks[COUNTERS:] * (2 / np.log(2)) + 1e-3).astype(np.uint8)
+    return np.log1p(counts[:COUNTERS]).astype(np.float32), np.floor(np.log1p(beyond) * (2 / np.log(2)) + 1e-3).astype(np.uint8)
 
 
 def _stretches(ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -444,10 +479,11 @@ def _stretches(ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         at = to
 
 
-#: Rare runs of many nodes: their values, the places of their nodes among ``node, class, n``, and their places in the order of a node.
-RUNS = "bucket int, value binary, place binary, at binary, node binary, class binary, n binary"
+#: Rare runs of many nodes: their values, the places of their nodes among ``node, class, n``, their places in the order of a node, and in
+#: its text.
+RUNS = "bucket int, value binary, place binary, at binary, word binary, node binary, class binary, n binary"
 #: A pair and how many runs it shares, or (without ``b``) one of the nodes of a run that more than a block of nodes show.
-MET = "a long, class_a long, b long, class_b long, spare int, times long, value long, n int, size long, at int"
+MET = "a long, class_a long, b long, class_b long, spare int, times long, value long, n int, size long, at int, word int"
 
 
 def shown_runs(words: DataFrame, least: float, buckets: int, ranks: np.ndarray, common_runs: np.ndarray) -> DataFrame:
@@ -459,9 +495,10 @@ def shown_runs(words: DataFrame, least: float, buckets: int, ranks: np.ndarray,
             ends, values = lists.offsets.to_numpy(), lists.values.to_numpy(False).view(np.uint32)
             whole = [batch.column(c).to_numpy() for c in ("node", "class")] + [np.diff(ends).astype(np.int32)]
             for first, last in _stretches(ends, AT_ONCE):
-                shows = [rare_runs(values[a:b], ranks, least, common_runs) for a, b in zip(ends[first:last].tolist(), ends[first + 1 : last + 1].tolist(), strict=True)]
-                times = np.array([len(x) for x in shows], np.int64)
-                value = np.concatenate(shows).view(np.uint64)
+                shows = [placed_runs(values[a:b], ranks, least, common_runs) for a, b in zip(ends[first:last].tolist(), ends[first + 1 : last + 1].tolist(), strict=True)]
+                times = np.array([len(x) for x, _ in shows], np.int64)
+                value, word = (np.concatenate(x) for x in zip(*shows, strict=True))
+                value = value.view(np.uint64)
                 place = np.repeat(np.arange(last - first, dtype=np.uint16), times)
                 # of places beyond, only that they are large
                 at = np.minimum(np.arange(len(value)) - np.repeat(np.cumsum(times) - times, times), 2**16 - 1).astype(np.uint16)
@@ -471,11 +508,11 @@ def shown_runs(words: DataFrame, least: float, buckets: int, ranks: np.ndarray,
                 rows = []
                 for own in np.split(order, cuts) if len(order) else ():
                     there, local = np.unique(place[own], return_inverse=True)
-                    made = value[own].astype(np.uint32), local.astype(np.uint16), at[own], *(x[first:last][there] for x in whole)
+                    made = value[own].astype(np.uint32), local.astype(np.uint16), at[own], word[own], *(x[first:last][there] for x in whole)
                     rows.append((int(bucket[own[0]]), *(x.tobytes() for x in made)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[i] for r in rows], pa.binary() if i else pa.int32()) for i in range(7)],
-                    ["bucket", "value", "place", "at", "node", "class", "n"],
+                    [pa.array([r[i] for r in rows], pa.binary() if i else pa.int32()) for i in range(8)],
+                    ["bucket", "value", "place", "at", "word", "node", "class", "n"],
                 )
 
     return words.select("node", "class", "words").mapInArrow(run, RUNS)
@@ -488,20 +525,33 @@ def _reach(n: np.ndarray, longest: np.ndarray, spares: np.ndarray, least: float)
     return n - k + 1 - shared + 1 + spares
 
 
-def _bucket_pairs(value, node, group, n, at, least: float, block: int) -> Iterator[dict[str, np.ndarray]]:
-    """Columns of ``MET`` from all entries of a bucket: pairs of nodes of different classes with a common run, once for each."""
+def place_fits(word_a, word_b, n_a, n_b, least: float) -> np.ndarray:
+    """Whether an alignment within the similarity can match runs at these places of two texts.
+
+    Before a match stand at most all words that the alignment leaves out of either text. These are at most the edits together, and
+    their difference is that of the lengths. Of runs that stand once in either text this tells whether they can be among those that
+    edits leave.
+    """
+    most = np.floor((1 - least) * np.maximum(n_a, n_b) + 1e-9)
+    return (word_a == ANYWHERE) | (word_b == ANYWHERE) | (np.abs(2 * (word_a - word_b) - (n_a - n_b)) <= most)
+
+
+def _bucket_pairs(value, node, group, n, at, word, least: float, block: int) -> Iterator[dict[str, np.ndarray]]:
+    """Columns of ``MET`` from all entries of a bucket: pairs of nodes of different classes with common runs, and how many."""
     order = np.argsort((value.astype(np.uint64) << np.uint64(32)) | n.astype(np.uint64))
-    value, node, group, n, at = (x[order] for x in (value, node, group, n, at))
+    value, node, group, n, at, word = (x[order] for x in (value, node, group, n, at, word))
     starts = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
     sizes = np.diff(np.append(starts, len(value)))
     several = np.minimum.reduceat(group, starts) != np.maximum.reduceat(group, starts)
     keep = np.repeat(several, sizes)
-    value, node, group, n, at, size = (x[keep] for x in (value, node, group, n, at, np.repeat(sizes, sizes)))
+    value, node, group, n, at, word, size = (x[keep] for x in (value, node, group, n, at, word, np.repeat(sizes, sizes)))
     lengths, back = np.unique(n, return_inverse=True)
     spares = np.array([spare(x, least) for x in lengths.tolist()], np.int64)[back] if len(n) else np.zeros(0, np.int64)
     large = size > block
-    yield {"a": node[large], "class_a": group[large], "value": value[large], "n": n[large], "size": size[large], "at": at[large], "spare": spares[large]}
-    value, node, group, n, at, spares = (x[~large] for x in (value, node, group, n, at, spares))
+    rest = {"n": n, "size": size, "at": at, "word": word, "spare": spares}
+    yield {"a": node[large], "class_a": group[large], "value": value[large]} | {c: x[large] for c, x in rest.items()}
+    value, node, group, n, at, word, spares = (x[~large] for x in (value, node, group, n, at, word, spares))
+    nodes, local = np.unique(node, return_inverse=True)
     # in the order of lengths, each with the next, the one after it, and so on while the lengths allow the similarity
     parts, held = [], 0
     here, step = np.arange(len(value)), 1
@@ -512,39 +562,41 @@ def _bucket_pairs(value, node, group, n, at, least: float, block: int) -> Iterat
         here, there, step = here[near], there[near], step + 1
         s = np.minimum(spares[here], spares[there])
         pairs = (group[here] != group[there]) & (at[here] < _reach(n[here], n[there], s, least)) & (at[there] < _reach(n[there], n[there], s, least))
-        parts.append((here[pairs], there[pairs]))
-        held += int(pairs.sum())
+        i, j = here[pairs], there[pairs]
+        fit = place_fits(word[i], word[j], n[i], n[j], least)
+        parts.append((i[fit], j[fit]))
+        held += int(fit.sum())
         if held > AT_ONCE or not len(here):
             i, j = (np.concatenate(x) for x in zip(*parts, strict=True))
-            i, j = np.where(node[i] > node[j], i, j), np.where(node[i] > node[j], j, i)
-            yield {"a": node[i], "class_a": group[i], "b": node[j], "class_b": group[j], "spare": np.minimum(spares[i], spares[j])}
+            i, j = np.where(local[i] > local[j], i, j), np.where(local[i] > local[j], j, i)
+            _, first, times = np.unique(local[i] * len(nodes) + local[j], return_index=True, return_counts=True)
+            i, j = i[first], j[first]
+            yield {"a": node[i], "class_a": group[i], "b": node[j], "class_b": group[j], "spare": np.minimum(spares[i], spares[j]), "times": times}
             parts, held = [], 0
 
 
 def met_runs(runs: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
     """``MET`` for the rows of :func:`shown_runs`, bucket by bucket. Staged.
 
-    Pairs stand there once for each run that both show early enough for their lengths.
+    Pairs stand there with the runs that both show early enough for their lengths, and where an alignment can match them.
     """
-    kinds = {"value": np.uint32, "place": np.uint16, "at": np.uint16, "node": np.int64, "class": np.int64, "n": np.int32}
+    kinds = {"value": np.uint32, "place": np.uint16, "at": np.uint16, "word": np.uint16, "node": np.int64, "class": np.int64, "n": np.int32}
     schema = pa.schema([(c, pa.int32() if t == "int" else pa.int64()) for c, t in (x.split() for x in MET.split(", "))])
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[str, list[np.ndarray]] = {c: [] for c in ("value", "node", "class", "n", "at")}
+        parts: dict[str, list[np.ndarray]] = {c: [] for c in ("value", "node", "class", "n", "at", "word")}
         for batch in batches:
             for row in batch.select(list(kinds)).to_pylist():
                 own = {c: np.frombuffer(row[c], kind) for c, kind in kinds.items()}
                 for c in parts:
                     parts[c].append(own[c][own["place"]] if c in ("node", "class", "n") else own[c])
-        value, node, group, n, at = (np.concatenate(x) for x in parts.values())
+        value, node, group, *rest = (np.concatenate(x) for x in parts.values())
         parts.clear()
         first = key[0].as_py() << 32
-        for found in _bucket_pairs(value, node, group, n.astype(np.int64), at.astype(np.int64), least, block):
+        for found in _bucket_pairs(value, node, group, *(x.astype(np.int64) for x in rest), least, block):
             rows = len(found["a"])
             if "value" in found:
                 found["value"] = found["value"].astype(np.int64) + first
-            else:
-                found["times"] = np.ones(rows, np.int64)
             made = [pa.array(found[f.name], f.type) if f.name in found else pa.nulls(rows, f.type) for f in schema]
             yield pa.RecordBatch.from_arrays(made, schema=schema)
 
@@ -561,13 +613,16 @@ def pairs_missed(words: DataFrame, met: DataFrame, least: float, block: int = BL
     ranks, common_runs = run_ranks(words, least)
     total = words.agg(F.sum(F.size("words").cast("long")).alias("n")).first()["n"] or 0
     made = met_runs(shown_runs(words, least, 1 + total // (2 * bucket), ranks, common_runs), least, block)
-    own = made.where("b IS NULL").selectExpr("value", "a AS node", "class_a AS class", "n", "size", "spare", "at")
+    own = made.where("b IS NULL").selectExpr("value", "a AS node", "class_a AS class", "n", "size", "spare", "at", "word")
     k, longest = long_run(least), F.greatest("n_a", "n_b")
     spares = F.least("spare_a", "spare_b")
-    shared = longest - k + 1 - k * F.floor((1 - least) * longest + 1e-9)
-    blocks = _meetings(own, least, block, "spare", "at")
+    edits = F.floor((1 - least) * longest + 1e-9)
+    shared = longest - k + 1 - k * edits
+    blocks = _meetings(own, least, block, "spare", "at", "word")
     for end in "ab":
         blocks = blocks.where(F.col(f"at_{end}") < F.col(f"n_{end}") - k + 1 - shared + 1 + spares)
+    near = F.abs(2 * (F.col("word_a") - F.col("word_b")) - (F.col("n_a") - F.col("n_b"))) <= edits
+    blocks = blocks.where((F.greatest("word_a", "word_b") == ANYWHERE) | near)
     pairs = made.where("b IS NOT NULL").select("a", "b", "class_a", "class_b", "spare", "times")
     pairs = pairs.unionByName(blocks.select("a", "b", "class_a", "class_b", spares.alias("spare"), F.lit(1).cast("long").alias("times")))
     both = pairs.groupBy("a", "b", "class_a", "class_b").agg(F.sum("times").alias("shared"), F.min("spare").alias("spare"))

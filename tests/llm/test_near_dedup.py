@@ -318,3 +318,45 @@ def test_workers_get_few_rows_at_a_time(spark):
         assert [r.n for r in rows.mapInArrow(sizes, "n long").collect()] == [10, 10, 5]
     assert spark.conf.get(common.ARROW_ROWS) == before
     assert [r.n for r in rows.mapInArrow(sizes, "n long").collect()] == [25]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(1, 30), min_size=1, max_size=120), st.sampled_from([0.5, 0.8, 0.9]), st.data())
+def test_similar_texts_share_rare_runs_where_an_alignment_can_match_them(a, least, data):
+    b = list(a)
+    for _ in range(data.draw(st.integers(0, int(len(a) * (1 - least)) + 1))):
+        at = data.draw(st.integers(0, len(b) - 1))
+        b[at : at + 1] = data.draw(st.sampled_from([[b[at], 77], [88]] + ([[]] if len(b) > 1 else [])))
+    x, y = np.array(a, np.uint32), np.array(b, np.uint32)
+    if N.similar(x, y, least) and a != b:
+        own, other = (dict(zip(*(p.tolist() for p in N.placed_runs(z, COUNTS.astype(np.float32), least, None)), strict=True)) for z in (x, y))
+        shared = [v for v in own if v in other and N.place_fits(own[v], other[v], len(a), len(b), least)]
+        assert len(shared) > min(N.spare(len(a), least), N.spare(len(b), least))
+
+
+def test_runs_at_far_places_make_no_pairs():
+    # one passage at any place of texts as long: only two of them have it nearly at the same place
+    n, word = np.full(6, 100), np.array([0, 30, 60, 90, 5, N.ANYWHERE])
+    value, node, at = np.full(6, 9, np.uint32), np.arange(6), np.zeros(6, np.int64)
+    found = [f for f in N._bucket_pairs(value, node, node, n, at, word, 0.8, 1000) if "b" in f]
+    pairs = {(int(a), int(b)) for f in found for a, b in zip(f["a"], f["b"], strict=True)}
+    assert pairs == {(4, 0)} | {(5, i) for i in range(5)}
+
+
+def test_pairs_of_a_bucket_are_one_row(spark):
+    rng = np.random.default_rng(12)
+    base = rng.integers(0, 2**31, 60).tolist()
+    frame = spark.createDataFrame([(i, i, [*base[:55], *rng.integers(0, 2**31, 5).tolist()]) for i in range(4)], "node long, class long, words array<int>")
+    made = N.met_runs(N.shown_runs(frame, 0.8, 1, *N.run_ranks(frame, 0.8)), 0.8).collect()
+    assert sorted((r.a, r.b) for r in made) == [(a, b) for a in range(4) for b in range(a)]
+    assert all(r.times > 1 for r in made)
+
+
+def test_rare_runs_in_full_classes_are_not_taken_for_common_ones(spark, monkeypatch):
+    # 32 rare runs or so in each class, and one run that all texts hold
+    monkeypatch.setattr(N, "RUN_COUNTERS", 2**8)
+    rng = np.random.default_rng(13)
+    rows = [(i, i, [7, 8, *rng.integers(0, 2**31, 80).tolist()]) for i in range(800)]
+    _, common_runs = N.run_ranks(spark.createDataFrame(rows, "node long, class long, words array<int>"), 0.8)
+    slot = int(N.shingles(np.array([7, 8], np.uint64), 2)[0] % np.uint64(2**8))
+    assert common_runs[slot] > 5 and (common_runs > 0).sum() <= 5
