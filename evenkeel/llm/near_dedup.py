@@ -21,8 +21,9 @@
    texts hold, by counters, so passages that many texts hold come last. Runs are dealt into buckets by their values, many in a row
    as arrays; in a bucket nodes of different classes meet if their lengths allow it, both show the run early enough for these
    lengths, and it stands where an alignment can match it (``place_fits``); those that share as many runs over all buckets are
-   verified. Runs that more than ``BLOCK`` nodes show meet in blocks of nodes. Only this step grows with the square of the texts
-   that show one run.
+   verified. Runs that more than ``BLOCK`` nodes show meet in cells of nodes, all such runs of two cells at once, and pairs whose
+   words rule the similarity out, by ``BAG`` bits of either text, go no further. Only this step grows with the square of the
+   texts that show one run.
 5. Classes are the connected components of all links, found by passing on the smallest node.
 
 Words are runs of letters, digits and underscores in lower case. Texts without words are equal if they are identical;
@@ -42,7 +43,6 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,14 +76,37 @@ ODD = np.random.default_rng(20_240_601).integers(1, 2**63, size=1024, dtype=np.u
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+LETTERS = np.random.default_rng(20_240_602).integers(1, 2**64, size=256, dtype=np.uint64)
+WEIGHTS = np.random.default_rng(20_240_603).integers(1, 2**63, size=2**12, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: The bytes of an ASCII text in lower case, with spaces for all that is no part of a word.
+ASCII = bytes(ord(c.lower()) if WORD.match(c) else 32 for c in map(chr, range(128))).ljust(256)
+
+
 class _Hashes(dict):
     """64-bit hashes of words, the same on every machine."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
+        return int(word_hashes(word.encode() + b"\n")[0])
+
+
+def word_lines(text: str) -> bytes:
+    """The words of a text, each with a line feed behind it."""
+    words = text.encode().translate(ASCII).split() if text.isascii() else [w.encode() for w in WORD.findall(text.lower())]
+    return b"\n".join([*words, b""])
+
+
+def word_hashes(lines: bytes) -> np.ndarray:
+    """A 64-bit hash of each word in :func:`word_lines`, the same on every machine: the sum of its letters, each with a weight by its place."""
+    data = np.frombuffer(lines, np.uint8)
+    ends = np.flatnonzero(data == 10) + 1
+    if not len(ends):
+        return np.zeros(0, np.uint64)
+    starts = np.append(0, ends[:-1])
+    place = np.arange(len(data)) - np.repeat(starts, ends - starts)
+    letters = LETTERS[data] * WEIGHTS[place % len(WEIGHTS)]
+    if (ends - starts).max() > len(WEIGHTS):
+        letters *= mixed((place // len(WEIGHTS)).astype(np.uint64)) | np.uint64(1)
+    return mixed(mixed(np.add.reduceat(letters, starts)))
 
 
 def mixed(values: np.ndarray) -> np.ndarray:
@@ -101,15 +124,24 @@ def shingles(hashes: np.ndarray, k: int = SHINGLE) -> np.ndarray:
     return mixed(out)
 
 
-def labelled(runs: np.ndarray) -> np.ndarray:
-    """Runs with their occurrence: the second place of a run differs from the first."""
+def occurrences(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """How often each run stands before, and whether it stands more than once; nothing if all stand once."""
+    ordered = np.sort(runs)
+    if not (ordered[1:] == ordered[:-1]).any():
+        return None
     order = np.argsort(runs, kind="stable")
-    ordered = runs[order]
-    new = np.append(True, ordered[1:] != ordered[:-1])
-    starts = np.maximum.accumulate(np.where(new, np.arange(len(runs)), 0))
-    occurrence = np.empty(len(runs), np.uint64)
+    again = np.append(False, ordered[1:] == ordered[:-1])
+    starts = np.maximum.accumulate(np.where(again, 0, np.arange(len(runs))))
+    occurrence, repeated = np.empty(len(runs), np.uint64), np.empty(len(runs), bool)
     occurrence[order] = (np.arange(len(runs)) - starts).astype(np.uint64)
-    return mixed(runs + occurrence * ODD[-1])
+    repeated[order] = again | np.append(again[1:], False)
+    return occurrence, repeated
+
+
+def labelled(runs: np.ndarray) -> np.ndarray:
+    """Runs with their occurrence: the second place of a run differs from the first."""
+    times = occurrences(runs)
+    return mixed(runs if times is None else runs + times[0] * ODD[-1])
 
 
 def sketch(hashes: np.ndarray, sketches: int = SKETCHES) -> np.ndarray:
@@ -204,18 +236,17 @@ def placed_runs(words: np.ndarray, ranks: np.ndarray, least: float, common_runs:
         return np.zeros(0, np.int64), np.zeros(0, np.uint16)
     k, own = long_run(least), ranks[words % np.uint32(len(ranks))]
     plain = shingles(words.astype(np.uint64), k)
-    runs = labelled(plain)
+    times = occurrences(plain)
+    runs = mixed(plain if times is None else plain + times[0] * ODD[-1])
     together = own[1:] + own[:-1] if k == 2 else own
     place = np.minimum(together * 32, 1023).astype(np.uint64)
     if common_runs is not None:
         place |= np.minimum(common_runs[plain % np.uint64(len(common_runs))], 31).astype(np.uint64) << np.uint64(10)
     value = (place << np.uint64(48)) | (runs >> np.uint64(16))
     first = np.argsort(value)[:most]
-    alike = np.sort(plain)
-    repeated = np.unique(alike[1:][alike[1:] == alike[:-1]])
     at = np.minimum(first, ANYWHERE)
-    if len(repeated):
-        at[np.isin(plain[first], repeated)] = ANYWHERE
+    if times is not None:
+        at[times[1][first]] = ANYWHERE
     return value[first].view(np.int64), at.astype(np.uint16)
 
 
@@ -248,12 +279,12 @@ def run_counts(texts: DataFrame, least: float = SIMILARITY, exact: int = EXACT)
     """
 
     def run(batches):
-        hashes, counts = _Hashes(), np.zeros(COUNTERS, np.int64)
+        counts = np.zeros(COUNTERS, np.int64)
         for batch in small_batches(batches, "text"):
             for text in batch.column("text").to_pylist():
                 words = [m.group() for m in islice(WORD.finditer(text.lower()), exact + 1)]
                 if 0 < len(words) <= exact:
-                    runs = short_runs(np.array([hashes[w] for w in words], np.uint64), least, exact)
+                    runs = short_runs(word_hashes("\n".join([*words, ""]).encode()), least, exact)
                     np.add.at(counts, (runs % np.uint64(COUNTERS)).astype(np.int64), 1)
         there = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array(counts[there], pa.int64())], ["slot", "n"])
@@ -361,14 +392,13 @@ def signatures(
     texts = texts.select(common.row_key().alias("row"), "doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("same"), "text")
 
     def run(batches):
-        hashes = _Hashes()
         for batch in small_batches(batches, "text"):
             named, sizes, found, words_of = [], [], [], []
             for text, same in zip(batch.column("text").to_pylist(), batch.column("same").to_pylist(), strict=True):
-                words = WORD.findall(text.lower())
-                own = np.array([hashes[w] for w in words], np.uint64)
-                named.append(hashlib.blake2b("\n".join(words).encode(), digest_size=16).hexdigest() if words else same)
-                sizes.append(len(words))
+                words = word_lines(text)
+                own = word_hashes(words)
+                named.append(hashlib.blake2b(words[:-1], digest_size=16).hexdigest() if words else same)
+                sizes.append(len(own))
                 found.append(keys(own, sketches, least, exact, counts))
                 words_of.append(own.astype(np.uint32).view(np.int32))
             made = [pa.array(named, pa.string()), pa.array(sizes, pa.int32()), _lists(found, np.int64), _lists(words_of, np.int32)]
@@ -407,7 +437,7 @@ def pairs_left(entries: DataFrame, met: DataFrame, least: float, block: int = BL
     return common.stage(both.join(met, ["a", "b"], "left_anti"), "pairs-left")
 
 
-def _meetings(own: DataFrame, least: float, block: int, *further: str) -> DataFrame:
+def _meetings(own: DataFrame, least: float, block: int) -> DataFrame:
     """All pairs of a bucket in different classes whose lengths allow the similarity, once for each of their buckets."""
     cells = F.ceil(F.col("size") / block)
     own = own.withColumn("cell", F.pmod(F.xxhash64("node"), cells)).withColumn("other", F.explode(F.sequence(F.lit(0), cells - 1)))
@@ -415,7 +445,7 @@ def _meetings(own: DataFrame, least: float, block: int, *further: str) -> DataFr
     def side(end: str, i: str, j: str) -> DataFrame:
         return own.select(
             "value", F.col("cell").alias(i), F.col("other").cast("long").alias(j),
-            F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("n", "class", *further)],
+            F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("n", "class")],
         )
 
     both = side("a", "i", "j").join(side("b", "j", "i"), ["value", "i", "j"])
@@ -482,8 +512,12 @@ def _stretches(ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 #: Rare runs of many nodes: their values, the places of their nodes among ``node, class, n``, their places in the order of a node, and in
 #: its text.
 RUNS = "bucket int, value binary, place binary, at binary, word binary, node binary, class binary, n binary"
-#: A pair and how many runs it shares, or (without ``b``) one of the nodes of a run that more than a block of nodes show.
-MET = "a long, class_a long, b long, class_b long, spare int, times long, value long, n int, size long, at int, word int"
+#: A pair and how many runs it shares, or (without ``b``) the runs of a bucket that more than a block of nodes show, in one of the cells
+#: that their nodes are dealt into: as ``ENTRY``, and the nodes.
+MET = "a long, class_a long, b long, class_b long, spare int, times long, bucket int, cells int, cell int, runs binary, nodes array<long>"
+ENTRY = np.dtype([("value", "<i8"), ("node", "<i8"), ("class", "<i8"), ("n", "<i4"), ("at", "<i4"), ("word", "<i4")])
+#: Bits that tell what words a text has.
+BAG = 2**12
 
 
 def shown_runs(words: DataFrame, least: float, buckets: int, ranks: np.ndarray, common_runs: np.ndarray) -> DataFrame:
@@ -536,21 +570,48 @@ def place_fits(word_a, word_b, n_a, n_b, least: float) -> np.ndarray:
     return (word_a == ANYWHERE) | (word_b == ANYWHERE) | (np.abs(2 * (word_a - word_b) - (n_a - n_b)) <= most)
 
 
-def _bucket_pairs(value, node, group, n, at, word, least: float, block: int) -> Iterator[dict[str, np.ndarray]]:
-    """Columns of ``MET`` from all entries of a bucket: pairs of nodes of different classes with common runs, and how many."""
-    order = np.argsort((value.astype(np.uint64) << np.uint64(32)) | n.astype(np.uint64))
-    value, node, group, n, at, word = (x[order] for x in (value, node, group, n, at, word))
+def cell_of(node: np.ndarray, cells) -> np.ndarray:
+    """The cell of a node, of so many."""
+    return (mixed(node.astype(np.uint64)) >> np.uint64(20)).astype(np.int64) % cells
+
+
+def bag(words: np.ndarray) -> bytes:
+    """``BAG`` bits, each telling whether an odd number of the text's labelled words fall on it."""
+    marks = labelled(mixed(words.astype(np.uint64)))
+    return np.packbits(np.bincount((marks >> np.uint64(8)).astype(np.int64) % BAG, minlength=BAG) & 1 > 0).tobytes()
+
+
+def bags_fit(x: np.ndarray, y: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, least: float) -> np.ndarray:
+    """Whether texts with the bags in these rows can be similar.
+
+    Texts apart by ``d`` edits share all but ``d`` words of the longer one, so at most ``2 d`` less the difference of the lengths
+    stand in one of them only; each of these words turns one bit.
+    """
+    differ = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+    return differ <= 2 * np.floor((1 - least) * np.maximum(n_a, n_b) + 1e-9) - np.abs(n_a - n_b)
+
+
+def _bucket_pairs(value, node, group, n, at, word, least: float, block: int, side: np.ndarray | None = None) -> Iterator[dict[str, np.ndarray]]:
+    """Columns of ``MET`` from all entries of a bucket: pairs of nodes of different classes with common runs, and how many.
+
+    The entries of runs that more than a block of nodes show come first, as columns of ``ENTRY`` and the number of nodes. With
+    ``side`` only entries of different sides meet.
+    """
+    order = np.lexsort((n, value))
+    value, group = value[order], group[order]
     starts = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
     sizes = np.diff(np.append(starts, len(value)))
     several = np.minimum.reduceat(group, starts) != np.maximum.reduceat(group, starts)
-    keep = np.repeat(several, sizes)
-    value, node, group, n, at, word, size = (x[keep] for x in (value, node, group, n, at, word, np.repeat(sizes, sizes)))
+    keep, large = np.repeat(several, sizes), np.repeat(sizes > block, sizes)
+    if (there := keep & large).any():
+        rest = {c: x[order[there]] for c, x in (("node", node), ("n", n), ("at", at), ("word", word))}
+        yield {"value": value[there], "class": group[there], "size": np.repeat(sizes, sizes)[there]} | rest
+    keep &= ~large
+    order, value, group = order[keep], value[keep], group[keep]
+    node, n, at, word, side = (x[order] if x is not None else None for x in (node, n, at, word, side))
+    del keep, large, there, order
     lengths, back = np.unique(n, return_inverse=True)
     spares = np.array([spare(x, least) for x in lengths.tolist()], np.int64)[back] if len(n) else np.zeros(0, np.int64)
-    large = size > block
-    rest = {"n": n, "size": size, "at": at, "word": word, "spare": spares}
-    yield {"a": node[large], "class_a": group[large], "value": value[large]} | {c: x[large] for c, x in rest.items()}
-    value, node, group, n, at, word, spares = (x[~large] for x in (value, node, group, n, at, word, spares))
     nodes, local = np.unique(node, return_inverse=True)
     # in the order of lengths, each with the next, the one after it, and so on while the lengths allow the similarity
     parts, held = [], 0
@@ -561,7 +622,7 @@ def _bucket_pairs(value, node, group, n, at, word, least: float, block: int) ->
         near = (value[here] == value[there]) & (n[there] - n[here] <= np.floor((1 - least) * n[there] + 1e-9))
         here, there, step = here[near], there[near], step + 1
         s = np.minimum(spares[here], spares[there])
-        pairs = (group[here] != group[there]) & (at[here] < _reach(n[here], n[there], s, least)) & (at[there] < _reach(n[there], n[there], s, least))
+        pairs = (group[here] != group[there]) & (side is None or side[here] != side[there]) & (at[here] < _reach(n[here], n[there], s, least)) & (at[there] < _reach(n[there], n[there], s, least))
         i, j = here[pairs], there[pairs]
         fit = place_fits(word[i], word[j], n[i], n[j], least)
         parts.append((i[fit], j[fit]))
@@ -571,7 +632,8 @@ def _bucket_pairs(value, node, group, n, at, word, least: float, block: int) ->
             i, j = np.where(local[i] > local[j], i, j), np.where(local[i] > local[j], j, i)
             _, first, times = np.unique(local[i] * len(nodes) + local[j], return_index=True, return_counts=True)
             i, j = i[first], j[first]
-            yield {"a": node[i], "class_a": group[i], "b": node[j], "class_b": group[j], "spare": np.minimum(spares[i], spares[j]), "times": times}
+            lengths = {"n_a": n[i], "n_b": n[j]}
+            yield {"a": node[i], "class_a": group[i], "b": node[j], "class_b": group[j], "spare": np.minimum(spares[i], spares[j]), "times": times} | lengths
             parts, held = [], 0
 
 
@@ -581,7 +643,21 @@ def met_runs(runs: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
     Pairs stand there with the runs that both show early enough for their lengths, and where an alignment can match them.
     """
     kinds = {"value": np.uint32, "place": np.uint16, "at": np.uint16, "word": np.uint16, "node": np.int64, "class": np.int64, "n": np.int32}
-    schema = pa.schema([(c, pa.int32() if t == "int" else pa.int64()) for c, t in (x.split() for x in MET.split(", "))])
+    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    schema = pa.schema([(c, types[t]) for c, t in (x.split() for x in MET.split(", "))])
+
+    def dealt(bucket: int, found: dict[str, np.ndarray]) -> dict[str, list]:
+        """A row for each cell of each number of cells."""
+        entries = np.empty(len(found["value"]), ENTRY)
+        for c in ENTRY.names:
+            entries[c] = found[c]
+        entries["value"] += bucket << 32
+        cells = 2 ** np.ceil(np.log2(found["size"] / block)).astype(np.int64)
+        own = np.stack([cells, cell_of(entries["node"], cells)])
+        kinds, back = np.unique(own, axis=1, return_inverse=True)
+        parts = [entries[back == i] for i in range(kinds.shape[1])]
+        made = {"cells": kinds[0].tolist(), "cell": kinds[1].tolist(), "bucket": [bucket] * len(parts)}
+        return made | {"runs": [x.tobytes() for x in parts], "nodes": [np.unique(x["node"]) for x in parts]}
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[str, list[np.ndarray]] = {c: [] for c in ("value", "node", "class", "n", "at", "word")}
@@ -592,39 +668,95 @@ def met_runs(runs: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
                     parts[c].append(own[c][own["place"]] if c in ("node", "class", "n") else own[c])
         value, node, group, *rest = (np.concatenate(x) for x in parts.values())
         parts.clear()
-        first = key[0].as_py() << 32
-        for found in _bucket_pairs(value, node, group, *(x.astype(np.int64) for x in rest), least, block):
-            rows = len(found["a"])
+        for found in _bucket_pairs(value, node, group, *(x.astype(np.int32) for x in rest), least, block):
             if "value" in found:
-                found["value"] = found["value"].astype(np.int64) + first
+                found = dealt(key[0].as_py(), found)
+            rows = len(found["b"] if "b" in found else found["cell"])
             made = [pa.array(found[f.name], f.type) if f.name in found else pa.nulls(rows, f.type) for f in schema]
             yield pa.RecordBatch.from_arrays(made, schema=schema)
 
     return common.stage(runs.groupBy("bucket").applyInArrow(run, MET), "met-runs")
 
 
-def pairs_missed(words: DataFrame, met: DataFrame, least: float, block: int = BLOCK, bucket: int = BUCKET) -> DataFrame:
+#: Of one pair of cells the runs, or the bag of a node.
+CELLS = "cells int, part int, i int, j int, runs binary, node long, bag binary"
+PAIRS = "a long, class_a long, b long, class_b long, spare int, times long"
+
+
+def met_in_cells(made: DataFrame, words: DataFrame, least: float, by_words: bool = False, bucket: int = BUCKET) -> DataFrame:
+    """``PAIRS`` for the runs of ``met_runs`` that more than a block of nodes show: cells of nodes meet with all these runs at once, so
+    that a pair is one row, not one for each run. With ``by_words`` pairs are left out whose words rule the similarity out.
+
+    So that a pair of cells has no more than ``bucket`` entries or so, it may have its runs in several parts.
+    """
+    own = made.where("b IS NULL").select("bucket", "cells", "cell", "runs", "nodes")
+    most = own.groupBy("cells").agg((F.sum(F.length("runs")) / F.col("cells")).alias("held")).agg(F.max("held")).first()[0]
+    parts = 1 + int((most or 0) * 2 / ENTRY.itemsize) // bucket
+
+    def meet(rows: DataFrame, *rest) -> DataFrame:
+        both = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+        return both.select("cells", "part", F.least("cell", "other").alias("i"), F.greatest("cell", "other").alias("j"), *rest)
+
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = meet(own.withColumn("part", F.pmod("bucket", F.lit(parts))), "runs", none("long").alias("node"), none("binary").alias("bag"))
+    if by_words:
+        there = common.stage(own.select("cells", "cell", F.explode("nodes").alias("node")).distinct(), "nodes-in-cells")
+
+        def run(lists: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for x in lists:
+                ends, values = x.offsets.to_numpy(), x.values.to_numpy(False).view(np.uint32)
+                yield pa.array([bag(values[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())
+
+        bags = there.join(words.select("node", "words"), "node").select("cells", "cell", "node", F.arrow_udf(run, "binary")("words").alias("bag"))
+        bags = bags.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        rows = rows.unionByName(meet(bags, none("binary").alias("runs"), "node", "bag"))
+    schema = pa.schema([(c, pa.int32() if t == "int" else pa.int64()) for c, t in (x.split() for x in PAIRS.split(", "))])
+
+    def pairs(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, _, i, j = (x.as_py() for x in key)
+        parts, nodes, bags = [], [], []
+        for batch in batches:
+            for runs, node, own in zip(*(batch.column(c).to_pylist() for c in ("runs", "node", "bag")), strict=True):
+                if runs is not None:
+                    parts.append(np.frombuffer(runs, ENTRY))
+                else:
+                    nodes.append(node)
+                    bags.append(own)
+        if not parts:
+            return
+        entries = np.concatenate(parts)
+        order = np.argsort(np.array(nodes, np.int64))
+        known, bits = np.array(nodes, np.int64)[order], np.frombuffer(b"".join(bags), np.uint64).reshape(-1, BAG // 64)[order]
+        side = cell_of(entries["node"], cells) if i != j else None
+        for found in _bucket_pairs(*(entries[c].copy() for c in ENTRY.names), least, len(entries), side):
+            if by_words:
+                fit = np.zeros(len(found["a"]), bool)
+                for at in range(0, len(fit), 10_000):
+                    some = slice(at, at + 10_000)
+                    x, y = (bits[np.searchsorted(known, found[c][some])] for c in "ab")
+                    fit[some] = bags_fit(x, y, found["n_a"][some], found["n_b"][some], least)
+                found = {c: x[fit] for c, x in found.items()}
+            yield pa.RecordBatch.from_arrays([pa.array(found[f.name], f.type) for f in schema], schema=schema)
+
+    return rows.groupBy("cells", "part", "i", "j").applyInArrow(pairs, PAIRS)
+
+
+def pairs_missed(
+    words: DataFrame, met: DataFrame, least: float, block: int = BLOCK, bucket: int = BUCKET, by_words: bool = False
+) -> DataFrame:
     """``a, b, class_a, class_b`` with ``a > b``: all pairs of nodes in different classes that may be similar and are not in ``met``.
     Staged.
 
     ``words`` has ``node, class, words``. Runs that only nodes of one class show are left out before any pair is made. A bucket
-    holds about ``bucket`` runs, however many nodes there are; runs that more than a block of nodes show are met in blocks.
+    holds about ``bucket`` runs, however many nodes there are; runs that more than a block of nodes show are met in cells of nodes,
+    and what pairs find there may be left out ``by_words``; see :func:`met_in_cells`.
     """
     ranks, common_runs = run_ranks(words, least)
     total = words.agg(F.sum(F.size("words").cast("long")).alias("n")).first()["n"] or 0
     made = met_runs(shown_runs(words, least, 1 + total // (2 * bucket), ranks, common_runs), least, block)
-    own = made.where("b IS NULL").selectExpr("value", "a AS node", "class_a AS class", "n", "size", "spare", "at", "word")
-    k, longest = long_run(least), F.greatest("n_a", "n_b")
-    spares = F.least("spare_a", "spare_b")
-    edits = F.floor((1 - least) * longest + 1e-9)
-    shared = longest - k + 1 - k * edits
-    blocks = _meetings(own, least, block, "spare", "at", "word")
-    for end in "ab":
-        blocks = blocks.where(F.col(f"at_{end}") < F.col(f"n_{end}") - k + 1 - shared + 1 + spares)
-    near = F.abs(2 * (F.col("word_a") - F.col("word_b")) - (F.col("n_a") - F.col("n_b"))) <= edits
-    blocks = blocks.where((F.greatest("word_a", "word_b") == ANYWHERE) | near)
     pairs = made.where("b IS NOT NULL").select("a", "b", "class_a", "class_b", "spare", "times")
-    pairs = pairs.unionByName(blocks.select("a", "b", "class_a", "class_b", spares.alias("spare"), F.lit(1).cast("long").alias("times")))
+    if not made.where("b IS NULL").isEmpty():
+        pairs = pairs.unionByName(met_in_cells(made, words, least, by_words, bucket))
     both = pairs.groupBy("a", "b", "class_a", "class_b").agg(F.sum("times").alias("shared"), F.min("spare").alias("spare"))
     return common.stage(both.where("shared > spare").select("a", "b", "class_a", "class_b").join(met, ["a", "b"], "left_anti"), "pairs-missed")
 
@@ -722,7 +854,7 @@ def node_classes(
     heads = nodes.select("node", F.col("node").alias("class")) if classes is None else nodes.select("node").join(classes, "node", "left")
     heads = common.stage(heads.select("node", F.coalesce("class", "node").alias("class")), "heads")
     few = heads.count() <= BROADCAST_NODES
-    missed = pairs_missed(words.join(F.broadcast(heads) if few else heads, "node"), met, least, block)
+    missed = pairs_missed(words.join(F.broadcast(heads) if few else heads, "node"), met, least, block, by_words=True)
     links = _verified(missed, words, least)
     if links is not None:
         classes = _grown(classes, components(links.select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))))

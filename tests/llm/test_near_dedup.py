@@ -360,3 +360,54 @@ def test_rare_runs_in_full_classes_are_not_taken_for_common_ones(spark, monkeypa
     _, common_runs = N.run_ranks(spark.createDataFrame(rows, "node long, class long, words array<int>"), 0.8)
     slot = int(N.shingles(np.array([7, 8], np.uint64), 2)[0] % np.uint64(2**8))
     assert common_runs[slot] > 5 and (common_runs > 0).sum() <= 5
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.characters(codec="utf-8"), max_size=60) | st.text("aZ_09 .,\x00\x0b\x1c\n-", max_size=60))
+def test_words_and_their_hashes(text):
+    words = N.WORD.findall(text.lower())
+    lines = N.word_lines(text)
+    assert lines == "".join(w + "\n" for w in words).encode()
+    assert N.word_hashes(lines).tolist() == [N._Hashes()[w] for w in words]
+
+
+def test_hashes_of_words_differ():
+    words = [f"{a}{b}" for a in "abcdefghij" for b in range(10_000)] + ["a" * n for n in range(2, 5000, 7)] + ["a" * 4096 + "b" * 4096, "b" * 4096 + "a" * 4096]
+    found = N.word_hashes("".join(w + "\n" for w in words).encode())
+    assert len(set(found.tolist())) == len(words) and len(set((found % np.uint64(2**32)).tolist())) > len(words) - 10
+    assert N.word_hashes(f"x\n{words[-1]}\ny\n".encode())[1] == found[-1]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(1, 30), min_size=1, max_size=120), st.sampled_from([0.5, 0.8, 0.9]), st.data())
+def test_bags_of_similar_texts_fit(a, least, data):
+    b = list(a)
+    for _ in range(data.draw(st.integers(0, int(len(a) * (1 - least)) + 1))):
+        at = data.draw(st.integers(0, len(b) - 1))
+        b[at : at + 1] = data.draw(st.sampled_from([[b[at], 77], [88]] + ([[]] if len(b) > 1 else [])))
+    x, y = np.array(a, np.uint32), np.array(b, np.uint32)
+    bits = [np.frombuffer(N.bag(z), np.uint64)[None, :] for z in (x, y)]
+    if N.similar(x, y, least):
+        assert N.bags_fit(*bits, np.array([len(x)]), np.array([len(y)]), least).all()
+
+
+@pytest.mark.parametrize("bucket", [10**6, 300])
+def test_texts_that_share_many_common_runs_make_a_row_for_a_pair(spark, bucket):
+    # a pair of words all over texts that are not alike, but for two
+    rng = np.random.default_rng(14)
+    texts = [[7, 8] * 50 + rng.integers(0, 2**31, 50).tolist() for _ in range(60)]
+    texts[1] = [*texts[0][:145], 1, 2, 3, 4, 5]
+    frame = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "node long, class long, words array<int>")
+    made = N.met_runs(N.shown_runs(frame, 0.8, 3, *N.run_ranks(frame, 0.8)), 0.8, 8)
+    large = made.where("b IS NULL").collect()
+    runs = np.concatenate([np.frombuffer(r.runs, N.ENTRY) for r in large])
+    assert len(large) <= 3 * 8 < len(runs) and {r.cells for r in large} == {8}
+    want = set()
+    for value in set(runs["value"].tolist()):
+        nodes = sorted(set(runs["node"][runs["value"] == value].tolist()))
+        want |= {(a, b) for a in nodes for b in nodes if a > b}
+    plain = N.met_in_cells(made, frame, 0.8, bucket=bucket).collect()
+    assert {(r.a, r.b) for r in plain} <= want and sum(r.times for r in plain) > len(want)
+    if bucket == 10**6:
+        assert len(plain) == len({(r.a, r.b) for r in plain})
+    assert {(r.a, r.b) for r in N.met_in_cells(made, frame, 0.8, True, bucket).collect()} == {(1, 0)}
