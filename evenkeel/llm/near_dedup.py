@@ -21,7 +21,7 @@
    texts hold, by counters, so passages that many texts hold come last. Runs are dealt into buckets by their values, many in a row
    as arrays; in a bucket nodes of different classes meet if their lengths allow it, both show the run early enough for these
    lengths, and it stands where an alignment can match it (``place_fits``); those that share as many runs over all buckets are
-   verified. Runs that more than ``BLOCK`` nodes show meet in cells of nodes, all such runs of two cells at once, and pairs whose
+   verified. Runs that more than a share of ``BLOCK`` nodes show meet in cells of nodes, all such runs of two cells at once, and pairs whose
    words rule the similarity out, by ``BAG`` bits of either text, go no further. Only this step grows with the square of the
    texts that show one run.
 5. Classes are the connected components of all links, found by passing on the smallest node.
@@ -66,6 +66,8 @@ BUCKET, AT_ONCE = 500_000, 500_000
 ANYWHERE = 2**16 - 1
 #: Nodes of a bucket on either side of a block of pairs.
 BLOCK = 1_000
+#: Runs that more nodes show than a block divided by this meet in cells of nodes.
+COMMON = 4
 #: Numbers of nodes that may be broadcast, 8 bytes each; more are joined.
 BROADCAST_NODES = 1_000_000
 #: Rows to drop that may be broadcast, about 100 bytes each; more are joined.
@@ -512,7 +514,7 @@ def _stretches(ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 #: Rare runs of many nodes: their values, the places of their nodes among ``node, class, n``, their places in the order of a node, and in
 #: its text.
 RUNS = "bucket int, value binary, place binary, at binary, word binary, node binary, class binary, n binary"
-#: A pair and how many runs it shares, or (without ``b``) the runs of a bucket that more than a block of nodes show, in one of the cells
+#: A pair and how many runs it shares, or (without ``b``) the runs of a bucket that many nodes show (see ``COMMON``), in one of the cells
 #: that their nodes are dealt into: as ``ENTRY``, and the nodes.
 MET = "a long, class_a long, b long, class_b long, spare int, times long, bucket int, cells int, cell int, runs binary, nodes array<long>"
 ENTRY = np.dtype([("value", "<i8"), ("node", "<i8"), ("class", "<i8"), ("n", "<i4"), ("at", "<i4"), ("word", "<i4")])
@@ -594,7 +596,7 @@ def bags_fit(x: np.ndarray, y: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, lea
 def _bucket_pairs(value, node, group, n, at, word, least: float, block: int, side: np.ndarray | None = None) -> Iterator[dict[str, np.ndarray]]:
     """Columns of ``MET`` from all entries of a bucket: pairs of nodes of different classes with common runs, and how many.
 
-    The entries of runs that more than a block of nodes show come first, as columns of ``ENTRY`` and the number of nodes. With
+    The entries of runs that more than ``block`` nodes show come first, as columns of ``ENTRY`` and the number of nodes. With
     ``side`` only entries of different sides meet.
     """
     order = np.lexsort((n, value))
@@ -652,7 +654,7 @@ def met_runs(runs: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
         for c in ENTRY.names:
             entries[c] = found[c]
         entries["value"] += bucket << 32
-        cells = 2 ** np.ceil(np.log2(found["size"] / block)).astype(np.int64)
+        cells = 2 ** np.ceil(np.log2(np.maximum(found["size"] / block, 1))).astype(np.int64)
         own = np.stack([cells, cell_of(entries["node"], cells)])
         kinds, back = np.unique(own, axis=1, return_inverse=True)
         parts = [entries[back == i] for i in range(kinds.shape[1])]
@@ -668,7 +670,7 @@ def met_runs(runs: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
                     parts[c].append(own[c][own["place"]] if c in ("node", "class", "n") else own[c])
         value, node, group, *rest = (np.concatenate(x) for x in parts.values())
         parts.clear()
-        for found in _bucket_pairs(value, node, group, *(x.astype(np.int32) for x in rest), least, block):
+        for found in _bucket_pairs(value, node, group, *(x.astype(np.int32) for x in rest), least, max(1, block // COMMON)):
             if "value" in found:
                 found = dealt(key[0].as_py(), found)
             rows = len(found["b"] if "b" in found else found["cell"])
@@ -684,7 +686,7 @@ PAIRS = "a long, class_a long, b long, class_b long, spare int, times long"
 
 
 def met_in_cells(made: DataFrame, words: DataFrame, least: float, by_words: bool = False, bucket: int = BUCKET) -> DataFrame:
-    """``PAIRS`` for the runs of ``met_runs`` that more than a block of nodes show: cells of nodes meet with all these runs at once, so
+    """``PAIRS`` for the runs of ``met_runs`` that many nodes show: cells of nodes meet with all these runs at once, so
     that a pair is one row, not one for each run. With ``by_words`` pairs are left out whose words rule the similarity out.
 
     So that a pair of cells has no more than ``bucket`` entries or so, it may have its runs in several parts.
@@ -698,17 +700,17 @@ def met_in_cells(made: DataFrame, words: DataFrame, least: float, by_words: bool
         return both.select("cells", "part", F.least("cell", "other").alias("i"), F.greatest("cell", "other").alias("j"), *rest)
 
     none = lambda kind: F.lit(None).cast(kind)
-    rows = meet(own.withColumn("part", F.pmod("bucket", F.lit(parts))), "runs", none("long").alias("node"), none("binary").alias("bag"))
+    own = own.withColumn("part", F.pmod("bucket", F.lit(parts)))
+    rows = meet(own, "runs", none("long").alias("node"), none("binary").alias("bag"))
     if by_words:
-        there = common.stage(own.select("cells", "cell", F.explode("nodes").alias("node")).distinct(), "nodes-in-cells")
+        there = common.stage(own.select("cells", "part", "cell", F.explode("nodes").alias("node")).distinct(), "nodes-in-cells")
 
         def run(lists: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for x in lists:
                 ends, values = x.offsets.to_numpy(), x.values.to_numpy(False).view(np.uint32)
                 yield pa.array([bag(values[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())
 
-        bags = there.join(words.select("node", "words"), "node").select("cells", "cell", "node", F.arrow_udf(run, "binary")("words").alias("bag"))
-        bags = bags.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        bags = there.join(words.select("node", "words"), "node").select("cells", "part", "cell", "node", F.arrow_udf(run, "binary")("words").alias("bag"))
         rows = rows.unionByName(meet(bags, none("binary").alias("runs"), "node", "bag"))
     schema = pa.schema([(c, pa.int32() if t == "int" else pa.int64()) for c, t in (x.split() for x in PAIRS.split(", "))])
 
@@ -748,7 +750,7 @@ def pairs_missed(
     Staged.
 
     ``words`` has ``node, class, words``. Runs that only nodes of one class show are left out before any pair is made. A bucket
-    holds about ``bucket`` runs, however many nodes there are; runs that more than a block of nodes show are met in cells of nodes,
+    holds about ``bucket`` runs, however many nodes there are; runs that many nodes show are met in cells of nodes,
     and what pairs find there may be left out ``by_words``; see :func:`met_in_cells`.
     """
     ranks, common_runs = run_ranks(words, least)
